@@ -2,9 +2,10 @@
 
 A document is its set of word n-grams, as 64-bit hashes.  Two sets of Jaccard
 similarity t or more share a token among the first |x| - ceil(t|x|) + 1 tokens of each
-under every global token order.  Order 1 (rare tokens first) drives an equi-join on
-prefix tokens; orders 2 and 3 (two other hashes) must also have a common prefix token
-before a pair's texts are compared exactly.
+under every global token order, and l tokens or more among the first |x| - ceil(t|x|) + l.
+Order 1 (rare tokens first) drives an equi-join on prefix tokens; under orders 2 and 3
+(two other hashes) a pair must also share enough tokens of such longer prefixes before
+its texts are compared exactly.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ class Rule:
     def prefix(self, size):
         return size - -(-(size * self.num) // self.den) + 1
 
+    def depth(self, size):
+        """How many common tokens orders 2 and 3 ask for: as many again as the prefix has."""
+        return self.prefix(size)
+
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct hashed n-grams of each text; with fewer words, of the whole sequence; empty without words."""
@@ -79,7 +84,7 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row per document: n, set signature, counted tokens of order 1, prefixes of orders 2 and 3.
+    """One row per document: n, set signature, counted tokens of order 1, longer prefixes of orders 2 and 3.
 
     Order 1 puts the tokens whose hash is below a fixed share first, by their document
     frequency, then all others by hash.  ``tokens`` has the ``heads`` former by hash and
@@ -91,7 +96,7 @@ def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for first, data, offsets in text_slices(batch.column(1)):
-                rows: dict[str, list] = {k: [] for k in ("n", "s1", "s2", "heads", "tokens", "o2", "o3")}
+                rows: dict[str, list] = {k: [] for k in ("n", "s1", "s2", "heads", "tokens", "o2", "o3", "l2", "l3")}
                 for tokens in shingle_sets(data, offsets, rule.n):
                     s1, s2 = signature(tokens)
                     size = len(tokens)
@@ -102,17 +107,21 @@ def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                     rows["s2"].append(s2)
                     rows["heads"].append(cut)
                     rows["tokens"].append(tokens[: max(cut, p)].view(np.int64))
-                    for name, seed in (("o2", 2), ("o3", 3)):
+                    for name, want, seed in (("o2", "l2", 2), ("o3", "l3", 3)):
                         h = mix64(tokens, seed)
-                        least = np.partition(h, p - 1)[:p] if size else h
-                        rows[name].append(np.unique((least & np.uint64(0x7FFF)).astype(np.int16)))
+                        long = min(size, p + rule.depth(size) - 1) if size else 0
+                        least = np.partition(h, long - 1)[:long] if size else h
+                        short = np.unique(least.astype(np.uint16).view(np.int16))
+                        rows[name].append(short)
+                        # Tokens whose 16 bits coincide count once, so that many fewer are asked for.
+                        rows[want].append(rule.depth(size) - (long - len(short)) if size else 0)
                 n = len(rows["n"])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(rows["n"], pa.int64()), pa.array(rows["s1"], pa.int64()), pa.array(rows["s2"], pa.int64()), pa.array(rows["heads"], pa.int64()), pa.array(rows["tokens"], pa.list_(pa.int64())), pa.array(rows["o2"], pa.list_(pa.int16())), pa.array(rows["o3"], pa.list_(pa.int16()))],
-                    names=["doc_id", "n", "s1", "s2", "heads", "tokens", "o2", "o3"],
+                    [ids.slice(first, n), pa.array(rows["n"], pa.int64()), pa.array(rows["s1"], pa.int64()), pa.array(rows["s2"], pa.int64()), pa.array(rows["heads"], pa.int64()), pa.array(rows["tokens"], pa.list_(pa.int64())), pa.array(rows["o2"], pa.list_(pa.int16())), pa.array(rows["o3"], pa.list_(pa.int16())), pa.array(rows["l2"], pa.int32()), pa.array(rows["l3"], pa.int32()), batch.column(2).slice(first, n)],
+                    names=["doc_id", "n", "s1", "s2", "heads", "tokens", "o2", "o3", "l2", "l3", "th"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, n long, s1 long, s2 long, heads long, tokens array<long>, o2 array<short>, o3 array<short>")
+    return docs.mapInArrow(work, "doc_id long, n long, s1 long, s2 long, heads long, tokens array<long>, o2 array<short>, o3 array<short>, l2 int, l3 int, th long")
 
 
 def _prefixes(sketch: DataFrame, spare: DataFrame, rule: Rule) -> DataFrame:
@@ -140,8 +149,8 @@ def _prefixes(sketch: DataFrame, spare: DataFrame, rule: Rule) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity, by comparing the whole sets."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("s1").alias("sa"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.col("s1").alias("sb"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def work(batches):
         last: tuple = (None, None)
@@ -168,20 +177,22 @@ def _set_of(column: pa.Array, n: int) -> np.ndarray:
 
 def _filtered(pairs: DataFrame, meta: DataFrame, rule: Rule) -> DataFrame:
     """Distinct pairs that also share prefix tokens under orders 2 and 3 and pass the length bound."""
-    m = meta.select("doc_id", "n", "o2", "o3")
+    m = meta.select("doc_id", "n", "o2", "o3", "l2", "l3")
     a, b = (m.select(*[F.col(c).alias(f"{c}_{s}") for c in m.columns]) for s in "ab")
     j = pairs.distinct().join(a, F.col("a") == F.col("doc_id_a")).join(b, F.col("b") == F.col("doc_id_b"))
     ok = (F.col("n_a") * rule.den >= F.col("n_b") * rule.num) & (F.col("n_b") * rule.den >= F.col("n_a") * rule.num)
-    return j.filter(ok & F.arrays_overlap("o2_a", "o2_b") & F.arrays_overlap("o3_a", "o3_b")).select("a", "b")
+    both = lambda o, l: F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= F.least(f"{l}_a", f"{l}_b")  # noqa: E731,E741
+    return j.filter(ok).filter(both("o2", "l2")).filter(both("o3", "l3")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text", id_col: str = "doc_id", pivots: int = 3, rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text", id_col: str = "doc_id", pivots: int = 3, rounds: int = 6) -> DataFrame:
     """Components of the graph that links documents of similarity ``rule.num / rule.den`` or more.
 
     Returns ``doc_id, n_shingles, component_id`` (smallest linked id, itself included),
     one row per input row.  Words are runs of bytes other than ASCII blanks, with A-Z
     in lower case.  Null, empty and blank texts have no shingles and no links.  Rows
-    without an id have a null component and link nothing.  Repeated rows are rows.
+    without an id have a null component and link nothing.  Repeated rows are rows; an id names one
+    text, so of rows with the same id and different texts one is compared with others.
 
     Equal sets are one node.  In a large group of near copies not all pairs are made:
     in each prefix bucket every document is first compared with a few pivots; pairs
@@ -189,7 +200,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     bucket still holds apart after these rounds is compared pair by pair, so no link
     between components is lost and nothing is capped.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     sketch = materialize(_sketches(plain, rule), "sketches")
     key = ["s1", "s2", "n"]
     named = sketch.filter("doc_id is not null and n > 0")
@@ -198,10 +209,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     spare = materialize(named.select("doc_id", *key).join(copies, key).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "spare")
     prefixes = _prefixes(sketch, spare, rule)
     cand = prefixes.select("doc_id").distinct()
-    meta = materialize(sketch.select("doc_id", "n", "s1", "o2", "o3").join(cand, "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "n"]), "meta")
-    texts = materialize(_with_signature(plain.join(cand, "doc_id", "left_semi"), rule).join(meta.select("doc_id", "s1"), ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"]), "texts")
+    meta = materialize(sketch.drop("tokens", "s1", "s2", "heads").join(cand, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "meta")
+    texts = materialize(plain.join(meta.select("doc_id", "th"), ["doc_id", "th"], "left_semi").select("doc_id", "text"), "texts")
 
     links, comp, tested = None, None, None
+    before = float("inf")
     for turn in range(rounds + 1):
         live = prefixes
         if comp is not None:
@@ -212,7 +224,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
             row = counts.agg(F.sum((F.col("c") * F.col("c") - F.col("sq")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
             if not row.rows:
                 break
-            last = turn == rounds or row.pairs <= pivots * row.rows
+            # Pivots again only while they pay: a bucket of one large group shrinks to almost nothing each time.
+            last = turn == rounds or row.pairs <= 50 * row.rows or row.pairs > 0.5 * before
+            before = row.pairs
         else:
             last = False
         if last:
@@ -247,18 +261,6 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     return rows.join(full, rows.doc_id == full.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _with_signature(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, text, s1): the text with the name of its set."""
-
-    def work(batches):
-        for batch in batches:
-            for first, data, offsets in text_slices(batch.column(1)):
-                sets = shingle_sets(data, offsets, rule.n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), batch.column(1).slice(first, len(sets)), pa.array([signature(s)[0] for s in sets], pa.int64())], names=["doc_id", "text", "s1"])
-
-    return texts.mapInArrow(work, "doc_id long, text string, s1 long")
-
-
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Keep the document with the smallest id of each component, with all columns.
 
