@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from temblor.functions import scalar
 from temblor.functions.scalar import DAY_MS
 
-ALL = Window.partitionBy(F.lit(1))
+
+def _all() -> WindowSpec:
+    """The window over a table of few rows; made when called, as it needs a session."""
+    return Window.partitionBy(F.lit(1))
 
 
 def summary(cat: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def daily_counts(cat: DataFrame, max_gap_days: float = 1825, moving: int = 7) ->
     span = counted.agg(F.min("day").alias("a"), F.max("day").alias("b"), ((F.max("hi") - F.min("lo")) / DAY_MS).alias("days"))
     spine = span.filter((F.col("days") < max_gap_days) & F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b")).alias("day"))
     filled = counted.select("day", "events").union(spine.select("day", F.lit(0).cast("bigint"))).groupBy("day").agg(F.sum("events").alias("events"))
-    order = ALL.orderBy("day")  # one row a day
+    order = _all().orderBy("day")  # one row a day
     mean = F.avg("events").over(order.rowsBetween(1 - moving, 0))
     return filled.select("day", "events", F.when(F.row_number().over(order) >= moving, mean).alias("moving_mean"))
 
@@ -63,7 +66,7 @@ def ordered_gaps(cat: DataFrame, by: list[str] | None = None, slices: int | None
     sliced = cat.withColumn("_slice", F.floor(F.col("timeMs") / width))
     w = Window.partitionBy("_slice").orderBy("timeMs", "row_idx")
     last = sliced.groupBy("_slice").agg(F.max("timeMs").alias("_last"))
-    last = last.withColumn("_last", F.lag("_last").over(ALL.orderBy("_slice")))  # one row a week
+    last = last.withColumn("_last", F.lag("_last").over(_all().orderBy("_slice")))  # one row a week
     lagged = sliced.withColumn("_before", F.lag("timeMs").over(w)).join(last, "_slice")
     return lagged.withColumn("gap_ms", F.col("timeMs") - F.coalesce("_before", "_last")).drop("_slice", "_before", "_last")
 
@@ -103,7 +106,7 @@ def _running(values: DataFrame, key: str = "hours", count: str = "n", width: flo
     """Running count ``upto`` over all rows in order of ``key``, by value slices so that no task sorts them all."""
     sliced = values.withColumn("_s", F.floor(F.col(key) / width))
     totals = sliced.groupBy("_s").agg(F.sum(count).alias("_t"))
-    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(ALL.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_b")  # one row a slice
+    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(_all().orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_b")  # one row a slice
     w = Window.partitionBy("_s").orderBy(key)
     return sliced.withColumn("upto", F.sum(count).over(w)).join(before, "_s").withColumn("upto", F.col("upto") + F.col("_b")).drop("_s", "_b")
 
@@ -131,7 +134,7 @@ def cumulative(cat: DataFrame) -> DataFrame:
     width = 7 * DAY_MS
     sliced = cat.withColumn("_s", F.floor(F.col("timeMs") / width)).withColumn("_m", scalar.moment_nm(F.col("magnitude")))
     totals = sliced.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_m").alias("_t"))
-    prior = ALL.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    prior = _all().orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_s", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_t").over(prior), F.lit(0.0)).alias("_bm"))
     w = Window.partitionBy("_s").orderBy("timeMs", "row_idx")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -169,7 +172,7 @@ def histogram(cat: DataFrame, name: str, bins: int = 20) -> DataFrame:
     counted = rows.select("v").crossJoin(F.broadcast(span)).groupBy(at.alias("bin")).agg(F.count("*").alias("events"))
     spine = span.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     full = spine.join(counted, "bin", "left").withColumn("events", F.coalesce("events", F.lit(0)))
-    down = ALL.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # as many rows as bins
+    down = _all().orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # as many rows as bins
     full = full.withColumn("at_least", F.sum("events").over(down))
     return full.select(
         "bin",
