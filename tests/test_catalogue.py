@@ -75,8 +75,8 @@ def test_sessions_equal_one_scan(spark, scan):
         year = np.array([2024 + (t - T0) / (366 * DAY) for t in ordered.timeMs])
         want = sequences.step_magnitude_scan(year, *args, 2.0, 0.2 / 365, 0.5 / 365)
     else:
-        got = labels(sequences.reasenberg(cat, tau0=0.3, tau_max=0.5, tau_min=0.1), len(pdf))
-        want = sequences.tmc_scan(ordered.timeMs.to_numpy() / 60000, *args, tau0=0.3, tau_max=0.5, tau_min=0.1)
+        got = labels(sequences.reasenberg(cat, rfact=60, tau0=0.3, tau_max=0.5, tau_min=0.1), len(pdf))
+        want = sequences.tmc_scan(ordered.timeMs.to_numpy() / 60000, *args, rfact=60, tau0=0.3, tau_max=0.5, tau_min=0.1)
     order, seen = [], {}
     for w in want:
         order.append(-1 if w == 0 else seen.setdefault(int(w), len(seen)))
@@ -126,9 +126,9 @@ def test_hdbscan_groups(spark):
 def test_frequency_recovers_b(spark):
     r = np.random.default_rng(4)
     n = 20_000
-    pdf = frame(np.zeros(n), np.zeros(n), T0 + np.arange(n) * 1000, 1.95 + r.exponential(1 / (1.0 * math.log(10)), n))
+    pdf = frame(np.zeros(n), np.zeros(n), T0 + np.arange(n) * 1000, np.round(1.95 + r.exponential(1 / (1.0 * math.log(10)), n), 1))  # the half-bin shift of the estimate is made for rounded magnitudes
     row = frequency.fit(spark.createDataFrame(pdf), method="given", mc=2.0).first()
-    assert row.b == pytest.approx(1.0, abs=0.05) or row.b == pytest.approx(1.12, abs=0.12)
+    assert row.b == pytest.approx(1.0, abs=0.03)
     assert frequency.fit(spark.createDataFrame(pdf).limit(1)).count() == 0
 
 
