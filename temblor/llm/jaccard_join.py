@@ -143,8 +143,66 @@ def _prefixes(sketch: DataFrame, spare: DataFrame, rule: Rule) -> DataFrame:
         .withColumn("rank", F.row_number().over(by_doc.orderBy("df", "token")))
         .withColumn("at", F.when(F.col("counted"), F.col("heads") - F.col("found") + F.col("rank") - 1).otherwise(F.col("pos").cast("long")))
     )
-    p = F.expr(f"n - (n * {rule.num} + {rule.den - 1}) div {rule.den} + 1")
-    return materialize(placed.filter(F.col("at") < p).select("token", "doc_id", "n", "at"), "prefixes")
+    return materialize(placed.filter(F.col("at") < _prefix_column(rule)).select("token", "doc_id", "n", "at"), "prefixes")
+
+
+def _by_rarity(docs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Prefixes of some documents when all their tokens are ordered by frequency among them.
+
+    Order 1 counts only a share of the tokens of the whole corpus; for the documents
+    that are left to compare pair by pair it is replaced by this sharper order, in
+    which a document's own words come first and leave no room for the common ones.
+    """
+
+    def work(batches):
+        for batch in batches:
+            for first, data, offsets in text_slices(batch.column(1)):
+                sets = shingle_sets(data, offsets, rule.n)
+                held = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(np.diff(held), pa.int64()), tokens], names=["doc_id", "n", "tokens"])
+
+    sets = texts.join(docs, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(work, "doc_id long, n long, tokens array<long>")
+    sets = materialize(sets, "sets")
+    every = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
+    shared = materialize(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    by_doc = Window.partitionBy("doc_id")
+    placed = every.join(shared, "token").withColumn("found", F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy("df", "token")))
+    placed = placed.withColumn("at", F.expr("n - found + rank - 1"))
+    return materialize(placed.filter(F.col("at") < _prefix_column(rule)).select("token", "doc_id", "n", "at"), "prefixes")
+
+
+def _prefix_column(rule: Rule):
+    return F.expr(f"n - (n * {rule.num} + {rule.den - 1}) div {rule.den} + 1")
+
+
+def _room(rule: Rule):
+    """Whether sizes and places of a common token of x and y leave room for a similar pair.
+
+    The first common token of a similar pair leaves enough tokens behind it on both sides.
+    """
+    length = (F.col("n_x") * rule.den >= F.col("n_y") * rule.num) & (F.col("n_y") * rule.den >= F.col("n_x") * rule.num)
+    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    return length & (room * (rule.num + rule.den) >= (F.col("n_x") + F.col("n_y")) * rule.num)
+
+
+def _sides(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "xy")
+
+
+def _viable(live: DataFrame, rule: Rule) -> tuple[DataFrame, float, int]:
+    """Rows of ``live`` that can be in a similar pair of two components, the pairs they make, and their number.
+
+    Rows of one token that have the same size and place are one cell; cells are
+    compared, so that a large bucket costs no more than its distinct sizes and places.
+    """
+    cells = materialize(live.groupBy("token", "n", "at").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")), "cells")
+    x, y = _sides(cells, "n", "at", "c", "lo", "hi")
+    apart = F.least("lo_x", "lo_y") != F.greatest("hi_x", "hi_y")
+    good = x.join(y, "token").filter(apart & _room(rule)).groupBy("token", F.col("n_x").alias("n"), F.col("at_x").alias("at")).agg(F.max("c_x").alias("c"), F.sum("c_y").alias("partners"))
+    good = materialize(good, "viable")
+    row = good.agg(F.sum(F.col("c") * F.col("partners")).alias("pairs"), F.sum("c").alias("rows")).first()
+    return live.join(good.select("token", "n", "at"), ["token", "n", "at"], "left_semi"), (row.pairs or 0) / 2, row.rows or 0
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -215,30 +273,34 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     links, comp, tested = None, None, None
     before = float("inf")
     for turn in range(rounds + 1):
-        live = prefixes
+        live, last = prefixes, False
         if comp is not None:
-            live = live.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-            live = materialize(live.join(mixed, "token", "left_semi"), "live")
-            counts = live.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-            row = counts.agg(F.sum((F.col("c") * F.col("c") - F.col("sq")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-            if not row.rows:
+
+            def mixed_rows(p: DataFrame) -> DataFrame:
+                named = p.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+                mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+                return materialize(named.join(mixed, "token", "left_semi"), "live")
+
+            live, n_pairs, n_rows = _viable(mixed_rows(prefixes), rule)
+            if not n_rows:
                 break
+            if turn == 1:
+                prefixes = _by_rarity(materialize(live.select("doc_id").distinct(), "left"), texts, rule)
+                live, n_pairs, n_rows = _viable(mixed_rows(prefixes), rule)
+                if not n_rows:
+                    break
             # Pivots again only while they pay: a bucket of one large group shrinks to almost nothing each time.
-            last = turn == rounds or row.pairs <= 50 * row.rows or row.pairs > 0.5 * before
-            before = row.pairs
-        else:
-            last = False
+            last = turn == rounds or n_pairs <= 10 * n_rows or n_pairs > 0.8 * before
+            before = n_pairs
+            live = materialize(live, "live")
         if last:
-            x, y = (live.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "at", "component")]) for s in "xy")
+            x, y = _sides(live, "doc_id", "n", "at", "component")
             apart = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y"))
-            length = (F.col("n_x") * rule.den >= F.col("n_y") * rule.num) & (F.col("n_y") * rule.den >= F.col("n_x") * rule.num)
-            # The first common token of a similar pair leaves enough tokens behind it on both sides.
-            room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-            enough = room * (rule.num + rule.den) >= (F.col("n_x") + F.col("n_y")) * rule.num
-            pairs = x.join(y, "token").filter(apart & length & enough).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+            pairs = x.join(y, "token").filter(apart & _room(rule)).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
         else:
-            order = [F.min_by("doc_id", F.xxhash64(F.lit(101 + turn * pivots + i), "doc_id")).alias(f"p{i}") for i in range(pivots)]
+            # A document with few rarer words of its own is near many others; every third pivot is any document.
+            mark = [F.xxhash64(F.lit(101 + turn * pivots + i), "doc_id") for i in range(pivots)]
+            order = [F.min_by("doc_id", h if i % 3 == 2 else F.struct("at", h.alias("h"))).alias(f"p{i}") for i, h in enumerate(mark)]
             chosen = live.groupBy("token").agg(*order).select("token", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("pivot"))
             near = live.select("token", "doc_id").join(chosen, "token").filter("doc_id <> pivot")
             pairs = near.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
