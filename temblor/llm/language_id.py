@@ -91,11 +91,13 @@ class Model:
         total = np.zeros((len(some), len(self.langs)))
         for k in range(len(self.langs)):
             total[:, k] = np.bincount(owner, self.logp[slot, k], len(some))
-        for row, i in enumerate(some):
-            scripts = {script_of(c) for c in set(words[i])}
-            mask = self.allowed[[NAMES.index(s) for s in scripts]].all(axis=0)
-            if mask.any():
-                total[row, ~mask] = total[row].min() - 20.0
+        # Words of the same scripts share a mask, and plain ASCII letters are of one script.
+        masks: dict[frozenset, int] = {}
+        latin = frozenset(["latin"])
+        which = [masks.setdefault(latin if words[i].isascii() else frozenset(map(script_of, set(words[i]))), len(masks)) for i in some]
+        table = np.array([self.allowed[[NAMES.index(s) for s in scripts]].all(axis=0) for scripts in masks])
+        table[~table.any(axis=1)] = True
+        total = np.where(table[which], total, total.min(axis=1, keepdims=True) - 20.0)
         out[some] = total - total.max(axis=1, keepdims=True)
         return out
 
@@ -190,23 +192,41 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
+class Known:
+    """Scores and letter counts of the words met so far, as rows of two arrays; emptied when it grows too large."""
+
+    def __init__(self, n_langs: int):
+        self.row: dict[str, int] = {}
+        self.scores = np.zeros((1024, n_langs), np.float32)
+        self.size = np.zeros(1024, np.int64)
+
+    def look_up(self, model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (words x langs) and letter counts of a list of words, repeated ones too."""
+        if len(self.row) > WORD_MEMO:
+            self.__init__(self.scores.shape[1])
+        new = list(dict.fromkeys(x for x in words if x not in self.row))
+        if new:
+            clean = [letters(x) for x in new]
+            first, last = len(self.row), len(self.row) + len(new)
+            if last > len(self.size):
+                more = max(last, 2 * len(self.size)) - len(self.size)
+                self.scores = np.concatenate([self.scores, np.zeros((more, self.scores.shape[1]), np.float32)])
+                self.size = np.concatenate([self.size, np.zeros(more, np.int64)])
+            self.scores[first:last] = model.word_scores(clean)
+            self.size[first:last] = [len(c) for c in clean]
+            self.row.update(zip(new, range(first, last), strict=True))
+        rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        return self.scores[rows], self.size[rows]
+
+
 def label_texts(model: Model, texts: list, penalty: float) -> list[tuple]:
     """(language, score, spans) of each text; spans are (first char, end char, language)."""
-    memo = model.__dict__.setdefault("memo", {})
-    if len(memo) > WORD_MEMO:
-        memo.clear()
+    known = model.__dict__.setdefault("known", Known(len(model.langs)))
     words = [tokens(t) if t else [] for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    new = list(dict.fromkeys(x for w in words for x in w if x not in memo))
-    if new:
-        clean = [letters(x) for x in new]
-        for x, c, s in zip(new, clean, model.word_scores(clean), strict=True):
-            memo[x] = (s, len(c))
-    got = [memo[x] for w in words for x in w]
-    scores = np.array([g[0] for g in got], np.float32).reshape(len(got), len(model.langs))
-    size = np.array([g[1] for g in got], np.int64)
+    scores, size = known.look_up(model, [x for w in words for x in w])
     out = []
-    labels = viterbi(scores, lengths, penalty) if len(got) and model.langs else np.zeros(len(got), np.int16)
+    labels = viterbi(scores, lengths, penalty) if len(size) and model.langs else np.zeros(len(size), np.int16)
     ends = np.cumsum(lengths)
     for i, text in enumerate(texts):
         a, b = ends[i] - lengths[i], ends[i]
