@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from temblor.llm import common, exact_dedup, jaccard_join, language_id, mixing, sentencepiece_viterbi
 from temblor.llm.queries import TOKENIZER
@@ -36,17 +37,27 @@ def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: the same rows in the order of the mix, so that reading the files in turn reads the mix."""
+    """Mixing: the same rows in the order of the mix, which the last stage reads off the written files."""
     places = mixing.mix(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
     placed = docs.join(places, docs.doc_id == places["_id"], "left")
     return placed.orderBy(F.col("_position").asc_nulls_last()).drop("_id", "_position")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encoding: piece ids of every whole text."""
+    """Encoding: piece ids of every whole text, and its place in the mix.
+
+    ``docs`` is a written table.  Readers take its files in any order, so ``position``,
+    gapless from 0, follows the numbers of the part files and the rows in them.
+    """
     vocab = sentencepiece_viterbi.read_vocabulary(TOKENIZER)
-    ids = docs.select("doc_id", "source", sentencepiece_viterbi.encode_column(docs, F.col("text"), vocab).alias("ids"))
-    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    sizes = docs.groupBy(file.alias("file")).agg((F.max(row) + 1).alias("n"))
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    before = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ids = docs.select("doc_id", "source", file.alias("file"), row.alias("row"), sentencepiece_viterbi.encode_column(docs, F.col("text"), vocab).alias("ids"))
+    ids = ids.join(F.broadcast(starts), "file")
+    return ids.select("doc_id", "source", (F.col("start") + F.col("row")).alias("position"), F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
 STAGES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from temblor.llm import sentencepiece_viterbi
+from temblor.llm import common, mixing, sentencepiece_viterbi
 from tests.llm.test_operators import brute_components, words
 
 
@@ -39,3 +39,28 @@ def test_pipeline(spark, tmp_path):
     for x in docs.collect():
         assert sentencepiece_viterbi.decode(table, x.ids) == texts[x.doc_id]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(now)
+
+
+def test_pipeline_returns_the_place_in_the_mix(spark, tmp_path):
+    r = random.Random(9)
+    sources = [r.choice("aaaab") for _ in range(1500)]
+    # Later texts of the mix are longer, so that readers take the last file first.
+    place = {x.doc_id: x.position for x in mixing.mix(spark.createDataFrame(list(enumerate(sources)), "doc_id bigint, source string")).collect()}
+    rows = [(i, f"w{i} " * (2 + place[i] // 300), "en", s, 9) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = common.materialize(corpus_pipeline.mixed(spark, docs, str(tmp_path)), "mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(docs.inputFiles()) > 1
+    got = corpus_pipeline.encoded(spark, docs, str(tmp_path)).orderBy("position").collect()
+    assert [x.position for x in got] == list(range(len(rows))) and [place[x.doc_id] for x in got] == list(range(len(rows)))
+    size = {s: sources.count(s) for s in "ab"}
+    weight = {s: n**0.5 / sum(m**0.5 for m in size.values()) for s, n in size.items()}
+    done = dict.fromkeys("ab", 0)
+    for n, x in enumerate(got, 1):
+        done[x.source] += 1
+        if done["b"] == size["b"]:
+            break
+        assert all(abs(done[s] - n * weight[s]) < 2 * 64 for s in "ab")  # a whole block and the one being read
