@@ -3,15 +3,21 @@
 Each source is cut into blocks of equally many rows.  The j-th block of a source of
 weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w); running
 the earliest deadline first keeps every source within one block of its weight at
-every slot.  Weights are whole shares of a period, after which the schedule repeats,
-so one period is scheduled once and every block's slot follows by arithmetic.
+every slot.  Weights are taken as exact fractions; when a source ends, the others go
+on in proportion.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import accumulate, islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,73 +40,110 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def one_period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    slots: dict[str, list[int]] = {s: [] for s in shares}
-    release = lambda s, j: j * period // shares[s]
-    due = lambda s, j: -(-(j + 1) * period // shares[s])
-    waiting = [(0, s) for s in sorted(shares)]
+def earliest_deadlines(blocks: dict[str, int], weights: dict[str, Fraction | float | int]) -> Iterator[tuple[str, int, int]]:
+    """``(source, block, phase)`` of every slot: released blocks, earliest deadline first.
+
+    The weights count exactly as given.  With n[s] blocks, at virtual time v source s is due
+    min(n[s], v * weight[s]) blocks, and what all sources are due is the slot.  A block is released
+    in the slot in which its source is due more than the blocks before it, and its deadline is the
+    slot by which it is due in full; as dues are whole in sum, all deadlines can be met.  So every
+    source stays less than one block from its due.  A phase ends when a source is due its last
+    block.  Sources of weight 0 come after all others.
+    """
+    if any(not 0 <= w < math.inf for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    idle = {s: n for s, n in blocks.items() if n and not weights[s]}
+    blocks = {s: n for s, n in blocks.items() if n and weights[s]}
+    exact = {s: Fraction(weights[s]) for s in blocks}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    ends = sorted((Fraction(n, whole[s]), s) for s, n in blocks.items())  # by the virtual time of the last block
+    times = [v for v, _ in ends]
+    spent, active = [0], [sum(whole.values())]
+    for _, s in ends:
+        spent.append(spent[-1] + blocks[s])
+        active.append(active[-1] - whole[s])
+    exits = [math.floor(v) for v in sorted({spent[k] + v * active[k] for k, v in enumerate(times)})]
+    at = dict.fromkeys(blocks, 0)
+
+    def due(s: str, n: int) -> tuple[int, int]:
+        """The slot at which n blocks of s are due, rounded down and up."""
+        if times[at[s]].numerator * whole[s] < n * times[at[s]].denominator:
+            at[s] = bisect_left(times, Fraction(n, whole[s]), at[s])
+        k, w = at[s], whole[s]
+        return spent[k] + n * active[k] // w, spent[k] - (-n * active[k] // w)
+
+    done = dict.fromkeys(blocks, 0)
+    waiting = [(0, s) for s in sorted(blocks)]
     ready: list[tuple[int, str]] = []
-    for t in range(period):
+    free, phase = {}, 0
+    for t in range(spent[-1]):
         while waiting and waiting[0][0] <= t:
             s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (due(s, len(slots[s])), s))
+            free[s], deadline = due(s, done[s] + 1)
+            heapq.heappush(ready, (deadline, s))
+        while phase < len(exits) and exits[phase] <= t:
+            phase += 1
         s = heapq.heappop(ready)[1]
+        yield s, done[s], phase
+        done[s] += 1
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, (free[s], s))
+    if idle:
+        for s, block, p in earliest_deadlines(idle, dict.fromkeys(idle, 1)):
+            yield s, block, p + len(exits)
+
+
+def one_period(shares: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period of whole shares."""
+    slots: dict[str, list[int]] = {s: [] for s in shares}
+    for t, (s, _, _) in enumerate(earliest_deadlines(shares, shares)):
         slots[s].append(t)
-        if len(slots[s]) < shares[s]:
-            heapq.heappush(waiting, (release(s, len(slots[s])), s))
     return slots
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int) -> tuple[list[tuple], list[tuple]]:
-    """Phases and slots for sources of ``blocks`` blocks each.
+PLACES = "source string, block long, slot long, phase int, start long"
 
-    A phase ends when a source has used its last block; the rest share the weight in
-    proportion.  Returns phases (source, phase, first_block, n_blocks, share, start,
-    period) and slots (source, phase, index, slot): at most sources * period rows each.
-    """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    phases, places, start, phase = [], [], 0, 0
-    while left:
-        shares = whole_shares({s: weights[s] for s in left}, period)
-        slots = one_period(shares)
-        last = {s: (n - 1) // shares[s] * period + slots[s][(n - 1) % shares[s]] for s, n in left.items()}
-        length = min(last.values()) + 1
-        for s in list(left):
-            n = length // period * shares[s] + sum(x < length % period for x in slots[s])
-            phases.append((s, phase, done[s], n, shares[s], start))
-            places += [(s, phase, i, x) for i, x in enumerate(slots[s])]
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start += length
-        phase += 1
-    return phases, places
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64, period: int = 256, source_col: str = "source", id_col: str = "doc_id", seed: int = 0, bucket_rows: int = 20_000) -> DataFrame:
+
+def _places(spark: SparkSession, sizes: dict[str, int], weights: dict, block_rows: int, chunk: int = 500_000) -> DataFrame:
+    """Slot, phase and first position of every block, written ``chunk`` blocks at a time."""
+    slots = earliest_deadlines({s: -(-n // block_rows) for s, n in sizes.items()}, weights)
+    path = f"{materialize(spark.createDataFrame([], PLACES), 'places').scratch_path}"
+    slot = start = 0
+    while held := list(islice(slots, chunk)):
+        rows = [min(block_rows, sizes[s] - b * block_rows) for s, b, _ in held]  # only a source's last block can be short
+        starts = list(accumulate(rows, initial=start))
+        start = starts.pop()
+        source, block, phase = zip(*held, strict=True)
+        table = pa.table({"source": source, "block": pa.array(block, pa.int64()), "slot": pa.array(range(slot, slot + len(held)), pa.int64()), "phase": pa.array(phase, pa.int32()), "start": pa.array(starts, pa.int64())})
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        slot += len(held)
+    return spark.read.schema(PLACES).parquet(path)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64, period: int | None = None, source_col: str = "source", id_col: str = "doc_id", seed: int = 0, bucket_rows: int = 20_000) -> DataFrame:
     """Interleave sources to target weights; one row per input row, none dropped.
 
     Returns ``doc_id, source, block, slot, phase, position``: ``block`` counts the
     source's blocks, ``slot`` is the block's place in the whole mix, ``position`` the
-    row's, gapless from 0.  Inside a phase every source is less than one block from
-    its weight after every slot.  Without ``weights`` a source's weight is the square
-    root of its rows.  Sources missing from ``weights`` get the smallest weight
-    given; a null source is a source named by the empty string.  Rows are ordered
-    inside a source by a seeded hash of the id, then the id.  At most ``period``
-    sources can be mixed.  An empty table gives an empty result.
+    row's, gapless from 0.  After every slot every source is less than one block from
+    what its weight, as given, makes due (:func:`earliest_deadlines`).  Without
+    ``weights`` a source's weight is the square root of its rows.  Sources missing
+    from ``weights`` get the smallest weight given; a null source is a source named
+    by the empty string.  Rows are ordered inside a source by a seeded hash of the id,
+    then the id.  With ``period`` the weights are first rounded to whole shares of
+    that many slots, and more sources than slots are refused.  The driver holds a
+    number a source and runs through the blocks once.  An empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
     rows = materialize(rows, "sources")
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(period + 1).collect()}
-    if len(sizes) > period:
-        raise ValueError(f"more than {period} sources; raise period")
+    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
     given = weights or {s: n**0.5 for s, n in sizes.items()}
     target = {s: given.get(s, min(given.values())) for s in sizes}
+    if period and sizes:
+        target = whole_shares(target, period)
     # No source is numbered in one task: rows are dealt into buckets by hash, numbered there, and offset by the buckets before.
     n_buckets = max(1, -(-sum(sizes.values()) // bucket_rows))
     dealt = rows.withColumn("bucket", F.pmod("h", F.lit(n_buckets)))
@@ -109,22 +152,5 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "row")
     numbered = dealt.withColumn("rank", F.row_number().over(within) - 1).join(before, ["source", "bucket"])
     numbered = numbered.select("source", "doc_id", (F.col("rank") + F.col("base")).alias("nth")).withColumn("block", F.floor(F.col("nth") / block_rows))
-    phases, places = schedule({s: -(-n // block_rows) for s, n in sizes.items()}, target, period)
-    phase_table = spark.createDataFrame(phases, "source string, phase int, first_block long, n_blocks long, share int, start long")
-    place_table = spark.createDataFrame(places, "source string, phase int, idx long, at long")
-    joined = numbered.join(F.broadcast(phase_table), "source").filter("block >= first_block and block < first_block + n_blocks")  # at most period**2 rows
-    joined = joined.withColumn("idx", F.expr("(block - first_block) % share")).join(F.broadcast(place_table), ["source", "phase", "idx"])
-    placed = joined.withColumn("slot", F.expr(f"start + ((block - first_block) div share) * {period} + at"))
-    # Only the last block of a source can be short; what it lacks shifts the rows after it.
-    lacks = []
-    for s, n in sizes.items():
-        if n % block_rows:
-            b = n // block_rows
-            p = next(x for x in phases if x[0] == s and x[2] <= b < x[2] + x[3])
-            at = next(x[3] for x in places if x[:3] == (s, p[1], (b - p[2]) % p[4]))
-            lacks.append((p[5] + (b - p[2]) // p[4] * period + at, block_rows - n % block_rows))
-    shift = F.lit(0)
-    if lacks:
-        short = F.array(*[F.struct(F.lit(a).cast("long").alias("at"), F.lit(b).cast("long").alias("n")) for a, b in lacks])
-        shift = F.aggregate(F.filter(short, lambda x: x["at"] < F.col("slot")), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    return placed.select("doc_id", "source", "block", "slot", "phase", (F.col("slot") * block_rows + F.col("nth") % block_rows - shift).cast("long").alias("position"))
+    placed = numbered.join(_places(spark, sizes, target, block_rows), ["source", "block"])
+    return placed.select("doc_id", "source", "block", "slot", "phase", (F.col("start") + F.col("nth") % block_rows).cast("long").alias("position"))

@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -214,6 +215,49 @@ def test_one_period_stays_within_a_block():
                 assert abs(sum(x < t for x in at) - t * shares[s] / 64) < 1
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys(map(str, range(20)), 0.05), {"a": 0.9995, "b": 0.0005}, {"hot": 1.0} | {str(i): 0.01 for i in range(300)}, {"a": 5**0.5, "b": 3**0.5, "c": 0.01}])
+def test_mixing_stays_within_a_block_of_the_target(weights):
+    total = sum(map(Fraction, weights.values()))
+    blocks = {s: int(8000 * Fraction(w) / total) + 1 for s, w in weights.items()}
+    run = mixing.earliest_deadlines(blocks, weights)
+    done = dict.fromkeys(weights, 0)
+    for t, (s, block, phase) in enumerate(run, 1):
+        assert block == done[s]
+        done[s] += 1
+        if t % 97 == 1 and phase == 0:
+            assert all(abs(done[x] - t * Fraction(w) / total) < 1 for x, w in weights.items()), t
+    assert done == blocks
+
+
+def test_mixing_goes_on_in_proportion_when_sources_end():
+    r = random.Random(8)
+    for _ in range(30):
+        weights = {f"s{i}": r.choice([0, 1, r.random()]) for i in range(r.randrange(1, 9))}
+        blocks = {s: r.randrange(60) for s in weights}
+        got = list(mixing.earliest_deadlines(blocks, weights))
+        assert Counter(s for s, _, _ in got) == Counter({s: n for s, n in blocks.items() if n})
+        idle = [weights[s] == 0 for s, _, _ in got]
+        assert idle == sorted(idle)
+        done, v, left = dict.fromkeys(weights, 0), dict.fromkeys(weights, Fraction(0)), Fraction(0)
+        for s, _, _ in got[: idle.count(False)]:
+            done[s] += 1
+            left = Fraction(1)
+            while left:  # the dues grow in proportion until one is whole
+                going = {x: Fraction(weights[x]) for x in weights if weights[x] and v[x] < blocks[x]}
+                rate = sum(going.values())
+                step = min([left] + [(blocks[x] - v[x]) * rate / w for x, w in going.items()])
+                for x, w in going.items():
+                    v[x] += step * w / rate
+                left -= step
+            assert all(abs(done[x] - v[x]) < 1 for x in weights)
+
+
+def test_mixing_takes_many_sources(spark):
+    sources = ["hot"] * 900 + [f"s{i}" for i in range(300)]
+    got = mixing.mix(docs_of(spark, ["t"] * 1200, sources=sources), block_rows=4).toPandas()
+    assert sorted(got.position) == list(range(1200)) and sorted(got.doc_id) == list(range(1200))
+
+
 def test_mixing(spark):
     r = random.Random(4)
     sources = [r.choice(["a"] * 6 + ["b", "b", "c", None]) for _ in range(900)]
