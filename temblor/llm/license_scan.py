@@ -1,7 +1,8 @@
 """Operator 1, licence scans: TF-IDF cosine to templates, then inheritance along paths.
 
-Every line and the whole of each text is a sparse TF-IDF vector over the templates'
-terms; the best cosine to a template decides.  A file without a licence of its own
+Every line, the whole and every window of words about as long as a template, across
+line ends, is a sparse TF-IDF vector over the templates' terms; the best cosine to a
+template decides.  A file without a licence of its own
 takes that of the nearest directory above it that holds a licence file, by joins on
 directory paths.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,63 @@ class Templates:
                 matrix[row, self.vocab[t]] += 1
         matrix *= self.idf
         self.matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        # For windows: a term's part in each product; the last two columns are a word no template has, and a text's end.
+        self.part = np.hstack([self.matrix * self.idf, np.zeros((len(self.names), 2))])
+        self.square = np.concatenate([self.idf**2, [self.unseen**2, np.inf]])
+        self.sizes: dict[int, list[int]] = {}  # template rows by length of window: a template's own and up to a quarter more
+        for row, (name, i) in enumerate(self.names):
+            n = len(terms(templates[name][i]))
+            for size in range(n, n + max(1, n // 4) + 1):
+                self.sizes.setdefault(size, []).append(row)
+
+    CHUNK = 100_000  # words whose windows are scored at a time
+
+    def _best_windows(self, x: np.ndarray, best: np.ndarray, rows: np.ndarray) -> None:
+        """Put the best cosine of the windows from each of the first ``len(best)`` words, and its row, into ``best`` and ``rows``."""
+        unknown = len(self.vocab)
+        sums: dict[int, np.ndarray] = {}
+        norm, again = self.square[x], np.zeros(len(x))  # squared norm of the window from each word; earlier equal words in a window ending there
+        twice = np.where(x < unknown, 2 * self.square[x], 0.0)
+        for size in range(1, min(max(self.sizes), len(x)) + 1):
+            if size > 1:
+                # One word more: (c + 1)**2 - c**2 = 2 c + 1 squares for a known word that the window has c times.
+                d = size - 1
+                same = (x[d:] == x[:-d]) & (x[d:] < unknown)
+                again[d:] += np.where(same, twice[d:], 0.0)
+                norm = norm[:-1] + self.square[x[d:]] + again[d:]
+            if size not in self.sizes:
+                continue
+            root = np.sqrt(norm[: len(best)])
+            for row in self.sizes[size]:
+                if row not in sums:
+                    sums[row] = np.concatenate([[0.0], np.cumsum(self.part[row][x])])
+                cos = (sums[row][size:] - sums[row][:-size])[: len(root)] / root
+                better = np.flatnonzero(cos > best[: len(cos)] + 1e-9)
+                best[better], rows[better] = cos[better], row
+
+    def windows(self, texts: list[list[str]]) -> list[tuple[float, int, int]]:
+        """For each text the highest cosine of a window, its template row and its first word.
+
+        Ties go to the shorter window, then the first template, then the first window; (0.0, -1, -1) if none shares a term.
+        """
+        unknown, end = len(self.vocab), len(self.vocab) + 1
+        get = self.vocab.get
+        flat, starts = array("q"), []
+        for words in texts:
+            starts.append(len(flat))
+            flat.extend([get(w, unknown) for w in words])
+            flat.append(end)
+        x = np.array(flat, np.int64)
+        n, most = len(x), max(self.sizes)
+        best, rows = np.zeros(n), np.full(n, -1)
+        for a in range(0, n, self.CHUNK):
+            self._best_windows(x[a : a + self.CHUNK + most - 1], best[a : a + self.CHUNK], rows[a : a + self.CHUNK])
+        out = []
+        for i, first in enumerate(starts):
+            last = starts[i + 1] if i + 1 < len(starts) else n
+            at = first + int((best[first:last] > best[first:last].max() - 1e-9).argmax())
+            out.append((min(float(best[at]), 1.0), int(rows[at]), at - first if rows[at] >= 0 else -1))
+        return out
 
     def best(self, segments: list[list[str]]) -> tuple[float, int, int]:
         """Highest cosine, its template row and its segment; ties to the first template, then segment.
@@ -99,7 +159,8 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     """Licence of each file, its own or its nearest ancestor directory's.
 
     Returns ``doc_id, path, own_license, score, line, license, via``: ``line`` is the
-    0-based line that matched (-1: the whole text, null: none), ``via`` is ``own``,
+    0-based line that matched or in which the window that matched begins (-1: the
+    whole text or its only line, null: none), ``via`` is ``own``,
     the directory that gave the licence, or null.  A directory's licence is that of
     the licence files in it (names like LICENSE or COPYING) with the highest score,
     ties to the smaller name.  Null and empty texts have no licence of their own; a
@@ -115,18 +176,21 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     def matched(column: pa.Array) -> pa.Array:
         m = shared.value
         names, scores, lines = [], [], []
-        for _, texts in text_runs(column):
-            for text in texts:
+        for _, texts in text_runs(column, 500_000):
+            cut = [[TERM.findall(p) for p in text.lower().split("\n")] if text else [] for text in texts]
+            asked = [i for i, parts in enumerate(cut) if any(w in m.vocab for words in parts for w in words)]
+            whole = [[w for words in cut[i] for w in words] for i in asked]
+            found = dict(zip(asked, zip(whole, m.windows(whole) if whole else [], strict=True), strict=True))
+            for i, parts in enumerate(cut):
                 name, score, line = None, 0.0, None
-                if text:
-                    parts = text.lower().split("\n")
-                    segments = [TERM.findall(p) for p in parts]
-                    if any(w in m.vocab for s in segments for w in s):
-                        if len(parts) > 1:
-                            segments.append([w for s in segments for w in s])
-                        score, row, at = m.best(segments)
-                        if score >= threshold:
-                            name, line = m.names[row][0], at if at < len(parts) and len(parts) > 1 else -1
+                if i in found:
+                    words, (cos, template, first) = found[i]
+                    score, row, at = m.best(parts + [words] if len(parts) > 1 else parts)
+                    if cos > score + 1e-9:
+                        score, row = cos, template
+                        at = next(k for k, upto in enumerate(accumulate(map(len, parts))) if upto > first)
+                    if score >= threshold:
+                        name, line = m.names[row][0], at if at < len(parts) and len(parts) > 1 else -1
                 names.append(name)
                 scores.append(score)
                 lines.append(line)

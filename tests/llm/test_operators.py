@@ -409,6 +409,35 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_windows_equal_counting():
+    r = random.Random(2)
+    model = license_scan.Templates(license_scan.TEMPLATES, {"the": 40, "license": 9, "under": 12}, 90)
+    pool = [*model.vocab, "foo", "bar", "baz", "the", "the", "license"]
+    texts = [[r.choice(pool) for _ in range(r.randrange(1, 60))] for _ in range(12)] + [["foo"], ["mit"] * 40]
+    model.CHUNK = 50
+    for words, (cos, row, first) in zip(texts, model.windows(texts), strict=True):
+        parts = [(words[i : i + n], rows) for n, rows in model.sizes.items() for i in range(len(words) - n + 1)]
+        want = 0.0
+        for part, rows in parts:
+            tf = Counter(part)
+            norm = math.sqrt(sum((c * model.idf[model.vocab[w]]) ** 2 if w in model.vocab else c * model.unseen**2 for w, c in tf.items()))
+            want = max([want] + [sum(c * model.part[x, model.vocab[w]] for w, c in tf.items() if w in model.vocab) / norm for x in rows])
+        assert abs(cos - want) < 1e-8 and (row >= 0) == (first >= 0) == (want > 0)
+
+
+def test_license_scan_inside_other_words(spark):
+    prose = "many other words of a long paragraph stand here and there "
+    texts = [
+        "Copyright 2020 Foo Inc. Licensed under CC BY 4.0. All rights reserved.",
+        prose * 30 + "Released under the MIT License. " + prose * 30,
+        "A title\n" + prose + "This work is licensed under the GNU\nGeneral Public License,\nversion 3. " + prose,
+        prose * 50,
+    ]
+    df = docs_of(spark, texts).select("doc_id", F.concat(F.col("doc_id"), F.lit("/f")).alias("path"), "text")
+    got = {r.doc_id: (r.own_license, r.line) for r in license_scan.scan(df).collect()}
+    assert got == {0: ("CC-BY-4.0", -1), 1: ("MIT", -1), 2: ("GPL-3.0", 1), 3: (None, None)}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     vecs = [[float(x) for x in np.round(r.normal(size=6), 1)] for _ in range(120)] + [[0.5] * 6] * 30 + [None, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf")] * 6, [1.0, 2.0], [3.0, 4.0], []]
