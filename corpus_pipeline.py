@@ -14,16 +14,15 @@ from pyspark.sql.window import Window
 from temblor.llm import common, exact_dedup, jaccard_join, language_id, mixing, sentencepiece_viterbi
 from temblor.llm.queries import TOKENIZER
 
-#: A document stays if spans of one language hold at least this share of its letters.
-MIN_SCORE = 0.5
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a letter, or without a main language, go."""
+    """Language ID: texts without a letter go; mixed texts stay, and all if no row has a label to learn from."""
     model = language_id.fit(docs)
+    if not model.langs:
+        return docs
     name = "_language"
     found = docs.withColumn(name, language_id.language_column(docs, F.col("text"), model))
-    return found.filter((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= MIN_SCORE)).drop(name)
+    return found.filter(F.col(f"{name}.score") > 0).drop(name)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,11 +96,15 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
 
     Rows without an id can't be addressed by a decision and stay.
     """
-    marks = materialize(exact_dedup(docs, text_col, id_col, **params).filter("not kept").select("doc_id", "repeated"), "dropped")
-    gone = marks.filter("not repeated").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = marks.filter("repeated and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    marks = exact_dedup(docs, text_col, id_col, **params).filter("not kept and doc_id is not null")
+    # An id may stand for several texts, so copies are told by id and digest.
+    marks = materialize(marks.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"), "repeated"), "dropped")
+    gone = marks.filter("not repeated").select("_gone", "_gone_sha").distinct()
+    twice = marks.filter("repeated").select("_gone", "_gone_sha").distinct()
+    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    same = (F.col(id_col) == F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha"))
+    rest = keyed.join(gone, same, "left_anti")
     if twice.isEmpty():
-        return rest
-    single = rest.join(twice, rest[id_col] == twice["_gone"], "left_semi").dropDuplicates([id_col, text_col])
-    return rest.join(twice, rest[id_col] == twice["_gone"], "left_anti").unionByName(single)
+        return rest.drop("_sha")
+    single = rest.join(twice, same, "left_semi").dropDuplicates([id_col, "_sha"])
+    return rest.join(twice, same, "left_anti").unionByName(single).drop("_sha")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from temblor.llm import common, mixing, sentencepiece_viterbi
 from tests.llm.test_operators import brute_components, words
@@ -64,3 +66,22 @@ def test_pipeline_returns_the_place_in_the_mix(spark, tmp_path):
         if done["b"] == size["b"]:
             break
         assert all(abs(done[s] - n * weight[s]) < 2 * 64 for s in "ab")  # a whole block and the one being read
+
+
+def test_clean_documents_stay(spark, tmp_path):
+    r = random.Random(4)
+    make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(2)) for _ in range(n))
+    parts = {"aa": ["tha", "ing", "er"], "bb": ["ich", "und", "sch"], "cc": ["ola", "que", "dos"]}
+    rows = [(make(parts[k], 30), k) for k in parts for _ in range(20)]
+    rows += [(make(parts["aa"], 40) + " " + make(parts["bb"], 30) + " " + make(parts["cc"], 30), None), ("12 3", None)]
+    docs = spark.createDataFrame([(i, t, k, "s", 0) for i, (t, k) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(x.doc_id for x in corpus_pipeline.identified(spark, docs, str(tmp_path)).collect())
+    assert got == list(range(len(rows) - 1))
+    assert corpus_pipeline.identified(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == len(rows)
+
+
+def test_copies_go_by_id_and_text(spark, tmp_path):
+    rows = [(5, "A"), (9, "A"), (5, "B"), (7, "C"), (7, "C"), (7, "D"), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.deduplicated(spark, docs, str(tmp_path))
+    assert sorted((x.doc_id, x.text or "") for x in kept.collect()) == [(5, "B"), (7, "C"), (7, "D"), (8, ""), (9, "A")] and kept.columns == docs.columns
