@@ -153,19 +153,33 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("wide", [2048, 1])
-def test_suffix_dedup(spark, wide):
+@pytest.mark.parametrize("budget", [1_000_000, 500, 1])
+def test_suffix_dedup(spark, budget):
     r = random.Random(5)
     passage = words(r, 30)
     texts = ODD + [words(r, 20) + passage + words(r, 20) for _ in range(8)] + ["abc" * 100, passage * 3, words(r, 60), words(r, 60)]
     texts += [texts[-1], texts[-1] + "!"]
-    got = {x.doc_id: x for x in suffix_dedup.remove_repeats(docs_of(spark, texts), length=60, q=16, bucket_contexts=wide).collect()}
+    got = {x.doc_id: x for x in suffix_dedup.remove_repeats(docs_of(spark, texts), length=60, q=16, budget=budget).collect()}
     for i, (n, spans, sha) in enumerate(brute_repeats(texts, 60)):
         assert (got[i].n_bytes, [tuple(s) for s in got[i].removed], got[i].kept_sha256) == (n, spans, sha), i
         assert hashlib.sha256(suffix_dedup.cut_bytes((texts[i] or "").encode(), spans)).hexdigest() == sha
     assert suffix_dedup.remove_repeats(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_at_full_length(spark):
+    """400 bytes; one bucket has more than 2048 contexts, as a passage stands between other words every time."""
+    r = random.Random(8)
+    passage = words(r, 90)  # over 400 bytes
+    texts = [words(r, 8) + " " + passage + " " + words(r, 8) for _ in range(2100)] + [words(r, 200) for _ in range(5)]
+    texts += [texts[3], None, "", texts[2104] + texts[2104]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[2101]), (None, texts[0]), (None, "ab" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = Counter((i, n, tuple(spans), sha) for (i, _), (n, spans, sha) in zip(rows, brute_repeats([t for _, t in rows], 400)))
+    for budget in (1_000_000, 100_000):
+        got = suffix_dedup.remove_repeats(docs, budget=budget).collect()
+        assert Counter((x.doc_id, x.n_bytes, tuple(tuple(s) for s in x.removed), x.kept_sha256) for x in got) == want
+
+
 def test_refinement_equals_counting():
     r = np.random.default_rng(2)
     parts = [r.integers(97, 99, n).astype(np.uint8) for n in (40, 55, 70)]
