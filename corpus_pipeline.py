@@ -48,7 +48,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``docs`` is a written table.  Readers take its files in any order, so ``position``,
     gapless from 0, follows the numbers of the part files and the rows in them.
     """
-    vocab = sentencepiece_viterbi.read_vocabulary(TOKENIZER)
+    vocab = sentencepiece_viterbi.read_vocabulary(TOKENIZER, scores="zipf")
     file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
     sizes = docs.groupBy(file.alias("file")).agg((F.max(row) + 1).alias("n"))
     part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")

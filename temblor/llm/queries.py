@@ -39,11 +39,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes every text, decodes the ids again, and tells whether the text came back."""
+    """Encodes every text, decodes the ids again, and tells whether the text came back.
+
+    The installed file is of a BPE model, whose scores are only ranks: the logarithm of
+    1/(rank + 1) takes their place, and the ids are the best path under these.
+    """
     docs = _table(spark, sf_dir, "documents")
-    vocab = sentencepiece_viterbi.read_vocabulary(TOKENIZER)
-    ids = sentencepiece_viterbi.encode_column(docs, F.col("text"), vocab)
-    out = docs.select("doc_id", sentencepiece_viterbi.checked_column(docs, ids, F.col("text"), vocab).alias("c"))
+    vocab = sentencepiece_viterbi.read_vocabulary(TOKENIZER, scores="zipf")
+    out = docs.select("doc_id", sentencepiece_viterbi.checked_column(docs, F.col("text"), vocab).alias("c"))
     return out.select("doc_id", F.col("c.n").alias("n_pieces"), F.col("c.sha256").alias("ids_sha256"), F.col("c.same").alias("round_trip"))
 
 

@@ -1,9 +1,11 @@
 """Operator 5, SentencePiece encoding and decoding by streaming Viterbi.
 
-The encoder keeps a window of scores and backpointers.  A later piece can start no
-further back than the longest piece, so when the backpointer paths of all positions
-in that window meet in one boundary, everything before it is final and its ids are
-emitted; memory is bounded by the window, not by the text.
+Texts are streams of characters, and many streams advance together, one character a
+step.  A stream keeps only its open starts (those from which a piece may still be
+growing, never more than the longest piece has characters), each with its trie node
+and score, and a window of backpointers.  When the backpointer paths of all open
+starts meet in one boundary, everything before it is final: its ids are committed and
+leave the window, so memory is bounded by the window, not by the text.
 """
 
 from __future__ import annotations
@@ -11,9 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, deque
 from dataclasses import dataclass, field
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +23,74 @@ from pyspark.sql import functions as F
 from temblor.llm.common import text_runs
 
 MARK = "▁"
-MEMO = 500_000
-MEMO_CHARS = 48
-
+MARK_CODE, BLANK_CODE = ord(MARK), ord(" ")
+OWN_MARK = 0x110000  # stands for a mark that the text itself has, beyond all characters
 
 #: Scores are whole numbers of 2**-20, so sums are exact and ties don't depend on the order of addition.
 UNIT = 1 << 20
 NONE = -(1 << 62)
 
 
+class Trie:
+    """The pieces' trie as arrays: node 0 is the root, steps by character code."""
+
+    def __init__(self, pieces: dict[str, tuple[int, int]]):
+        chars = sorted({c for p in pieces for c in p})
+        code = {c: i for i, c in enumerate(chars)}
+        self.unknown = len(chars)
+        self.codes = np.full(OWN_MARK + 1, len(chars), np.int32)  # of each character; ``unknown`` for those that no piece has
+        self.codes[[ord(c) for c in chars]] = np.arange(len(chars))
+        nodes: dict[tuple[int, int], int] = {}
+        ids, scores, own = [-1], [0], {}
+        for piece, (i, s) in pieces.items():
+            node = 0
+            for c in piece:
+                key = (node, code[c])
+                if key not in nodes:
+                    nodes[key] = len(ids)
+                    ids.append(-1)
+                    scores.append(0)
+                node = nodes[key]
+            ids[node], scores[node] = i, s
+            own[piece] = node
+        self.ids = np.array(ids, np.int32)
+        self.scores = np.array(scores, np.int64)
+        self.longest = max(map(len, pieces), default=1)
+        parents = sorted({node for node, _ in nodes})
+        self.inner = np.full(len(ids), -1, np.int32)
+        self.inner[parents] = np.arange(len(parents))
+        # Steps by the codes that most nodes have are looked up in a table, the others by search.
+        uses = np.bincount([c for _, c in nodes], minlength=self.unknown + 1)
+        common = np.argsort(-uses, kind="stable")[:127]
+        self.column = np.full(self.unknown + 1, 127, np.int16)
+        self.column[common] = np.arange(len(common))
+        self.column[self.unknown] = 127
+        self.table = np.full((len(parents), 128), -1, np.int32)
+        rare = []
+        for (node, c), to in nodes.items():
+            if self.column[c] < 127:
+                self.table[self.inner[node], self.column[c]] = to
+            else:
+                rare.append((node * (self.unknown + 1) + c, to))
+        rare.sort()
+        self.keys = np.array([k for k, _ in rare], np.int64)
+        self.to = np.array([to for _, to in rare], np.int32)
+        self.alone = np.zeros(self.unknown + 1, bool)  # characters that are a piece
+        for c, i in code.items():
+            self.alone[i] = c in own
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Child of each node that has children by a code, -1 if there is none."""
+        column = self.column[code]
+        out = self.table[self.inner[node], column]
+        odd = np.flatnonzero(column == 127)
+        if len(odd) and len(self.keys):
+            key = node[odd] * np.int64(self.unknown + 1) + code[odd]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[odd] = np.where(self.keys[at] == key, self.to[at], -1)
+        return out
+
+
 @dataclass
 class Vocabulary:
     """Pieces with scores, ids by place, and the 256 byte pieces that spell what no piece covers."""
@@ -40,66 +99,20 @@ class Vocabulary:
     scores: list[float]
     byte_ids: list[int]
     specials: frozenset[int] = frozenset()
-    trie: dict = field(init=False)
+    trie: Trie = field(init=False)
     byte_score: int = field(init=False)
     cut: bool = field(init=False)
 
     def __post_init__(self):
         skip = self.specials | set(self.byte_ids)
-        ids = {p: i for i, p in enumerate(self.pieces) if i not in skip and p}
-        units = {p: round(self.scores[i] * UNIT) for p, i in ids.items()}
-        self.byte_score = min(units.values(), default=0) - 10 * UNIT
+        units = {p: (i, round(self.scores[i] * UNIT)) for i, p in enumerate(self.pieces) if i not in skip and p}
+        self.byte_score = min((s for _, s in units.values()), default=0) - 10 * UNIT
         # Without a piece that has a mark behind another character, every path has a boundary before such a mark.
-        self.cut = not any(re.search(f"[^{MARK}]{MARK}", p) for p in ids)
-        # A node maps a character to (node, id or -1, score).
-        self.trie = {}
-        for piece in sorted(ids, key=len):  # prefixes first
-            node = self.trie
-            for c in piece[:-1]:
-                if c not in node:
-                    node[c] = ({}, -1, 0)
-                node = node[c][0]
-            node[piece[-1]] = (node.get(piece[-1], ({},))[0], ids[piece], units[piece])
-
-    def spelled(self, c: str) -> tuple[int, ...]:
-        """Byte pieces of a character."""
-        return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
-
-    def arrays(self) -> SimpleNamespace:
-        """The trie as arrays: sorted (node * width + character code) keys with the node they lead to."""
-        if "_arrays" not in self.__dict__:
-            chars = sorted({c for p in self.pieces for c in p})
-            width = len(chars) + 1
-            code = {c: i for i, c in enumerate(chars)}
-            keys, to, ids, scores = [], [], [-1], [0]
-            queue = deque([(0, self.trie)])
-            while queue:
-                at, node = queue.popleft()
-                for c, (child, i, s) in node.items():
-                    keys.append(at * width + code[c])
-                    to.append(len(ids))
-                    queue.append((len(ids), child))
-                    ids.append(i)
-                    scores.append(s)
-            order = np.argsort(keys)
-            # Steps on the 255 most common characters are looked up in a table of the nodes that have children.
-            uses = Counter(c for p in self.pieces for c in set(p))
-            common = {c: i for i, (c, _) in enumerate(uses.most_common(255))}
-            inner = np.full(len(ids), -1, np.int64)
-            parents = np.unique(np.array(keys, np.int64) // width)
-            inner[parents] = np.arange(len(parents))
-            table = np.full((len(parents), 256), -1, np.int32)
-            for key, node in zip(keys, to, strict=True):
-                c = chars[key % width]
-                if c in common:
-                    table[inner[key // width], common[c]] = node
-            column = np.array([common.get(c, 255) for c in chars] + [255])
-            alone = np.array([self.trie.get(c, (None, -1))[1] >= 0 for c in chars] + [False])
-            self._arrays = SimpleNamespace(chars=np.array([ord(c) for c in chars], np.uint32), width=width, keys=np.array(keys, np.int64)[order], to=np.array(to, np.int64)[order], ids=np.array(ids, np.int32), scores=np.array(scores, np.int64), alone=alone, inner=inner, table=table, column=column, longest=max(map(len, self.pieces)))
-        return self._arrays
-
-
-def read_vocabulary(path: str, scores: str = "zipf") -> Vocabulary:
+        self.cut = not any(re.search(f"[^{MARK}]{MARK}", p) for p in units)
+        self.trie = Trie(units)
+
+
+def read_vocabulary(path: str, scores: str = "file") -> Vocabulary:
     """Vocabulary of a SentencePiece model file.
 
     ``scores='file'`` takes the scores as they stand; ``'zipf'`` takes the logarithm
@@ -120,237 +133,172 @@ def read_vocabulary(path: str, scores: str = "zipf") -> Vocabulary:
     return Vocabulary(pieces, values, [i for _, i in bytes_], special)
 
 
-class StreamingEncoder:
-    """Viterbi over a stream of characters; ``feed`` returns the ids that became final.
-
-    ``open`` has the positions at which a piece may still be growing, each with its
-    trie node; there are never more than the longest piece has characters.  All paths
-    that can survive pass through one of them.
-    """
-
-    def __init__(self, vocab: Vocabulary):
-        self.v = vocab
-        self._reset()
-
-    def _reset(self) -> None:
-        self.score = [0]
-        self.back: list[tuple[int, tuple[int, ...]]] = [(-1, ())]
-        self.open = [(0, self.v.trie)]
-
-    def feed(self, chars: str) -> list[int]:
-        out: list[int] = []
-        root = self.v.trie
-        for c in chars:
-            score, best, from_, what, still = self.score, NONE, -1, (), []
-            for start, node in self.open:
-                hit = node.get(c)
-                if hit is not None:
-                    node, i, s = hit
-                    if i >= 0 and score[start] + s > best:
-                        best, from_, what = score[start] + s, start, (i,)
-                    if node:
-                        still.append((start, node))
-            end = len(score)
-            if root.get(c, (None, -1))[1] < 0:
-                spelled = self.v.spelled(c)
-                if (s := score[-1] + len(spelled) * self.v.byte_score) > best:
-                    best, from_, what = s, end - 1, spelled
-            score.append(best)
-            self.back.append((from_, what))
-            still.append((end, root))
-            self.open = still
-            if len(score) > 64 or len(still) == 1:
-                out += self._commit()
-        return out
-
-    def _commit(self) -> list[int]:
-        """Emit what all surviving paths share: follow them back until one boundary is left."""
-        alive = {start for start, _ in self.open}
-        while len(alive) > 1:
-            last = max(alive)
-            alive.discard(last)
-            alive.add(self.back[last][0])
-        to = alive.pop()
-        if to <= 0:
-            return []
-        out = self._trace(to)
-        base = self.score[to]
-        self.score = [s - base for s in self.score[to:]]
-        self.back = [(-1, ()), *((f - to, w) for f, w in self.back[to + 1 :])]
-        self.open = [(start - to, node) for start, node in self.open]
-        return out
-
-    def _trace(self, to: int) -> list[int]:
-        out: list[tuple[int, ...]] = []
-        while to > 0:
-            to, what = self.back[to]
-            out.append(what)
-        return [i for what in reversed(out) for i in what]
+def byte_length(cp: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of each character."""
+    return 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + ((cp > 0xFFFF) & (cp != OWN_MARK))
 
-    def finish(self) -> list[int]:
-        out = self._trace(len(self.score) - 1)
-        self._reset()
-        return out
 
+class Streams:
+    """Viterbi over many streams of characters at once.
 
-def best_path(v: Vocabulary, text: str) -> list[int]:
-    """Ids of a whole short segment: the same recursion and ties, without commits in between."""
-    root, n = v.trie, len(text)
-    score, back, what = [0] + [NONE] * n, [0] * (n + 1), [None] * (n + 1)
-    for start in range(n):
-        base, node, end = score[start], root, start
-        for c in text[start:]:
-            hit = node.get(c)
-            if hit is None:
-                break
-            node, i, s = hit
-            end += 1
-            if i >= 0 and base + s > score[end]:
-                score[end], back[end], what[end] = base + s, start, i
-        c = text[start]
-        if root.get(c, (None, -1))[1] < 0:
-            spelled = v.spelled(c)
-            if (s := base + len(spelled) * v.byte_score) > score[start + 1]:
-                score[start + 1], back[start + 1], what[start + 1] = s, start, spelled
-    out: list[int] = []
-    while n:
-        w = what[n]
-        if isinstance(w, tuple):
-            out.extend(reversed(w))
-        else:
-            out.append(w)
-        n = back[n]
-    return out[::-1]
-
-
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
-
-
-def best_paths(v: Vocabulary, segments: list[str]) -> list[bytes]:
-    """:func:`best_path` of many segments at once, packed: all advance together, longest first."""
-    t = v.arrays()
-    order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
-    words = [segments[i] for i in order]
-    size = np.array([len(w) for w in words])
-    cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.minimum(np.searchsorted(t.chars, cp), len(t.chars) - 1)
-    code = np.where(t.chars[code] == cp, code, t.width - 1)
-    base = np.cumsum(size) - size
-    n_bytes = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
-    n, most = len(words), int(size[0])
-    score = np.full((n, most + 1), NONE, np.int64)
-    score[:, 0] = 0
-    back = np.zeros((n, most + 1), np.int16)
-    what = np.full((n, most + 1), -1, np.int32)  # -1: spelled in bytes
-
-    def step(state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Child of each node by a character code, -1 if there is none."""
-        inner, column = t.inner[state], t.column[c]
-        out = np.where(inner >= 0, t.table[inner, column], -1)
-        odd = np.flatnonzero(column == 255)
-        if len(odd):
-            key = state[odd] * t.width + c[odd]
-            at = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
-            out[odd] = np.where(t.keys[at] == key, t.to[at], -1)
-        return out
+    ``first`` and ``size`` tell where each stream lies in ``cp``.  ``run`` returns the
+    ids of all streams, in their order, and how many each has; the ids of a spelled
+    character are ``-1 - character`` until :func:`spelled_out`.
+    """
 
-    for start in range(most):
-        m = int(np.searchsorted(-size, -start, "left"))  # words longer than start
-        rows, state, begin = np.arange(m), np.zeros(m, np.int64), score[:m, start].copy()
-        for long in range(1, min(t.longest, most - start) + 1):
-            if long > 1:
-                m = int(np.searchsorted(-size, -(start + long - 1), "left"))
-                fit = rows < m
-                rows, state = rows[fit], state[fit]
-            c = code[base[rows] + start + long - 1]
-            state = step(state, c)
-            ok = state >= 0
-            rows, state = rows[ok], state[ok]
-            if not len(rows):
-                break
-            some = t.ids[state] >= 0
-            r, s = rows[some], state[some]
-            total = begin[r] + t.scores[s]
-            better = total > score[r, start + long]
-            r, s = r[better], s[better]
-            score[r, start + long], back[r, start + long], what[r, start + long] = total[better], long, t.ids[s]
-        r = np.flatnonzero(~t.alone[code[base[: len(begin)] + start]])
-        total = begin[r] + n_bytes[base[r] + start] * v.byte_score
-        better = total > score[r, start + 1]
-        r = r[better]
-        score[r, start + 1], back[r, start + 1], what[r, start + 1] = total[better], 1, -1
-    place, steps = size.copy(), []
-    plain = np.ones(n, bool)
-    letter = np.array(v.byte_ids, np.int32)
-    rows = np.arange(n)
-    while len(rows):
-        at = place[rows]
-        ids = what[rows, at]
-        spelled = np.flatnonzero(ids < 0)
-        c = cp[base[rows[spelled]] + at[spelled] - 1]
-        ids[spelled] = letter[np.minimum(c, 127)]
-        plain[rows[spelled[c > 127]]] = False
-        steps.append((rows, ids))
-        place[rows] -= back[rows, at]
-        rows = rows[place[rows] > 0]
-    count = np.zeros(n, np.int64)
-    for rows, _ in steps:
-        count[rows] += 1
-    ends = np.cumsum(count)
-    flat = np.zeros(int(ends[-1]), "<i4")
-    for k, (rows, ids) in enumerate(steps):
-        flat[ends[rows] - 1 - k] = ids
-    buffer, out = flat.tobytes(), [b""] * n
-    for i, a, b, ok in zip(order, (4 * (ends - count)).tolist(), (4 * ends).tolist(), plain.tolist(), strict=True):
-        out[i] = buffer[a:b] if ok else packed(best_path(v, segments[i]))
-    return out
-
-
-SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
-
-def encode_run(v: Vocabulary, texts: list[str | None], memo: dict) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers; none for null and empty texts.
+    def __init__(self, v: Vocabulary, cp: np.ndarray, first: np.ndarray, size: np.ndarray, stride: int = 64):
+        self.v, self.cp = v, cp
+        self.order = np.argsort(-size, kind="stable")  # longest first, so that the running ones are a prefix
+        self.first, self.size = first[self.order], size[self.order]
+        self.window = 2 * stride
+        n = len(size)
+        self.back = np.zeros((self.window, n), np.int32)  # characters of the last piece before a boundary
+        self.what = np.zeros((self.window, n), np.int32)
+        self.fixed = np.zeros(n, np.int64)  # ids before this boundary are committed
+        self.meet = np.zeros(n, np.int64)  # a boundary in which all paths meet
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        t, cp, first, size = self.v.trie, self.cp, self.first, self.size
+        code = t.codes[cp]
+        n = len(size)
+        # Running streams at each step; the open starts of all of them, oldest first.
+        running = n - np.searchsorted(size[::-1], np.arange(size[0] if n else 0), "right")
+        score = np.zeros(n, np.int64)
+        node, lane, since, base = np.zeros(n, np.int32), np.arange(n, dtype=np.int32), np.zeros(n, np.int32), score
+        for at, m in enumerate(running):
+            if m < len(score):
+                self.meet[m : len(score)] = size[m : len(score)]  # ended streams
+                on = lane < m
+                node, lane, since, base, score = node[on], lane[on], since[on], base[on], score[:m]
+            here = first[:m] + at
+            c = code[here]
+            node = t.step(node, c[lane])
+            ok = np.flatnonzero(node >= 0)
+            node, lane, since, base = node[ok], lane[ok], since[ok], base[ok]
+            piece = t.ids[node]
+            hit = np.flatnonzero(piece >= 0)
+            into, total = lane[hit], base[hit] + t.scores[node[hit]]
+            best = np.full(m, NONE)
+            np.maximum.at(best, into, total)
+            # Of equal scores the longest piece counts: the earliest start is assigned last.
+            won = hit[total == best[into]][::-1]
+            row = at % self.window
+            back, what = self.back[row], self.what[row]
+            back[lane[won]] = at + 1 - since[won]
+            what[lane[won]] = piece[won]
+            spelled = np.flatnonzero(~t.alone[c])
+            if len(spelled):
+                char = cp[here[spelled]]
+                s = score[spelled] + byte_length(char) * self.v.byte_score
+                better = s > best[spelled]
+                spelled, char = spelled[better], char[better]
+                best[spelled], back[spelled], what[spelled] = s[better], 1, -1 - char.astype(np.int64)
+            score = best
+            grows = np.flatnonzero(t.inner[node] >= 0)
+            node, lane, since, base = node[grows], lane[grows], since[grows], base[grows]
+            node = np.concatenate([node, np.zeros(m, np.int32)])
+            lane = np.concatenate([lane, np.arange(m, dtype=np.int32)])
+            since = np.concatenate([since, np.full(m, at + 1, np.int32)])
+            base = np.concatenate([base, score])
+            if (at + 1) % (self.window // 2) == 0:
+                self._find_meetings(lane, since, at + 1)
+                self._commit()
+                if (at + 1 - self.fixed[:m]).max() > self.window // 2:
+                    self._widen(at + 1, int(m))
+        self.meet[: len(score)] = size[: len(score)]
+        self._commit()
+        own = np.concatenate([x for x, _ in self.out]) if self.out else np.zeros(0, np.int64)
+        ids = np.concatenate([x for _, x in self.out]) if self.out else np.zeros(0, np.int32)
+        own = self.order[own]
+        return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=n)
+
+    def _find_meetings(self, lane: np.ndarray, since: np.ndarray, at: int) -> None:
+        """Follow the paths of all open starts back until those of a stream meet in one boundary."""
+        place = since.copy()
+        lowest = np.full(int(lane[-1]) + 1, at, np.int32)  # every running stream has its newest start, in order, at the end
+        np.minimum.at(lowest, lane, place)
+        far = np.flatnonzero(place > lowest[lane])
+        while len(far):
+            place[far] -= self.back[(place[far] - 1) % self.window, lane[far]]
+            np.minimum.at(lowest, lane[far], place[far])
+            far = np.flatnonzero(place > lowest[lane])
+        self.meet[: len(lowest)] = lowest
+
+    def _commit(self) -> None:
+        """Emit the ids between what is committed and where all paths meet, following the backpointers."""
+        lanes = np.flatnonzero(self.meet > self.fixed)
+        at, steps = self.meet[lanes], []
+        while len(lanes):
+            row = (at - 1) % self.window
+            steps.append((lanes, self.what[row, lanes]))
+            at = at - self.back[row, lanes]
+            on = at > self.fixed[lanes]
+            lanes, at = lanes[on], at[on]
+        self.out.extend(reversed(steps))
+        self.fixed[:] = self.meet
+
+    def _widen(self, at: int, running: int) -> None:
+        """Twice the window for the running streams, as the paths of one don't meet in it."""
+        rows = np.arange(at - self.window, at)
+        for name in ("back", "what"):
+            old = getattr(self, name)
+            new = np.zeros((2 * self.window, running), old.dtype)
+            new[rows % len(new)] = old[rows % self.window, :running]
+            setattr(self, name, new)
+        self.window *= 2
+
+
+def spelled_out(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Replace characters to be spelled by their byte pieces, and count these."""
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return ids, counts
+    cp = -1 - ids[odd].astype(np.int64)
+    cp[cp == OWN_MARK] = MARK_CODE
+    length = np.ones(len(ids), np.int64)
+    length[odd] = byte_length(cp)
+    letters = np.frombuffer(cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    out = np.repeat(ids, length)
+    out[out < 0] = np.array(v.byte_ids, np.int32)[letters]
+    ends = np.cumsum(counts)
+    before = np.concatenate([[0], np.cumsum(length)])
+    return out, before[ends] - before[ends - counts]
+
+
+LANE = 512
+
+
+def encode_run(v: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts, one after the other, and how many each has; none for null and empty texts.
 
     A mark is put before a text and blanks become marks.  A mark that stands in the
     text itself is spelled in bytes, so decoding gives the text back exactly.  Where
-    the vocabulary allows, segments are encoded apart (every path has a boundary
-    between them), new short ones all at once, and remembered; long ones are streamed.
+    the vocabulary has no piece across the beginning of a word, all paths meet there,
+    and a long text is dealt into several streams at such places.
     """
-
-    def stream(segment: str) -> bytes:
-        machine = StreamingEncoder(v)
-        return packed(machine.feed(segment) + machine.finish())
-
-    split: list[list] = []
-    memo.setdefault(None, packed(list(v.spelled(MARK))))
-    for text in texts:
-        if not text:
-            split.append([])
-        elif v.cut and MARK not in text and "  " not in text and text[0] != " ":
-            split.append(text.split(" "))  # each word stands for itself with a mark before it
-        else:
-            parts: list = []
-            for n, stretch in enumerate(text.split(MARK)):
-                marked = stretch.replace(" ", MARK) if n else MARK + stretch.replace(" ", MARK)
-                parts += [None] if n else []  # a mark of the text itself
-                parts += [(x,) for x in (SEGMENT.findall(marked) if v.cut else [marked])]
-            split.append(parts)
-    new = {x for parts in split for x in set(parts).difference(memo)}
-    whole = {x: x[0] if isinstance(x, tuple) else MARK + x for x in new}
-    short = [x for x in new if len(whole[x]) <= MEMO_CHARS]
-    if short:
-        memo.update(zip(short, best_paths(v, [whole[x] for x in short]), strict=True))
-    long = {x: stream(whole[x]) for x in new if len(whole[x]) > MEMO_CHARS}
-    if long:
-        return [b"".join([memo[x] if x in memo else long[x] for x in parts]) for parts in split]
-    return [b"".join(map(memo.__getitem__, parts)) for parts in split]
-
-
-def encode(v: Vocabulary, text: str, memo: dict | None = None) -> list[int]:
+    raw = "".join([f" {t}" for t in texts if t]).encode("utf-32-le", "surrogatepass")
+    cp = np.frombuffer(raw, np.uint32).copy()
+    own, blank = cp == MARK_CODE, cp == BLANK_CODE
+    cp[blank], cp[own] = MARK_CODE, OWN_MARK
+    size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    first = start[size > 0]
+    if v.cut and len(cp):
+        begins = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+        n = size // LANE
+        grid = np.repeat(start, n) + LANE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
+        at = np.searchsorted(begins, grid)
+        first = np.union1d(first, begins[at[at < len(begins)]])
+    lanes = np.diff(np.append(first, len(cp)))
+    ids, counts = spelled_out(v, *Streams(v, cp, first, lanes).run())
+    text = np.searchsorted(start, first, "right") - 1
+    return ids, np.bincount(text, counts, len(texts)).astype(np.int64) if len(first) else np.zeros(len(texts), np.int64)
+
+
+def encode(v: Vocabulary, text: str | None) -> list[int]:
     """Ids of a text as a list."""
-    return np.frombuffer(encode_run(v, [text], {} if memo is None else memo)[0], "<i4").tolist()
+    return encode_run(v, [text])[0].tolist()
 
 
 def spellings(v: Vocabulary) -> list[bytes]:
@@ -369,20 +317,15 @@ def decode(table: list[bytes], ids) -> str:
 
 
 def encode_column(docs: DataFrame, text: Column, vocab: Vocabulary) -> Column:
-    """Column ``array<int>`` of the ids of a text column; null texts have no ids."""
+    """Column ``array<int>`` of the ids of a text column; null and empty texts have an empty list."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary
 
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
-        v = shared.value
-        memo = v.__dict__.setdefault("memo", {})
-        got = []
-        for _, texts in text_runs(column):
-            if len(memo) > MEMO:
-                memo.clear()
-            got += encode_run(v, texts, memo)
-        offsets = np.cumsum([0, *(len(g) // 4 for g in got)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4"), pa.int32()))
+        got = [encode_run(shared.value, texts) for _, texts in text_runs(column)]
+        counts = np.concatenate([np.zeros(1, np.int64), *(c for _, c in got)])
+        flat = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in got)])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat, pa.int32()))
 
     return encoded(text)
 
@@ -402,25 +345,27 @@ def decode_column(docs: DataFrame, ids: Column, vocab: Vocabulary) -> Column:
     return decoded(ids)
 
 
-def checked_column(docs: DataFrame, ids: Column, text: Column, vocab: Vocabulary) -> Column:
-    """``struct<n, sha256, same>``: number of ids, digest of the ids as little-endian
-    32-bit numbers, and whether they decode to the text (null counts as empty)."""
-    shared = docs.sparkSession.sparkContext.broadcast(spellings(vocab))
+def checked_column(docs: DataFrame, text: Column, vocab: Vocabulary) -> Column:
+    """``struct<n, sha256, same>``: number of ids of a text, digest of the ids as little-endian
+    32-bit numbers, and whether they decode to the text (null counts as empty).  The ids
+    themselves stay in the task."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, spellings(vocab)))
 
     @F.arrow_udf("struct<n:bigint,sha256:string,same:boolean>")
-    def checked(column: pa.Array, texts: pa.Array) -> pa.Array:
-        table = shared.value
-        offsets = column.offsets.to_numpy()
-        flat = np.ascontiguousarray(column.values.to_numpy(zero_copy_only=False), "<i4")
-        shas, same = [], []
-        for first, run in text_runs(texts):
-            for i, t in enumerate(run, first):
-                own = flat[offsets[i] : offsets[i + 1]]
+    def checked(column: pa.Array) -> pa.Array:
+        v, table = shared.value
+        sizes, shas, same = [], [], []
+        for _, texts in text_runs(column):
+            ids, counts = encode_run(v, texts)
+            ids = ids.astype("<i4")
+            for text, n, end in zip(texts, counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+                own = ids[end - n : end]
+                sizes.append(n)
                 shas.append(hashlib.sha256(own.tobytes()).hexdigest())
-                same.append(decode(table, own.tolist()) == (t or ""))
-        return pa.StructArray.from_arrays([pa.array(np.diff(offsets), pa.int64()), pa.array(shas, pa.string()), pa.array(same, pa.bool_())], ["n", "sha256", "same"])
+                same.append(decode(table, own.tolist()) == (text or ""))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(same, pa.bool_())], ["n", "sha256", "same"])
 
-    return checked(ids, text)
+    return checked(text)
 
 
 def encode_texts(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -325,13 +325,26 @@ def test_sentencepiece_is_optimal_and_reversible(vocab):
             marked = "▁" + text.replace(" ", "▁")
             got = sum(vocab.byte_score if i in special else round(vocab.scores[i] * sentencepiece_viterbi.UNIT) for i in ids)
             assert got == brute_score(vocab, marked)
-            stream, out, at = sentencepiece_viterbi.StreamingEncoder(vocab), [], 0
-            while at < len(marked):
-                step = r.randrange(1, 5)
-                out += stream.feed(marked[at : at + step])
-                assert len(stream.score) <= 80
-                at += step
-            assert out + stream.finish() == ids
+
+
+def test_streams_commit_alike_at_every_stride(vocab):
+    """Also where paths never meet: of a row of equal letters even and odd boundaries stay apart."""
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice(["the ", "ing", "abc", " ", "é", "x", "▁", "z", "aaaa"]) for _ in range(n))
+    texts = [make(r.randrange(1, 300)) for _ in range(30)] + [None, "", "a" * 1500, make(2000)]
+    pairs = sentencepiece_viterbi.Vocabulary(["<s>", "a", "aa", "▁"] + [f"<{b}>" for b in range(256)], [0.0, -2.0, -3.0, -1.0] + [0.0] * 256, list(range(4, 260)), frozenset({0}))
+    for v in (vocab, pairs):
+        whole = [sentencepiece_viterbi.encode(v, t) for t in texts]
+        ids, counts = sentencepiece_viterbi.encode_run(v, texts)
+        assert ids.tolist() == sum(whole, []) and counts.tolist() == list(map(len, whole))
+        for t, want in zip(texts, whole):
+            if t and "▁" not in t:
+                cp = np.frombuffer(("▁" + t.replace(" ", "▁")).encode("utf-32-le"), np.uint32)
+                for stride in (1, 7):
+                    s = sentencepiece_viterbi.Streams(v, cp, np.array([0]), np.array([len(cp)]), stride)
+                    assert sentencepiece_viterbi.spelled_out(v, *s.run())[0].tolist() == want
+                    assert s.window >= len(t) if v is pairs and t == "a" * 1500 else s.window <= 128
+    assert sentencepiece_viterbi.encode_run(vocab, [])[0].tolist() == []
 
 
 def test_sentencepiece_columns(spark, vocab):
@@ -339,9 +352,11 @@ def test_sentencepiece_columns(spark, vocab):
     encoded = sentencepiece_viterbi.encode_texts(df, vocab)
     back = {r.doc_id: r.text for r in sentencepiece_viterbi.decode_texts(encoded, vocab).collect()}
     assert back == {i: t or "" for i, t in enumerate(ODD)}
-    c = df.select("doc_id", sentencepiece_viterbi.checked_column(df, sentencepiece_viterbi.encode_column(df, F.col("text"), vocab), F.col("text"), vocab).alias("c")).collect()
+    c = df.select("doc_id", sentencepiece_viterbi.checked_column(df, F.col("text"), vocab).alias("c")).collect()
     assert all(r.c.same for r in c) and {r.doc_id: r.c.n for r in c}[0] == 0
     assert sentencepiece_viterbi.encode_texts(df.limit(0), vocab).count() == 0
+    twice = df.select(F.lit(None).cast("bigint").alias("doc_id"), "text").union(df.select("doc_id", "text"))
+    assert sentencepiece_viterbi.encode_texts(twice, vocab).count() == 2 * len(ODD)
 
 
 def greedy(word, initial, inner):

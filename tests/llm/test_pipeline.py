@@ -36,7 +36,7 @@ def test_pipeline(spark, tmp_path):
         assert got == now, name
         if n < 4:
             assert docs.columns == df.columns
-    vocab = sentencepiece_viterbi.read_vocabulary(corpus_pipeline.TOKENIZER)
+    vocab = sentencepiece_viterbi.read_vocabulary(corpus_pipeline.TOKENIZER, "zipf")
     table = sentencepiece_viterbi.spellings(vocab)
     for x in docs.collect():
         assert sentencepiece_viterbi.decode(table, x.ids) == texts[x.doc_id]
