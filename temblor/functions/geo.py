@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,3 +155,10 @@ def hypocentral_km(epicentral: Column, depth1: Column, depth2: Column, error1: C
     """Distance with depth, less both location errors, at least 0."""
     r = F.sqrt(epicentral * epicentral + (depth1 - depth2) * (depth1 - depth2))
     return F.greatest(F.lit(0.0), r - error1 - error2)
+
+
+def haversine_arrays(lat, lon, lats, lons):
+    """Great-circle distance in km of numbers or arrays, for use inside tasks."""
+    half = np.sin(np.radians(np.subtract(lats, lat)) / 2) ** 2
+    half = half + np.cos(np.radians(lat)) * np.cos(np.radians(lats)) * np.sin(np.radians(np.subtract(lons, lon)) / 2) ** 2
+    return 2 * EARTH_KM * np.arctan2(np.sqrt(half), np.sqrt(1 - half))

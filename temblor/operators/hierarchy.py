@@ -6,18 +6,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from temblor.operators.sequences import _km
+from temblor.functions.geo import haversine_arrays
 
 
 def spanning_tree(lat: np.ndarray, lon: np.ndarray, k: int) -> list[tuple[float, int, int]]:
     """Minimum spanning tree of mutual reachability, grown from point 0, edges by weight (stable)."""
     n = len(lat)
-    core = np.array([np.sort(np.delete(_km(lat[i], lon[i], lat, lon), i))[k - 1] for i in range(n)])
+    core = np.array([np.sort(np.delete(haversine_arrays(lat[i], lon[i], lat, lon), i))[k - 1] for i in range(n)])
     best, from_, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     at, edges = 0, []
     inside[0] = True
     for _ in range(n - 1):
-        reach = np.maximum(np.maximum(core[at], core), _km(lat[at], lon[at], lat, lon))
+        reach = np.maximum(np.maximum(core[at], core), haversine_arrays(lat[at], lon[at], lat, lon))
         closer = ~inside & (reach < best)
         best[closer], from_[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())

@@ -522,17 +522,17 @@ def hardebeck(cat):
 
 @query()
 def step_magnitude(cat):
-    return sequences.step_magnitude(cat, 3.0, 0.2, 0.5)
+    return sequences.step_magnitude(cat)
 
 
 @query()
 def step_time(cat):
-    return sequences.step_time(cat, 3.0, 0.2, 0.5)
+    return sequences.step_time(cat)
 
 
 @query()
 def reasenberg(cat):
-    return sequences.reasenberg(cat, tau0=0.05, tau_max=0.1, tau_min=0.02)
+    return sequences.reasenberg(cat)
 
 
 @query()

@@ -26,4 +26,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by :func:`written` that nothing reads any more."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place.getParent(), True)

@@ -76,3 +76,119 @@ def density(n, near, least):
                 todo += [j for j in around[k] if label[j] is None]
         number += 1
     return [-1 if x is None else x for x in label]
+
+
+def decimal_year(ms):
+    from datetime import UTC, datetime
+
+    t = datetime.fromtimestamp(ms / 1000, UTC)
+    a, b = datetime(t.year, 1, 1, tzinfo=UTC), datetime(t.year + 1, 1, 1, tzinfo=UTC)
+    return t.year + (ms - a.timestamp() * 1000) / ((b - a).total_seconds() * 1000)
+
+
+def first_seen(labels):
+    """Renumber labels by their first place; None becomes -1."""
+    names = {}
+    return [-1 if x is None else names.setdefault(x, len(names)) for x in labels]
+
+
+def in_time(df, mc):
+    """Events of at least mc in time order: (row, lat, lon, year, magnitude)."""
+    ev = [(i, a, o, decimal_year(t), m) for i, a, o, t, m in rows(df) if m >= mc]
+    return sorted(ev, key=lambda e: (e[3], e[0]))
+
+
+def looked_back(ev, t, before):
+    return sum(t - before < e[3] < t for e in ev)
+
+
+def spread(df, ev, label):
+    of = {e[0]: x for e, x in zip(ev, first_seen(label))}
+    return [of.get(int(r), -1) for r in df["row_idx"]]
+
+
+def reach(m):
+    return max(5.0, 10 ** (0.59 * m - 2.44))
+
+
+def step_magnitude(df, mc, before, after):
+    """Stated by sets: what a main takes is the least set that its two rules are closed under."""
+    ev = in_time(df, mc)
+    label = [None] * len(ev)
+    for main in sorted(range(len(ev)), key=lambda i: (-ev[i][4], i)):
+        if label[main] is not None:
+            continue
+        free = [i for i in range(len(ev)) if label[i] is None and i != main and km(*ev[main][1:3], *ev[i][1:3]) <= reach(ev[main][4])]
+        lowest, took, grew = main - looked_back(ev, ev[main][3], before), {main}, True
+        while grew:
+            more = {i for i in free if lowest <= i < main} - took
+            grew = bool(more)
+            took |= more
+            lowest = min([lowest, *(i - looked_back(ev, ev[i][3], before) for i in more)])
+        clock = ev[main][3]
+        for i in (i for i in free if i > main):
+            if ev[i][3] > clock + after:
+                break
+            took.add(i)
+            clock = ev[i][3] if ev[i][4] > mc else clock
+        for i in took:
+            label[i] = main
+    return spread(df, ev, label)
+
+
+def step_time(df, mc, before, after):
+    ev = in_time(df, mc)
+    label = [None] * len(ev)
+    for first in range(len(ev)):
+        if label[first] is not None or ev[first][4] <= mc:
+            continue
+        label[first] = first
+        head, clock = first, ev[first][3]
+        todo = max(0, first - looked_back(ev, clock, before))
+        while todo < len(ev) and ev[todo][3] < clock + after:
+            now = todo
+            todo += 1
+            if label[now] is None and km(*ev[head][1:3], *ev[now][1:3]) <= reach(max(ev[now][4], ev[head][4])):
+                label[now] = first
+                if ev[now][4] > mc:
+                    clock = max(clock, ev[now][3])
+                if ev[now][4] > ev[head][4]:
+                    head = now
+                    todo = max(1, now - looked_back(ev, clock, before))
+    return spread(df, ev, label)
+
+
+def reasenberg(df, rfact=10, tau0=2, tau_max=10, p1=0.99, xk=0.5, min_mag=1.5, tau_min=1):
+    """Groups as lists of members in the order of joining."""
+    ev = sorted(rows(df), key=lambda e: (e[3], e[0]))
+    groups = []  # oldest first
+    of = lambda i: next((g for g in groups if i in g["all"]), None)
+    for i, a in enumerate(ev):
+        for j in range(i + 1, len(ev)):
+            b, g = ev[j], of(i)
+            tau = tau0
+            if g and a[3] > g["top"][3]:
+                dm = max((1 - xk) * g["top"][4] - min_mag, 0)
+                tau = max(tau_min, min(tau_max, -math.log(1 - p1) * (a[3] - g["top"][3]) / DAY / 10 ** ((dm - 1) * 2 / 3)))
+            if (b[3] - a[3]) / DAY > tau:
+                break
+            h = of(j)
+            if g is not None and g is h:
+                continue
+            r = min(rfact * 0.011 * 10 ** (0.4 * a[4]), 30) + (min(0.011 * 10 ** (0.4 * g["top"][4]), 30) if g else 0)
+            if km(*a[1:3], *b[1:3]) > min(r, 30):
+                continue
+            if g is None and h is None:
+                groups.append({"all": {i, j}, "top": b if b[4] > a[4] else a})
+            else:
+                both = [x for x in groups if x is g or x is h]
+                keep, rest = both[0], both[1:]
+                for extra, top in [(x["all"], x["top"]) for x in rest] or [({i} if h is keep else {j}, a if h is keep else b)]:
+                    keep["all"] |= extra
+                    keep["top"] = top if top[4] > keep["top"][4] else keep["top"]
+                groups = [x for x in groups if x not in rest]
+    label = [None] * len(ev)
+    for n, g in enumerate(groups):
+        for i in g["all"]:
+            label[i] = n
+    return spread(df, ev, label)

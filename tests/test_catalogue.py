@@ -64,24 +64,23 @@ def test_kmeans_takes_every_row(spark):
     assert got.cluster_id.nunique() == 3 and len(got) == 170
 
 
-@pytest.mark.parametrize("scan", ["step_magnitude", "reasenberg"])
-def test_sessions_equal_one_scan(spark, scan):
-    pdf = sequence_catalogue(11, 150)
+@pytest.mark.parametrize("seed, mc, before, after", [(3, 2.0, 1, 30), (4, 2.3, 2, 4), (6, 2.2, 3, 1)])
+def test_step_and_link_scans(spark, seed, mc, before, after):
+    """Dense catalogues with repeated times and magnitudes, many exactly at the completeness."""
+    pdf = sequence_catalogue(seed)
     cat = spark.createDataFrame(pdf)
-    ordered = pdf.sort_values(["timeMs", "row_idx"])
-    args = [ordered[c].to_numpy() for c in ("latitude", "longitude", "magnitude")]
-    if scan == "step_magnitude":
-        got = labels(sequences.step_magnitude(cat, 2.0, 0.2, 0.5), len(pdf))
-        year = np.array([2024 + (t - T0) / (366 * DAY) for t in ordered.timeMs])
-        want = sequences.step_magnitude_scan(year, *args, 2.0, 0.2 / 365, 0.5 / 365)
-    else:
-        got = labels(sequences.reasenberg(cat, rfact=60, tau0=0.3, tau_max=0.5, tau_min=0.1), len(pdf))
-        want = sequences.tmc_scan(ordered.timeMs.to_numpy() / 60000, *args, rfact=60, tau0=0.3, tau_max=0.5, tau_min=0.1)
-    order, seen = [], {}
-    for w in want:
-        order.append(-1 if w == 0 else seen.setdefault(int(w), len(seen)))
-    assert [got[int(i)] for i in ordered.row_idx] == order
-    assert len(set(got)) > 2
+    assert labels(sequences.step_magnitude(cat, mc, before, after), len(pdf)) == naive.step_magnitude(pdf, mc, before / 365, after / 365)
+    assert labels(sequences.step_time(cat, mc, before, after), len(pdf)) == naive.step_time(pdf, mc, before / 365, after / 365)
+    for rules in ({}, {"rfact": 60, "tau0": 0.3, "tau_max": 0.5, "tau_min": 0.1}, {"rfact": 3, "tau_max": 20, "xk": 0.1}):
+        assert labels(sequences.reasenberg(cat, **rules), len(pdf)) == naive.reasenberg(pdf, **rules)
+
+
+def test_scans_of_empty_and_single(spark):
+    cat = spark.createDataFrame(sequence_catalogue(1))
+    for f in (sequences.step_magnitude, sequences.step_time, sequences.reasenberg):
+        assert f(cat.limit(0)).count() == 0
+        one = f(cat.filter("row_idx = 3")).collect()
+        assert [x.cluster_id for x in one] == [-1 if f is sequences.reasenberg else 0]
 
 
 def test_nearest_links(spark):
