@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from temblor.llm.common import connected_components, materialize, mix64, prefix_hash, span_hash, text_slices
+from temblor.llm.common import connected_components, discard, materialize, mix64, prefix_hash, span_hash, text_slices
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -125,28 +125,30 @@ def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _prefixes(sketch: DataFrame, spare: DataFrame, rule: Rule) -> DataFrame:
-    """Order-1 prefix tokens that at least two documents have: (token, doc_id, n, at), at from 0.
+    """Order-1 prefix tokens that at least two documents have: (token, row, n, at), at from 0.
 
     Tokens of one document only are counted but not moved back: they hold prefix
     places and can't match, so most documents send nothing here.  Only one document
     of each class of equal sets goes on; any fixed function of a token makes a global
     order, so the counts may include the copies.
     """
-    every = sketch.filter("doc_id is not null").select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    every = sketch.filter("doc_id is not null").select("row", F.posexplode("tokens").alias("pos", "token"))
     shared = materialize(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    sizes = sketch.select("doc_id", "n", "heads").distinct()
-    back = every.join(shared, "token").join(spare.select("doc_id"), "doc_id", "left_anti").join(sizes, "doc_id").distinct()
-    by_doc = Window.partitionBy("doc_id", "counted")
+    sizes = sketch.select("row", "n", "heads")
+    back = every.join(shared, "token").join(spare.select("row"), "row", "left_anti").join(sizes, "row")
+    by_doc = Window.partitionBy("row", "counted")
     placed = (
         back.withColumn("counted", F.col("pos") < F.col("heads"))
         .withColumn("found", F.count("*").over(by_doc))
         .withColumn("rank", F.row_number().over(by_doc.orderBy("df", "token")))
         .withColumn("at", F.when(F.col("counted"), F.col("heads") - F.col("found") + F.col("rank") - 1).otherwise(F.col("pos").cast("long")))
     )
-    return materialize(placed.filter(F.col("at") < _prefix_column(rule)).select("token", "doc_id", "n", "at"), "prefixes")
+    prefixes = materialize(placed.filter(F.col("at") < _prefix_column(rule)).select("token", "row", "n", "at"), "prefixes")
+    discard(shared)
+    return prefixes
 
 
-def _by_rarity(docs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _by_rarity(rows: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Prefixes of some documents when all their tokens are ordered by frequency among them.
 
     Order 1 counts only a share of the tokens of the whole corpus; for the documents
@@ -160,16 +162,19 @@ def _by_rarity(docs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 sets = shingle_sets(data, offsets, rule.n)
                 held = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(np.diff(held), pa.int64()), tokens], names=["doc_id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(np.diff(held), pa.int64()), tokens], names=["row", "n", "tokens"])
 
-    sets = texts.join(docs, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(work, "doc_id long, n long, tokens array<long>")
+    sets = texts.join(rows, "row", "left_semi").select("row", "text").mapInArrow(work, "row long, n long, tokens array<long>")
     sets = materialize(sets, "sets")
-    every = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
+    every = sets.select("row", "n", F.explode("tokens").alias("token"))
     shared = materialize(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    by_doc = Window.partitionBy("doc_id")
+    by_doc = Window.partitionBy("row")
     placed = every.join(shared, "token").withColumn("found", F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy("df", "token")))
     placed = placed.withColumn("at", F.expr("n - found + rank - 1"))
-    return materialize(placed.filter(F.col("at") < _prefix_column(rule)).select("token", "doc_id", "n", "at"), "prefixes")
+    prefixes = materialize(placed.filter(F.col("at") < _prefix_column(rule)).select("token", "row", "n", "at"), "prefixes")
+    discard(sets)
+    discard(shared)
+    return prefixes
 
 
 def _prefix_column(rule: Rule):
@@ -202,13 +207,14 @@ def _viable(live: DataFrame, rule: Rule) -> tuple[DataFrame, float, int]:
     good = x.join(y, "token").filter(apart & _room(rule)).groupBy("token", F.col("n_x").alias("n"), F.col("at_x").alias("at")).agg(F.max("c_x").alias("c"), F.sum("c_y").alias("partners"))
     good = materialize(good, "viable")
     row = good.agg(F.sum(F.col("c") * F.col("partners")).alias("pairs"), F.sum("c").alias("rows")).first()
+    discard(cells)
     return live.join(good.select("token", "n", "at"), ["token", "n", "at"], "left_semi"), (row.pairs or 0) / 2, row.rows or 0
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity, by comparing the whole sets."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
 
     def work(batches):
         last: tuple = (None, None)
@@ -235,9 +241,9 @@ def _set_of(column: pa.Array, n: int) -> np.ndarray:
 
 def _filtered(pairs: DataFrame, meta: DataFrame, rule: Rule) -> DataFrame:
     """Distinct pairs that also share prefix tokens under orders 2 and 3 and pass the length bound."""
-    m = meta.select("doc_id", "n", "o2", "o3", "l2", "l3")
+    m = meta.select("row", "n", "o2", "o3", "l2", "l3")
     a, b = (m.select(*[F.col(c).alias(f"{c}_{s}") for c in m.columns]) for s in "ab")
-    j = pairs.distinct().join(a, F.col("a") == F.col("doc_id_a")).join(b, F.col("b") == F.col("doc_id_b"))
+    j = pairs.distinct().join(a, F.col("a") == F.col("row_a")).join(b, F.col("b") == F.col("row_b"))
     ok = (F.col("n_a") * rule.den >= F.col("n_b") * rule.num) & (F.col("n_b") * rule.den >= F.col("n_a") * rule.num)
     both = lambda o, l: F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= F.least(f"{l}_a", f"{l}_b")  # noqa: E731,E741
     return j.filter(ok).filter(both("o2", "l2")).filter(both("o3", "l3")).select("a", "b")
@@ -246,11 +252,12 @@ def _filtered(pairs: DataFrame, meta: DataFrame, rule: Rule) -> DataFrame:
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text", id_col: str = "doc_id", pivots: int = 3, rounds: int = 6) -> DataFrame:
     """Components of the graph that links documents of similarity ``rule.num / rule.den`` or more.
 
-    Returns ``doc_id, n_shingles, component_id`` (smallest linked id, itself included),
-    one row per input row.  Words are runs of bytes other than ASCII blanks, with A-Z
+    Returns ``doc_id, n_shingles, component_id`` (smallest linked id, itself included)
+    and ``text_xxhash64``, one row per input row.  Words are runs of bytes other than ASCII blanks, with A-Z
     in lower case.  Null, empty and blank texts have no shingles and no links.  Rows
-    without an id have a null component and link nothing.  Repeated rows are rows; an id names one
-    text, so of rows with the same id and different texts one is compared with others.
+    without an id have a null component and link nothing.  Rows are compared, not ids:
+    repeated rows and rows of one id with different texts are nodes of their own, and
+    each has the smallest id that it reaches.
 
     Equal sets are one node.  In a large group of near copies not all pairs are made:
     in each prefix bucket every document is first compared with a few pivots; pairs
@@ -259,16 +266,20 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     between components is lost and nothing is capped.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    sketch = materialize(_sketches(plain, rule), "sketches")
+    sketch = materialize(_sketches(plain, rule).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = materialize(sketch.select("row", "doc_id", "th", F.col("n").alias("n_shingles")), "rows")
     key = ["s1", "s2", "n"]
     named = sketch.filter("doc_id is not null and n > 0")
-    classes = materialize(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    copies = classes.filter("size > 1")
-    spare = materialize(named.select("doc_id", *key).join(copies, key).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "spare")
+    classes = materialize(named.groupBy(*key).agg(F.min("row").alias("rep"), F.count("*").alias("size")).filter("size > 1"), "classes")
+    spare = materialize(named.select("row", *key).join(classes, key).filter("row <> rep").select("row", "rep"), "spare")
     prefixes = _prefixes(sketch, spare, rule)
-    cand = prefixes.select("doc_id").distinct()
-    meta = materialize(sketch.drop("tokens", "s1", "s2", "heads").join(cand, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "meta")
-    texts = materialize(plain.join(meta.select("doc_id", "th"), ["doc_id", "th"], "left_semi").select("doc_id", "text"), "texts")
+    meta = materialize(sketch.select("row", "doc_id", "th", "n", "o2", "o3", "l2", "l3").join(prefixes.select("row").distinct(), "row", "left_semi"), "meta")
+    texts = plain.join(meta.select("row", "doc_id", "th"), ["doc_id", "th"]).select("row", "text")
+    if not named.groupBy("doc_id", "th").agg(F.count("*").alias("times")).filter("times > 1").isEmpty():
+        texts = texts.dropDuplicates(["row"])  # of repeated rows one is in meta and meets them all
+    texts = materialize(texts, "texts")
+    discard(sketch)
+    discard(classes)
 
     links, comp, tested = None, None, None
     before = float("inf")
@@ -277,33 +288,40 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
         if comp is not None:
 
             def mixed_rows(p: DataFrame) -> DataFrame:
-                named = p.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+                named = p.join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
                 mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
                 return materialize(named.join(mixed, "token", "left_semi"), "live")
 
-            live, n_pairs, n_rows = _viable(mixed_rows(prefixes), rule)
+            whole = mixed_rows(prefixes)
+            live, n_pairs, n_rows = _viable(whole, rule)
             if not n_rows:
                 break
             if turn == 1:
-                prefixes = _by_rarity(materialize(live.select("doc_id").distinct(), "left"), texts, rule)
-                live, n_pairs, n_rows = _viable(mixed_rows(prefixes), rule)
+                left = materialize(live.select("row").distinct(), "left")
+                discard(whole)
+                discard(prefixes)
+                prefixes = _by_rarity(left, texts, rule)
+                discard(left)
+                whole = mixed_rows(prefixes)
+                live, n_pairs, n_rows = _viable(whole, rule)
                 if not n_rows:
                     break
             # Pivots again only while they pay: a bucket of one large group shrinks to almost nothing each time.
             last = turn == rounds or n_pairs <= 10 * n_rows or n_pairs > 0.8 * before
             before = n_pairs
             live = materialize(live, "live")
+            discard(whole)
         if last:
-            x, y = _sides(live, "doc_id", "n", "at", "component")
-            apart = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y"))
-            pairs = x.join(y, "token").filter(apart & _room(rule)).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+            x, y = _sides(live, "row", "n", "at", "component")
+            apart = (F.col("row_x") < F.col("row_y")) & (F.col("component_x") != F.col("component_y"))
+            pairs = x.join(y, "token").filter(apart & _room(rule)).select(F.col("row_x").alias("a"), F.col("row_y").alias("b"))
         else:
             # A document with few rarer words of its own is near many others; every third pivot is any document.
-            mark = [F.xxhash64(F.lit(101 + turn * pivots + i), "doc_id") for i in range(pivots)]
-            order = [F.min_by("doc_id", h if i % 3 == 2 else F.struct("at", h.alias("h"))).alias(f"p{i}") for i, h in enumerate(mark)]
+            mark = [F.xxhash64(F.lit(101 + turn * pivots + i), "row") for i in range(pivots)]
+            order = [F.min_by("row", h if i % 3 == 2 else F.struct("at", h.alias("h"))).alias(f"p{i}") for i, h in enumerate(mark)]
             chosen = live.groupBy("token").agg(*order).select("token", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("pivot"))
-            near = live.select("token", "doc_id").join(chosen, "token").filter("doc_id <> pivot")
-            pairs = near.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
+            near = live.select("token", "row").join(chosen, "token").filter("row <> pivot")
+            pairs = near.select(F.col("pivot").alias("a"), F.col("row").alias("b")).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
         pairs = materialize(_filtered(pairs, meta, rule), "pairs")
         if tested is not None:
             fresh = pairs.join(tested, [(F.least(pairs.a, pairs.b) == tested.lo), (F.greatest(pairs.a, pairs.b) == tested.hi)], "left_anti")
@@ -313,20 +331,33 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
         links = found if links is None else links.union(found)
         now_tested = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         tested = now_tested if tested is None else tested.union(now_tested)
+        if live is not prefixes:
+            discard(live)
+        if comp is not None:
+            discard(comp)
         comp = materialize(connected_components(links, "a", "b"), "components")
         if last:
             break
-    linked = spare.select(F.col("doc_id").alias("node"), F.col("rep").alias("component")).join(comp.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-    full = linked.select("node", F.coalesce("top", "component").alias("component")).union(comp.join(linked.select("node").distinct(), "node", "left_anti"))
-    full = full.groupBy("node").agg(F.min("component").alias("component"))
-    rows = sketch.select("doc_id", F.col("n").alias("n_shingles"))
-    return rows.join(full, rows.doc_id == full.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    for table in (prefixes, meta, texts):
+        discard(table)
+    tops = comp.select(F.col("node").alias("rep"), F.col("component").alias("top"))
+    copies = spare.join(tops, "rep", "left").select("row", F.coalesce("top", "rep").alias("component"))
+    heads = spare.select(F.col("rep").alias("row")).distinct().join(tops.withColumnRenamed("rep", "row"), "row", "left_anti").select("row", F.col("row").alias("component"))
+    member = materialize(copies.union(heads).union(comp.select(F.col("node"), "component")), "members")
+    least = member.join(rows, "row").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that a component with a large part of all rows is one small row against rows that Spark can split.
+    least = materialize(least, "least")
+    named = member.join(least, "component").select("row", "component_id")
+    return rows.join(named, "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("th").alias("text_xxhash64"))
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Keep the document with the smallest id of each component, with all columns.
 
-    Rows without an id stay; repeated rows of a kept id all stay.
+    Rows without an id stay; repeated rows of a kept id all stay.  Rows of one id with
+    different texts are decided on one by one.
     """
-    gone = materialize(jaccard_components(docs, rule, text_col, id_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = jaccard_components(docs, rule, text_col, id_col).filter("component_id <> doc_id")
+    gone = materialize(found.select(F.col("doc_id").alias("id"), "text_xxhash64").distinct(), "gone")
+    # Columns of the input can have any names; those of ``gone`` are told by the table.
+    return docs.join(gone, (docs[id_col] == gone["id"]) & (F.xxhash64(docs[text_col]) == gone["text_xxhash64"]), "left_anti")

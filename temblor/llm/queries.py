@@ -51,7 +51,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), jaccard_join.Rule(3, 90, 100))
+    found = jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), jaccard_join.Rule(3, 90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

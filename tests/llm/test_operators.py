@@ -86,6 +86,13 @@ def test_jaccard_join_odd_tables(spark):
     twice = docs_of(spark, ["a b c d e f", None]).union(docs_of(spark, ["a b c d e f"])).union(docs_of(spark, ["a b c d e f"]).withColumn("doc_id", F.lit(None).cast("bigint")))
     got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(twice).collect()), key=str)
     assert got == [(0, 0), (0, 0), (1, 1), (None, None)]
+    base = " ".join(f"t{i}" for i in range(60))
+    rows = [(9, base), (5, base + " end"), (5, "quite other words than those of the rest"), (7, base), (7, base)]
+    same = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(same).collect()) == [(5, 5), (5, 5), (7, 5), (7, 5), (9, 5)]
+    assert sorted(jaccard_join.drop_near_copies(same).collect()) == sorted([rows[1], rows[2]])
+    other = spark.createDataFrame([(1, base), *rows], "doc_id bigint, text string")
+    assert sorted(jaccard_join.drop_near_copies(other).collect()) == sorted([(1, base), rows[2]])
     kept = jaccard_join.drop_near_copies(docs_of(spark, near_copies()))
     assert kept.columns == docs_of(spark, [""]).columns
     want = brute_components(near_copies(), 5, 80, 100)
