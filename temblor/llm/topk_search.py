@@ -16,31 +16,48 @@ from pyspark.sql.window import Window
 
 from temblor.llm.common import materialize
 
-LIMIT = 1 << 27  # of an integer component, so that scores of up to 2**8 components fit 63 bits
+TOP, BOTTOM = 2**63 - 1, -(2**63) + 1  # scores beyond a long count as these
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """``id, dim, v``: vectors with integer components floor(scale * x); others take no part.
+    """``id, dim, v``: vectors with integer components floor(scale * x), held as doubles; others take no part.
 
-    Left out are null and empty vectors, null ids, vectors with a null or non-finite
-    component, and components beyond 2**27 in size, whose products need not fit a long.
+    Left out are null vectors, null ids, and vectors with a null or non-finite component
+    (also one whose product with ``scale`` is beyond all doubles).
     """
-    x = F.transform(F.col(vec_col), lambda c: F.floor(c.cast("double") * scale))
+    y = lambda c: c.cast("double") * F.lit(float(scale))
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"), F.size(vec_col).alias("dim"))
-    fine = F.forall("raw", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < LIMIT))
-    return raw.filter("id is not null and raw is not null and dim > 0").filter(fine).select("id", "dim", F.transform("raw", lambda c: F.floor(c.cast("double") * scale)).alias("v"))
+    fine = F.forall("raw", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(y(c)) < F.lit(float("inf"))))
+    # From 2**52 on every double is a whole number, and beyond a long floor would not hold it.
+    whole = F.transform("raw", lambda c: F.when(F.abs(y(c)) < F.lit(2.0**52), F.floor(y(c)).cast("double")).otherwise(y(c)))
+    return raw.filter("id is not null and raw is not null").filter(fine).select("id", "dim", whole.alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by floating point where every partial sum fits 53 bits."""
+    """Exact integer inner products as longs, those beyond a long as its ends.
+
+    By floating point where every partial sum fits 53 bits; else by long arithmetic,
+    which is right modulo 2**64 and so wherever the sum of sizes is below 2**62; what
+    is left goes through unbounded integers.
+    """
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
     if most < 2**52:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ v.astype(np.int64).T
+        return (q @ v.T).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        wide = ~(np.abs(q) @ np.abs(v).T < 2.0**62)
+    out = np.where(np.abs(q) < 2.0**62, q, 0).astype(np.int64) @ np.where(np.abs(v) < 2.0**62, v, 0).astype(np.int64).T
+    exact: dict[int, list[int]] = {}
+    for c in np.flatnonzero(wide.any(axis=0)).tolist():
+        own = [int(x) for x in v[c].tolist()]
+        for k in np.flatnonzero(wide[:, c]).tolist():
+            if k not in exact:
+                exact[k] = [int(x) for x in q[k].tolist()]
+            out[k, c] = max(BOTTOM, min(TOP, sum(a * b for a, b in zip(exact[k], own, strict=True))))
+    return out
 
 
 def _own(q_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,24 +88,26 @@ def _select(table: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, bins: in
                 yield c_ids, s, mask
 
     # Cauchy-Schwarz bounds every score, so the first interval needs no pass over the scores.
-    top = own_dim.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0]
+    top = own_dim.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     if top is None:
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
-    reach = np.ceil(np.sqrt(top) * np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)).astype(np.int64) + 1
-    low = -reach  # the k-th score lies in [low, low + width * bins)
-    width = np.maximum(1, -(-(2 * reach + 1) // bins))
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.nan_to_num(np.ceil(top * np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)) + 1, nan=2.0**63, posinf=2.0**63)
+    reach = [min(TOP, int(x)) for x in norms.tolist()]
+    # The k-th score lies in [low, high]; these are whole numbers of any size until they are told to tasks.
+    low, high = [-x for x in reach], list(reach)
     need = np.full(n, k, np.int64)  # how many of those in the interval still belong to the top k
-    above = low + width * bins
     while True:
-        state = spark.sparkContext.broadcast((low, width, above))
+        width = [max(1, -(-(h - b + 1) // bins)) for b, h in zip(low, high, strict=True)]
+        state = spark.sparkContext.broadcast((np.array(low, np.int64), np.array(width, np.uint64), np.array(high, np.int64)))
 
         def histogram(batches):
             lo, w, up = state.value
             total = np.zeros((n, bins), np.int64)
             for _, s, mask in blocks(batches):
-                mask &= (s >= lo[:, None]) & (s < up[:, None])
+                mask &= (s >= lo[:, None]) & (s <= up[:, None])
                 qi, ci = np.nonzero(mask)
-                b = (s[qi, ci] - lo[qi]) // w[qi]
+                b = ((s[qi, ci].view(np.uint64) - lo[qi].view(np.uint64)) // w[qi]).astype(np.int64)  # differences of longs fit unsigned ones
                 total += np.bincount(qi * bins + b, minlength=n * bins).reshape(n, bins)
             # Below a task's own k-th score nothing can be in the top k: at most k bins a query are told.
             beyond = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total
@@ -101,20 +120,17 @@ def _select(table: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, bins: in
         needs = spark.createDataFrame(pa.table({"q": np.arange(n), "need": need}))
         hit = ranked.join(F.broadcast(needs), "q").filter("before < need and upto >= need").select("q", "bin", "before").toArrow()  # one row a query of the block
         qs, bin_, before = (hit[c].to_numpy() for c in ("q", "bin", "before"))
-        lost = np.ones(n, bool)
-        lost[qs] = False  # fewer than k candidates: everything belongs to the result
-        above = above.copy()
-        low, need = low.copy(), need.copy()
-        low[qs] = low[qs] + bin_ * width[qs]
-        above[qs] = low[qs] + width[qs]
+        need = need.copy()
+        lost = set(range(n)).difference(qs.tolist())  # fewer than k candidates: everything belongs to the result
+        for i, bin_no in zip(qs.tolist(), bin_.tolist(), strict=True):
+            low[i] += bin_no * width[i]
+            high[i] = min(high[i], low[i] + width[i] - 1)
+        for i in lost:
+            low[i] = high[i] = BOTTOM - 1
         need[qs] -= before
-        above[lost] = low[lost]
-        low[lost] = -(2**62)
-        above[lost] = -(2**62)
-        done = (above - low <= 1).all()
-        if done:
+        if all(b == h for b, h in zip(low, high, strict=True)):
             break
-        width = np.maximum(1, -(-(above - low) // bins))
+    low = np.array(low, np.int64)
     state = spark.sparkContext.broadcast((low, need))
 
     def keep(batches):
@@ -142,16 +158,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     ``queries`` are rows of the same form as ``vectors``.  Returns ``query_id, rank,
     vec_id, score``: ranks from 1, ties to the smaller id, all candidates if there are
-    fewer than k.  Only vectors of equal length are compared.  Repeated query rows
-    count once; repeated candidate rows are candidates each.  Queries are taken in
-    blocks of ``block_queries`` ordered by id, so what is broadcast is bounded; a
-    block's scores exist only inside tasks, ``chunk`` candidates at a time.
+    fewer than k.  Only vectors of equal length are compared, those of length 0 with
+    score 0.  Of query rows with the same id the one with the smallest components, from
+    the first on, is asked; repeated candidate rows are candidates each.  Scores beyond
+    a long count as its ends.  Queries are taken in blocks of ``block_queries`` ordered
+    by id, so what is broadcast is bounded; a block's scores exist only inside tasks,
+    ``chunk`` candidates at a time, and all blocks write to one table.
     """
     spark = vectors.sparkSession
     table = materialize(usable(vectors, id_col, vec_col, scale), "vectors")
-    asked = materialize(usable(queries, id_col, vec_col, scale).dropDuplicates(["id"]), "queries")
-    parts = []
-    for dim in sorted(r.dim for r in asked.select("dim").distinct().limit(1000).collect()):
+    asked = usable(queries, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("m")).select("id", "m.dim", "m.v")
+    asked = materialize(asked, "queries")
+    found = materialize(spark.createDataFrame([], "query_id long, vec_id long, score long"), "found")
+    dim = -1
+    while (dim := asked.filter(F.col("dim") > dim).agg(F.min("dim")).first()[0]) is not None:  # a pass for each length of vectors
         rows = asked.filter(F.col("dim") == dim)
         after = None
         while True:
@@ -160,14 +180,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
                 break
             q_ids = block["id"].to_numpy()
             after = int(q_ids[-1])
-            q = _matrix(block["v"].combine_chunks(), dim)
-            parts.append(materialize(_select(table, q_ids, q, k, bins, chunk), "found"))
+            _select(table, q_ids, _matrix(block["v"].combine_chunks(), dim), k, bins, chunk).write.mode("append").parquet(found.scratch_path)
             if block.num_rows < block_queries:
                 break
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = spark.read.schema(found.schema).parquet(found.scratch_path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -490,6 +490,24 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_with_large_components_and_many_lengths(spark):
+    r = random.Random(12)
+    size = [1.0, 1e3, 1e7, 1e12, 1e30, 1e300]
+    vecs = [[r.choice(size) * r.choice([-1, 1]) * r.random() for _ in range(3)] for _ in range(40)] + [[1e7, 1.0], [2.0, 3.0], [-1e7, 0.5], [], [], [1e308, 1e308]]
+    vecs += [[1.0] * n for n in range(4, 9) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id bigint, embedding array<double>")
+    again = df.filter("vec_id = 3").union(spark.createDataFrame([(3, [1e9, 0.0, 0.0])], df.schema))
+    got = {}
+    for row in topk_search.top_k(df, df.union(again), k=3, block_queries=8, bins=8).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    whole = {i: [int(math.floor(256 * x)) for x in v] for i, v in enumerate(vecs) if all(math.isfinite(256 * x) for x in v)}
+    assert set(got) == {i for i in whole if sum(len(v) == len(whole[i]) for v in whole.values()) > 1}
+    asked = whole | {3: min(whole[3], [256 * 10**9, 0, 0])}
+    for q in got:
+        scored = [(max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(asked[q], v)))), i) for i, v in whole.items() if i != q and len(v) == len(asked[q])]
+        assert sorted(got[q]) == [(n + 1, i, s) for n, (s, i) in enumerate(sorted(scored, key=lambda s: (-s[0], s[1]))[:3])], q
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 3), (5, 4), (4, 9), (None, 1)], "a bigint, b bigint")
     got = {r.node: r.component for r in common.connected_components(edges, "a", "b").collect()}
