@@ -106,19 +106,20 @@ def _empty_counts(buckets: int, langs: list[str]):
     return np.zeros((buckets, len(langs)), np.int64), np.zeros((len(NAMES), len(langs)), np.int64)
 
 
-def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, max_langs: int = 200, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", smooth: float = 0.5) -> Model:
+def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, cells: int = 1 << 23, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", smooth: float = 0.5) -> Model:
     """Learn n-gram and script statistics from labelled rows.
 
     A seeded hash of the id picks about ``max_docs`` rows when there are more; rows
-    without text or label teach nothing.  The counts are a table of at most
-    ``buckets * languages`` rows whatever the input, summed by Spark.
+    without text or label teach nothing; repeated rows teach again.  The counts are a
+    table of at most ``buckets * languages`` rows whatever the input, summed by Spark;
+    very many labels share fewer buckets, so that the table keeps to ``cells``.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    per_lang = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_langs + 1).collect()
+    per_lang = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()  # a row a label
     langs = sorted(r.lang for r in per_lang)
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} labels")
+    while buckets > 256 and buckets * len(langs) > cells:
+        buckets //= 2
     share = max_docs / max(1, sum(r.n for r in per_lang))
     if share < 1:
         labelled = labelled.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -254,7 +255,9 @@ def language_column(docs: DataFrame, text: Column, model: Model, penalty: float
     """Column of ``struct<lang, score, spans>`` for a text column.
 
     ``lang`` is ``und`` with score 0 for a null text or one without a letter; the
-    score is the share of letters in spans of that language.
+    score is the share of letters in spans of that language.  Of languages that score
+    alike the first in alphabetical order is taken.  Rows are judged one by one, so
+    repeated rows and null ids get results like others.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * languages numbers
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])

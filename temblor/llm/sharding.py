@@ -80,9 +80,10 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> list
 def slotted(docs: DataFrame, n_slots: int = 4096, n_shards: int = 16, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Narrow rows (row, doc_id, size, text_crc32, virtual_slot) of every document.
 
-    The slot is a hash of the text, so equal texts share a slot, except texts that
-    together hold more than 1/(8 * n_shards) of all bytes: at most 8 * n_shards such
-    texts exist, and their rows are spread over all slots by a hash of their id.
+    The slot is a hash of the text, so equal texts share a slot and a shard, except
+    texts that together hold more than 1/n_shards of all bytes and so fit no shard: at
+    most n_shards such texts exist, and their rows are spread over all slots by a hash
+    of their id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
@@ -96,8 +97,8 @@ def slotted(docs: DataFrame, n_slots: int = 4096, n_shards: int = 16, text_col:
         "sizes",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("key").agg(F.sum("size").alias("held"), F.count("*").alias("n")).filter((F.col("held") > total / (8 * n_shards)) & (F.col("n") > 1))
-    hot = [r.key for r in heavy.select("key").collect()]  # fewer than 8 * n_shards rows
+    heavy = rows.groupBy("key").agg(F.sum("size").alias("held"), F.count("*").alias("n")).filter((F.col("held") > total / n_shards) & (F.col("n") > 1))
+    hot = [r.key for r in heavy.select("key").collect()]  # fewer than n_shards rows
     spread = F.xxhash64("key", "doc_id", "row")
     key = F.when(F.col("key").isin(hot), spread).otherwise(F.xxhash64("key")) if hot else F.xxhash64("key")
     return rows.select("row", "doc_id", "size", "text_crc32", F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"))
@@ -109,42 +110,45 @@ def slot_loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.virtual_slot: (r.b, r.n) for r in found}
 
 
-def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = 4096, map_path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = 4096, map_path: str | None = None, text_col: str = "text", id_col: str = "doc_id", bucket_rows: int = 20_000) -> DataFrame:
     """Put every document into one of ``n_shards`` shards of nearly equal bytes.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot,
     map_version``: ``slot`` is the row's place in its shard, gapless from 0 (by
-    virtual slot, then id); ``grown_shard`` is null under the law ``bytes``.  Size is
-    the text's UTF-8 bytes plus 1, 1 for a null text.  Null and repeated ids are
-    rows like others.  With ``map_path`` the map is stored there, and a map already
-    stored is edited rather than made anew.  An empty table gives an empty result.
+    virtual slot); ``grown_shard`` is null under the law ``bytes``.  Size is the text's
+    UTF-8 bytes plus 1, 1 for a null text.  Equal texts go to one shard unless they
+    hold more than a shard's share of all bytes.  Null and repeated ids are rows like
+    others.  The map is written to ``map_path``, or to the session's scratch folder,
+    and rows are placed by the table read back; a map already stored there is edited
+    rather than made anew.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = slotted(docs, n_slots, n_shards, text_col, id_col)
     loads = slot_loads(rows)
-    old = None
-    if map_path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(map_path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            old = read_map(spark, map_path)
-    table = rebalanced_map(old, loads, n_shards) if old else first_map(loads, n_slots, n_shards)
-    if map_path:
-        write_map(spark, table, map_path)
+    path = map_path or materialize(spark.createDataFrame([], MAP_SCHEMA), "map").scratch_path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = map_path and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    write_map(spark, rebalanced_map(read_map(spark, path), loads, n_shards) if stored else first_map(loads, n_slots, n_shards), path)
     before: dict[int, int] = {}
     placed = []
-    for version, slot, to, _, n in table:
-        placed.append((slot, to, before.get(to, 0), version))
+    for version, slot, to, _, n in read_map(spark, path):
+        placed.append((slot, to, before.get(to, 0), version, max(1, -(-n // bucket_rows))))
         before[to] = before.get(to, 0) + n
-    where = spark.createDataFrame(placed, "virtual_slot int, shard int, base long, map_version int")
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "row")
-    ranked = rows.withColumn("rank", F.row_number().over(within))
-    return ranked.join(F.broadcast(where), "virtual_slot").select(  # n_slots rows
+    where = spark.createDataFrame(placed, "virtual_slot int, shard int, base long, map_version int, parts int")
+    # A slot of very many rows, such as a third of all texts being null, is numbered in parts by hash.
+    dealt = rows.join(F.broadcast(where), "virtual_slot").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")))  # n_slots rows
+    counts = materialize(dealt.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")), "parts")
+    earlier = Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.filter("n > 0").withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "row")
+    ranked = dealt.withColumn("rank", F.row_number().over(within)).join(starts, ["virtual_slot", "part"])
+    return ranked.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"),
+        (F.col("base") + F.col("start") + F.col("rank") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         "map_version",

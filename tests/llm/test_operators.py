@@ -205,6 +205,15 @@ def test_sharding(spark, tmp_path):
     assert len(got) == len(texts) and len(size) == 4 and size.max() - size.min() < 0.03 * size.mean()
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    assert got[got.doc_id >= len(texts) - 400].shard.nunique() == 1
+    in_parts = sharding.shard(docs_of(spark, texts), n_shards=4, n_slots=512, bucket_rows=7).toPandas()
+    assert in_parts.set_index("doc_id").shard.sort_index().tolist() == got.set_index("doc_id").shard.sort_index().tolist()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in in_parts.groupby("shard"))
+    thin = sharding.shard(docs_of(spark, texts), n_shards=16, n_slots=512).toPandas()  # there the hot text fits no shard
+    held = thin.groupby("shard")["size"].sum()
+    assert held.max() - held.min() < 0.05 * held.mean() and thin[thin.doc_id >= len(texts) - 400].shard.nunique() > 1
+    nulls = sharding.shard(docs_of(spark, [None] * 300 + texts[:60]), n_shards=4, n_slots=64, bucket_rows=20).toPandas()
+    assert nulls[nulls.doc_id < 300].shard.nunique() == 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in nulls.groupby("shard"))
     by_id = got.set_index("doc_id")
     import zlib
 
