@@ -17,7 +17,7 @@ HEADLINE = ["filter_dashboard", "enrich", "daily_counts", "inter_event_stats", "
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = session("bench", spark__master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__warehouse__dir="/tmp/temblor-warehouse")
+    spark = session("bench", spark__master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__warehouse__dir="/tmp/temblor-warehouse", spark__checkpoint__dir="file:///tmp/temblor-scratch")
     spark.sparkContext.setLogLevel("OFF")
     from temblor.plans.catalogue_queries import QUERIES
 

@@ -199,9 +199,8 @@ def parse_time(text: Column, style: str = "auto") -> Column:
     digits = F.when(t.rlike(r"^\d+$"), F.when(whole < 10_000_000_000, F.timestamp_millis(whole * 1000)).otherwise(F.timestamp_millis(whole)))
     tried = []
     for pattern in ("dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd"):
-        for clock in (" HH:mm:ss", " HH:mm:ss.SSS", ""):
-            got = F.try_to_timestamp(t, F.lit(pattern + clock))
-            tried.append(F.when(F.year(got).between(1700, 2100), got))
+        got = F.try_to_timestamp(t, F.lit(pattern + "[ HH:mm:ss[.SSS]]"))
+        tried.append(F.when(F.year(got).between(1700, 2100), got))
     parts = F.split(F.get(F.split(t, r"[\sT]+"), F.lit(0)), r"[-/.]")
     head, second = (F.regexp_extract(F.coalesce(F.get(parts, F.lit(i)), F.lit("")), r"^\s*(\d+)", 1).try_cast("int") for i in (0, 1))
     guessed = F.when(head > 31, _ordered_date(t, "ymd")).when(head > 12, _ordered_date(t, "dmy")).when(second > 12, _ordered_date(t, "mdy")).otherwise(_ordered_date(t, "dmy"))

@@ -42,7 +42,7 @@ def priority_cover(rows: DataFrame, covers: DataFrame) -> DataFrame:
     undecided or main coverer become mains, rows covered by a main depend; each round
     settles the highest undecided rank, and in practice nearly everything.
     """
-    waiting = written(covers.select("main", "dep").distinct(), "covers")
+    waiting = written(covers.select("main", "dep"), "covers")
     mains = written(rows.select("row_idx").join(waiting.select(F.col("dep").alias("row_idx")), "row_idx", "left_anti"), "mains")
     found = mains
     while True:
@@ -68,11 +68,11 @@ def window_decluster(cat: DataFrame, window: tuple[Column, Column], foreshock_sh
     share = min(1.0, max(0.0, foreshock_share))
     rows = cat.select("row_idx", "latitude", "longitude", "timeMs", "magnitude")
     mains = rows.withColumn("radius_km", radius).withColumn("after_ms", days * DAY_MS).withColumn("before_ms", F.col("after_ms") * share)
-    pairs = written(window_pairs(mains, rows).withColumn("m_rank", priority("m_", by_time)).withColumn("d_rank", priority("d_", by_time)).select("main", "dep", "m_rank", "d_rank"), "windows")
-    is_main = priority_cover(rows, pairs.filter("m_rank < d_rank")).withColumn("is_main", F.lit(True))
-    is_main = written(is_main, "mains")
-    real = pairs.join(is_main.select(F.col("row_idx").alias("main")), "main", "left_semi")
-    member = written(real.groupBy("dep").agg(F.min("m_rank").alias("owner")), "members")
+    # Only windows that can decide who is a main are written; members come from a second join of the few mains.
+    covers = window_pairs(mains, rows).filter(priority("m_", by_time) < priority("d_", by_time)).select("main", "dep")
+    is_main = written(priority_cover(rows, covers).withColumn("is_main", F.lit(True)), "mains")
+    real = window_pairs(mains.join(is_main.select("row_idx"), "row_idx", "left_semi"), rows)
+    member = written(real.groupBy("dep").agg(F.min(priority("m_", by_time)).alias("owner")), "members")
     owners = member.select(F.col("owner").alias("rank")).distinct()
     order = numbered(owners, [F.col("rank")], "cluster_id").select("rank", F.col("cluster_id").cast("int").alias("cluster_id"))
     order = written(order, "order")

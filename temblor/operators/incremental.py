@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,3 +50,24 @@ def ingest_report(features: DataFrame, **rule) -> DataFrame:
     s = features.withColumn("status", feature_status(**rule))
     ids = s.filter("status = 'accepted'").groupBy("eventID").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("duplicate").alias("status"), "n")
     return s.groupBy("status").agg(F.count("*").alias("n")).unionByName(ids)
+
+
+def ingest_warnings(report: DataFrame, failed_requests: int = 0, truncated_pages: int = 0) -> list[str]:
+    """What a user should know of an ingest: failed, truncated, partial, invalid and repeated data."""
+    n = {r.status: r.n for r in report.collect()}  # a row a status
+    told = [
+        (failed_requests and not n.get("accepted"), "all requests failed"),
+        (failed_requests and n.get("accepted"), f"partial data: {failed_requests} requests failed"),
+        (truncated_pages, f"truncated: {truncated_pages} pages were cut at the service's limit"),
+        (n.get("invalid"), f"{n.get('invalid')} events miss required values"),
+        (n.get("duplicate"), f"{n.get('duplicate')} events came more than once"),
+    ]
+    return [text for holds, text in told if holds]
+
+
+def initial_load(stored: DataFrame, fetch: Callable[[int, int], DataFrame], now_ms: int, days: int = 365) -> DataFrame:
+    """The last ``days`` of events: from the store if it reaches back that far, else fetched and merged with it."""
+    start = now_ms - days * 86_400_000
+    if missing_interval(stored, start).isEmpty():
+        return stored.filter(F.col("timeMs").between(start, now_ms))
+    return merge_existing_wins(stored, fetch(start, now_ms)).filter(F.col("timeMs").between(start, now_ms))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window, WindowSpec
 
 from temblor.functions import scalar
@@ -186,8 +187,13 @@ def histogram(cat: DataFrame, name: str, bins: int = 20) -> DataFrame:
     )
 
 
-def top_values(cat: DataFrame, column: str, keep: int = 7) -> DataFrame:
-    """Rows with ``grp``: the ``keep`` most frequent values (ties to the smaller) and 'Other'."""
+def top_values(cat: DataFrame, column: str, keep: int = 7, by_value: int = 8) -> DataFrame:
+    """Rows with ``grp``: the ``keep`` most frequent values (ties to the smaller) and 'Other'.
+
+    A numeric column of at most ``by_value`` distinct values is grouped by all of them.
+    """
+    if isinstance(cat.schema[column].dataType, NumericType) and cat.select(column).distinct().limit(by_value + 1).count() <= by_value:
+        return cat.withColumn("grp", F.coalesce(F.col(column).cast("string"), F.lit("Unknown")))
     counted = cat.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("Unknown")).alias("grp")).agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "grp").limit(keep).select("grp", F.lit(True).alias("kept"))
     named = cat.withColumn("_g", F.coalesce(F.col(column).cast("string"), F.lit("Unknown")))

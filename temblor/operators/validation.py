@@ -132,6 +132,20 @@ def import_statistics(checked: DataFrame, skipped: int = 0) -> DataFrame:
     return out.withColumn("success_rate", F.round(100.0 * F.col("valid") / F.nullif(F.col("total"), F.lit(0)), 1)).crossJoin(sample)
 
 
+def error_counts(checked: DataFrame) -> DataFrame:
+    """(error, severity, n): rows of each error; values that are missing or no values are errors, others warnings."""
+    severity = F.when(F.col("error").startswith("invalid"), "error").otherwise("warning")
+    return checked.filter("error is not null").groupBy("error").agg(F.count("*").alias("n")).select("error", severity.alias("severity"), "n")
+
+
+def error_report(checked: DataFrame, most: int = 1000, row: str = "row_idx") -> DataFrame:
+    """(row, description) of the first ``most`` faulty rows in order, and a last line, of row null, if there are more."""
+    bad = checked.filter("error is not null").select(F.col(row).cast("bigint").alias("row"), F.col("error").alias("description"))
+    more = bad.agg((F.count("*") - most).alias("n")).filter("n > 0")
+    note = more.select(F.lit(None).cast("bigint").alias("row"), F.concat(F.lit("and "), F.col("n").cast("string"), F.lit(" more")).alias("description"))
+    return bad.orderBy("row").limit(most).unionByName(note)
+
+
 def quality_errors(cat: DataFrame, now_ms: int | None = None) -> list[str]:
     """Complaints about a whole catalogue: empty, or extremes out of bounds."""
     r = cat.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("magnitude", "depth", "timeMs") for n, f in (("lo", F.min), ("hi", F.max))], F.unix_millis(F.current_timestamp()).alias("now")).first()

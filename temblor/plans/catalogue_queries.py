@@ -347,7 +347,9 @@ def aftershock_counts(cat):
     return declustering.aftershock_counts(cat.filter("magnitude >= 4"), cat)
 
 
-@query()
+@query(f"""WITH cat_ AS (SELECT {SHARED}, epoch_us(ts) // 1000 AS timeMs FROM events), cat AS (SELECT * FROM cat_ WHERE magnitude >= 4), {STAGE1}, {STAGE2}
+    SELECT m.row_idx, m.magnitude, count(*) AS aftershocks FROM mains m JOIN cat_ d ON d.timeMs > m.timeMs AND d.timeMs - m.timeMs <= 864000000
+    AND {km("m.latitude", "m.longitude", "d.latitude", "d.longitude")} <= 3 * pow(10, 0.59e0 * m.magnitude - 2.44e0) GROUP BY 1, 2 ORDER BY 2 DESC, 1 LIMIT 10""")
 def significant_mainshocks(cat):
     return declustering.significant_mainshocks(cat, 4.0, more_than=0).select("row_idx", "magnitude", "aftershocks")
 
@@ -459,14 +461,26 @@ def dbscan(cat):
     return density.dbscan(cat, 5.0, 5)
 
 
-@query()
+def _density(near: str, least: int) -> str:
+    """Density clusters over neighbour pairs nb(a, b)."""
+    return f"""{near}, core AS (SELECT a AS c FROM nb GROUP BY 1 HAVING count(*) + 1 >= {least}), ce AS (SELECT a, b FROM nb WHERE a IN (FROM core) AND b IN (FROM core)),
+    reach(src, dst) AS (SELECT c, c FROM core UNION SELECT r.src, ce.b FROM reach r JOIN ce ON ce.a = r.dst), comp AS (SELECT src AS c, min(dst) AS k FROM reach GROUP BY 1),
+    num AS (SELECT c, (dense_rank() OVER (ORDER BY k) - 1)::INTEGER AS id FROM comp), bord AS (SELECT a, min(id) AS id FROM nb JOIN num ON num.c = nb.b WHERE a NOT IN (FROM core) GROUP BY 1)
+    SELECT cat.row_idx, coalesce(num.id, bord.id, -1)::INTEGER AS cluster_id, num.id IS NOT NULL AS core FROM cat LEFT JOIN num ON num.c = cat.row_idx LEFT JOIN bord ON bord.a = cat.row_idx"""
+
+
+@query("WITH RECURSIVE " + CAT + ", " + PLANE + ", " + _density(f"""g AS (SELECT xy.*, latitude, longitude, floor(x / 5.75e0)::BIGINT AS cx, floor(y / 5.75e0)::BIGINT AS cy FROM xy JOIN cat USING (row_idx)), o(i) AS (VALUES (-1), (0), (1)),
+    nb AS (SELECT a.row_idx AS a, b.row_idx AS b FROM g a, o p, o q, g b WHERE b.cx = a.cx + p.i AND b.cy = a.cy + q.i AND a.row_idx <> b.row_idx AND abs(a.timeMs - b.timeMs) <= 7 * 86400000
+        AND abs(a.x - b.x) <= 1.15e0 * 5 AND abs(a.y - b.y) <= 1.15e0 * 5 AND {km("a.latitude", "a.longitude", "b.latitude", "b.longitude")} <= 5)""", 4))
 def st_dbscan(cat):
     return density.st_dbscan(cat, 5.0, 7.0, 4)
 
 
-@query()
+@query(f"""WITH {CAT}, {PLANE}, g AS (SELECT *, floor(x / 5)::BIGINT AS cx, floor(y / 5)::BIGINT AS cy FROM xy), o(i) AS (VALUES (-1), (0), (1)),
+    nb AS (SELECT a.row_idx, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM g a, o p, o q, g b WHERE b.cx = a.cx + p.i AND b.cy = a.cy + q.i AND a.row_idx <> b.row_idx),
+    n4 AS (SELECT row_idx, d FROM nb WHERE d <= 5 QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY d) = 4) SELECT row_idx, round(d, 6) AS core_km FROM cat LEFT JOIN n4 USING (row_idx)""")
 def optics_distances(cat):
-    return density.optics_core_distances(cat, 5.0, 5)
+    return density.optics_core_distances(cat, 5.0, 5).select("row_idx", *r6("core_km"))
 
 
 @query()
@@ -500,22 +514,47 @@ def nearest_neighbour_clusters(cat):
     return links.nearest_neighbour_clusters(cat).select("row_idx", "cluster_id")
 
 
-@query()
+def _greedy(rows: str, order: str) -> str:
+    """Mains: the highest rank left is taken again and again, and what its window covers leaves."""
+    return f"""rk AS (SELECT row_idx AS i, row_number() OVER (ORDER BY {order}) AS r FROM {rows}),
+    u(step, i, r) AS (SELECT 0, i, r FROM rk UNION ALL SELECT step + 1, u.i, u.r FROM u, (SELECT arg_min(i, r) AS top FROM u) t WHERE u.i <> t.top AND NOT EXISTS (SELECT 1 FROM cov WHERE cov.main = t.top AND cov.dep = u.i)),
+    mains AS (SELECT arg_min(i, r) AS main, min(r) AS r FROM u GROUP BY step)"""
+
+
+def _windowed(radius: str, days: str, share: str = "1e0", order: str = "magnitude DESC, timeMs, row_idx") -> str:
+    return f"""WITH RECURSIVE {CAT}, w AS (SELECT *, {radius} AS rad, ({days}) * 86400000e0 AS span FROM cat),
+    cov AS (SELECT m.row_idx AS main, d.row_idx AS dep FROM w m JOIN cat d ON m.row_idx <> d.row_idx AND d.timeMs - m.timeMs <= m.span AND m.timeMs - d.timeMs <= m.span * {share}
+        AND {km("m.latitude", "m.longitude", "d.latitude", "d.longitude")} <= m.rad), {_greedy("cat", order)},
+    mem AS (SELECT dep, min(r) AS owner FROM cov JOIN mains USING (main) GROUP BY 1), num AS (SELECT owner, row_number() OVER (ORDER BY owner) - 1 AS id FROM (SELECT DISTINCT owner FROM mem)),
+    lab AS (SELECT rk.i AS row_idx, greatest(coalesce(a.id, -1), coalesce(b.id, -1))::INTEGER AS cluster_id, mains.main IS NOT NULL AS is_main, mem.owner IS NOT NULL AS dependent
+        FROM rk LEFT JOIN mains ON mains.main = rk.i LEFT JOIN mem ON mem.dep = rk.i LEFT JOIN num a ON a.owner = mem.owner LEFT JOIN num b ON b.owner = mains.r)"""
+
+
+GK = ("pow(10, 0.1238e0 * magnitude + 0.983e0)", "CASE WHEN magnitude >= 6.5 THEN pow(10, 0.032e0 * magnitude + 2.7389e0) ELSE pow(10, 0.5409e0 * magnitude - 0.547e0) END")
+
+
+@query(f"{_windowed(*GK)} SELECT row_idx, cluster_id, is_main, dependent FROM lab")
 def gardner_knopoff(cat):
     return declustering.gardner_knopoff(cat)
 
 
-@query()
+@query(f"{_windowed(*GK, order='magnitude DESC, row_idx')} SELECT row_idx FROM lab WHERE is_main AND NOT dependent")
 def gardner_knopoff_mainshocks(cat):
     return declustering.gardner_knopoff_mainshocks(cat).select("row_idx")
 
 
-@query()
+@query(f"{_windowed('exp(-1.024e0 + 0.804e0 * magnitude)', 'exp(-2.870e0 + 1.235e0 * magnitude)', '0.5e0')} SELECT row_idx, cluster_id, is_main, dependent FROM lab")
 def uhrhammer(cat):
     return declustering.uhrhammer(cat, 0.5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CAT}, sup AS (SELECT DISTINCT d.row_idx FROM cat d JOIN cat m ON m.magnitude > d.magnitude AND m.timeMs < d.timeMs AND d.timeMs - m.timeMs < 3 * 365.25e0 * 86400000e0
+        AND {km("m.latitude", "m.longitude", "d.latitude", "d.longitude")} <= 5 * pow(10, 0.59e0 * m.magnitude - 2.44e0) WHERE d.magnitude >= 4),
+    valid AS (SELECT * FROM cat WHERE magnitude >= 4 AND row_idx NOT IN (FROM sup)),
+    cov AS (SELECT m.row_idx AS main, d.row_idx AS dep FROM valid m JOIN cat d ON d.timeMs > m.timeMs AND d.timeMs - m.timeMs <= 864000000
+        AND {km("m.latitude", "m.longitude", "d.latitude", "d.longitude")} <= greatest(10e0, 3 * pow(10, 0.59e0 * m.magnitude - 2.44e0))), {_greedy("valid", "magnitude DESC, row_idx")},
+    num AS (SELECT main, r, (row_number() OVER (ORDER BY r) - 1)::INTEGER AS id FROM mains), mem AS (SELECT dep, min(id) AS id FROM cov JOIN num USING (main) WHERE dep NOT IN (SELECT main FROM mains) GROUP BY 1)
+    SELECT cat.row_idx, coalesce(num.id, mem.id, -1)::INTEGER AS cluster_id FROM cat LEFT JOIN num ON num.main = cat.row_idx LEFT JOIN mem ON mem.dep = cat.row_idx""")
 def hardebeck(cat):
     return declustering.hardebeck(cat, 4.0)
 
@@ -585,10 +624,13 @@ def marked_events(cat):
     return clusters.marked(cat, _nests(cat)).select("row_idx", "cluster_id", "is_largest", "is_first")
 
 
-@query("SELECT 'Feature' AS type, count(*) AS n FROM cat")
+@query("SELECT 'Feature' AS type, 'Point' AS shape, longitude, latitude, -depth AS height, eventID, magnitude, timeMs FROM cat")
 def export_geojson(cat):
-    lines = sinks.geojson_features(cat)
-    return lines.groupBy(F.get_json_object("value", "$.type").alias("type")).agg(F.count("*").alias("n"))
+    """Every feature of the export, its geometry and its properties."""
+    kind = "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<eventID: string, magnitude: double, timeMs: bigint>"
+    f = sinks.geojson_features(cat).select(F.from_json("value", kind).alias("f"))
+    at = F.col("f.geometry.coordinates")
+    return f.select("f.type", F.col("f.geometry.type").alias("shape"), at[0].alias("longitude"), at[1].alias("latitude"), at[2].alias("height"), "f.properties.*")
 
 
 @query("SELECT row_idx, strftime(make_timestamp(timeMs * 1000), '%d/%m/%Y %H:%M:%S') AS shown, strftime(make_timestamp(timeMs * 1000), '%d/%m/%Y') AS day FROM cat")

@@ -5,28 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and return the table.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``, removed when the session ends.
 
-    Cuts the lineage of iterative plans; survives lost executors.  Only a local
-    session without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not hasattr(written, "own"):
-            written.own = "file://" + tempfile.mkdtemp(prefix="temblor-")
-        root = written.own
-    path = f"{root}/catalogue-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not hasattr(scratch_path, "own"):
+            scratch_path.own = "file://" + tempfile.mkdtemp(prefix="temblor-")
+        root = scratch_path.own
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/catalogue-{uuid.uuid4().hex}/{name}")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    out = spark.read.schema(df.schema).parquet(path)
+    return place.toString()
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the table.
+
+    Cuts the lineage of iterative plans; survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 

@@ -154,7 +154,8 @@ def excel(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(work, "row_idx bigint, " + ", ".join(f"`{n}` string" for n in names))
 
 
-_QUANTITY = "struct<value:string>"
+#: A quantity has its number in a ``value`` element, or bare between its own tags.
+_QUANTITY = "struct<value:string,_VALUE:string>"
 QUAKEML = f"""_publicID string, preferredOriginID string, preferredMagnitudeID string, type string,
     origin array<struct<_publicID:string,time:{_QUANTITY},latitude:{_QUANTITY},longitude:{_QUANTITY},depth:{_QUANTITY},evaluationMode:string,evaluationStatus:string>>,
     magnitude array<struct<_publicID:string,mag:{_QUANTITY},type:string>>, description array<struct<text:string,type:string>>"""
@@ -170,15 +171,16 @@ def quakeml(spark: SparkSession, path: str) -> DataFrame:
     table = table.withColumn("row_idx", F.monotonically_increasing_id())
     pick = lambda items, wanted: F.coalesce(F.get(F.filter(items, lambda o: o["_publicID"] == F.col(wanted)), F.lit(0)), F.get(items, F.lit(0)))
     t = table.withColumn("o", pick("origin", "preferredOriginID")).withColumn("m", pick("magnitude", "preferredMagnitudeID"))
+    number = lambda path: F.coalesce(F.col(f"{path}.value"), F.trim(F.col(f"{path}._VALUE")))
     region = F.get(F.filter("description", lambda d: d["type"] == "region name"), F.lit(0))["text"]
     return t.select(
         "row_idx",
         F.coalesce(F.element_at(F.split("_publicID", "/"), -1), F.concat(F.lit("qml_"), F.col("row_idx").cast("string"))).alias("eventID"),
-        F.col("o.time.value").alias("time"),
-        F.col("o.latitude.value").alias("latitude"),
-        F.col("o.longitude.value").alias("longitude"),
-        (F.coalesce(F.col("o.depth.value").try_cast("double"), F.lit(0.0)) / 1000).cast("string").alias("depth"),
-        F.col("m.mag.value").alias("magnitude"),
+        number("o.time").alias("time"),
+        number("o.latitude").alias("latitude"),
+        number("o.longitude").alias("longitude"),
+        (F.coalesce(number("o.depth").try_cast("double"), F.lit(0.0)) / 1000).cast("string").alias("depth"),
+        number("m.mag").alias("magnitude"),
         F.col("m.type").alias("magnitudeType"),
         F.col("o.evaluationMode").alias("evaluationMode"),
         F.col("o.evaluationStatus").alias("evaluationStatus"),

@@ -11,7 +11,7 @@ from temblor.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("tests", spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g", spark__sql__warehouse__dir="/tmp/temblor-warehouse")
+    s = session("tests", spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g", spark__sql__warehouse__dir="/tmp/temblor-warehouse", spark__checkpoint__dir="file:///tmp/temblor-scratch")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
