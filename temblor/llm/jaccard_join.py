@@ -148,8 +148,8 @@ def _prefixes(sketch: DataFrame, spare: DataFrame, rule: Rule) -> DataFrame:
     return prefixes
 
 
-def _by_rarity(rows: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Prefixes of some documents when all their tokens are ordered by frequency among them.
+def _by_rarity(texts: DataFrame, rule: Rule) -> DataFrame:
+    """Prefixes of the documents of ``texts`` when all their tokens are ordered by frequency among them.
 
     Order 1 counts only a share of the tokens of the whole corpus; for the documents
     that are left to compare pair by pair it is replaced by this sharper order, in
@@ -164,7 +164,7 @@ def _by_rarity(rows: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 tokens = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(np.diff(held), pa.int64()), tokens], names=["row", "n", "tokens"])
 
-    sets = texts.join(rows, "row", "left_semi").select("row", "text").mapInArrow(work, "row long, n long, tokens array<long>")
+    sets = texts.select("row", "text").mapInArrow(work, "row long, n long, tokens array<long>")
     sets = materialize(sets, "sets")
     every = sets.select("row", "n", F.explode("tokens").alias("token"))
     shared = materialize(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
@@ -298,10 +298,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
                 break
             if turn == 1:
                 left = materialize(live.select("row").distinct(), "left")
-                discard(whole)
-                discard(prefixes)
-                prefixes = _by_rarity(left, texts, rule)
-                discard(left)
+                # From here on only these documents meet, so only their texts move.
+                fewer = [materialize(table.join(left, "row", "left_semi"), name) for table, name in ((texts, "texts"), (meta, "meta"))]
+                for table in (whole, prefixes, texts, meta, left):
+                    discard(table)
+                texts, meta = fewer
+                prefixes = _by_rarity(texts, rule)
                 whole = mixed_rows(prefixes)
                 live, n_pairs, n_rows = _viable(whole, rule)
                 if not n_rows:
