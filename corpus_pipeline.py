@@ -16,30 +16,40 @@ from temblor.llm.queries import TOKENIZER
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a letter go; mixed texts stay, and all if no row has a label to learn from."""
+    """Language ID: texts without a letter go; mixed texts stay, and all if no row has a label to learn from.
+
+    Null and empty texts go; repeated rows and null ids are judged by their texts like others.
+    """
     model = language_id.fit(docs)
     if not model.langs:
         return docs
-    name = "_language"
+    name = common.unused(docs, "language_found")
     found = docs.withColumn(name, language_id.language_column(docs, F.col("text"), model))
     return found.filter(F.col(f"{name}.score") > 0).drop(name)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the largest doc_id stays."""
+    """Exact dedup: of equal texts the largest doc_id stays, of its repeated rows one; rows without an id stay."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: of each component at similarity 0.8 on five-word shingles the smallest doc_id stays."""
+    """Near duplicates: of each component at similarity 0.8 on five-word shingles the smallest doc_id stays.
+
+    Texts without words are near nothing and stay; rows without an id stay.
+    """
     return jaccard_join.drop_near_copies(docs, jaccard_join.Rule(5, 80, 100))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: the same rows in the order of the mix, which the last stage reads off the written files."""
-    places = mixing.mix(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
-    placed = docs.join(places, docs.doc_id == places["_id"], "left")
-    return placed.orderBy(F.col("_position").asc_nulls_last()).drop("_id", "_position")
+    """Mixing: the same rows in the order of the mix, which the last stage reads off the written files.
+
+    Rows of one id stand at the place of the first; rows without an id come last.
+    """
+    key, place = common.unused(docs, "mix_id"), common.unused(docs, "mix_position")
+    places = mixing.mix(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("position").alias(place))
+    placed = docs.join(places, docs.doc_id == places[key], "left")
+    return placed.orderBy(F.col(place).asc_nulls_last()).drop(key, place)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

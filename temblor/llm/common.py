@@ -48,6 +48,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by :func:`materialize` that nothing reads any more."""
     fs, p = _path(df.sparkSession, df.scratch_path)

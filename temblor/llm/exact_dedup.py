@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temblor.llm.common import materialize
+from temblor.llm.common import materialize, unused
 
 
 def chunks(text: Column, min_chars: int = 512, max_chars: int = 4096) -> Column:
@@ -97,14 +97,15 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
     Rows without an id can't be addressed by a decision and stay.
     """
     marks = exact_dedup(docs, text_col, id_col, **params).filter("not kept and doc_id is not null")
-    # An id may stand for several texts, so copies are told by id and digest.
-    marks = materialize(marks.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"), "repeated"), "dropped")
-    gone = marks.filter("not repeated").select("_gone", "_gone_sha").distinct()
-    twice = marks.filter("repeated").select("_gone", "_gone_sha").distinct()
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    same = (F.col(id_col) == F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha"))
+    # An id may stand for several texts, so copies are told by id and digest; names are such as the input lacks.
+    sha, gone_id, gone_sha = (unused(docs, n) for n in ("copy_sha", "copy_id", "copy_of"))
+    marks = materialize(marks.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha), "repeated"), "dropped")
+    gone = marks.filter("not repeated").select(gone_id, gone_sha).distinct()
+    twice = marks.filter("repeated").select(gone_id, gone_sha).distinct()
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    same = (F.col(id_col) == F.col(gone_id)) & (F.col(sha) == F.col(gone_sha))
     rest = keyed.join(gone, same, "left_anti")
     if twice.isEmpty():
-        return rest.drop("_sha")
-    single = rest.join(twice, same, "left_semi").dropDuplicates([id_col, "_sha"])
-    return rest.join(twice, same, "left_anti").unionByName(single).drop("_sha")
+        return rest.drop(sha)
+    single = rest.join(twice, same, "left_semi").dropDuplicates([id_col, sha])
+    return rest.join(twice, same, "left_anti").unionByName(single).drop(sha)

@@ -10,6 +10,7 @@ its texts are compared exactly.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 
 from temblor.llm.common import connected_components, discard, materialize, mix64, prefix_hash, span_hash, text_slices
 
+LONG_WORD = 128  # bytes
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 _lower = np.arange(256, dtype=np.uint8)
@@ -59,6 +61,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     starts = np.flatnonzero(~blank & (before | first[:-1]))
     ends = np.flatnonzero(~blank & (after | first[1:])) + 1
     words = span_hash(prefix_hash(data), starts, ends)
+    # Powers modulo 2**64 can't tell some long words apart.
+    for i in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     bounds = np.searchsorted(starts, offsets)
     grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):

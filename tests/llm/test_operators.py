@@ -99,6 +99,17 @@ def test_jaccard_join_odd_tables(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_long_words_are_told_apart():
+    """A Thue-Morse word and its complement agree in every polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other}".encode(), np.uint8)
+    a, b = jaccard_join.shingle_sets(data, np.array([0, len(word) + 1, len(data)]), 3)
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
 def test_exact_dedup(spark):
     texts = ODD + ["line one.\n" * 300, "line one.\n" * 300, "line one.\n" * 299]
     got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs_of(spark, texts)).collect()}

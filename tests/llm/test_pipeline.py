@@ -85,3 +85,20 @@ def test_copies_go_by_id_and_text(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = corpus_pipeline.deduplicated(spark, docs, str(tmp_path))
     assert sorted((x.doc_id, x.text or "") for x in kept.collect()) == [(5, "B"), (7, "C"), (7, "D"), (8, ""), (9, "A")] and kept.columns == docs.columns
+
+
+def test_odd_tables(spark, tmp_path):
+    """Columns named like those the stages use, null and repeated ids, and no rows at all."""
+    extra = ["_language", "language_found", "mix_id", "mix_position", "_id", "_position", "copy_sha", "copy_id", "row", "id"]
+    rows = [(i, f"some words of text number {i} that differ", "en", "s", 1, *[str(i)] * len(extra)) for i in (1, 2, 3, 3)]
+    rows += [(3, "another text of the same id here", "en", None, 1, *["x"] * len(extra)), (None, "a text without id is here", "en", "s", 1, *["y"] * len(extra))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in extra))
+    for data, want in ((docs, 5), (docs.limit(0), 0)):
+        now = data
+        for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{want}{n}")
+            stage(spark, now, str(tmp_path)).write.parquet(path)
+            now = spark.read.parquet(path)
+            if n < 4:
+                assert now.columns == data.columns
+        assert now.count() == want
