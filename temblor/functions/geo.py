@@ -112,9 +112,10 @@ def compass(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def nearest_place(lat: Column, lon: Column) -> Column:
     """Struct (d, no, name, plat, plon) of the nearest place nearer than 100 km, else null; the first wins ties."""
-    near = [F.struct(haversine_km(lat, lon, p_lat, p_lon).alias("d"), F.lit(i).alias("no"), F.lit(name).alias("name"), F.lit(p_lat).alias("plat"), F.lit(p_lon).alias("plon")) for i, (name, p_lat, p_lon) in enumerate(schema.PLACES)]
-    best = F.least(*near)
-    return F.when(best["d"] < 100, best)
+    places = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(name).alias("name"), F.lit(p_lat).alias("plat"), F.lit(p_lon).alias("plon")) for i, (name, p_lat, p_lon) in enumerate(schema.PLACES)])
+    # One formula over a constant array: written out for each place the generated code would be too long to compile.
+    away = F.transform(places, lambda p: F.struct(haversine_km(lat, lon, p["plat"], p["plon"]).alias("d"), p["no"].alias("no"), p["name"].alias("name"), p["plat"].alias("plat"), p["plon"].alias("plon")))
+    return F.array_min(F.filter(away, lambda p: p["d"] < 100))
 
 
 def region_name(lat: Column, lon: Column, fix_inverted_bounds: bool = False) -> Column:
@@ -133,9 +134,9 @@ def region_name(lat: Column, lon: Column, fix_inverted_bounds: bool = False) ->
     return out
 
 
-def locality_name(lat: Column, lon: Column, fix_inverted_bounds: bool = False) -> Column:
-    """Readable locality of a point."""
-    near = nearest_place(lat, lon)
+def locality_name(lat: Column, lon: Column, fix_inverted_bounds: bool = False, near: Column | None = None) -> Column:
+    """Readable locality of a point; ``near`` is its nearest place if a column has it already."""
+    near = nearest_place(lat, lon) if near is None else near
     way = compass(near["plat"], near["plon"], lat, lon)
     km = F.floor(near["d"] + 0.5).cast("bigint").cast("string")
     beyond = F.when(lat < -47, "South of New Zealand").when(lat > -34, "North of New Zealand").when((lon > 179) | (lon < -175), "East of New Zealand").when(lon < 166, "West of New Zealand").otherwise("New Zealand region")

@@ -103,7 +103,9 @@ def enriched(cat: DataFrame, fix_inverted_bounds: bool = False) -> DataFrame:
         cat.withColumn("magBin", scalar.magnitude_bin(F.col("magnitude")))
         .withColumn("depthCategory", scalar.depth_category(F.col("depth")))
         .withColumn("year", F.year(F.timestamp_millis("timeMs")))
-        .withColumn("locality", F.when(blank, geo.locality_name(F.col("latitude"), F.col("longitude"), fix_inverted_bounds)).otherwise(F.col("locality")))
+        .withColumn("_near", F.when(blank, geo.nearest_place(F.col("latitude"), F.col("longitude"))))
+        .withColumn("locality", F.when(blank, geo.locality_name(F.col("latitude"), F.col("longitude"), fix_inverted_bounds, F.col("_near"))).otherwise(F.col("locality")))
+        .drop("_near")
     )
 
 
