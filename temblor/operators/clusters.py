@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from temblor.functions import scalar
 from temblor.functions.scalar import DAY_MS
+from temblor.scratch import written
 
 
 def with_sizes(labelled: DataFrame) -> DataFrame:
@@ -36,13 +36,16 @@ def result_summary(labelled: DataFrame) -> DataFrame:
     )
 
 
+def _largest_first(magnitude: str = "magnitude") -> Column:
+    """Smaller for larger events, earlier ones on ties, then by row; ``m`` and ``t`` give magnitude and time."""
+    return F.struct((-F.col(magnitude)).alias("k"), F.col("timeMs").alias("t"), F.col("row_idx").alias("i"), F.col(magnitude).alias("m"))
+
+
 def equivalent_events(cat: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a cluster: size, centroid, summed moment and its magnitude, largest and second largest event,
     duration, percent of events before the largest, time and magnitude differences of the two."""
     rows = cat.join(labels.filter("cluster_id >= 0").select("row_idx", "cluster_id"), "row_idx")
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("magnitude"), "timeMs", "row_idx")
-    rows = rows.withColumn("r", F.row_number().over(order))
-    pick = lambda c, r: F.max(F.when(F.col("r") == r, F.col(c)))
+    rows = rows.withColumn("place", _largest_first())
     one = rows.groupBy("cluster_id").agg(
         F.count("*").alias("events"),
         F.avg("latitude").alias("latitude"),
@@ -51,13 +54,15 @@ def equivalent_events(cat: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum(scalar.cluster_moment(F.col("magnitude"))).alias("moment"),
         F.min("timeMs").alias("first_ms"),
         F.max("timeMs").alias("last_ms"),
-        pick("magnitude", 1).alias("largest"),
-        pick("timeMs", 1).alias("largest_ms"),
-        pick("magnitude", 2).alias("second"),
-        pick("timeMs", 2).alias("second_ms"),
+        F.min("place").alias("top"),
+    )
+    # A second aggregate instead of a window, so that tasks share a cluster of any size.
+    one = written(one.select("*", F.col("top.m").alias("largest"), F.col("top.t").alias("largest_ms")), "clusters")
+    rest = rows.join(one.select("cluster_id", "top"), "cluster_id").groupBy("cluster_id").agg(
+        F.min(F.when(F.col("place") > F.col("top"), F.col("place"))).alias("next"),
+        F.count_if(F.col("timeMs") < F.col("top.t")).alias("before"),
     )
-    before = rows.join(one.select("cluster_id", "largest_ms"), "cluster_id").groupBy("cluster_id").agg(F.count_if(F.col("timeMs") < F.col("largest_ms")).alias("before"))
-    out = one.join(before, "cluster_id")
+    out = one.join(rest.select("cluster_id", "before", F.col("next.m").alias("second"), F.col("next.t").alias("second_ms")), "cluster_id")
     days = F.greatest(F.lit(0.001), (F.col("last_ms") - F.col("first_ms")) / DAY_MS)
     return out.select("cluster_id", "events", "latitude", "longitude", "depth", "moment", scalar.equivalent_magnitude(F.col("moment")).alias("magnitude"), "largest", "largest_ms", "second", days.alias("days"), (100.0 * F.col("before") / F.col("events")).alias("foreshock_percent"), ((F.col("second_ms") - F.col("largest_ms")) / DAY_MS).alias("dt_days"), (F.col("largest") - F.col("second")).alias("dm"))
 
@@ -78,6 +83,6 @@ def annotated(cat: DataFrame, labels: DataFrame) -> DataFrame:
 def marked(cat: DataFrame, labels: DataFrame) -> DataFrame:
     """Clustered events with magnitude to 0.1 and marks for the first largest and the first event."""
     rows = cat.join(labels.filter("cluster_id >= 0").select("row_idx", "cluster_id"), "row_idx").withColumn("magnitude", F.round("magnitude", 1))
-    big = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("magnitude"), "timeMs", "row_idx"))
-    first = F.row_number().over(Window.partitionBy("cluster_id").orderBy("timeMs", "row_idx"))
-    return rows.withColumn("is_largest", (big == 1).cast("int")).withColumn("is_first", (first == 1).cast("int"))
+    ends = rows.groupBy("cluster_id").agg(F.min_by("row_idx", _largest_first()).alias("big"), F.min_by("row_idx", F.struct("timeMs", "row_idx")).alias("first"))
+    marked_ = rows.join(written(ends, "ends"), "cluster_id")
+    return marked_.withColumn("is_largest", (F.col("row_idx") == F.col("big")).cast("int")).withColumn("is_first", (F.col("row_idx") == F.col("first")).cast("int")).drop("big", "first")
