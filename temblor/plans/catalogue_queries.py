@@ -491,10 +491,13 @@ def kmeans(cat):
 ETA = f"(c.timeMs - p.timeMs) / 86400000e0 * pow(greatest(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 0.001e0), 1.6e0) * pow(10, -p.magnitude)"
 
 
-@query(f"""WITH {CAT}, {PLANE}, pa AS (SELECT c.row_idx, min({ETA}) AS eta FROM xy c JOIN xy p ON p.timeMs < c.timeMs GROUP BY 1)
-    SELECT cat.row_idx, round(log10(eta), 6) AS log10_eta FROM cat LEFT JOIN pa USING (row_idx)""")
+PARENTS = f"""pa AS (SELECT c.row_idx, min(struct_pack(eta := {ETA}, t := p.timeMs, i := p.row_idx)) AS m FROM xy c JOIN xy p ON p.timeMs < c.timeMs GROUP BY 1),
+    lk AS (SELECT row_idx, m.i AS parent, log10(m.eta) AS v FROM pa)"""
+
+
+@query(f"WITH {CAT}, {PLANE}, {PARENTS} SELECT cat.row_idx, parent, round(v, 6) AS log10_eta FROM cat LEFT JOIN lk USING (row_idx)")
 def nearest_links(cat):
-    return links.nearest_parents(cat).select("row_idx", *r6("log10_eta"))
+    return links.nearest_parents(cat).select("row_idx", "parent", *r6("log10_eta"))
 
 
 OTSU = """ov AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, greatest(3, least(100, ceil(sqrt(count(*)))))::BIGINT AS nb FROM ev),
@@ -509,7 +512,11 @@ def otsu_threshold(cat):
     return links.otsu_threshold(cat, "magnitude").select("n", *r6("threshold"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CAT}, {PLANE}, {PARENTS}, ev AS (SELECT v FROM lk), {OTSU}, th AS (SELECT arg_min(x, struct_pack(s := -s, b := bin)) AS t FROM os),
+    st AS (SELECT row_idx, parent FROM lk, th WHERE v <= t), up(n, a) AS (SELECT row_idx, parent FROM st UNION ALL SELECT up.n, st.parent FROM up JOIN st ON st.row_idx = up.a),
+    top AS (SELECT n, a AS r FROM up WHERE a NOT IN (SELECT row_idx FROM st)), mem AS (SELECT n, r FROM top UNION SELECT r, r FROM top),
+    num AS (SELECT r, (row_number() OVER (ORDER BY min(struct_pack(t := timeMs, i := row_idx))) - 1)::INTEGER AS id FROM mem JOIN cat ON cat.row_idx = mem.n GROUP BY 1)
+    SELECT cat.row_idx, coalesce(id, -1)::INTEGER AS cluster_id FROM cat LEFT JOIN mem ON mem.n = cat.row_idx LEFT JOIN num USING (r)""")
 def nearest_neighbour_clusters(cat):
     return links.nearest_neighbour_clusters(cat).select("row_idx", "cluster_id")
 
