@@ -164,7 +164,9 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     the directory that gave the licence, or null.  A directory's licence is that of
     the licence files in it (names like LICENSE or COPYING) with the highest score,
     ties to the smaller name.  Null and empty texts have no licence of their own; a
-    null path has no ancestors.  Repeated rows are rows; other columns play no part.
+    null path has no ancestors.  Of templates that score alike the first counts, of
+    lines the first.  Repeated rows are rows; other columns play no part; an empty
+    table gives an empty result.
     """
     spark = files.sparkSession
     vocab = {t for texts in templates.values() for x in texts for t in terms(x)}
