@@ -42,15 +42,27 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return names.join(least, "component").select("node", F.least("low", "component").alias("component"))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the 0-based position of each row in a global order.
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in ranges of a global order, written: ``_p`` numbers the ranges, ``_m`` ascends in each."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    return written(spread, "ordered")
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add sums over all rows up to and with each row of a global order, by name.
 
-    Rows are range-partitioned, numbered inside partitions and offset by the rows of
-    the partitions before, so no task sorts everything.
+    Ranges are summed up inside and offset by the sums of the ranges before, so no task
+    sorts everything and a dense stretch of the order is cut into as many ranges as it needs.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    spread = written(spread, "ordered")
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a partition
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("_m")) - 1
-    return spread.withColumn("_r", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_m", "_r", "_b")
+    spread = ranged(df, order)
+    prior = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = spread.groupBy("_p").agg(*[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()])
+    before = before.select("_p", *[F.sum(f"_b_{n}").over(prior).alias(f"_b_{n}") for n in sums])
+    within = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    out = spread.select("*", *[F.sum(c).over(within).alias(f"_r_{n}") for n, c in sums.items()]).join(F.broadcast(before), "_p")  # one row a range
+    return out.select(*df.columns, *[(F.coalesce(f"_r_{n}", F.lit(0)) + F.coalesce(f"_b_{n}", F.lit(0))).alias(n) for n in sums])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the 0-based position of each row in a global order."""
+    return running(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)

@@ -60,8 +60,18 @@ class CatalogueFilter:
         return out
 
 
-def apply(cat: DataFrame, rule: CatalogueFilter) -> DataFrame:
-    return cat.filter(rule.condition())
+def apply(cat: DataFrame, rule: CatalogueFilter, time_col: str | None = None) -> DataFrame:
+    """Rows that meet the rule.
+
+    Bounds on a computed ``timeMs`` stop short of the scan.  ``time_col`` names a timestamp
+    of the same instant, null only where ``timeMs`` is; it gets them too, a millisecond wider.
+    """
+    kept = cat.filter(rule.condition())
+    if time_col and rule.start:
+        kept = kept.filter(F.col(time_col) >= datetime.fromtimestamp((epoch_ms(rule.start) - 1) / 1000, timezone.utc))
+    if time_col and rule.end:
+        kept = kept.filter(F.col(time_col) <= datetime.fromtimestamp((epoch_ms(rule.end, rule.whole_end_day) + 1) / 1000, timezone.utc))
+    return kept
 
 
 def last_days(cat: DataFrame, days: float, now_ms: int) -> DataFrame:

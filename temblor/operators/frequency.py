@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from temblor.operators.components import numbered
+
 LOG10_E = math.log10(math.e)
 
 
@@ -114,17 +116,14 @@ def rolling(cat: DataFrame, width: float = 0.1) -> DataFrame:
 
     Windows hold min(500, max(100, n // 10)) events at steps of a quarter; ``centre_ms``
     is the time of the middle element.  No rows below 200 events or two fits.  Rows are
-    numbered by weekly slices with offsets, then sent to the few windows they are in.
+    numbered in ranges of time, then sent to the few windows they are in.
     """
     n = cat.count()
     if n < 200:
         return fit(cat.limit(0).withColumn("window", F.lit(0)), width, by=["window"]).withColumn("centre_ms", F.lit(0).cast("bigint"))
     size = min(500, max(100, n // 10))
     step = size // 4
-    slices = cat.withColumn("_s", F.floor(F.col("timeMs") / (7 * 86_400_000)))
-    base = slices.groupBy("_s").agg(F.count("*").alias("_n"))
-    base = base.select("_s", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    rows = slices.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("timeMs", "row_idx")) - 1).join(base, "_s").select("timeMs", "magnitude", (F.col("_r") + F.col("_b")).alias("nth"))
+    rows = numbered(cat.select("row_idx", "timeMs", "magnitude"), [F.col("timeMs"), F.col("row_idx")], "nth").select("timeMs", "magnitude", "nth")
     last = (n - size) // step
     first = F.greatest(F.lit(0), F.ceil((F.col("nth") - size + 1) / step))
     windows = rows.withColumn("window", F.explode(F.when(first <= F.least(F.floor(F.col("nth") / step), F.lit(last)), F.sequence(first, F.least(F.floor(F.col("nth") / step), F.lit(last))))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from temblor.functions import scalar
 from temblor.functions.scalar import DAY_MS
+from temblor.operators.components import ranged, running
 
 
 def _all() -> WindowSpec:
@@ -54,22 +57,22 @@ def daily_counts(cat: DataFrame, max_gap_days: float = 1825, moving: int = 7) ->
     return filled.select("day", "events", F.when(F.row_number().over(order) >= moving, mean).alias("moving_mean"))
 
 
-def ordered_gaps(cat: DataFrame, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
+def ordered_gaps(cat: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows with the time to the next row of the same group before it (``gap_ms``), null for the first.
 
-    The whole catalogue is cut into time slices, lagged inside each, and the slices'
-    first rows get the last time of the slice before; no task holds all rows.
+    Rows are lagged inside ranges of group and time; the first row of a range looks at
+    the last one of the range before, so a group of any size is shared by tasks.
     """
-    if by:
-        w = Window.partitionBy(*by).orderBy("timeMs", "row_idx")
-        return cat.withColumn("gap_ms", F.col("timeMs") - F.lag("timeMs").over(w))
-    width = 7 * DAY_MS
-    sliced = cat.withColumn("_slice", F.floor(F.col("timeMs") / width))
-    w = Window.partitionBy("_slice").orderBy("timeMs", "row_idx")
-    last = sliced.groupBy("_slice").agg(F.max("timeMs").alias("_last"))
-    last = last.withColumn("_last", F.lag("_last").over(_all().orderBy("_slice")))  # one row a week
-    lagged = sliced.withColumn("_before", F.lag("timeMs").over(w)).join(last, "_slice")
-    return lagged.withColumn("gap_ms", F.col("timeMs") - F.coalesce("_before", "_last")).drop("_slice", "_before", "_last")
+    keys = by or []
+    rows = ranged(cat, [F.col(c) for c in [*keys, "timeMs", "row_idx"]])
+    this = F.struct(*keys, "timeMs")
+    last = rows.groupBy("_p").agg(F.max_by(this, "_m").alias("_last"))
+    last = last.select("_p", F.lag("_last").over(_all().orderBy("_p")).alias("_last"))  # one row a range
+    lagged = rows.withColumn("_before", F.lag(this).over(Window.partitionBy("_p").orderBy("_m"))).join(F.broadcast(last), "_p").withColumn("_before", F.coalesce("_before", "_last"))
+    gap = F.col("timeMs") - F.col("_before.timeMs")
+    for c in keys:
+        gap = F.when(F.col(c).eqNullSafe(F.col(f"_before.{c}")), gap)
+    return lagged.select(*cat.columns, gap.alias("gap_ms"))
 
 
 def gap_values(cat: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def inter_event_stats(cat: DataFrame) -> DataFrame:
     No row for fewer than two events.  The median is the element at floor(n/2).
     """
     values = gap_values(cat)
-    ranked = _running(values)
+    ranked = running(values, [F.col("hours")], {"upto": F.col("n")})
     total = values.agg(F.sum("n").alias("total"), F.sum(F.col("hours") * F.col("n")).alias("s"))
     mean = F.col("s") / F.col("total")
     joined = ranked.crossJoin(F.broadcast(total))  # one row
@@ -103,15 +106,6 @@ def inter_event_stats(cat: DataFrame) -> DataFrame:
     return out.filter("n is not null").withColumn("events_per_day", 24.0 / F.col("mean_hours")).withColumn("variation", F.col("std_hours") / F.col("mean_hours"))
 
 
-def _running(values: DataFrame, key: str = "hours", count: str = "n", width: float = 1.0) -> DataFrame:
-    """Running count ``upto`` over all rows in order of ``key``, by value slices so that no task sorts them all."""
-    sliced = values.withColumn("_s", F.floor(F.col(key) / width))
-    totals = sliced.groupBy("_s").agg(F.sum(count).alias("_t"))
-    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(_all().orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_b")  # one row a slice
-    w = Window.partitionBy("_s").orderBy(key)
-    return sliced.withColumn("upto", F.sum(count).over(w)).join(before, "_s").withColumn("upto", F.col("upto") + F.col("_b")).drop("_s", "_b")
-
-
 def inter_event_histogram(cat: DataFrame, bins: int = 25) -> DataFrame:
     """Gap histogram up to max(95th percentile, half the mean), with the counts of a Poisson process.
 
@@ -119,7 +113,7 @@ def inter_event_histogram(cat: DataFrame, bins: int = 25) -> DataFrame:
     """
     values = gap_values(cat)
     total = values.agg(F.sum("n").alias("total"), F.sum(F.col("hours") * F.col("n")).alias("s"))
-    p95 = _running(values).crossJoin(F.broadcast(total)).agg(_at_rank(values, F.floor(0.95 * (F.col("total") - 1)), F.col("total")).alias("p95"), F.max("total").alias("total"), F.max(F.col("s") / F.col("total")).alias("mean"))
+    p95 = running(values, [F.col("hours")], {"upto": F.col("n")}).crossJoin(F.broadcast(total)).agg(_at_rank(values, F.floor(0.95 * (F.col("total") - 1)), F.col("total")).alias("p95"), F.max("total").alias("total"), F.max(F.col("s") / F.col("total")).alias("mean"))
     top = p95.filter("total >= 5 and mean > 0").select("total", "mean", F.greatest("p95", F.col("mean") / 2).alias("top"))
     top = top.withColumn("top", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).withColumn("width", F.col("top") / bins)
     inside = values.crossJoin(F.broadcast(top)).filter("hours <= top").groupBy(F.least(F.floor(F.col("hours") / F.col("width")), F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("events"))
@@ -131,16 +125,9 @@ def inter_event_histogram(cat: DataFrame, bins: int = 25) -> DataFrame:
 
 
 def cumulative(cat: DataFrame) -> DataFrame:
-    """Running number of events and running moment in time order, by weekly slices."""
-    width = 7 * DAY_MS
-    sliced = cat.withColumn("_s", F.floor(F.col("timeMs") / width)).withColumn("_m", scalar.moment_nm(F.col("magnitude")))
-    totals = sliced.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_m").alias("_t"))
-    prior = _all().orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_s", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_t").over(prior), F.lit(0.0)).alias("_bm"))
-    w = Window.partitionBy("_s").orderBy("timeMs", "row_idx")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = sliced.withColumn("_rn", F.row_number().over(w)).withColumn("_rm", F.sum("_m").over(run)).join(before, "_s")
-    return out.select("row_idx", "timeMs", "magnitude", (F.col("_rn") + F.col("_bn")).alias("events"), (F.col("_rm") + F.col("_bm")).alias("moment"))
+    """Running number of events and running moment in time order."""
+    out = running(cat, [F.col("timeMs"), F.col("row_idx")], {"events": F.lit(1), "moment": scalar.moment_nm(F.col("magnitude"))})
+    return out.select("row_idx", "timeMs", "magnitude", "events", "moment")
 
 
 def magnitude_histogram(cat: DataFrame, bins: int = 30) -> DataFrame:
@@ -201,15 +188,31 @@ def top_values(cat: DataFrame, column: str, keep: int = 7, by_value: int = 8) ->
     return joined.withColumn("grp", F.when(F.col("kept"), F.col("_g")).otherwise("Other")).drop("_g", "kept")
 
 
+def quantiles(rows: DataFrame, points: list[float], value: str = "v") -> list[float]:
+    """Quantiles that interpolate linearly between order statistics; empty without values.
+
+    Distinct values are counted and their counts run up in ranges; only the order
+    statistics next to each point come to the driver.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ran = running(counted, [F.col("v")], {"upto": F.col("n")})
+    total = ran.agg(F.max("upto")).first()[0]
+    if not total:
+        return []
+    at = [p * (total - 1) for p in points]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    found = dict(zip(ranks, ran.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]).first(), strict=True))
+    return [found[lo] if (lo := math.floor(x)) == x else (lo + 1 - x) * found[lo] + (x - lo) * found[lo + 1] for x in at]
+
+
 def quantile_groups(cat: DataFrame, name: str, groups: int = 5) -> DataFrame:
     """Rows with ``grp``, the index of their quantile interval; equal edges collapse, the last interval is closed.
 
     Edges interpolate linearly between order statistics.
     """
     rows = field(cat, name).filter("v is not null")
-    points = [i / groups for i in range(groups + 1)]
-    edges = rows.agg(F.percentile("v", F.array(*[F.lit(p) for p in points])).alias("e")).first()["e"]
-    if edges is None:
+    edges = quantiles(rows, [i / groups for i in range(groups + 1)])
+    if not edges:
         return rows.withColumn("grp", F.lit(0))
     kept = [edges[0]] + [b for a, b in zip(edges, edges[1:], strict=False) if b > a]
     group = F.lit(max(0, len(kept) - 2))
@@ -226,10 +229,20 @@ def quantile_labels(edges: list[float]) -> list[str]:
 
 
 def nearest_rank_stats(metrics: DataFrame, value: str, by: str, success: str | None = None) -> DataFrame:
-    """Per name: count, mean, min, max, nearest-rank 50th, 95th and 99th percentiles, success rate."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
+    """Per name: count, mean, min, max, nearest-rank 50th, 95th and 99th percentiles, success rate.
+
+    Counts of distinct values run up in ranges of name and value, so one name may hold
+    nearly all rows.  Null values count as rows only; the null name is a name.
+    """
     ok = F.avg(F.col(success).cast("double")) if success else F.lit(1.0)
-    return metrics.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), ok.alias("success_rate"))
+    stats = metrics.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), ok.alias("success_rate"))
+    counted = metrics.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ran = running(counted, [F.col("_by"), F.col("_v")], {"_upto": F.col("_c")})
+    group = ran.groupBy("_by").agg(F.min(F.col("_upto") - F.col("_c")).alias("_b"), F.sum("_c").alias("_n")).withColumnRenamed("_by", "_g")
+    placed = ran.join(group, F.col("_by").eqNullSafe(F.col("_g"))).withColumn("_rank", F.col("_upto") - F.col("_b"))
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = placed.groupBy("_by").agg(*[F.min(F.when(F.col("_rank") >= F.ceil(F.lit(p) * F.col("_n")), F.col("_v"))).alias(n) for n, p in ranks.items()])
+    return stats.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "low", "high", *ranks, "success_rate")
 
 
 def axis_ranges(cat: DataFrame, pad: float = 0.05, depth_step: float = 10.0) -> DataFrame:

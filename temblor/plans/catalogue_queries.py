@@ -81,7 +81,7 @@ def enrich(cat):
 @query("SELECT row_idx, magnitude, depth FROM cat WHERE magnitude BETWEEN 2.5 AND 4.5 AND depth <= 70 AND timeMs BETWEEN epoch_ms(TIMESTAMP '2024-01-05') AND epoch_ms(TIMESTAMP '2024-01-21') - 1")
 def filter_dashboard(cat):
     rule = filters.CatalogueFilter(min_magnitude=2.5, max_magnitude=4.5, depth_category="shallow", start="2024-01-05", end="2024-01-20")
-    return filters.apply(cat, rule).select("row_idx", "magnitude", "depth")
+    return filters.apply(cat, rule, "time").select("row_idx", "magnitude", "depth")
 
 
 def _edges() -> str:

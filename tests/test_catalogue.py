@@ -286,3 +286,37 @@ def test_filters_and_reports(spark):
     assert statistics.inter_event_stats(cat.limit(1)).count() == 0
     assert incremental.missing_interval(cat.limit(0), 5).first().end_ms is None
     assert validation.quality_errors(cat.limit(0)) == ["no events"]
+
+
+def test_ranges_equal_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    n = 700
+    pdf = pd.DataFrame({"row_idx": range(n), "timeMs": T0 + rng.integers(0, 300, n) * 1000, "grp": np.where(rng.random(n) < 0.8, "hot", None), "v": rng.integers(0, 40, n) / 4})
+    pdf.loc[rng.random(n) < 0.1, "v"] = np.nan
+    df = spark.createDataFrame(pdf).replace(float("nan"), None, ["v"])
+
+    ordered = pdf.sort_values(["timeMs", "row_idx"])
+    got = statistics.ordered_gaps(df).toPandas().set_index("row_idx")["gap_ms"]
+    assert got[ordered.row_idx].fillna(-1).tolist() == ordered.timeMs.diff().fillna(-1).tolist()
+    got = statistics.ordered_gaps(df, ["grp"]).toPandas().set_index("row_idx")["gap_ms"]
+    assert got[ordered.row_idx].fillna(-1).tolist() == ordered.groupby("grp", dropna=False).timeMs.diff().fillna(-1).tolist()
+
+    points = [0, 0.1, 1 / 3, 0.5, 0.97, 1]
+    assert statistics.quantiles(df, points) == pytest.approx(pdf.v.quantile(points).tolist())
+    assert statistics.quantiles(df.limit(0), points) == []
+
+    got = {r.grp: r for r in statistics.nearest_rank_stats(df, "v", "grp").collect()}
+    for name, part in pdf.groupby("grp", dropna=False):
+        row, v = got[name if isinstance(name, str) else None], sorted(part.v.dropna())
+        assert row.n == len(part) and row.mean == pytest.approx(part.v.mean())
+        assert [row.p50, row.p95, row.p99] == [v[math.ceil(p * len(v)) - 1] for p in (0.5, 0.95, 0.99)]
+    assert statistics.nearest_rank_stats(df.limit(0), "v", "grp").count() == 0
+
+
+def test_time_bounds_reach_another_column(spark):
+    pdf = three_nests()
+    cat = spark.createDataFrame(pdf).withColumn("time", F.timestamp_millis("timeMs"))
+    low, high = (pd.Timestamp(int(x), unit="ms").isoformat() for x in pdf.timeMs.quantile([0.2, 0.7], interpolation="lower"))
+    rule = filters.CatalogueFilter(start=low, end=high, whole_end_day=False)
+    kept = {r.row_idx for r in filters.apply(cat, rule).collect()}
+    assert kept and kept == {r.row_idx for r in filters.apply(cat, rule, "time").collect()}
