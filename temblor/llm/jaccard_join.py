@@ -100,7 +100,7 @@ def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     def work(batches):
         for batch in batches:
             ids = batch.column(0)
-            for first, data, offsets in text_slices(batch.column(1)):
+            for first, data, offsets in text_slices(batch.column(1), 500_000):
                 rows: dict[str, list] = {k: [] for k in ("n", "s1", "s2", "heads", "tokens", "o2", "o3", "l2", "l3")}
                 for tokens in shingle_sets(data, offsets, rule.n):
                     s1, s2 = signature(tokens)
