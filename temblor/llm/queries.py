@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm import exact_dedup, jaccard_join, language_id, license_scan, mixing, sentencepiece_viterbi, sharding, suffix_dedup, topk_search, wordpiece_counts
+from temblor.llm import centroid_clustering, exact_dedup, jaccard_join, language_id, license_scan, mixing, sentencepiece_viterbi, sharding, suffix_dedup, topk_search, wordpiece_counts
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -75,12 +75,44 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """All distances in every round, one pair of common tables a round."""
+    first = f"""
+        v AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, c FROM v QUALIFY j < {k}
+        )"""
+    assign = """, a{i} AS MATERIALIZED (
+            SELECT v.r, min(struct_pack(d := list_sum(list_transform(list_zip(v.c, m.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, j := m.j)) AS b
+            FROM v CROSS JOIN c{i} m GROUP BY v.r
+        )"""
+    move = """, s{i} AS (
+            SELECT b.j AS j, pos, sum(x)::HUGEINT AS s, count(*) AS n
+            FROM (SELECT a.b, unnest(v.c) AS x, unnest(range(64)) AS pos FROM a{i} a JOIN v USING (r)) GROUP BY b.j, pos
+        ), c{next} AS MATERIALIZED (
+            SELECT o.j, coalesce(w.c, o.c) AS c FROM c{i} o
+            LEFT JOIN (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS c FROM s{i} GROUP BY j) w ON w.j = o.j
+        )"""
+    steps = "".join(assign.format(i=i) + move.format(i=i, next=i + 1) for i in range(rounds)) + assign.format(i=rounds)
+    return f"""WITH {first}{steps}
+        SELECT v.vec_id, a.b.j::INTEGER AS cluster, a.b.d AS distance, sum(a.b.d) OVER (PARTITION BY a.b.j)::BIGINT AS cluster_inertia,
+               sum(a.b.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} m ON m.j = a.b.j"""
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -92,10 +124,12 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk_search": op10_topk_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
+    "op12_centroid_clustering": _clustering_sql(),
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

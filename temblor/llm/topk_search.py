@@ -19,18 +19,18 @@ from temblor.llm.common import materialize
 TOP, BOTTOM = 2**63 - 1, -(2**63) + 1  # scores beyond a long count as these
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int, null_ids: bool = False) -> DataFrame:
     """``id, dim, v``: vectors with integer components floor(scale * x), held as doubles; others take no part.
 
-    Left out are null vectors, null ids, and vectors with a null or non-finite component
-    (also one whose product with ``scale`` is beyond all doubles).
+    Left out are null vectors, null ids (unless ``null_ids``), and vectors with a null or
+    non-finite component (also one whose product with ``scale`` is beyond all doubles).
     """
     y = lambda c: c.cast("double") * F.lit(float(scale))
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"), F.size(vec_col).alias("dim"))
     fine = F.forall("raw", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(y(c)) < F.lit(float("inf"))))
     # From 2**52 on every double is a whole number, and beyond a long floor would not hold it.
     whole = F.transform("raw", lambda c: F.when(F.abs(y(c)) < F.lit(2.0**52), F.floor(y(c)).cast("double")).otherwise(y(c)))
-    return raw.filter("id is not null and raw is not null").filter(fine).select("id", "dim", whole.alias("v"))
+    return raw.filter("raw is not null" if null_ids else "id is not null and raw is not null").filter(fine).select("id", "dim", whole.alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
