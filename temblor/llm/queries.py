@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm import centroid_clustering, exact_dedup, jaccard_join, language_id, license_scan, mixing, sentencepiece_viterbi, sharding, suffix_dedup, topk_search, wordpiece_counts
+from temblor.llm import centroid_clustering, exact_dedup, jaccard_join, language_id, license_scan, mixing, personal_data, phrase_mining, sentencepiece_viterbi, sharding, suffix_dedup, topk_search, wordpiece_counts
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -75,11 +75,24 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the spans of the plain rules, and all spans with those that the method adds."""
+    found = personal_data.find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    told = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    counts = [F.size(F.expr(f"filter(spans, s -> s.base and s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,11 +137,38 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk_search": op10_topk_search,
+    "op11_personal_data": op11_personal_data,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_phrase_mining": op13_phrase_mining,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
+    "op13_phrase_mining": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+        ), g AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+            FROM w CROSS JOIN range(1, 5) t(m) WHERE len(ws) >= m
+        ), f AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30
+        ), n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+        ), cut AS (
+            SELECT c.lang, c.m, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+            JOIN f x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(c.ws[1:k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(c.ws[k + 1:], ' ')
+        ), low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), part AS (
+            SELECT DISTINCT c.lang, s.phrase FROM (SELECT lang, f, m, ws, unnest(range(1, m + 1)) AS i FROM f WHERE m > 2) c
+            CROSS JOIN range(2, 4) t(k) JOIN f s ON s.lang = c.lang AND s.m = k AND s.phrase = array_to_string(c.ws[i:i + k - 1], ' ')
+            WHERE k < c.m AND i + k - 1 <= c.m AND 100 * c.f >= 80 * s.f
+        ), best AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+            FROM low WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.lang = low.lang AND part.phrase = low.phrase)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE rank <= 2000
+    """,
     "op12_centroid_clustering": _clustering_sql(),
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
