@@ -24,9 +24,10 @@ from temblor.llm.common import discard, materialize, text_slices
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 ONE_BREAK = bytes.maketrans(BREAKS, b"." * len(BREAKS))
-LISTS = [("positions", pa.binary()), ("lengths", pa.binary())]
-WORDS = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), *LISTS])
-PAIRS = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), *LISTS])
+#: A row of lists has a block, its lists end to end and their lengths; a row of a key has block * 2**31 + number of its list, and its length.
+LISTS = [("block", pa.int64()), ("positions", pa.binary()), ("lengths", pa.binary())]
+WORDS = pa.schema([("at", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), *LISTS])
+PAIRS = pa.schema([("at", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), *LISTS])
 SQL_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
 
 
@@ -52,33 +53,32 @@ def grouped(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _list_row(schema: pa.Schema, block: int, positions: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    row = {"block": block, "idx": -1, "positions": positions.astype(np.int32).tobytes(), "lengths": lengths.astype(np.int32).tobytes()}
+    row = {"block": block, "positions": positions.astype(np.int32).tobytes(), "lengths": lengths.astype(np.int32).tobytes()}
     return pa.RecordBatch.from_pylist([row], schema)
 
 
-def _key_rows(schema: pa.Schema, block: int, columns: dict, rows: int = 50_000):
-    n = len(columns["n"])
-    whole = {"block": np.full(n, block), "idx": np.arange(n, dtype=np.int32), **columns}
-    arrays = [pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(n, f.type) for f in schema]
-    for first in range(0, n, rows):
+def _key_rows(schema: pa.Schema, block: int, numbers: np.ndarray, columns: dict, rows: int = 50_000):
+    whole = {"at": (block << 31) + numbers, **columns}
+    arrays = [pa.array(whole[f.name], f.type) if isinstance(whole.get(f.name), np.ndarray) else whole[f.name] if f.name in whole else pa.nulls(len(numbers), f.type) for f in schema]
+    for first in range(0, len(numbers), rows):
         yield pa.RecordBatch.from_arrays([a.slice(first, rows) for a in arrays], schema=schema)
 
 
 def word_lists(docs: DataFrame, lang: Column, text: Column, block_bytes: int) -> DataFrame:
-    """Inverted lists of words: for each block a row with all lists (idx -1) and a row for each (lang, word)."""
+    """Inverted lists of words: for each block a row with all lists and a row for each (lang, word)."""
 
     def index(langs: dict, parts: list):
         ids = np.concatenate(parts)
-        names = [(k, w) for k, numbers in langs.items() for w in numbers if w != b"."]
-        number = np.fromiter((langs[k][w] for k, w in names), np.int64, len(names))
-        at = np.flatnonzero(ids >= 0)
-        order, lengths = grouped(ids[at], len(names))
+        at = np.flatnonzero(ids >= 0).astype(np.int32)
+        order, lengths = grouped(ids[at], sum(len(numbers) - 1 for numbers in langs.values()))
         block = (TaskContext.get().partitionId() << 12) + index.blocks
         index.blocks += 1
         yield _list_row(WORDS, block, at[order], lengths)
-        turn = np.argsort(number)
-        word = pa.array([names[i][1] for i in turn], pa.binary()).cast(pa.string())
-        yield from _key_rows(WORDS, block, {"lang": [names[i][0] for i in turn], "word": word, "n": lengths.astype(np.int64)})
+        for lang, numbers in langs.items():
+            del numbers[b"."]
+            own = np.fromiter(numbers.values(), np.int64, len(numbers))
+            word = pa.array(numbers.keys(), pa.binary()).cast(pa.string())
+            yield from _key_rows(WORDS, block, own, {"lang": pa.array([lang]).take(pa.array(np.zeros(len(own), np.int32))), "word": word, "n": lengths[own]})
 
     def run(batches):
         index.blocks, size, counter, langs, parts = 0, 0, count(), {}, []
@@ -104,14 +104,13 @@ def word_lists(docs: DataFrame, lang: Column, text: Column, block_bytes: int) ->
 
 
 def frequent(table: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The keys of blocks whose phrase is frequent over all of them: ``block, idx, by..., f, id``.
+    """The keys of blocks whose phrase is frequent over all of them: ``at, by..., f, id``.
 
     ``id`` is the smallest key of the phrase, so the same in all its blocks.  A phrase has
     at most one row a block, and only keys and lengths are moved, never positions.
     """
     w = Window.partitionBy(*by)
-    key = F.shiftleft("block", 31) + F.col("idx")
-    return table.filter("idx >= 0").select("block", "idx", *by, F.sum("n").over(w).alias("f"), F.min(key).over(w).alias("id")).filter(F.col("f") >= least)
+    return table.filter("at is not null").select("at", *by, F.sum("n").over(w).alias("f"), F.min("at").over(w).alias("id")).filter(F.col("f") >= least)
 
 
 def longer(table: DataFrame, alive: DataFrame, keep_lists: bool) -> DataFrame:
@@ -122,27 +121,29 @@ def longer(table: DataFrame, alive: DataFrame, keep_lists: bool) -> DataFrame:
             return PAIRS.empty_table()
         block = key[0].as_py()
         positions = np.frombuffer(lists["positions"][0].as_buffer(), np.int32)
-        lengths = np.frombuffer(lists["lengths"][0].as_buffer(), np.int32).astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
+        lengths = np.frombuffer(lists["lengths"][0].as_buffer(), np.int32)
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
         idx, ids = alive["idx"].to_numpy(), alive["id"].to_numpy()
         n = lengths[idx]
-        take = np.repeat(starts[idx] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at, owner = positions[take], np.repeat(np.arange(len(idx)), n)
-        order = np.argsort(at)
+        take = np.repeat(starts[idx] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
+        at, owner = positions[take], np.repeat(np.arange(len(idx), dtype=np.int32), n)
+        order = np.argsort(at).astype(np.int32)
         at, owner = at[order], owner[order]
-        hit = np.flatnonzero(at[1:] == at[:-1] + 1)
-        pair, which = np.unique(owner[hit] * len(idx) + owner[hit + 1], return_inverse=True)
+        hit = np.flatnonzero(at[1:] == at[:-1] + 1).astype(np.int32)
+        pair, which = np.unique(owner[hit].astype(np.int64) * len(idx) + owner[hit + 1], return_inverse=True)
+        which = which.astype(np.int32)
         order, lengths = grouped(which, len(pair))
-        rows = [*_key_rows(PAIRS, block, {"left": ids[pair // len(idx)], "right": ids[pair % len(idx)], "n": lengths.astype(np.int64)})]
+        rows = [*_key_rows(PAIRS, block, np.arange(len(pair)), {"left": ids[pair // len(idx)], "right": ids[pair % len(idx)], "n": lengths.astype(np.int64)})]
         if keep_lists:
             rows.append(_list_row(PAIRS, block, at[hit][order], lengths))
         return pa.Table.from_batches(rows, PAIRS)
 
-    lists = table.filter("idx = -1").select("block", "positions", "lengths").groupBy("block")
-    return lists.cogroup(alive.select("block", "idx", "id").groupBy("block")).applyInArrow(run, _ddl(PAIRS))
+    lists = table.filter("block is not null").select("block", "positions", "lengths").groupBy("block")
+    keys = alive.select(F.shiftright("at", 31).alias("block"), F.col("at").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("idx"), "id")
+    return lists.cogroup(keys.groupBy("block")).applyInArrow(run, _ddl(PAIRS))
 
 
-def mine(docs: DataFrame, longest: int = 4, least: int = 30, cover: tuple[int, int] = (80, 100), top: int = 2000, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 12 << 20) -> DataFrame:
+def mine(docs: DataFrame, longest: int = 4, least: int = 30, cover: tuple[int, int] = (80, 100), top: int = 2000, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 32 << 20) -> DataFrame:
     """Best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
     Letters A-Z are lower-cased; texts are cut at ``.,;:!?`` and line ends, and those
@@ -158,9 +159,9 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, cover: tuple[int, i
     it.  Memory of a word is its own length, however long it is.
     """
     table = materialize(word_lists(docs, F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col), block_bytes), "words")
-    totals = materialize(table.filter("idx >= 0").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    totals = materialize(table.filter("at is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     alive = materialize(frequent(table, ["lang", "word"], least), "frequent")
-    own = F.col("id") == F.shiftleft("block", 31) + F.col("idx")  # one row of each phrase
+    own = F.col("id") == F.col("at")  # one row of each phrase
     same = F.array("f")
     known = alive.filter(own).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), same.alias("heads"), same.alias("tails"))
     found, inside = [], []
