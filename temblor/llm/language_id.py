@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ _table = np.full(0x3100, len(NAMES) - 1, np.int8)
 NO_BLANKS = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 WORD = re.compile("[฀-๿぀-ヿ㐀-鿿]|[^\\s฀-๿぀-ヿ㐀-鿿]+")
 PLAIN = re.compile(r"\S+")
-WORD_MEMO = 400_000
+MEMO_BYTES = 48_000_000
 
 
 def script_of(ch: str) -> str:
@@ -75,10 +77,15 @@ def ngram_slots(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class Model:
-    """langs; log-probabilities (buckets x langs); allowed (scripts x langs)."""
+    """langs; log-probability of a bucket not seen, by language; what the seen cells add, as a
+    sparse matrix by bucket (starts, language and addend of each cell); allowed (scripts x langs).
+    """
 
     langs: list[str]
-    logp: np.ndarray
+    unseen: np.ndarray
+    starts: np.ndarray
+    cell_lang: np.ndarray
+    cell_adds: np.ndarray
     allowed: np.ndarray
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -87,10 +94,11 @@ class Model:
         some = [i for i, w in enumerate(words) if w]
         if not some or not self.langs:
             return out
-        slot, owner = ngram_slots([words[i] for i in some], len(self.logp))
-        total = np.zeros((len(some), len(self.langs)))
-        for k in range(len(self.langs)):
-            total[:, k] = np.bincount(owner, self.logp[slot, k], len(some))
+        slot, owner = ngram_slots([words[i] for i in some], len(self.starts) - 1)
+        first, n = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
+        cell = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(owner, n) * len(self.langs) + self.cell_lang[cell]
+        total = np.bincount(owner, minlength=len(some))[:, None] * self.unseen + np.bincount(at, self.cell_adds[cell], len(some) * len(self.langs)).reshape(len(some), -1)
         # Words of the same scripts share a mask, and plain ASCII letters are of one script.
         masks: dict[frozenset, int] = {}
         latin = frozenset(["latin"])
@@ -102,31 +110,24 @@ class Model:
         return out
 
 
-def _empty_counts(buckets: int, langs: list[str]):
-    return np.zeros((buckets, len(langs)), np.int64), np.zeros((len(NAMES), len(langs)), np.int64)
-
-
-def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, cells: int = 1 << 23, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", smooth: float = 0.5) -> Model:
+def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", smooth: float = 0.5) -> Model:
     """Learn n-gram and script statistics from labelled rows.
 
     A seeded hash of the id picks about ``max_docs`` rows when there are more; rows
-    without text or label teach nothing; repeated rows teach again.  The counts are a
-    table of at most ``buckets * languages`` rows whatever the input, summed by Spark;
-    very many labels share fewer buckets, so that the table keeps to ``cells``.
+    without text or label teach nothing; repeated rows teach again.  Tasks count the
+    cells (bucket, language) of each run of texts and Spark adds them up.  Only cells
+    that were seen come back, at most as many as the picked rows have n-grams, so the
+    buckets are as many for any number of labels.
     """
-    spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     per_lang = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()  # a row a label
     langs = sorted(r.lang for r in per_lang)
-    while buckets > 256 and buckets * len(langs) > cells:
-        buckets //= 2
     share = max_docs / max(1, sum(r.n for r in per_lang))
     if share < 1:
         labelled = labelled.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     code = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
-        seen, scripts = _empty_counts(buckets, langs)
         for batch in batches:
             labels = batch.column(1).to_pylist()
             for first, texts in text_runs(batch.column(0)):
@@ -138,24 +139,24 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, cells:
                 if words:
                     slot, word = ngram_slots(words, buckets)
                     lang = np.array(owner)
-                    seen += np.bincount(slot * len(langs) + lang[word], minlength=seen.size).reshape(seen.shape)
                     cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-                    per_char = np.repeat(lang, [len(w) for w in words])
                     chars, inverse = np.unique(cp, return_inverse=True)
-                    which = np.array([NAMES.index(script_of(chr(c))) for c in chars])[inverse]
-                    scripts += np.bincount(which * len(langs) + per_char, minlength=scripts.size).reshape(scripts.shape)
-        flat = np.concatenate([seen.ravel(), scripts.ravel()])
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_pydict({"at": at, "n": flat[at]})
-
-    found = labelled.select("text", "lang").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    seen, scripts = _empty_counts(buckets, langs)
-    flat = np.zeros(seen.size + scripts.size)
-    flat[found["at"].to_numpy()] = found["n"].to_numpy()
-    seen, scripts = flat[: seen.size].reshape(seen.shape), flat[seen.size :].reshape(scripts.shape)
-    p = (seen + smooth) / (seen + smooth).sum(axis=0, keepdims=True)
+                    script = np.array([NAMES.index(script_of(chr(c))) for c in chars])[inverse]
+                    row = np.concatenate([slot, buckets + script])
+                    column = np.concatenate([lang[word], np.repeat(lang, [len(w) for w in words])])
+                    cell, n = np.unique(row * len(langs) + column, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"cell": cell, "n": n})
+
+    found = labelled.select("text", "lang").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    row, lang = np.divmod(found["cell"].to_numpy(), max(1, len(langs)))
+    n, gram = found["n"].to_numpy(), row < buckets
+    total = np.bincount(lang[gram], n[gram], len(langs)) + smooth * buckets
+    unseen = np.log(smooth / total)
+    scripts = np.zeros((len(NAMES), len(langs)))
+    scripts[row[~gram] - buckets, lang[~gram]] = n[~gram]
     share_of = scripts / np.maximum(1, scripts.sum(axis=0, keepdims=True))
-    return Model(langs, np.log(p).astype(np.float32), share_of >= 0.001)
+    starts = np.searchsorted(row[gram], np.arange(buckets + 1))
+    return Model(langs, unseen, starts, lang[gram], np.log((n[gram] + smooth) / total[lang[gram]]) - unseen[lang[gram]], share_of >= 0.001)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -194,16 +195,21 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
 
 class Known:
-    """Scores and letter counts of the words met so far, as rows of two arrays; emptied when it grows too large."""
+    """Scores and letter counts of the words that a task has met, as rows of two arrays.
+
+    Emptied when words and rows take more than MEMO_BYTES, so that it holds no more than
+    that and the words of one run of texts.
+    """
 
     def __init__(self, n_langs: int):
         self.row: dict[str, int] = {}
+        self.bytes = 0
         self.scores = np.zeros((1024, n_langs), np.float32)
         self.size = np.zeros(1024, np.int64)
 
     def look_up(self, model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (words x langs) and letter counts of a list of words, repeated ones too."""
-        if len(self.row) > WORD_MEMO:
+        if self.bytes > MEMO_BYTES:
             self.__init__(self.scores.shape[1])
         new = list(dict.fromkeys(x for x in words if x not in self.row))
         if new:
@@ -215,14 +221,15 @@ class Known:
                 self.size = np.concatenate([self.size, np.zeros(more, np.int64)])
             self.scores[first:last] = model.word_scores(clean)
             self.size[first:last] = [len(c) for c in clean]
+            self.bytes += sum(map(getsizeof, new)) + len(new) * (100 + 4 * self.scores.shape[1])
             self.row.update(zip(new, range(first, last), strict=True))
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
         return self.scores[rows], self.size[rows]
 
 
-def label_texts(model: Model, texts: list, penalty: float) -> list[tuple]:
+def label_texts(model: Model, texts: list, penalty: float, known: Known | None = None) -> list[tuple]:
     """(language, score, spans) of each text; spans are (first char, end char, language)."""
-    known = model.__dict__.setdefault("known", Known(len(model.langs)))
+    known = known or Known(len(model.langs))
     words = [tokens(t) if t else [] for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     scores, size = known.look_up(model, [x for w in words for x in w])
@@ -254,20 +261,23 @@ RESULT = "struct<lang:string,score:double,spans:array<struct<start:int,end:int,l
 def language_column(docs: DataFrame, text: Column, model: Model, penalty: float = 8.0) -> Column:
     """Column of ``struct<lang, score, spans>`` for a text column.
 
-    ``lang`` is ``und`` with score 0 for a null text or one without a letter; the
+    ``lang`` is ``und`` with score 0 for a null text or one without a letter, and for all
+    texts if no row had a label to learn from; the
     score is the share of letters in spans of that language.  Of languages that score
     alike the first in alphabetical order is taken.  Rows are judged one by one, so
     repeated rows and null ids get results like others.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the cells seen in about max_docs documents
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
 
     @F.arrow_udf(RESULT)
-    def identify(column: pa.Array) -> pa.Array:
-        got = []
-        for _, texts in text_runs(column, 500_000):
-            got += label_texts(shared.value, texts, penalty)
-        return pa.array([{"lang": a, "score": s, "spans": [{"start": x, "end": y, "lang": z} for x, y, z in spans]} for a, s, spans in got], kind)
+    def identify(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Known(len(shared.value.langs))  # lives as long as the task
+        for column in columns:
+            got = []
+            for _, texts in text_runs(column, 500_000):
+                got += label_texts(shared.value, texts, penalty, known)
+            yield pa.array([{"lang": a, "score": s, "spans": [{"start": x, "end": y, "lang": z} for x, y, z in spans]} for a, s, spans in got], kind)
 
     return identify(text)
 

@@ -8,6 +8,8 @@ characters and no piece is ever built.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from temblor.llm.common import text_runs
 
-WORD_MEMO = 1_000_000
+MEMO_BYTES = 64_000_000
 
 
 class CountingAutomaton:
@@ -100,26 +102,30 @@ def token_counts(docs: DataFrame, initial: list[str], inner: list[str], text_col
     """``doc_id, n_words, n_tokens`` of every whole text; words are split at white space.
 
     Null and empty texts have 0 words and 0 tokens.  One row per input row, repeated
-    and null ids included; other columns play no part.
+    and null ids included; other columns play no part; an empty table gives an empty
+    result.  A word of any length is one pass over its characters; words met are kept
+    up to MEMO_BYTES and the words of one run of texts.
     """
     machine = CountingAutomaton(initial, inner)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # as large as the vocabulary
 
     @F.arrow_udf("struct<words:bigint,tokens:bigint>")
-    def counted(column: pa.Array) -> pa.Array:
+    def counted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = shared.value.count
-        memo = shared.value.__dict__.setdefault("memo", {})
-        words, totals = [], []
-        for _, texts in text_runs(column):
-            if len(memo) > WORD_MEMO:
-                memo.clear()
-            for text in texts:
-                parts = text.split() if text else []
-                words.append(len(parts))
-                for w in set(parts):
-                    if w not in memo:
-                        memo[w] = count(w)
-                totals.append(sum(map(memo.__getitem__, parts)))
-        return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(totals, pa.int64())], ["words", "tokens"])
+        memo, size = {}, 0  # live as long as the task
+        for column in columns:
+            words, totals = [], []
+            for _, texts in text_runs(column):
+                if size > MEMO_BYTES:
+                    memo, size = {}, 0
+                for text in texts:
+                    parts = text.split() if text else []
+                    words.append(len(parts))
+                    for w in set(parts):
+                        if w not in memo:
+                            memo[w] = count(w)
+                            size += getsizeof(w) + 100
+                    totals.append(sum(map(memo.__getitem__, parts)))
+            yield pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(totals, pa.int64())], ["words", "tokens"])
 
     return docs.select(F.col(id_col).alias("doc_id"), counted(F.col(text_col)).alias("c")).select("doc_id", F.col("c.words").alias("n_words"), F.col("c.tokens").alias("n_tokens"))
