@@ -1,15 +1,23 @@
-"""Non-linear fits of the decay law, one mainshock a group, as grouped pandas functions."""
+"""Non-linear fits of the decay law to sums that Spark adds up, any number of mainshocks at once.
+
+The likelihood of a sequence depends on its events only through their number and
+S(c), the sum of log(t + c).  S is smooth in log c, with no singularity nearer than pi,
+so its values at NODES Chebyshev points between the bounds of c give it everywhere to
+rounding.  One aggregate over the events yields these sums for all groups, another the
+daily counts; the fitters then work on one row a group, however long its sequence is.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from temblor.operators.aftershocks import FIT_GRID, T_START
+from temblor.operators.aftershocks import FIT_GRID, T_START, accumulate, daily_bins
 
 METHODS = ("grid", "levenberg_marquardt", "nelder_mead", "hybrid", "mle", "mle_annealing", "mle_em")
 LSQ_LOW, LSQ_HIGH = np.array([1e-3, 1e-3, 0.5]), np.array([1e6, 10.0, 2.0])
@@ -23,12 +31,73 @@ def integral(t0: float, t1: float, c: float, p: float) -> float:
     return ((t1 + c) ** (1 - p) - (t0 + c) ** (1 - p)) / (1 - p)
 
 
-def log_likelihood(times: np.ndarray, horizon: float, x: np.ndarray) -> float:
+NODES = 48
+_turn = math.pi * np.arange(NODES) / (NODES - 1)
+_span = math.log(MLE_LOW[1]), math.log(MLE_HIGH[1])
+#: Values of c at which S is summed.
+C_NODES = [math.exp((_span[0] + _span[1]) / 2 + (_span[1] - _span[0]) / 2 * math.cos(x)) for x in _turn]
+_weights = np.where(np.arange(NODES) % 2, -1.0, 1.0) * np.where((np.arange(NODES) == 0) | (np.arange(NODES) == NODES - 1), 0.5, 1.0)
+_u_nodes = np.log(C_NODES)
+
+
+def basis(c) -> np.ndarray:
+    """What each node's value adds to the value at c, one c or a row for each of many (barycentric formula)."""
+    gap = np.atleast_1d(np.log(c))[:, None] - _u_nodes
+    exact = np.abs(gap) < 1e-14
+    w = np.where(exact.any(axis=1, keepdims=True), exact, _weights / np.where(exact, 1.0, gap))
+    out = w / w.sum(axis=1, keepdims=True)
+    return out if np.ndim(c) else out[0]
+
+
+@dataclass(frozen=True)
+class Sums:
+    """What a fit needs of one sequence.
+
+    Number, last and edge-window counts of the events from T_START on; S at C_NODES;
+    days with events and their counts, in days around whole ones (least squares) and in
+    whole days (for the R2 of likelihood fits).
+    """
+
+    n: int
+    last: float
+    early: int
+    late: int
+    logs: np.ndarray
+    days: np.ndarray
+    counts: np.ndarray
+    floor_days: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    floor_counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def log_sum(self, c) -> np.ndarray:
+        """S at one or many c between the bounds."""
+        return basis(c) @ self.logs
+
+
+def windows(last: float) -> tuple[float, tuple[float, float]]:
+    """End of the early window and the late window, for the start of p."""
+    return min(1.0, last * 0.1), (min(10.0, last * 0.5), min(20.0, last * 0.7))
+
+
+def sums_of(times: np.ndarray, horizon: float) -> Sums:
+    """The sums of one small sequence of event times in days."""
+    times = times[times > 0]
+    used = times[times >= T_START]
+    last = float(used.max()) if len(used) else 0.0
+    early, late = windows(last)
+    top = min(math.ceil(times.max()), int(horizon)) if len(times) else 0
+    near = np.bincount(np.floor(times + 0.5).astype(int), minlength=top + 1)[1 : top + 1]
+    whole = np.bincount(np.floor(used).astype(int), minlength=math.ceil(last))[: math.ceil(last)]
+    logs = np.array([np.log(used + c).sum() for c in C_NODES])
+    days, floor_days = np.flatnonzero(near), np.flatnonzero(whole)
+    return Sums(len(used), last, int((used < early).sum()), int(((used >= late[0]) & (used < late[1])).sum()), logs, days + 1.0, near[days].astype(float), floor_days + 1.0, whole[floor_days].astype(float))
+
+
+def log_likelihood(sums: Sums, horizon: float, x: np.ndarray) -> float:
     """Of the point process on [T_START, horizon]; minus infinity outside the bounds."""
     k, c, p = x
     if not (0 < k <= MLE_HIGH[0] and MLE_LOW[1] < c <= MLE_HIGH[1] and MLE_LOW[2] < p < MLE_HIGH[2]):
         return -math.inf
-    return len(times) * math.log(k) - p * float(np.log(times + c).sum()) - k * integral(T_START, horizon, c, p)
+    return sums.n * math.log(k) - p * float(sums.log_sum(c)) - k * integral(T_START, horizon, c, p)
 
 
 def simplex(f, x0: np.ndarray, rounds: int, tol: float) -> tuple[np.ndarray, int]:
@@ -124,32 +193,31 @@ def fit_hybrid(days, counts):
     return (b if sse(days, counts, b) < sse(days, counts, a) else a), n + m
 
 
-def _start(times: np.ndarray, horizon: float) -> np.ndarray:
-    last = times.max()
-    early, late = min(1.0, last * 0.1), (min(10.0, last * 0.5), min(20.0, last * 0.7))
-    a = (times < early).sum() / early
-    b = ((times >= late[0]) & (times < late[1])).sum() / max(late[1] - late[0], 1e-12)
+def _start(sums: Sums, horizon: float, low: float = 0.9, high: float = 1.3) -> np.ndarray:
+    """K, c and p to start from: p from the rates in two windows, K by the number of events."""
+    early, late = windows(sums.last)
+    a, b = sums.early / max(early, 1e-12), sums.late / max(late[1] - late[0], 1e-12)
     t0, t1 = early / 2, sum(late) / 2
-    p = float(np.clip(math.log(a / b) / math.log(t1 / t0), 0.9, 1.3)) if a > 0 and b > 0 and t1 > t0 else 1.1
-    return np.array([len(times) / integral(T_START, horizon, 0.1, p), 0.1, p])
+    p = float(np.clip(math.log(a / b) / math.log(t1 / t0), low, high)) if a > 0 and b > 0 and t1 > t0 else 1.1
+    return np.array([sums.n / integral(T_START, horizon, 0.1, p), 0.1, p])
 
 
-def _loss(times, horizon):
+def _loss(sums, horizon):
     def f(x):
-        v = log_likelihood(times, horizon, x)
+        v = log_likelihood(sums, horizon, x)
         return 1e10 if v == -math.inf else -v
 
     return f
 
 
-def fit_mle(times, horizon):
-    return simplex(_loss(times, horizon), _start(times, horizon), 300, 1e-8)
+def fit_mle(sums, horizon):
+    return simplex(_loss(sums, horizon), _start(sums, horizon), 300, 1e-8)
 
 
-def fit_mle_annealing(times, horizon, seed: int = 0, rounds: int = 5000, cooling: float = 0.995):
+def fit_mle_annealing(sums, horizon, seed: int = 0, rounds: int = 5000, cooling: float = 0.995):
     rng = np.random.default_rng(seed)
-    f = _loss(times, horizon)
-    x = best = _start(times, horizon)
+    f = _loss(sums, horizon)
+    x = best = _start(sums, horizon)
     v = low = f(x)
     heat = 1.0
     for _ in range(rounds):
@@ -163,21 +231,34 @@ def fit_mle_annealing(times, horizon, seed: int = 0, rounds: int = 5000, cooling
     return best, rounds
 
 
-def fit_mle_em(times, horizon, rounds: int = 200):
-    """Alternates c by a scan, p by small gradient steps and K in closed form; the integral starts at 0."""
-    c, p, n = 0.1, 1.1, 0
-    scan = np.arange(0.01, 2.0, 0.01)
-    k = len(times) / integral(0.0, horizon, c, p)
-    for n in range(1, rounds + 1):
-        before = (k, c, p)
-        values = [-p * np.log(times + x).sum() - len(times) * math.log(integral(0.0, horizon, x, p)) for x in scan]
-        c = float(scan[int(np.argmax(values))])
-        h = 1e-4
-        slope = lambda q: -q * np.log(times + c).sum() - len(times) * math.log(integral(0.0, horizon, c, q))  # noqa: E731,B023
-        p = float(np.clip(p + 0.01 * np.sign(slope(p + h) - slope(p - h)), 0.61, 1.79))
-        k = len(times) / integral(0.0, horizon, c, p)
-        if max(abs(a - b) for a, b in zip(before, (k, c, p), strict=True)) < 1e-6:
+def _slope(horizon: float, c: float, p: float) -> float:
+    """Derivative by p of the integral from 0 to the horizon."""
+    top, low = math.log(horizon + c), math.log(c)
+    if abs(p - 1) < 1e-6:
+        return -(top - low)
+    q = 1 - p
+    a, b = (horizon + c) ** q, c**q
+    return (a - b) / q**2 + (b * low - a * top) / q
+
+
+def fit_mle_em(sums, horizon, rounds: int = 200):
+    """Alternates a damped step of p between 0.7 and 1.6, a scan of c, and K in closed form.
+
+    K's integral starts at 0, the likelihood's at T_START; stops when the likelihood does not move.
+    """
+    k, c, p = _start(sums, horizon, 0.8, 1.4)
+    scan = np.array(accumulate(0.01, 2.0, 0.01))
+    logs = sums.log_sum(scan)
+    before, n = -math.inf, 0
+    for n in range(rounds):
+        p = float(np.clip(p - 0.01 * (_slope(horizon, c, p) - float(sums.log_sum(c))), 0.7, 1.6))
+        tried = [sums.n / integral(0.0, horizon, x, p) for x in scan]
+        value = [sums.n * math.log(y) - p * s - y * integral(T_START, horizon, x, p) for y, x, s in zip(tried, scan, logs, strict=True)]
+        at = int(np.argmax(value))
+        c, k = float(scan[at]), tried[at]
+        if abs(value[at] - before) < 1e-6:
             break
+        before = value[at]
     return np.array([k, c, p]), n
 
 
@@ -203,9 +284,9 @@ def hessian_errors(days, counts, x) -> dict[str, float]:
     return out
 
 
-def likelihood_interval(times, horizon, x, level: float = 3.84) -> dict[str, float]:
+def likelihood_interval(sums, horizon, x, level: float = 3.84) -> dict[str, float]:
     """Bounds of each parameter, others held, where twice the likelihood drop reaches ``level``; bisection."""
-    top = log_likelihood(times, horizon, x)
+    top = log_likelihood(sums, horizon, x)
     out = {}
     for i, name in enumerate("kcp"):
         for side, edge in (("lo", 0.1), ("hi", 10.0)):
@@ -214,7 +295,7 @@ def likelihood_interval(times, horizon, x, level: float = 3.84) -> dict[str, flo
                 mid = (a + b) / 2
                 tried = x.copy()
                 tried[i] = mid
-                a, b = (mid, b) if 2 * (top - log_likelihood(times, horizon, tried)) < level else (a, mid)
+                a, b = (mid, b) if 2 * (top - log_likelihood(sums, horizon, tried)) < level else (a, mid)
                 if abs(a - b) < 0.01 * abs(x[i]) * 0.01:
                     break
             out[f"{name}_{side}"] = float((a + b) / 2)
@@ -247,52 +328,88 @@ COLUMNS = [f"{n}_{w}" for n in "kcp" for w in ("se", "lo", "hi")]
 SCHEMA = "k double, c double, p double, r2 double, log_likelihood double, aic double, bic double, iterations int, " + ", ".join(f"{c} double" for c in COLUMNS)
 
 
-def fit_one(times: np.ndarray, horizon: float, method: str, seed: int = 0, errors: bool = True) -> dict | None:
-    """Fit of one sequence's event times in days; None below 10 events or 5 days with events."""
-    times = np.sort(times[times > 0])
-    if len(times) < 10:
-        return None
-    last = min(math.ceil(times.max()), int(horizon))
-    binned = np.bincount(np.floor(times + 0.5).astype(int), minlength=last + 1)[1 : last + 1]
-    days = np.flatnonzero(binned) + 1.0
-    counts = binned[binned > 0].astype(float)
+def fit_sums(sums: Sums, horizon: float, method: str, seed: int = 0, errors: bool = True) -> dict | None:
+    """Fit of one sequence's sums; None below 5 days with events (the 10 events are counted before)."""
+    days, counts = sums.days, sums.counts
     if len(days) < 5:
         return None
     out: dict = dict.fromkeys(["log_likelihood", "aic", "bic", *COLUMNS])
     if method.startswith("mle"):
-        used = times[times >= T_START]
-        x, n = {"mle": lambda: fit_mle(used, horizon), "mle_annealing": lambda: fit_mle_annealing(used, horizon, seed), "mle_em": lambda: fit_mle_em(used, horizon)}[method]()
-        value = log_likelihood(used, horizon, x)
-        out |= {"log_likelihood": value, "aic": -2 * value + 6, "bic": -2 * value + 3 * math.log(len(used))}
+        if not sums.n:
+            return None
+        x, n = {"mle": lambda: fit_mle(sums, horizon), "mle_annealing": lambda: fit_mle_annealing(sums, horizon, seed), "mle_em": lambda: fit_mle_em(sums, horizon)}[method]()
+        value = log_likelihood(sums, horizon, x)
+        out |= {"log_likelihood": value, "aic": -2 * value + 6, "bic": -2 * value + 3 * math.log(sums.n)}
         if errors and math.isfinite(value):
-            out |= likelihood_interval(used, horizon, x)
+            out |= likelihood_interval(sums, horizon, x)
+        days, counts = sums.floor_days, sums.floor_counts
     else:
         fit = {"grid": fit_grid, "levenberg_marquardt": fit_levenberg_marquardt, "nelder_mead": fit_nelder_mead, "hybrid": fit_hybrid}[method]
         x, n = fit(days, counts)
         if errors:
             out |= hessian_errors(days, counts, x) or bootstrap_errors(days, counts, fit, seed)
-    spread = float(((counts - counts.mean()) ** 2).sum())
+    spread = float(((counts - counts.mean()) ** 2).sum()) if len(counts) else 0.0
     return out | {"k": float(x[0]), "c": float(x[1]), "p": float(x[2]), "r2": 1 - sse(days, counts, x) / spread if spread else None, "iterations": int(n)}
 
 
-def fit(seq: DataFrame, method: str = "hybrid", days_after: float = 365, by: list[str] | None = None, seed: int = 0, errors: bool = True) -> DataFrame:
-    """Fit every group's sequence (column ``days``) by one of :data:`METHODS`.
+def fit_one(times: np.ndarray, horizon: float, method: str, seed: int = 0, errors: bool = True) -> dict | None:
+    """Fit of one small sequence of event times in days; None below 10 events or 5 days with events."""
+    times = times[times > 0]
+    return fit_sums(sums_of(times, horizon), horizon, method, seed, errors) if len(times) >= 10 else None
+
+
+def decay_sums(seq: DataFrame, days_after: float = 365, by: list[str] | None = None) -> DataFrame:
+    """One row a group of at least 10 events: (by..., n, last, early, late, logs, near, whole).
+
+    ``logs`` are the sums of log(days + c) at C_NODES; ``near`` and ``whole`` are arrays of
+    (day, events) of days with events, at most as many as the days looked at.  All are
+    partial sums, so a group with most events is no burden to a task.
+    """
+    by = by or ["main"]
+    rows = seq.filter("days > 0")
+    used = rows.filter(F.col("days") >= T_START)
+    total = rows.groupBy(*by).agg(F.count("*").alias("events"), F.max(F.when(F.col("days") >= T_START, F.col("days"))).alias("last")).filter("events >= 10")
+    sums = used.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(F.log(F.col("days") + F.lit(c))) for c in C_NODES]).alias("logs"))
+    early, start, stop = F.least(F.lit(1.0), F.col("last") * 0.1), F.least(F.lit(10.0), F.col("last") * 0.5), F.least(F.lit(20.0), F.col("last") * 0.7)
+    edges = used.join(total, by).groupBy(*by).agg(F.count_if(F.col("days") < early).alias("early"), F.count_if((F.col("days") >= start) & (F.col("days") < stop)).alias("late"))
+    listed = lambda binned, name: binned.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("day", "events"))).alias(name))  # noqa: E731  a row a day
+    near = listed(daily_bins(rows, int(days_after), by).filter("events > 0"), "near")
+    whole = listed(used.groupBy(*by, (F.floor("days") + 1).alias("day")).agg(F.count("*").alias("events")).join(total.select(*by, "last"), by).filter(F.col("day") <= F.ceil("last")).drop("last"), "whole")
+    out = total
+    for part in (sums, edges, near, whole):
+        out = out.join(part, by, "left")
+    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("last", F.lit(0.0)).alias("last"), F.coalesce("early", F.lit(0)).alias("early"), F.coalesce("late", F.lit(0)).alias("late"), "logs", "near", "whole")
+
+
+def fit(seq: DataFrame, method: str | list[str] = "hybrid", days_after: float = 365, by: list[str] | None = None, seed: int = 0, errors: bool = True) -> DataFrame:
+    """Fit every group's sequence (column ``days``) by one or several of :data:`METHODS`; ``method`` tells which.
 
     A group is one mainshock's sequence.  Groups too small to fit give no row.
     """
     by = by or ["main"]
-    if method not in METHODS:
-        raise ValueError(f"method {method!r} is none of {METHODS}")
+    methods = [method] if isinstance(method, str) else method
+    if unknown := set(methods).difference(METHODS):
+        raise ValueError(f"methods {sorted(unknown)} are none of {METHODS}")
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seq.select(*by).schema)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_one(pdf["days"].to_numpy(float), days_after, method, seed, errors)
-        if got is None:
-            return pd.DataFrame(columns=[*by, *names])
-        return pd.DataFrame([[*key, *(got[n] for n in names)]], columns=[*by, *names])
-
-    return seq.select(*by, "days").groupBy(*by).applyInPandas(one, f"{keys}, {SCHEMA}")
+    def split(bins) -> tuple[np.ndarray, np.ndarray]:
+        a = np.array([(b["day"], b["events"]) for b in bins], float).reshape(-1, 2) if bins is not None else np.zeros((0, 2))
+        return a[:, 0], a[:, 1]
+
+    def each(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                logs = np.array(r["logs"], float) if r["logs"] is not None else np.zeros(NODES)
+                sums = Sums(int(r["n"]), r["last"], int(r["early"]), int(r["late"]), logs, *split(r["near"]), *split(r["whole"]))
+                got = fit_sums(sums, days_after, r["method"], seed, errors)
+                if got is not None:
+                    out.append([*(r[c] for c in by), *(got[n] for n in names), r["method"]])
+            yield pd.DataFrame(out, columns=[*by, *names, "method"])
+
+    sums = decay_sums(seq, days_after, by).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    return sums.repartition(*by, "method").mapInPandas(each, f"{keys}, {SCHEMA}, method string")  # a row a group and method
 
 
 def bootstrap(seq: DataFrame, method: str = "hybrid", replicates: int = 100, days_after: float = 365, by: list[str] | None = None, seed: int = 0) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from temblor import schema
 from temblor.functions.scalar import DAY_MS
+from temblor.operators.components import ranked
+from temblor.scratch import written
 
 T_START = 0.001
 
@@ -113,19 +115,19 @@ def fitted_days(binned: DataFrame, params: DataFrame, by: list[str] | None = Non
 def transformed_times(seq: DataFrame, params: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Each event's expected count and the residual of its rank against it."""
     by = by or ["main"]
-    w = Window.partitionBy(*by).orderBy("days", "row_idx")
     tau = expected(F.col("days"), F.col("k"), F.col("c"), F.col("p"))
-    out = seq.join(params.select(*by, "k", "c", "p"), by).select(*by, "row_idx", "days", tau.alias("tau"), F.row_number().over(w).alias("rank"))
+    out = cumulative_curve(seq, by).withColumnRenamed("events", "rank").join(params.select(*by, "k", "c", "p"), by).select(*by, "row_idx", "days", tau.alias("tau"), "rank")
     return out.withColumn("residual", F.col("rank") - F.col("tau"))
 
 
 def quantile_plot(times: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sorted gaps of transformed times against quantiles of the unit exponential law."""
     by = by or ["main"]
-    gap = F.col("tau") - F.lag("tau").over(Window.partitionBy(*by).orderBy("rank"))
-    gaps = times.withColumn("y", gap).filter("y is not null")
-    order = Window.partitionBy(*by).orderBy("y", "rank")
-    i, n = F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy(*by))
+    times = written(times.select(*by, "rank", "tau"), "times")  # its ranks are read three times
+    before = times.select(*by, (F.col("rank") + 1).alias("rank"), F.col("tau").alias("before"))
+    gaps = ranked(times.join(before, [*by, "rank"]).select(*by, "rank", (F.col("tau") - F.col("before")).alias("y")), by, [F.col("y"), F.col("rank")], "place")
+    gaps = gaps.join(times.groupBy(*by).agg((F.count("*") - 1).alias("n")), by)
+    i, n = F.col("place") - 1, F.col("n")
     return gaps.select(*by, i.alias("i"), (-F.log(1 - (i + 0.5) / n)).alias("x"), "y")
 
 
@@ -139,7 +141,7 @@ def reference_curves(days: DataFrame, main_magnitude: float, mc: float, models:
 def cumulative_curve(seq: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rank of each event of a sequence in time order."""
     by = by or ["main"]
-    return seq.select(*by, "row_idx", "days", F.row_number().over(Window.partitionBy(*by).orderBy("days", "row_idx")).alias("events"))
+    return ranked(seq.select(*by, "row_idx", "days"), by, [F.col("days"), F.col("row_idx")], "events")
 
 
 def model_curve(params: DataFrame, last_day: float, points: int = 101, by: list[str] | None = None) -> DataFrame:

@@ -66,3 +66,10 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the 0-based position of each row in a global order."""
     return running(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Add the 1-based position of each row in its group; a group of any size is shared by tasks."""
+    placed = written(numbered(df, [*map(F.col, by), *order], "_at"), "placed")
+    first = placed.groupBy(*by).agg(F.min("_at").alias("_first"))
+    return placed.join(first, by).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from temblor import schema
 from temblor.functions import geo, scalar
-from temblor.operators import aftershock_fits, aftershocks, clusters, declustering, density, filters, frequency, hierarchy, incremental, links, neighbours, sampling, sequences, statistics
+from temblor.operators import aftershock_fits, aftershocks, clusters, declustering, density, filters, frequency, hierarchy, incremental, links, neighbours, sampling, sequences, spanning, statistics
 from temblor.sources import sinks
 from temblor.sources.events import SHARED, catalogue
 
@@ -425,15 +425,36 @@ def decay_reference(cat):
     return aftershocks.reference_curves(aftershocks.daily_bins(_seq(cat)), 6.5, 4.0).select("model", "day", *r6("rate"))
 
 
+MAINS = (1_705_000_000_000, 1_705_600_000_000, 1_706_400_000_000)
+TRIED = ((800.0, 0.02, 0.7), (1500.0, 0.3, 1.0), (2500.0, 1.7, 1.2))  # K, c and p between the points at which sums are taken
+
+
+def _sequences(cat):
+    """The sequences after three instants, as groups."""
+    mains = F.explode(F.array(*[F.lit(m) for m in MAINS])).alias("main")
+    days = (F.col("timeMs") - F.col("main")) / F.lit(86_400_000.0)
+    return cat.select("*", mains).withColumn("days", days).filter("days > 0 and days <= 365")
+
+
 @query()
 def decay_fits(cat):
-    """All fitters on one sequence."""
-    seq = _seq(cat)
-    out = None
-    for method in aftershock_fits.METHODS:
-        got = aftershock_fits.fit(seq, method).withColumn("method", F.lit(method))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """All fitters on three sequences at once."""
+    return aftershock_fits.fit(_sequences(cat), list(aftershock_fits.METHODS))
+
+
+@query(f"""WITH {CAT}, s AS (SELECT main, (timeMs - main) / 86400000e0 AS days FROM cat, (VALUES {", ".join(f"({m})" for m in MAINS)}) t(main) WHERE timeMs > main AND timeMs <= main + 31536000000),
+    x(no, k, c, p) AS (VALUES {", ".join(f"({i}, {k!r}e0, {c!r}e0, {p!r}e0)" for i, (k, c, p) in enumerate(TRIED))})
+    SELECT main, no, count(*) AS n, round(sum(ln(k / pow(days + c, p))) - any_value(k * CASE WHEN p = 1 THEN ln(365 + c) - ln(0.001e0 + c) ELSE (pow(365 + c, 1 - p) - pow(0.001e0 + c, 1 - p)) / (1 - p) END), 4) AS log_likelihood FROM s, x WHERE days >= 0.001 GROUP BY main, no""")
+def decay_likelihoods(cat):
+    """Likelihoods of given parameters, from the sums that the fitters use."""
+    sums = aftershock_fits.decay_sums(_sequences(cat)).select("main", "n", "logs")
+    values = []
+    for no, (k, c, p) in enumerate(TRIED):
+        area = F.lit(k * aftershock_fits.integral(0.001, 365.0, c, p))
+        basis = aftershock_fits.basis(c)
+        at = sum((F.col("logs")[i] * float(w) for i, w in enumerate(basis)), F.lit(0.0))
+        values.append(F.struct(F.lit(no).alias("no"), F.round(F.col("n") * F.log(F.lit(k)) - p * at - area, 4).alias("log_likelihood")))
+    return sums.select("main", "n", F.explode(F.array(*values)).alias("v")).select("main", "v.no", "n", "v.log_likelihood")
 
 
 PLANE = f"m0 AS (SELECT avg(latitude) AS la, avg(longitude) AS lo FROM cat), xy AS (SELECT row_idx, timeMs, magnitude, (longitude - lo) * 111.32e0 * cos(la * pi() / 180) AS x, (latitude - la) * 110.57e0 AS y FROM cat, m0)"
@@ -583,9 +604,37 @@ def reasenberg(cat):
 
 @query()
 def hdbscan(cat):
-    """Per degree cell, whose groups are bounded."""
-    cells = cat.withColumn("cell", F.concat_ws("_", F.floor("latitude"), F.floor("longitude")))
-    return hierarchy.hdbscan(cells, ["cell"])
+    """Of the whole catalogue; equal weights leave a choice, so tests compare with a restatement."""
+    return hierarchy.hdbscan(cat).select("row_idx", "cluster_id", *r6("probability", "outlier_score"))
+
+
+def _cores(radii: str, near: str, least: int) -> str:
+    """Cores of several radii t(r) over neighbour pairs nb(a, b, d), and the smallest row k that each reaches over cores."""
+    return f"""{near}, t(r) AS (VALUES {radii}), core AS (SELECT r, a AS c FROM nb, t WHERE d <= r GROUP BY r, a HAVING count(*) >= {least}),
+    ce AS (SELECT t.r, a, b FROM nb JOIN t ON d <= t.r JOIN core x ON x.r = t.r AND x.c = a JOIN core y ON y.r = t.r AND y.c = b),
+    reach(r, src, dst) AS (SELECT r, c, c FROM core UNION SELECT q.r, q.src, ce.b FROM reach q JOIN ce ON ce.r = q.r AND ce.a = q.dst), comp AS (SELECT r, src AS row_idx, min(dst) AS k FROM reach GROUP BY 1, 2)"""
+
+
+@query("WITH RECURSIVE " + CAT + ", " + PLANE + ", " + _cores("(2e0), (3e0), (4e0)", f"""g AS (SELECT xy.*, latitude, longitude, floor(x / 5)::BIGINT AS cx, floor(y / 5)::BIGINT AS cy FROM xy JOIN cat USING (row_idx)), o(i) AS (VALUES (-1), (0), (1)),
+    nb AS (SELECT a.row_idx AS a, b.row_idx AS b, {km("a.latitude", "a.longitude", "b.latitude", "b.longitude")} AS d FROM g a, o p, o q, g b WHERE b.cx = a.cx + p.i AND b.cy = a.cy + q.i AND a.row_idx <> b.row_idx)""", 5)
+    + " SELECT r AS radius_km, count(*) AS cores, count(*) - count(DISTINCT k) AS edges, count(DISTINCT k) AS components FROM comp GROUP BY r")
+def spanning_tree_cuts(cat):
+    """What is left of the tree of mutual reachability under some distances: a tree of each component."""
+    tree, cores = spanning.spanning_tree(cat, 5)
+    radii = F.explode(F.array(*[F.lit(x) for x in (2.0, 3.0, 4.0)])).alias("radius_km")
+    held = cores.select("core", radii).filter("core <= radius_km").groupBy("radius_km").agg(F.count("*").alias("cores"))
+    kept = tree.select("w", radii).filter("w <= radius_km").groupBy("radius_km").agg(F.count("*").alias("edges"))
+    return held.join(kept, "radius_km", "left").select("radius_km", "cores", F.coalesce("edges", F.lit(0)).alias("edges"), (F.col("cores") - F.coalesce("edges", F.lit(0))).alias("components"))
+
+
+@query("WITH RECURSIVE " + CAT + ", " + PLANE + ", " + _cores("(4e0)", """g AS (SELECT *, floor(x / 5)::BIGINT AS cx, floor(y / 5)::BIGINT AS cy FROM xy), o(i) AS (VALUES (-1), (0), (1)),
+    nb AS (SELECT a.row_idx AS a, b.row_idx AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM g a, o p, o q, g b WHERE b.cx = a.cx + p.i AND b.cy = a.cy + q.i AND a.row_idx <> b.row_idx)""", 4)
+    + """, n4 AS (SELECT a AS row_idx, d FROM nb WHERE d <= 5 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 4)
+    SELECT cat.row_idx, round(n4.d, 6) AS core_km, comp.k AS first_row FROM cat LEFT JOIN n4 ON n4.row_idx = cat.row_idx LEFT JOIN comp ON comp.row_idx = cat.row_idx""")
+def optics_order(cat):
+    """Core distances within 5 km, and the clusters that a cut of the reachability order at 4 km gives."""
+    order = hierarchy.reachability_order(cat, 5.0, 5)
+    return order.select("row_idx", *r6("core_km")).join(hierarchy.cut(order, 4.0), "row_idx")
 
 
 NESTS = "SELECT row_idx, CASE WHEN row_idx % 4 = 0 THEN -1 ELSE (row_idx * 7919 % 50)::INTEGER END AS cluster_id FROM cat"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 DAY = 86_400_000
 
 
@@ -192,3 +194,83 @@ def reasenberg(df, rfact=10, tau0=2, tau_max=10, p1=0.99, xk=0.5, min_mag=1.5, t
         for i in g["all"]:
             label[i] = n
     return spread(df, ev, label)
+
+
+def spanning_edges(d: np.ndarray, k: int):
+    """Core distances, and edges (w, a, b) of the lightest tree over all pairs in the order of (w, a, b)."""
+    n = len(d)
+    core = np.array([np.sort(np.delete(d[i], i))[min(k, n - 1) - 1] if n > 1 and k else 0.0 for i in range(n)])
+    top = list(range(n))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    edges = []
+    for w, a, b in sorted((max(core[a], core[b], d[a, b]), a, b) for a in range(n) for b in range(a + 1, n)):
+        if find(a) != find(b):
+            top[find(b)] = find(a)
+            edges.append((w, a, b))
+    return core, edges
+
+
+def hdbscan(d: np.ndarray, min_size: int = 5, min_samples: int = 5):
+    """Labels, strengths and outlier scores by the definitions: sets of rows split from the heaviest edge down."""
+    n = len(d)
+    least = max(2, min(min_size, n // 2))
+    edges = spanning_edges(d, min_samples)[1]
+
+    def parts(rows, edges):
+        """Two halves without the last edge, with their own edges."""
+        a = {edges[-1][1]}
+        grew = True
+        while grew:
+            more = {x for _, p, q in edges[:-1] for x in (p, q) if (p in a) != (q in a)}
+            grew = bool(more)
+            a |= more
+        return [(s, [e for e in edges[:-1] if e[1] in s]) for s in (a, rows - a)]
+
+    clusters = []  # [birth, parent, {row: lam}, [parts], rows]
+
+    def grow(rows, edges, birth, parent):
+        me = len(clusters)
+        clusters.append([birth, parent, {}, [], rows])
+        while edges:
+            lam = 1 / edges[-1][0] if edges[-1][0] > 0 else 1e15
+            halves = parts(rows, edges)
+            large = [h for h in halves if len(h[0]) >= least]
+            for s, _ in halves:
+                if len(s) < least:
+                    clusters[me][2].update(dict.fromkeys(s, lam))
+            if len(large) == 2:
+                clusters[me][3] = [grow(*h, lam, me) for h in large]
+            if len(large) != 1:
+                break
+            rows, edges = large[0]
+        return me
+
+    grow(set(range(n)), edges, 0.0, None)
+
+    def best(c):
+        birth, _, gone, kids, _ = clusters[c]
+        own = max(0.0, sum(x - birth for x in gone.values()) + sum(len(clusters[k][4]) * (clusters[k][0] - birth) for k in kids))
+        below = [best(k) for k in kids]
+        value = sum(v for v, _ in below)
+        return (own, [c]) if not kids or own >= value else (value, [x for _, xs in below for x in xs])
+
+    def stays(c):
+        return list(clusters[c][2].items()) + [(r, clusters[k][0]) for k in clusters[c][3] for r in clusters[k][4]]
+
+    labels, strength, outlier = np.full(n, -1), np.zeros(n), np.zeros(n)
+    for number, c in enumerate(sorted(best(0)[1], key=lambda c: min(clusters[c][4]))):
+        got = stays(c)
+        most = max(x for _, x in got)
+        for r, x in got:
+            labels[r], strength[r] = number, min(1.0, x / most)
+    for birth, _, gone, kids, _ in clusters:
+        most = max([*gone.values(), *(clusters[k][0] for k in kids)], default=0.0)
+        for r, x in gone.items():
+            if labels[r] < 0:
+                outlier[r] = max(0.0, 1 - x / most) if most > 0 else 1.0
+    return labels, strength, outlier

@@ -112,16 +112,6 @@ def test_otsu_fallback(spark):
     assert links.otsu_threshold(df.limit(0)).first().threshold is None
 
 
-def test_hdbscan_groups(spark):
-    pdf = three_nests().assign(g=0)
-    got = hierarchy.hdbscan(spark.createDataFrame(pdf), ["g"]).toPandas()
-    assert got.cluster_id.max() >= 1 and got.probability.between(0, 1).all()
-    labels_, strength, _ = hierarchy.hdbscan_labels(np.array([1.0]), np.array([1.0]))
-    assert list(labels_) == [0] and list(strength) == [1.0]
-    with pytest.raises(Exception, match="split groups"):
-        hierarchy.hdbscan(spark.createDataFrame(pdf), ["g"], max_group=10).collect()
-
-
 def test_frequency_recovers_b(spark):
     r = np.random.default_rng(4)
     n = 20_000
@@ -142,9 +132,11 @@ def test_decay_fits_recover_parameters(spark):
     assert got["p_lo"] < got["p"] < got["p_hi"]
     cat = spark.createDataFrame(frame(np.zeros(len(times)), np.zeros(len(times)), T0 + times * DAY, np.full(len(times), 3.0)))
     seq = aftershocks.sequence(cat, T0)
-    for method in aftershock_fits.METHODS:
-        row = aftershock_fits.fit(seq, method).first()
-        assert 0.5 < row.p < 1.8 and row.k > 0, method
+    for row in aftershock_fits.fit(seq, list(aftershock_fits.METHODS)).collect():
+        one = aftershock_fits.fit_one((T0 + times * DAY).astype("int64") / DAY - T0 / DAY, horizon, row.method)
+        assert 0.5 < row.p < 1.8 and row.k > 0, row.method
+        for name in ("k", "c", "p", "r2"):
+            assert row[name] == pytest.approx(one[name], rel=1e-3), (row.method, name)
     assert aftershock_fits.bootstrap(seq, "grid", 4).count() == 4
     assert len(aftershocks.FIT_GRID) == 70 and len(aftershocks.PROFILE_GRID) == 130
     grid = aftershocks.grid_fit(aftershocks.daily_bins(seq)).first()
@@ -152,6 +144,29 @@ def test_decay_fits_recover_parameters(spark):
     assert (grid.p, grid.c) == (one["p"], one["c"])
 
 
+def test_log_sums_are_exact_between_their_nodes():
+    r = np.random.default_rng(11)
+    for times in (np.array([0.0011, 0.5, 300.0]), r.uniform(0.001, 0.02, 500), r.exponential(40, 3000) + 0.001):
+        sums = aftershock_fits.sums_of(times, 365.0)
+        for c in (0.0051, 0.0123, 0.1, 0.77, 1.9, 4.99):
+            assert float(sums.log_sum(c)) == pytest.approx(np.log(times + c).sum(), rel=1e-11, abs=1e-9)
+            direct = len(times) * math.log(30) - 1.07 * np.log(times + c).sum() - 30 * aftershock_fits.integral(0.001, 365.0, c, 1.07)
+            assert aftershock_fits.log_likelihood(sums, 365.0, np.array([30, c, 1.07])) == pytest.approx(direct, rel=1e-10)
+
+
+def test_several_mainshocks_are_fitted_at_once(spark):
+    r = np.random.default_rng(12)
+    rows = [(main, float(t)) for main, n in ((1, 60), (2, 400), (3, 4)) for t in r.exponential(8, n) + 0.002]
+    seq = spark.createDataFrame(rows, "main bigint, days double").withColumn("row_idx", F.monotonically_increasing_id())
+    got = {(x.main, x.method): x for x in aftershock_fits.fit(seq, ["mle", "mle_em", "hybrid"], 100).collect()}
+    assert {m for m, _ in got} == {1, 2}
+    for (main, method), x in got.items():
+        one = aftershock_fits.fit_one(np.array([t for m, t in rows if m == main]), 100, method)
+        assert (x.k, x.c, x.p) == pytest.approx((one["k"], one["c"], one["p"]), rel=1e-6)
+        if method == "mle_em":
+            assert 0.7 <= x.p <= 1.6 and 0.01 <= x.c <= 2
+
+
 def test_too_small_sequences_give_no_row(spark):
     seq = aftershocks.sequence(spark.createDataFrame(sequence_catalogue(1, 5)), T0 - DAY)
     assert aftershock_fits.fit(seq).count() == 0
