@@ -72,7 +72,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+    return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,13 +177,13 @@ ORACLE_SQL = {
     """,
     "op10_topk_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_inner_product(q.c, d.c)::BIGINT AS score
-            FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+            SELECT q.r AS query, q.vec_id AS query_id, d.vec_id AS vec_id, list_inner_product(q.c, d.c)::BIGINT AS score
+            FROM v q JOIN v d ON q.r <> d.r AND len(q.c) = len(d.c) WHERE q.vec_id % 50 = 0
         ), r AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+            SELECT query_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,

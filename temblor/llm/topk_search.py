@@ -10,27 +10,29 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from temblor.llm.common import materialize
+from temblor.llm.common import materialize, unused
 
 TOP, BOTTOM = 2**63 - 1, -(2**63) + 1  # scores beyond a long count as these
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int, null_ids: bool = False) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int, null_ids: bool = False, keep: str | None = None) -> DataFrame:
     """``id, dim, v``: vectors with integer components floor(scale * x), held as doubles; others take no part.
 
     Left out are null vectors, null ids (unless ``null_ids``), and vectors with a null or
     non-finite component (also one whose product with ``scale`` is beyond all doubles).
+    ``keep`` names a further column to carry.
     """
     y = lambda c: c.cast("double") * F.lit(float(scale))
-    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"), F.size(vec_col).alias("dim"))
+    kept = [keep] if keep else []
+    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"), F.size(vec_col).alias("dim"), *kept)
     fine = F.forall("raw", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(y(c)) < F.lit(float("inf"))))
     # From 2**52 on every double is a whole number, and beyond a long floor would not hold it.
     whole = F.transform("raw", lambda c: F.when(F.abs(y(c)) < F.lit(2.0**52), F.floor(y(c)).cast("double")).otherwise(y(c)))
-    return raw.filter("raw is not null" if null_ids else "id is not null and raw is not null").filter(fine).select("id", "dim", whole.alias("v"))
+    return raw.filter("raw is not null" if null_ids else "id is not null and raw is not null").filter(fine).select("id", "dim", whole.alias("v"), *kept)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -60,37 +62,40 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _own(q_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _own(q_rows: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (query, candidate) of a query's own row."""
-    order = np.argsort(q_ids, kind="stable")
-    lo, hi = np.searchsorted(q_ids[order], ids, "left"), np.searchsorted(q_ids[order], ids, "right")
-    cand = np.repeat(np.arange(len(ids)), hi - lo)
+    order = np.argsort(q_rows, kind="stable")
+    lo, hi = np.searchsorted(q_rows[order], rows, "left"), np.searchsorted(q_rows[order], rows, "right")
+    cand = np.repeat(np.arange(len(rows)), hi - lo)
     rank = np.arange(len(cand)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
     return order[lo[cand] + rank], cand
 
 
-def _select(table: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, bins: int, chunk: int) -> DataFrame:
-    """The top k of one block of queries: rows (query_id, vec_id, score), at least those needed."""
+FOUND = "query long, query_id long, vec_id long, score long"
+
+
+def _select(table: DataFrame, q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, bins: int, chunk: int) -> DataFrame:
+    """The top k of one block of queries: rows (query, query_id, vec_id, score), at least those needed."""
     spark = table.sparkSession
     dim, n = q.shape[1], len(q_ids)
-    own_dim = table.filter(F.col("dim") == dim).select("id", "v")
-    shared_q = spark.sparkContext.broadcast((q_ids, q))  # a block: block_queries * dim numbers
+    own_dim = table.filter(F.col("dim") == dim).select("id", "v", "row")
+    shared_q = spark.sparkContext.broadcast((q_rows, q_ids, q))  # a block: block_queries * dim numbers
 
     def blocks(batches):
-        ids, v = shared_q.value
+        rows, _, v = shared_q.value
         for batch in batches:
             for first in range(0, batch.num_rows, chunk):
                 part = batch.slice(first, chunk)
                 c_ids = part.column(0).to_numpy()
                 s = _scores(v, _matrix(part.column(1), dim))
                 mask = np.ones(s.shape, bool)
-                mask[_own(ids, c_ids)] = False
+                mask[_own(rows, part.column(2).to_numpy())] = False
                 yield c_ids, s, mask
 
     # Cauchy-Schwarz bounds every score, so the first interval needs no pass over the scores.
     top = own_dim.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     if top is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score long")
+        return spark.createDataFrame([], FOUND)
     with np.errstate(over="ignore", invalid="ignore"):
         norms = np.nan_to_num(np.ceil(top * np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)) + 1, nan=2.0**63, posinf=2.0**63)
     reach = [min(TOP, int(x)) for x in norms.tolist()]
@@ -135,54 +140,63 @@ def _select(table: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, bins: in
 
     def keep(batches):
         lo, still = state.value
-        ids = shared_q.value[0]
+        asked, ids, _ = shared_q.value
         ties: list[list] = [[] for _ in range(n)]
         for c_ids, s, mask in blocks(batches):
             qi, ci = np.nonzero(mask & (s > lo[:, None]))
             if len(qi):
-                yield pa.RecordBatch.from_pydict({"query_id": ids[qi], "vec_id": c_ids[ci], "score": s[qi, ci]})
+                yield pa.RecordBatch.from_pydict({"query": asked[qi], "query_id": ids[qi], "vec_id": c_ids[ci], "score": s[qi, ci]})
             qi, ci = np.nonzero(mask & (s == lo[:, None]))
             for a, c in zip(qi.tolist(), c_ids[ci].tolist(), strict=True):
                 ties[a].append(c)
                 if len(ties[a]) > 4 * k + 64:
                     ties[a] = sorted(ties[a])[: still[a]]
-        rows = [(ids[a], c, lo[a]) for a in range(n) for c in sorted(ties[a])[: still[a]]]
+        rows = [(asked[a], ids[a], c, lo[a]) for a in range(n) for c in sorted(ties[a])[: still[a]]]
         if rows:
-            yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": [r[2] for r in rows]})
+            yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(("query", "query_id", "vec_id", "score"))})
 
-    return own_dim.mapInArrow(keep, "query_id long, vec_id long, score long")
+    return own_dim.mapInArrow(keep, FOUND)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", block_queries: int = 4096, bins: int = 512, chunk: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", block_queries: int = 4096, bins: int = 512, chunk: int = 2048) -> DataFrame:
     """Each query's k highest inner products over all vectors but its own row.
 
-    ``queries`` are rows of the same form as ``vectors``.  Returns ``query_id, rank,
-    vec_id, score``: ranks from 1, ties to the smaller id, all candidates if there are
-    fewer than k.  Only vectors of equal length are compared, those of length 0 with
-    score 0.  Of query rows with the same id the one with the smallest components, from
-    the first on, is asked; repeated candidate rows are candidates each.  Scores beyond
-    a long count as its ends.  Queries are taken in blocks of ``block_queries`` ordered
-    by id, so what is broadcast is bounded; a block's scores exist only inside tasks,
-    ``chunk`` candidates at a time, and all blocks write to one table.
+    ``queries`` is a condition that tells which of the vectors are asked, each row on its
+    own: of rows that share an id every other one is a candidate.  Or it is a table of
+    the same form as ``vectors``: then all rows of a query's id count as its own, and of
+    query rows with one id the one with the smallest components, from the first on, is
+    asked.  Returns ``query_id, rank, vec_id, score``: ranks from 1, ties to the smaller
+    id, all candidates if there are fewer than k.  Only vectors of equal length are
+    compared, those of length 0 with score 0.  Repeated candidate rows are candidates
+    each.  Scores beyond a long count as its ends.  Queries are taken in blocks of
+    ``block_queries`` in order of their rows, so what is broadcast is bounded; a block's
+    scores exist only inside tasks, ``chunk`` candidates at a time, and all blocks write
+    to one table.
     """
     spark = vectors.sparkSession
-    table = materialize(usable(vectors, id_col, vec_col, scale), "vectors")
-    asked = usable(queries, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("m")).select("id", "m.dim", "m.v")
-    asked = materialize(asked, "queries")
-    found = materialize(spark.createDataFrame([], "query_id long, vec_id long, score long"), "found")
+    if isinstance(queries, Column):
+        name = unused(vectors, "is_query")
+        all_rows = usable(vectors.withColumn(name, queries), id_col, vec_col, scale, keep=name)
+        table = materialize(all_rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+        asked = materialize(table.filter(name).select("row", "id", "dim", "v"), "queries")
+    else:
+        table = materialize(usable(vectors, id_col, vec_col, scale).withColumn("row", F.col("id")), "vectors")
+        one = usable(queries, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("m"))
+        asked = materialize(one.select(F.col("id").alias("row"), "id", "m.dim", "m.v"), "queries")
+    found = materialize(spark.createDataFrame([], FOUND), "found")
     dim = -1
     while (dim := asked.filter(F.col("dim") > dim).agg(F.min("dim")).first()[0]) is not None:  # a pass for each length of vectors
         rows = asked.filter(F.col("dim") == dim)
         after = None
         while True:
-            block = (rows if after is None else rows.filter(F.col("id") > after)).orderBy("id").limit(block_queries).select("id", "v").toArrow()
+            block = (rows if after is None else rows.filter(F.col("row") > after)).orderBy("row").limit(block_queries).select("row", "id", "v").toArrow()
             if not block.num_rows:
                 break
-            q_ids = block["id"].to_numpy()
-            after = int(q_ids[-1])
-            _select(table, q_ids, _matrix(block["v"].combine_chunks(), dim), k, bins, chunk).write.mode("append").parquet(found.scratch_path)
+            q_rows = block["row"].to_numpy()
+            after = int(q_rows[-1])
+            _select(table, q_rows, block["id"].to_numpy(), _matrix(block["v"].combine_chunks(), dim), k, bins, chunk).write.mode("append").parquet(found.scratch_path)
             if block.num_rows < block_queries:
                 break
     found = spark.read.schema(found.schema).parquet(found.scratch_path)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -532,3 +532,17 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 3), (5, 4), (4, 9), (None, 1)], "a bigint, b bigint")
     got = {r.node: r.component for r in common.connected_components(edges, "a", "b").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 4, 9: 4, 4: 4, 5: 4}
+
+
+def test_top_k_of_rows_that_share_an_id(spark):
+    r = random.Random(31)
+    rows = [(i // 2, [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]) for i in range(60)] + [(0, None), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    kept = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and i is not None]
+    want = []
+    for a, (i, q) in enumerate(kept):
+        if i % 5 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(kept) if b != a)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    got = topk_search.top_k(df, F.col("vec_id") % 5 == 0, block_queries=3, bins=4)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
