@@ -62,6 +62,17 @@ def discard(df: DataFrame) -> None:
     fs.delete(p.getParent(), True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on in this session, Arrow batches of at most ``rows`` rows go to Python.
+
+    Texts may be long.  Of a batch both sides hold copies, and the JVM keeps the buffers
+    of its largest ones, so batches of 10,000 texts cost executors some hundred MB.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_slices(column: pa.Array, budget: int = 2_000_000):
     """Yield ``(first_row, bytes, offsets)`` over runs of rows of about ``budget`` bytes.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from temblor.llm.common import connected_components, discard, materialize, mix64, prefix_hash, span_hash, text_slices
+from temblor.llm.common import connected_components, discard, materialize, mix64, prefix_hash, small_batches, span_hash, text_slices
 
 LONG_WORD = 128  # bytes
 _space = np.zeros(256, bool)
@@ -163,7 +163,7 @@ def _by_rarity(texts: DataFrame, rule: Rule) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for first, data, offsets in text_slices(batch.column(1)):
+            for first, data, offsets in text_slices(batch.column(1), 500_000):
                 sets = shingle_sets(data, offsets, rule.n)
                 held = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(sets).view(np.int64)))
@@ -270,6 +270,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     bucket still holds apart after these rounds is compared pair by pair, so no link
     between components is lost and nothing is capped.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     sketch = materialize(_sketches(plain, rule).withColumn("row", F.monotonically_increasing_id()), "sketches")
     rows = materialize(sketch.select("row", "doc_id", "th", F.col("n").alias("n_shingles")), "rows")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temblor.llm.common import mix64, text_runs
+from temblor.llm.common import mix64, small_batches, text_runs
 
 #: First code point, last code point, script.
 SCRIPTS = [
@@ -41,7 +41,11 @@ _table = np.full(0x3100, len(NAMES) - 1, np.int8)
 NO_BLANKS = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 WORD = re.compile("[฀-๿぀-ヿ㐀-鿿]|[^\\s฀-๿぀-ヿ㐀-鿿]+")
 PLAIN = re.compile(r"\S+")
-MEMO_BYTES = 48_000_000
+MEMO_BYTES = 32_000_000
+RUN_BYTES = 200_000  # of text to learn from at once; arrays of n-grams are some hundred times as large
+LABEL_BYTES = 1_000_000  # of text to label at once; the more texts advance together, the fewer steps
+SCORED = 10_000  # words whose n-grams are scored at once
+DENSE_BYTES = 32_000_000  # of a table of all buckets and languages, which is faster to look up than one of seen cells
 
 
 def script_of(ch: str) -> str:
@@ -88,6 +92,20 @@ class Model:
     cell_adds: np.ndarray
     allowed: np.ndarray
 
+    def _sums(self, slot: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Sum of log-probabilities of the n-grams of each of n words in each language."""
+        k = len(self.langs)
+        if 8 * k * (len(self.starts) - 1) <= DENSE_BYTES:
+            if "dense" not in self.__dict__:  # one a worker
+                table = np.tile(self.unseen, (len(self.starts) - 1, 1))
+                table[np.repeat(np.arange(len(table)), np.diff(self.starts)), self.cell_lang] += self.cell_adds
+                self.__dict__["dense"] = np.ascontiguousarray(table.T)
+            return np.stack([np.bincount(owner, row[slot], n) for row in self.dense], axis=1)
+        first, cells = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
+        cell = np.repeat(first - (np.cumsum(cells) - cells), cells) + np.arange(cells.sum())
+        at = np.repeat(owner, cells) * k + self.cell_lang[cell]
+        return np.bincount(owner, minlength=n)[:, None] * self.unseen + np.bincount(at, self.cell_adds[cell], n * k).reshape(n, -1)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Score of each word (of letters, in lower case) in each language, at most 0; 0 for no letters."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
@@ -95,10 +113,7 @@ class Model:
         if not some or not self.langs:
             return out
         slot, owner = ngram_slots([words[i] for i in some], len(self.starts) - 1)
-        first, n = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
-        cell = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(owner, n) * len(self.langs) + self.cell_lang[cell]
-        total = np.bincount(owner, minlength=len(some))[:, None] * self.unseen + np.bincount(at, self.cell_adds[cell], len(some) * len(self.langs)).reshape(len(some), -1)
+        total = self._sums(slot, owner, len(some))
         # Words of the same scripts share a mask, and plain ASCII letters are of one script.
         masks: dict[frozenset, int] = {}
         latin = frozenset(["latin"])
@@ -115,10 +130,11 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, text_co
 
     A seeded hash of the id picks about ``max_docs`` rows when there are more; rows
     without text or label teach nothing; repeated rows teach again.  Tasks count the
-    cells (bucket, language) of each run of texts and Spark adds them up.  Only cells
+    cells (bucket, language) of their texts and Spark adds them up.  Only cells
     that were seen come back, at most as many as the picked rows have n-grams, so the
     buckets are as many for any number of labels.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     per_lang = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()  # a row a label
     langs = sorted(r.lang for r in per_lang)
@@ -127,10 +143,17 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, text_co
         labelled = labelled.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     code = {x: i for i, x in enumerate(langs)}
 
+    cells = (buckets + len(NAMES)) * len(langs)
+    dense = 8 * cells <= DENSE_BYTES  # then a task adds up in one table, else it tells the cells of each run
+
+    def told(cell, n):
+        return pa.RecordBatch.from_pydict({"cell": cell, "n": n})
+
     def count(batches):
+        seen = np.zeros(cells if dense else 0, np.int64)
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            for first, texts in text_runs(batch.column(0)):
+            for first, texts in text_runs(batch.column(0), RUN_BYTES):
                 words, owner = [], []
                 for i, text in enumerate(texts):
                     w = [x for x in map(letters, tokens(text)) if x]
@@ -144,8 +167,14 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, max_docs: int = 20_000, text_co
                     script = np.array([NAMES.index(script_of(chr(c))) for c in chars])[inverse]
                     row = np.concatenate([slot, buckets + script])
                     column = np.concatenate([lang[word], np.repeat(lang, [len(w) for w in words])])
-                    cell, n = np.unique(row * len(langs) + column, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"cell": cell, "n": n})
+                    cell = row * len(langs) + column
+                    if dense:
+                        seen += np.bincount(cell, minlength=cells)
+                    else:
+                        yield told(*np.unique(cell, return_counts=True))
+        if dense:
+            at = np.flatnonzero(seen)
+            yield told(at, seen[at])
 
     found = labelled.select("text", "lang").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
     row, lang = np.divmod(found["cell"].to_numpy(), max(1, len(langs)))
@@ -219,7 +248,8 @@ class Known:
                 more = max(last, 2 * len(self.size)) - len(self.size)
                 self.scores = np.concatenate([self.scores, np.zeros((more, self.scores.shape[1]), np.float32)])
                 self.size = np.concatenate([self.size, np.zeros(more, np.int64)])
-            self.scores[first:last] = model.word_scores(clean)
+            for part in range(0, len(clean), SCORED):
+                self.scores[first + part : min(last, first + part + SCORED)] = model.word_scores(clean[part : part + SCORED])
             self.size[first:last] = [len(c) for c in clean]
             self.bytes += sum(map(getsizeof, new)) + len(new) * (100 + 4 * self.scores.shape[1])
             self.row.update(zip(new, range(first, last), strict=True))
@@ -267,6 +297,7 @@ def language_column(docs: DataFrame, text: Column, model: Model, penalty: float
     alike the first in alphabetical order is taken.  Rows are judged one by one, so
     repeated rows and null ids get results like others.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the cells seen in about max_docs documents
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
 
@@ -275,7 +306,7 @@ def language_column(docs: DataFrame, text: Column, model: Model, penalty: float
         known = Known(len(shared.value.langs))  # lives as long as the task
         for column in columns:
             got = []
-            for _, texts in text_runs(column, 500_000):
+            for _, texts in text_runs(column, LABEL_BYTES):
                 got += label_texts(shared.value, texts, penalty, known)
             yield pa.array([{"lang": a, "score": s, "spans": [{"start": x, "end": y, "lang": z} for x, y, z in spans]} for a, s, spans in got], kind)
 

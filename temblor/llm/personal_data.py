@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temblor.llm.common import materialize, text_runs
+from temblor.llm.common import materialize, small_batches, text_runs
 
 # Kinds in the order in which spans of one start are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -337,6 +337,7 @@ def find(docs: DataFrame, threshold: float = 0.9, max_spans: int = 20_000, text_
     spans; of overlapping further spans the better score, then the longer, then the
     earlier stays; an empty table gives an empty result; other columns play no part.
     """
+    small_batches(docs.sparkSession)
     looked = materialize(docs.select(F.col(id_col).alias("doc_id"), spans_column(F.col(text_col)).alias("found")), "spans")
     shared = docs.sparkSession.sparkContext.broadcast(fit(looked, max_spans))  # FEATURES numbers
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from temblor.llm.common import discard, materialize, text_slices
+from temblor.llm.common import discard, materialize, small_batches, text_slices
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 ONE_BREAK = bytes.maketrans(BREAKS, b"." * len(BREAKS))
@@ -158,6 +158,7 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, cover: tuple[int, i
     block holds ``block_bytes`` of text or one longer text; what a task holds is bounded by
     it.  Memory of a word is its own length, however long it is.
     """
+    small_batches(docs.sparkSession)
     table = materialize(word_lists(docs, F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col), block_bytes), "words")
     totals = materialize(table.filter("at is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     alive = materialize(frequent(table, ["lang", "word"], least), "frequent")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temblor.llm.common import text_runs
+from temblor.llm.common import small_batches, text_runs
 
 MARK = "▁"
 MARK_CODE, BLANK_CODE = ord(MARK), ord(" ")
@@ -318,6 +318,7 @@ def decode(table: list[bytes], ids) -> str:
 
 def encode_column(docs: DataFrame, text: Column, vocab: Vocabulary) -> Column:
     """Column ``array<int>`` of the ids of a text column; null and empty texts have an empty list."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary
 
     @F.arrow_udf("array<int>")

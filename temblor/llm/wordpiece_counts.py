@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from temblor.llm.common import text_runs
+from temblor.llm.common import small_batches, text_runs
 
-MEMO_BYTES = 64_000_000
+MEMO_BYTES = 32_000_000
 
 
 class CountingAutomaton:
@@ -106,6 +106,7 @@ def token_counts(docs: DataFrame, initial: list[str], inner: list[str], text_col
     result.  A word of any length is one pass over its characters; words met are kept
     up to MEMO_BYTES and the words of one run of texts.
     """
+    small_batches(docs.sparkSession)
     machine = CountingAutomaton(initial, inner)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # as large as the vocabulary
 
@@ -115,7 +116,7 @@ def token_counts(docs: DataFrame, initial: list[str], inner: list[str], text_col
         memo, size = {}, 0  # live as long as the task
         for column in columns:
             words, totals = [], []
-            for _, texts in text_runs(column):
+            for _, texts in text_runs(column, 500_000):
                 if size > MEMO_BYTES:
                     memo, size = {}, 0
                 for text in texts:
