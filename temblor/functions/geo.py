@@ -143,13 +143,18 @@ def locality_name(lat: Column, lon: Column, fix_inverted_bounds: bool = False, n
     return F.when(near["d"] < 30, F.concat(F.lit("Near "), near["name"])).when(near["d"].isNotNull(), F.concat(km, F.lit(" km "), way, F.lit(" of "), near["name"])).otherwise(F.coalesce(region_name(lat, lon, fix_inverted_bounds), beyond))
 
 
+# Fixed values of the ellipsoidal distance: a right angle and a degree in radians, squared ratio of the axes, mean radius in km and its variation.
+HALF_PI, DEGREE, AXES, MEAN_KM, OBLATE = 1.570796, 1.745329e-02, 0.993231, 6371.227, 3.37853e-3
+
+
 def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Epicentral distance on geocentric latitudes of an ellipsoid of flattening 1/298.25."""
-    geo = lambda lat: F.atan(F.tan(F.radians(lat)) * (1 - 1 / 298.25) ** 2)
-    a, b, d = geo(lat1), geo(lat2), F.radians(lon2 - lon1)
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(d)))
-    mean = F.sin((a + b) / 2)
-    return F.acos(cos) * 6378.163 * (1 - mean * mean / 298.25)
+    """Epicentral distance: the angle between geocentric positions times the radius at the mean latitude; 0 for equal positions."""
+    polar = lambda lat: HALF_PI - F.atan(AXES * F.tan(lat * DEGREE))
+    a, b = polar(lat1), polar(lat2)
+    cos = F.sin(a) * F.sin(b) * F.cos((lon2 - lon1) * DEGREE) + F.cos(a) * F.cos(b)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+    up = F.cos(HALF_PI - (lat1 + lat2) * DEGREE / 2)
+    return F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(angle * MEAN_KM * (1 + OBLATE * (1 / 3 - up * up)))
 
 
 def hypocentral_km(epicentral: Column, depth1: Column, depth2: Column, error1: Column | float = 0.0, error2: Column | float = 0.0) -> Column:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from temblor.functions import geo
 from temblor.functions.scalar import DAY_MS
 from temblor.operators.components import numbered
 from temblor.operators.neighbours import window_pairs
-from temblor.scratch import written
+from temblor.scratch import discard, written
 
 HARDEBECK_DAYS = 3 * 365.25
 
@@ -56,6 +55,31 @@ def priority_cover(rows: DataFrame, covers: DataFrame) -> DataFrame:
         waiting = rest
 
 
+def settled_mains(mains: DataFrame, by_time: bool, first: int = 1000, growth: int = 8) -> DataFrame:
+    """Rows (row_idx) that are mains of their windows: not covered by a main of higher rank.
+
+    Goes down the magnitudes in batches that grow by ``growth``.  A batch holds all
+    undecided rows from a magnitude on, so it settles itself; what its mains cover is
+    out before the next batch, and small rows are compared with mains only, never with
+    every larger row around.
+    """
+    waiting, size, found = written(mains, "waiting"), first, None
+    while n := waiting.count():
+        least = None if n <= size else waiting.agg(F.percentile_approx("magnitude", 1 - size / n)).first()[0]
+        here = F.lit(True) if least is None else F.coalesce(F.col("magnitude") >= least, F.lit(False))
+        batch, rest = waiting.filter(here), waiting.filter(~here)
+        covers = window_pairs(batch, batch).filter(priority("m_", by_time) < priority("d_", by_time)).select("main", "dep")
+        settled = written(priority_cover(batch, covers), "settled")
+        found = settled if found is None else found.union(settled)
+        if least is None:
+            break
+        covered = window_pairs(batch.join(settled, "row_idx", "left_semi"), rest).select(F.col("dep").alias("row_idx")).distinct()
+        nxt = written(rest.join(covered, "row_idx", "left_anti"), "waiting")
+        discard(waiting)
+        waiting, size = nxt, size * growth
+    return found if found is not None else mains.select("row_idx")
+
+
 def window_decluster(cat: DataFrame, window: tuple[Column, Column], foreshock_share: float = 1.0, by_time: bool = True) -> DataFrame:
     """(row_idx, cluster_id, is_main, dependent) of window declustering.
 
@@ -68,9 +92,7 @@ def window_decluster(cat: DataFrame, window: tuple[Column, Column], foreshock_sh
     share = min(1.0, max(0.0, foreshock_share))
     rows = cat.select("row_idx", "latitude", "longitude", "timeMs", "magnitude")
     mains = rows.withColumn("radius_km", radius).withColumn("after_ms", days * DAY_MS).withColumn("before_ms", F.col("after_ms") * share)
-    # Only windows that can decide who is a main are written; members come from a second join of the few mains.
-    covers = window_pairs(mains, rows).filter(priority("m_", by_time) < priority("d_", by_time)).select("main", "dep")
-    is_main = written(priority_cover(rows, covers).withColumn("is_main", F.lit(True)), "mains")
+    is_main = written(settled_mains(mains, by_time).withColumn("is_main", F.lit(True)), "mains")
     real = window_pairs(mains.join(is_main.select("row_idx"), "row_idx", "left_semi"), rows)
     member = written(real.groupBy("dep").agg(F.min(priority("m_", by_time)).alias("owner")), "members")
     owners = member.select(F.col("owner").alias("rank")).distinct()
@@ -159,22 +181,3 @@ def significant_mainshocks(cat: DataFrame, min_magnitude: float = 5.5, method: s
     mains = written(mains, "mainshocks")
     counted = mains.join(aftershock_counts(mains, cat, window_days), "row_idx").filter(F.col("aftershocks") > more_than)
     return counted.orderBy(F.desc("magnitude"), "row_idx").limit(k)
-
-
-def session_gaps(cat: DataFrame, key: Column, gap: float) -> DataFrame:
-    """Add ``session``: a new one wherever ``key`` exceeds the one before by more than ``gap``.
-
-    Session starts are found with slices of the key, so no task orders all rows.
-    """
-    width = max(gap * 64, 1e-9)
-    rows = cat.withColumn("_k", key).withColumn("_s", F.floor(F.col("_k") / width))
-    last = rows.groupBy("_s").agg(F.max("_k").alias("_last"))
-    all_ = Window.partitionBy(F.lit(1)).orderBy("_s")  # one row a slice
-    last = last.select("_s", F.lag("_last").over(all_).alias("_before"))
-    w = Window.partitionBy("_s").orderBy("_k", "row_idx")
-    opened = rows.join(last, "_s").withColumn("_prev", F.coalesce(F.lag("_k").over(w), "_before")).withColumn("_new", (F.col("_prev").isNull() | (F.col("_k") - F.col("_prev") > gap)).cast("int"))
-    opened = opened.withColumn("_n", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    opened = written(opened, "sessions")
-    total = opened.groupBy("_s").agg(F.max("_n").alias("_t"))
-    base = total.select("_s", F.coalesce(F.sum("_t").over(all_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return opened.join(base, "_s").withColumn("session", F.col("_n") + F.col("_b")).drop("_s", "_k", "_before", "_prev", "_new", "_n", "_b")

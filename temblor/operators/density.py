@@ -76,9 +76,15 @@ def optics(cat: DataFrame, eps_km: float = 25, min_samples: int = 5) -> DataFram
 
 
 def kmeans(cat: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    """(row_idx, cluster_id) of k-means on planar positions; every row belongs to a cluster."""
+    """(row_idx, cluster_id, centre_x_km, centre_y_km, distance_km) of k-means on planar positions.
+
+    Every row with a position belongs to the cluster whose centre is nearest.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    points = VectorAssembler(inputCols=["x_km", "y_km"], outputCol="features").transform(geo.projected(cat))
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(points).transform(points).select("row_idx", "cluster_id")
+    points = VectorAssembler(inputCols=["x_km", "y_km"], outputCol="features").transform(geo.projected(cat.filter("latitude is not null and longitude is not null")))
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(points)
+    centres = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in model.clusterCenters()])  # k of them
+    found = model.transform(points).withColumn("c", F.get(centres, F.col("cluster_id")))
+    return found.select("row_idx", "cluster_id", F.col("c.x").alias("centre_x_km"), F.col("c.y").alias("centre_y_km"), F.hypot(F.col("x_km") - F.col("c.x"), F.col("y_km") - F.col("c.y")).alias("distance_km"))

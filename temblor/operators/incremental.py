@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,15 +52,36 @@ def ingest_report(features: DataFrame, **rule) -> DataFrame:
     return s.groupBy("status").agg(F.count("*").alias("n")).unionByName(ids)
 
 
-def ingest_warnings(report: DataFrame, failed_requests: int = 0, truncated_pages: int = 0) -> list[str]:
-    """What a user should know of an ingest: failed, truncated, partial, invalid and repeated data."""
+def ingest(features: DataFrame, path: str, **rule) -> DataFrame:
+    """Store the accepted features under ``path`` and tell of all in the same pass: (status, n).
+
+    ``accepted``, ``skipped`` and ``invalid`` are rows; ``failed`` and ``truncated`` are
+    intervals that the source could not read whole (rows with an ``issue``); ``duplicate``
+    are accepted rows that repeat an id.
+    """
+    issue = F.col("issue") if "issue" in features.columns else F.lit(None).cast("string")
+    marked = features.withColumn("status", F.coalesce(issue, feature_status(**rule)))
+    seen = Observation()
+    told = ["accepted", "skipped", "invalid", "failed", "truncated"]
+    watched = marked.observe(seen, *[F.count_if(F.col("status") == s).alias(s) for s in told])
+    watched.filter("status = 'accepted'").drop("status", "issue").write.mode("append").parquet(path)
+    spark = features.sparkSession
+    ids = spark.read.parquet(path).groupBy("eventID").agg((F.count("*") - 1).alias("n"))
+    again = ids.agg(F.lit("duplicate").alias("status"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    counts = seen.get
+    return spark.createDataFrame([(s, counts[s]) for s in told], "status string, n long").union(again)
+
+
+def ingest_warnings(report: DataFrame) -> list[str]:
+    """What a user should know of an ingest: failed, partial, truncated, invalid and repeated data."""
     n = {r.status: r.n for r in report.collect()}  # a row a status
+    of = lambda s: n.get(s) or 0
     told = [
-        (failed_requests and not n.get("accepted"), "all requests failed"),
-        (failed_requests and n.get("accepted"), f"partial data: {failed_requests} requests failed"),
-        (truncated_pages, f"truncated: {truncated_pages} pages were cut at the service's limit"),
-        (n.get("invalid"), f"{n.get('invalid')} events miss required values"),
-        (n.get("duplicate"), f"{n.get('duplicate')} events came more than once"),
+        (of("failed") and not of("accepted"), "all requests failed"),
+        (of("failed") and of("accepted"), f"partial data: {of('failed')} requests failed"),
+        (of("truncated"), f"truncated: {of('truncated')} pages were cut at the service's limit"),
+        (of("invalid"), f"{of('invalid')} events miss required values"),
+        (of("duplicate"), f"{of('duplicate')} events came more than once"),
     ]
     return [text for holds, text in told if holds]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,30 +16,44 @@ from temblor.scratch import written
 R_FLOOR = 0.001
 
 
-def _blocks(cat: DataFrame, block_rows: int) -> DataFrame:
-    """Rows with a block number: runs of ``block_rows`` rows in time order."""
-    points = geo.projected(cat).select("row_idx", "timeMs", "x_km", "y_km", "magnitude")
-    return numbered(points, [F.col("timeMs"), F.col("row_idx")], "nth").withColumn("block", F.floor(F.col("nth") / block_rows))
+COLUMNS = ["row_idx", "timeMs", "x_km", "y_km", "magnitude", "nth"]
+FOUND = "row_idx bigint, parent bigint, parent_nth bigint, eta double"
+AXES = ("timeMs", "x_km", "y_km")
 
 
-def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows: int = 2000) -> DataFrame:
+def _curve(rows: DataFrame, bits: int = 16) -> Column:
+    """Place of a row on a curve through time and space that keeps near rows together (interleaved bits)."""
+    ends = rows.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = F.lit(0).cast("bigint")
+    for axis, c in enumerate(AXES):
+        low, width = ends[f"lo_{c}"] or 0.0, (ends[f"hi_{c}"] or 0.0) - (ends[f"lo_{c}"] or 0.0)
+        step = F.floor((F.col(c) - F.lit(low)) / F.lit(width or 1.0) * (2**bits - 1)).cast("bigint")
+        for i in range(bits):
+            out = out + F.shiftleft(F.shiftright(step, i).bitwiseAND(F.lit(1).cast("bigint")), 3 * i + axis)
+    return out
+
+
+def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows: int = 1000, leaf: int = 64, fan: int = 16) -> DataFrame:
     """(row_idx, parent, log10_eta): the strictly earlier event of least days * km**d * 10**(-b m).
 
-    Ties go to the earliest parent.  Rows are handled in blocks of time order.  Each
-    block first searches itself and the block before; what it finds there bounds how far
-    back a parent can be, and only earlier blocks that could beat it are searched.
+    Ties go to the earliest parent.  Rows first search their own and the last block in
+    time, and their block on a curve through time and space; this bounds how good a
+    parent must be.  Rows of the curve form a tree of boxes, ``leaf`` rows in the lowest
+    and ``fan`` boxes in each above.  Pairs of boxes are opened from the top by joins on
+    the box above, and only those go on whose least possible value beats the worst bound
+    in the box, so pairs grow about as the rows do.
     """
-    rows = written(_blocks(cat, block_rows), "blocks")
-    cols = ["row_idx", "timeMs", "x_km", "y_km", "magnitude", "nth"]
-    schema = "row_idx bigint, parent bigint, parent_nth bigint, eta double"
+    points = geo.projected(cat.filter("latitude is not null and longitude is not null and timeMs is not null")).select("row_idx", "timeMs", "x_km", "y_km", "magnitude")
+    timed = written(numbered(points, [F.col("timeMs"), F.col("row_idx")], "nth"), "timed")
+    rows = written(numbered(timed.withColumn("code", _curve(timed)), [F.col("code"), F.col("nth")], "at"), "curve")
 
     def search(kids: pd.DataFrame, olds: pd.DataFrame) -> pd.DataFrame:
         best = np.full(len(kids), np.inf)
         who = np.full(len(kids), -1)
         olds = olds.sort_values("nth")
-        t, x, y = (olds[c].to_numpy(float) for c in ("timeMs", "x_km", "y_km"))
+        t, x, y = (olds[c].to_numpy(float) for c in AXES)
         gain = 10.0 ** (-b * olds["magnitude"].to_numpy(float))
-        kt, kx, ky = (kids[c].to_numpy(float) for c in ("timeMs", "x_km", "y_km"))
+        kt, kx, ky = (kids[c].to_numpy(float) for c in AXES)
         for a in range(0, len(kids), 256):
             s = slice(a, a + 256)
             days = (kt[s, None] - t[None, :]) / DAY_MS
@@ -52,26 +66,42 @@ def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows:
         ids, nth = olds["row_idx"].to_numpy(), olds["nth"].to_numpy()
         return pd.DataFrame({"row_idx": kids["row_idx"].to_numpy()[ok], "parent": ids[who[ok]], "parent_nth": nth[who[ok]], "eta": best[ok]})
 
-    near = rows.select("block", *cols)
-    olds = near.union(near.withColumn("block", F.col("block") + 1)).toDF("old_block", *[f"old_{c}" for c in cols])
-    renamed = lambda k, a, c: search(a, c.rename(columns={f"old_{n}": n for n in cols}))
-    bound = written(near.groupBy("block").cogroup(olds.groupBy("old_block")).applyInPandas(renamed, schema), "near")
+    def searched(kids: DataFrame, olds: DataFrame, key: str) -> DataFrame:
+        """Best parents among the old rows of the same key."""
+        olds = olds.select(F.col(key).alias("old_key"), *[F.col(c).alias(f"old_{c}") for c in COLUMNS])
+        renamed = lambda _, a, c: search(a, c.rename(columns={f"old_{n}": n for n in COLUMNS}))
+        return kids.select(key, *COLUMNS).groupBy(key).cogroup(olds.groupBy("old_key")).applyInPandas(renamed, FOUND)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.groupBy("row_idx").agg(F.min(F.struct("eta", "parent_nth", "parent")).alias("m")).select("row_idx", "m.*")
+
+    blocks = timed.withColumn("block", F.floor(F.col("nth") / block_rows))
+    here = rows.withColumn("block", F.floor(F.col("at") / block_rows))
+    bound = written(best(searched(blocks, blocks.union(blocks.withColumn("block", F.col("block") + 1)), "block").union(searched(here, here, "block"))), "bound")
+
+    leaves = written(rows.withColumn("node", F.floor(F.col("at") / leaf)), "leaves")
+    spans = [f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    held = leaves.join(bound.select("row_idx", "eta"), "row_idx", "left")
+    boxes = [written(held.groupBy("node").agg(*spans, F.max("magnitude").alias("top"), F.max(F.coalesce("eta", F.lit(float("inf")))).alias("worst")), "boxes")]
+    above = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    while boxes[-1].count() > fan:
+        boxes.append(written(boxes[-1].groupBy(F.floor(F.col("node") / fan).alias("node")).agg(*above, F.max("top").alias("top"), F.max("worst").alias("worst")), "boxes"))
 
-    # eta of any parent in a block is at least days * floor**d * 10**(-b * its largest magnitude), with the distance between the blocks' boxes.
-    box = rows.groupBy("block").agg(*[f(c).alias(f"{n}_{c}") for c in ("timeMs", "x_km", "y_km") for n, f in (("lo", F.min), ("hi", F.max))], F.max("magnitude").alias("top"))
-    worst = rows.select("row_idx", "block").join(bound.select("row_idx", "eta"), "row_idx", "left").groupBy("block").agg(F.max(F.coalesce("eta", F.lit(float("inf")))).alias("worst"))
-    kid = box.join(worst, "block")
-    old = box.select(*[F.col(c).alias(f"o_{c}") for c in box.columns])
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(f"o_hi_{c}"), F.col(f"o_lo_{c}") - F.col(f"hi_{c}"))
     least = F.greatest(F.lit(0), F.col("lo_timeMs") - F.col("o_hi_timeMs")) / DAY_MS * F.pow(F.greatest(F.lit(R_FLOOR), F.hypot(gap("x_km"), gap("y_km"))), F.lit(d)) * F.pow(F.lit(10.0), -b * F.col("o_top"))
-    pairs = kid.join(old, (F.col("o_block") < F.col("block") - 1) & (least <= F.col("worst"))).select("block", F.col("o_block").alias("old"))  # summaries of blocks, not rows
-    pairs = written(pairs.withColumn("pair", F.struct("block", "old")), "block_pairs")
-    kids = pairs.join(near, "block").select("pair", *cols)
-    earlier = pairs.select("pair", "old").join(near.withColumnRenamed("block", "old"), "old").select("pair", *cols)
-    kids, earlier = kids.toDF("kid_pair", *cols), earlier.toDF("old_pair", *[f"old_{c}" for c in cols])
-    far = kids.groupBy("kid_pair").cogroup(earlier.groupBy("old_pair")).applyInPandas(renamed, schema)
-    best = bound.union(far).groupBy("row_idx").agg(F.min(F.struct("eta", "parent_nth", "parent")).alias("m"))
-    found = best.select("row_idx", F.col("m.parent").alias("parent"), F.when(F.col("m.eta") > 0, F.log10("m.eta")).alias("log10_eta"))
+    live = (F.col("o_lo_timeMs") < F.col("hi_timeMs")) & (least * (1 - 1e-9) <= F.col("worst"))
+    pairs = None
+    for level in reversed(boxes):
+        kid, old = level, level.select(*[F.col(c).alias(f"o_{c}") for c in level.columns])
+        if pairs is None:
+            met = kid.crossJoin(F.broadcast(old))  # at most fan boxes on either side
+        else:
+            kid, old = kid.withColumn("up", F.floor(F.col("node") / fan)), old.withColumn("o_up", F.floor(F.col("o_node") / fan))
+            met = pairs.join(kid, F.col("k") == F.col("up")).join(old, F.col("o") == F.col("o_up"))
+        pairs = written(met.filter(live).select(F.col("node").alias("k"), F.col("o_node").alias("o")), "pairs")
+    olds = pairs.join(leaves.withColumnRenamed("node", "o"), "o").select(F.col("k").alias("node"), *COLUMNS)
+    found = best(bound.select("row_idx", "parent", "parent_nth", "eta").union(searched(leaves, olds, "node")))
+    found = found.select("row_idx", "parent", F.when(F.col("eta") > 0, F.log10("eta")).alias("log10_eta"))
     return cat.select("row_idx").join(found, "row_idx", "left")
 
 

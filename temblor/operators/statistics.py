@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BooleanType, LongType, NumericType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from temblor.functions import scalar
 from temblor.functions.scalar import DAY_MS
-from temblor.operators.components import ranged, running
+from temblor.operators.components import running
+from temblor.scratch import written
 
 
 def _all() -> WindowSpec:
@@ -60,19 +64,42 @@ def daily_counts(cat: DataFrame, max_gap_days: float = 1825, moving: int = 7) ->
 def ordered_gaps(cat: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows with the time to the next row of the same group before it (``gap_ms``), null for the first.
 
-    Rows are lagged inside ranges of group and time; the first row of a range looks at
-    the last one of the range before, so a group of any size is shared by tasks.
+    Rows are put in ranges of group and time and looked at once, in order, where they
+    lie; only the first row of a range needs the last one of the range before, so a
+    group of any size is shared by tasks and nothing is shuffled twice.
     """
     keys = by or []
-    rows = ranged(cat, [F.col(c) for c in [*keys, "timeMs", "row_idx"]])
+    order = [F.col(c) for c in [*keys, "timeMs", "row_idx"]]
+    spread = cat.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    columns = spread.columns
+
+    def lag(batches):
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            at = {c: batch.column(columns.index(c)) for c in [*keys, "timeMs"]}
+            nothing = {c: pa.nulls(1, a.type) for c, a in at.items()}
+            prior = {c: pa.concat_arrays([(last or nothing)[c], a.slice(0, n - 1)]) for c, a in at.items()}
+            gap = pc.subtract(at["timeMs"], prior["timeMs"])
+            for c in keys:
+                same = pc.or_(pc.fill_null(pc.equal(at[c], prior[c]), False), pc.and_(pc.is_null(at[c]), pc.is_null(prior[c])))
+                gap = pc.if_else(same, gap, pa.scalar(None, gap.type))
+            opens = np.zeros(n, bool)
+            opens[0] = last is None
+            last = {c: a.slice(n - 1, 1) for c, a in at.items()}
+            yield pa.RecordBatch.from_arrays([*batch.columns, gap.cast(pa.int64()), pa.array(opens)], names=[*columns, "gap_ms", "_opens"])
+
+    kinds = StructType([*spread.schema.fields, StructField("gap_ms", LongType()), StructField("_opens", BooleanType())])
+    rows = written(spread.mapInArrow(lag, kinds).withColumn("_p", F.shiftright("_m", 33)), "ordered")
     this = F.struct(*keys, "timeMs")
     last = rows.groupBy("_p").agg(F.max_by(this, "_m").alias("_last"))
     last = last.select("_p", F.lag("_last").over(_all().orderBy("_p")).alias("_last"))  # one row a range
-    lagged = rows.withColumn("_before", F.lag(this).over(Window.partitionBy("_p").orderBy("_m"))).join(F.broadcast(last), "_p").withColumn("_before", F.coalesce("_before", "_last"))
-    gap = F.col("timeMs") - F.col("_before.timeMs")
+    across = F.col("timeMs") - F.col("_last.timeMs")
     for c in keys:
-        gap = F.when(F.col(c).eqNullSafe(F.col(f"_before.{c}")), gap)
-    return lagged.select(*cat.columns, gap.alias("gap_ms"))
+        across = F.when(F.col(c).eqNullSafe(F.col(f"_last.{c}")), across)
+    return rows.join(F.broadcast(last), "_p").select(*cat.columns, F.when(F.col("_opens"), across).otherwise(F.col("gap_ms")).alias("gap_ms"))
 
 
 def gap_values(cat: DataFrame) -> DataFrame:

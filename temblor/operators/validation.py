@@ -116,6 +116,24 @@ def typed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns if ok[c]})
 
 
+NUMBER = r"^\s*([+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|Infinity)|0[xX][0-9a-fA-F]+)\s*$"
+
+
+def per_value(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Turn text columns into VARIANT: each value a number where it reads as one, else the text as it stands.
+
+    Empty and blank texts stay texts, null stays null.  ``0x`` numbers are hexadecimal.
+    """
+    out = {}
+    for c in columns:
+        text = F.col(c).cast("string")
+        bare = F.trim(text)
+        hexadecimal = F.conv(F.substring(bare, 3, 32), 16, 10).try_cast("double")
+        number = F.when(F.lower(bare).startswith("0x"), hexadecimal).otherwise(bare.try_cast("double"))
+        out[c] = F.when(text.rlike(NUMBER), number.cast("variant")).otherwise(text.cast("variant"))
+    return df.withColumns(out)
+
+
 def split_valid(checked: DataFrame, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
     """Valid rows and the quarantine; ``fail_fast`` makes any invalid row an error when it is read."""
     if fail_fast:

@@ -460,6 +460,16 @@ def decay_likelihoods(cat):
 PLANE = f"m0 AS (SELECT avg(latitude) AS la, avg(longitude) AS lo FROM cat), xy AS (SELECT row_idx, timeMs, magnitude, (longitude - lo) * 111.32e0 * cos(la * pi() / 180) AS x, (latitude - la) * 110.57e0 AS y FROM cat, m0)"
 
 
+_G = "(1.570796e0 - atan(0.993231e0 * tan({} * 1.745329e-02)))"
+
+
+@query(f"""SELECT row_idx, round(CASE WHEN latitude = -41.3 AND longitude = 174.8 THEN 0 ELSE acos(greatest(-1, least(1, sin(a) * sin(b) * cos((174.8e0 - longitude) * 1.745329e-02) + cos(a) * cos(b)))) * 6371.227e0 * (1 + 3.37853e-3 * (1e0 / 3 - pow(cos(1.570796e0 - (latitude - 41.3e0) * 1.745329e-02 / 2), 2))) END, 6) AS distance_km
+    FROM (SELECT *, {_G.format("latitude")} AS a, {_G.format("-41.3e0")} AS b FROM cat)""")
+def ellipsoid_distance(cat):
+    """Distance of every event from one place on the ellipsoid."""
+    return cat.select("row_idx", F.round(geo.ellipsoid_km(F.col("latitude"), F.col("longitude"), F.lit(-41.3), F.lit(174.8)), 6).alias("distance_km"))
+
+
 @query(f"WITH {CAT}, {PLANE} SELECT row_idx, round(x, 6) AS x_km, round(y, 6) AS y_km FROM xy")
 def projected(cat):
     return geo.projected(cat).select("row_idx", *r6("x_km", "y_km"))
@@ -504,9 +514,15 @@ def optics_distances(cat):
     return density.optics_core_distances(cat, 5.0, 5).select("row_idx", *r6("core_km"))
 
 
-@query()
+@query("SELECT row_idx, TRUE AS at_nearest, TRUE AS at_mean FROM cat")
 def kmeans(cat):
-    return density.kmeans(cat, 5)
+    """Every row is in the cluster of its nearest centre, and centres are near the means of their rows (the search stops at small moves)."""
+    found = density.kmeans(cat, 5)
+    xy = geo.projected(cat).select("row_idx", "x_km", "y_km")
+    centres = found.groupBy("cluster_id", "centre_x_km", "centre_y_km").agg(F.count("*").alias("n"))
+    near = xy.crossJoin(F.broadcast(centres)).groupBy("row_idx").agg(F.min(F.hypot(F.col("x_km") - F.col("centre_x_km"), F.col("y_km") - F.col("centre_y_km"))).alias("least"))  # five centres
+    means = found.join(xy, "row_idx").groupBy("cluster_id").agg(F.hypot(F.avg("x_km") - F.first("centre_x_km"), F.avg("y_km") - F.first("centre_y_km")).alias("off"))
+    return found.join(near, "row_idx").join(means, "cluster_id").select("row_idx", (F.col("distance_km") <= F.col("least") + 1e-6).alias("at_nearest"), (F.col("off") < 20).alias("at_mean"))
 
 
 ETA = f"(c.timeMs - p.timeMs) / 86400000e0 * pow(greatest(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 0.001e0), 1.6e0) * pow(10, -p.magnitude)"

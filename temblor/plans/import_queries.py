@@ -33,14 +33,14 @@ def query(sql: str):
     return add
 
 
-def rendered(lines: DataFrame, name: str, before: list[str] = (), after: list[str] = ()) -> str:
-    """Path of one text file of ``lines`` (n, value) in order of n, between other lines."""
-    spark = lines.sparkSession
-    last = 2**60
-    rest = [(float(i - len(before)), v) for i, v in enumerate(before)] + [(float(last + i), v) for i, v in enumerate(after)]
-    every = lines.select(F.col("n").cast("double").alias("n"), "value").unionByName(spark.createDataFrame(rest, "n double, value string")) if rest else lines
-    path = scratch_path(spark, name)
-    every.orderBy("n").select("value").coalesce(1).write.text(path)  # a file as one program writes it
+def rendered(lines: DataFrame, name: str, before: list[str] = (), after: list[str] = (), between: str = "") -> str:
+    """Path of a folder of text files with ``lines`` (n, value) in order of n, each file between other lines.
+
+    ``between`` ends every line but a file's last.  A task writes one range of n, so no task holds the table.
+    """
+    path = scratch_path(lines.sparkSession, name)
+    ranges = lines.select(F.col("n").cast("double").alias("n"), "value").repartitionByRange("n").sortWithinPartitions("n")
+    sinks.write_lines(ranges, path, before, after, between)
     return path
 
 
@@ -96,8 +96,8 @@ def import_valid_rows(cat):
 @query("SELECT count(*) AS data_rows, count(*) FILTER (row_idx % 50 = 0) + 1 AS comments, 'PublicID,Origin_Time,Lat,Lon,Dep,Mag,Place,quality,line' AS headers, (SELECT eventID FROM cat ORDER BY row_idx LIMIT 1) AS first_id FROM cat")
 def import_preview(cat):
     lines = cat.select(F.col("row_idx").alias("n"), F.concat_ws(",", "eventID", *[F.lit("x")] * 8).alias("value"))
-    notes = cat.filter("row_idx % 50 = 0").select((F.col("row_idx") + 0.5).alias("n"), F.lit("# note").alias("value"))
-    got = readers.preview(cat.sparkSession, rendered(lines.unionByName(notes), "shown.csv", ["# exported", "PublicID,Origin_Time,Lat,Lon,Dep,Mag,Place,quality,line"]))
+    notes = cat.filter("row_idx % 50 = 0").select((F.col("row_idx") + 0.5).alias("n"), F.lit("# note").alias("value")).union(cat.agg((F.min("row_idx") - 1).cast("double"), F.lit("# exported")))
+    got = readers.preview(cat.sparkSession, rendered(lines.unionByName(notes), "shown.csv", ["PublicID,Origin_Time,Lat,Lon,Dep,Mag,Place,quality,line"]))
     return cat.sparkSession.createDataFrame([(got["total"], got["skipped_comments"], ",".join(got["headers"]), got["rows"][0]["PublicID"])], "data_rows long, comments long, headers string, first_id string")
 
 
@@ -131,7 +131,8 @@ def import_dat(cat):
 @query("SELECT eventID, timeMs, latitude, depth, error FROM (SELECT eventID, timeMs, latitude, depth, NULL::VARCHAR AS error FROM cat UNION ALL SELECT 'last', NULL, NULL, NULL, 'invalid time')")
 def import_json(cat):
     one = F.to_json(F.struct(F.col("eventID").alias("publicID"), F.expr(STAMP).alias("time"), "latitude", "longitude", "depth", "magnitude"))
-    path = rendered(cat.select(F.col("row_idx").alias("n"), F.concat(one, F.lit(",")).alias("value")), "array.json", ["["], ['{"publicID": "last"}]'])
+    last = cat.agg((F.max("row_idx") + 1).alias("n"), F.lit('{"publicID": "last"}').alias("value"))
+    path = rendered(cat.select(F.col("row_idx").alias("n"), one.alias("value")).union(last), "array.json", ["["], ["]"], ",")
     return validation.mapped(readers.read(cat.sparkSession, path)).select("eventID", "timeMs", "latitude", "depth", "error")
 
 
@@ -139,12 +140,9 @@ def import_json(cat):
 def import_geojson(cat):
     """Through the exporter: features carry minus the depth as height."""
     lines = sinks.geojson_features(cat.select("row_idx", "longitude", "latitude", "depth", F.col("eventID").alias("publicid"), F.expr(STAMP).alias("time"), "magnitude"))
-    every = lines.select(F.get_json_object("value", "$.properties.publicid").alias("n"), F.concat("value", F.lit(",")).alias("value"))
-    spark, path = cat.sparkSession, scratch_path(cat.sparkSession, "collection.geojson")
-    tail = '{"type":"Feature","geometry":{"type":"Point","coordinates":[0.0,0.0,0.0]},"properties":{"publicid":"zz"}}]}'
-    ends = spark.createDataFrame([(" ", '{"type":"FeatureCollection","features":['), ("zz", tail)], "n string, value string")
-    every.unionByName(ends).orderBy("n").select("value").coalesce(1).write.text(path)
-    rows = validation.mapped(readers.read(spark, path)).filter("eventID <> 'zz'")
+    every = lines.select(F.substring(F.get_json_object("value", "$.properties.publicid"), 3, 20).cast("double").alias("n"), "value")
+    path = rendered(every, "collection.geojson", ['{"type":"FeatureCollection","features":['], ["]}"], ",")
+    rows = validation.mapped(readers.read(cat.sparkSession, path))
     return rows.select("eventID", "timeMs", "latitude", "longitude", F.col("depth").alias("height"), "magnitude")
 
 
@@ -185,28 +183,78 @@ def import_times(cat):
     return cat.select("row_idx", *found, F.unix_millis(scalar.parse_time(F.col("timeMs").cast("string"), "unix_ms")).alias("unix_ms"), F.unix_millis(scalar.parse_time(F.expr(STAMP))).alias("automatic"))
 
 
-@query("""SELECT * FROM (VALUES ('Lat_GN', 'latitude'), ('LON', 'longitude'), ('z', 'depth'), ('Mw', 'magnitude'), ('origintime', 'time'), ('evid', 'eventID'), ('rms', 'standardError')) AS t(header, field)
-    UNION ALL SELECT 'missing', 'magnitude,depth'""")
+@query("""SELECT header, field, n FROM (VALUES ('Lat_GN', 'latitude'), ('LON', 'longitude'), ('Mw', 'magnitude'), ('origintime', 'time'), ('evid', 'eventID'), ('rms', 'standardError')) AS t(header, field),
+    (SELECT count(*) AS n FROM cat WHERE row_idx % 7 <> 0) UNION ALL SELECT 'missing', 'depth', count(*) FROM cat""")
 def import_mapping(cat):
-    """Fields that headers suggest, and what a table without magnitude and depth lacks."""
-    rows = list(validation.suggest_mapping(["Lat_GN", "LON", "z", "Mw", "mb", "origintime", "evid", "rms", "colour"]).items())
-    lacks = validation.missing_fields({"a": "latitude", "b": "longitude", "c": "time"}, {})
-    return cat.sparkSession.createDataFrame([*rows, ("missing", ",".join(sorted(lacks, reverse=True)))], "header string, field string")
-
-
-@query("""SELECT row_idx, (1900 + year(t) % 100)::INTEGER AS year, month(t)::INTEGER AS month, day(t)::INTEGER AS day, hour(t)::INTEGER AS hour, minute(t)::INTEGER AS minute, second(t)::DOUBLE AS second,
-    round(30 + (row_idx % 60) / 60e0, 6) AS latitude, round(-(110 + (row_idx % 60) / 60e0), 6) AS longitude, (row_idx % 100)::DOUBLE AS depth, round((row_idx % 50) / 10e0, 1) AS magnitude FROM (SELECT *, make_timestamp(timeMs * 1000) AS t FROM cat)""")
+    """Fields that a file's headers suggest, with the values they have there, and the field that it lacks with the rows that lack it."""
+    cells = F.concat_ws(",", *[F.when(F.col("row_idx") % 7 == 0, "").otherwise(F.col(c).cast("string")) for c in ("latitude", "longitude", "magnitude", "magnitude", "timeMs", "eventID", "depth", "eventType")])
+    path = rendered(cat.select(F.col("row_idx").alias("n"), cells.alias("value")), "headers.csv", ["Lat_GN,LON,Mw,mb,origintime,evid,rms,colour"])
+    rows = readers.read(cat.sparkSession, path)
+    fields = validation.suggest_mapping([c for c in rows.columns if c != "row_idx"])
+    lacks = sorted(validation.missing_fields(fields, {}))
+    told = [F.struct(F.lit(h).alias("header"), F.lit(f).alias("field"), F.count_if(~scalar.is_missing(F.col(f"`{h}`"))).alias("n")) for h, f in fields.items()]
+    told.append(F.struct(F.lit("missing").alias("header"), F.lit(",".join(lacks)).alias("field"), F.count("*").alias("n")))
+    return rows.agg(F.array(*told).alias("t")).select(F.explode("t").alias("t")).select("t.*")
+
+
+@query("""SELECT 'n' AS kind, CASE row_idx % 4 WHEN 0 THEN (row_idx % 100)::DOUBLE WHEN 1 THEN -1.5e0 ELSE 255e0 END AS number, NULL AS word, count(*) AS n FROM cat WHERE row_idx % 4 < 3 GROUP BY 2
+    UNION ALL SELECT 't', NULL, CASE WHEN row_idx % 8 = 3 THEN 'abc' ELSE '12 km' END, count(*) FROM cat WHERE row_idx % 4 = 3 GROUP BY 3""")
+def import_custom_values(cat):
+    """A custom column of numbers and words keeps each value's kind."""
+    value = F.expr("CASE row_idx % 4 WHEN 0 THEN string(row_idx % 100) WHEN 1 THEN '-1.5e0' WHEN 2 THEN '0xff' ELSE if(row_idx % 8 = 3, 'abc', '12 km') END")
+    cells = F.concat_ws(",", "eventID", F.expr(STAMP), *[F.col(c).cast("string") for c in ("latitude", "longitude", "depth", "magnitude")], value)
+    path = rendered(cat.select(F.col("row_idx").alias("n"), cells.alias("value")), "custom.csv", ["id,time,latitude,longitude,depth,magnitude,note"])
+    rows = validation.per_value(validation.mapped(readers.read(cat.sparkSession, path)), ["note"])
+    kind = F.when(F.schema_of_variant("note") == "STRING", "t").otherwise("n")
+    rows = rows.select(kind.alias("kind"), F.when(kind == "n", F.try_variant_get("note", "$", "double")).alias("number"), F.when(kind == "t", F.try_variant_get("note", "$", "string")).alias("word"))
+    return rows.groupBy("kind", "number", "word").agg(F.count("*").alias("n"))
+
+
+TENTHS = "row_idx % 40 + 10"
+#: By layout: hundredths without a point or numbers with one, and whether the card has a century.
+LAYOUTS = {"hypoinverse": (True, False), "hypoinverse2000": (True, True), "hypo71": (False, False), "hypo71_2000": (False, True)}
+
+
+def _card(layout: str) -> str:
+    """SQL of a card of a layout: southern and eastern ones among them, four kinds of magnitudes, two places of the quarry mark."""
+    bare, century = LAYOUTS[layout]
+    decimals = lambda v: f"string(bigint(round(100 * ({v}))))" if bare else f"format_string('%.2f', double({v}))"
+    cells = {
+        "century": "string(year(time) div 100)", "year": "date_format(time, 'yy')", "month": "string(month(time))", "day": "string(day(time))", "hour": "string(hour(time))", "minute": "string(minute(time))", "second": decimals("second(time)"),
+        "lat_deg": "string(30 + row_idx % 9)", "lat_sign": "if(row_idx % 2 = 0, 'S', 'N')", "lat_min": decimals("row_idx % 60"), "lon_deg": "string(170 + row_idx % 9)", "lon_sign": "if(row_idx % 3 = 0, 'e', 'W')", "lon_min": decimals("row_idx % 59"),
+        "depth": decimals("row_idx % 100"), "remark": "CASE WHEN row_idx % 11 = 0 THEN 'Q ' WHEN row_idx % 13 = 0 THEN ' q' ELSE 'AB' END",
+        "magnitude": decimals(f"({TENTHS}) / 10e0"), "amplitude_magnitude": f"if(row_idx % 4 in (1, 2), string({TENTHS} + row_idx % 4 - 2), '')", "duration_magnitude": f"if(row_idx % 4 = 1, string({TENTHS}), '')",
+        "code1": "if(row_idx % 4 = 0, 'B', 'x')", "magnitude1": f"if(row_idx % 4 = 0, string(10 * ({TENTHS})), '999')", "code2": "if(row_idx % 4 = 3, 'L', ' ')", "magnitude2": f"if(row_idx % 4 = 3, string(10 * ({TENTHS})), '')",
+    }
+    if layout == "hypoinverse2000":
+        cells |= dict.fromkeys(("amplitude_magnitude", "duration_magnitude", "magnitude1", "magnitude2"), "'111'")
+    at, parts = 1, []
+    for name, (first, width, *_) in sorted(readers.CARDS[layout].items(), key=lambda f: f[1][0]):
+        parts += [f"space({first - at})", f"lpad({cells.get(name, repr(''))}, {width}, ' ')"]
+        at = first + width
+    return f"concat({', '.join(parts)})"
+
+
+@query("SELECT layout, ((CASE WHEN full_year THEN year(t) ELSE 1900 + year(t) % 100 END))::INTEGER AS year, month(t)::INTEGER AS month, day(t)::INTEGER AS day, hour(t)::INTEGER AS hour, minute(t)::INTEGER AS minute, second(t)::DOUBLE AS second, "
+    "round((CASE WHEN row_idx % 2 = 0 THEN -1 ELSE 1 END) * (30 + row_idx % 9 + (row_idx % 60) / 60e0), 6) AS latitude, round((CASE WHEN row_idx % 3 = 0 THEN 1 ELSE -1 END) * (170 + row_idx % 9 + (row_idx % 59) / 60e0), 6) AS longitude, "
+    "(row_idx % 100)::DOUBLE AS depth, round((row_idx % 40 + 10) / 10e0, 2) AS magnitude, count(*) AS n "
+    f"FROM (SELECT *, make_timestamp(timeMs * 1000) AS t FROM cat), (VALUES {', '.join(f'({k!r}, {c})' for k, (_, c) in LAYOUTS.items())}) l(layout, full_year) GROUP BY ALL")
 def import_cards(cat):
-    """Fixed-width cards; the row number follows the last field."""
-    second = F.format_string("%5.2f", F.date_format("time", "s").cast("double"))
-    line = F.concat(
-        F.date_format("time", "yyMMdd"), F.lit(" "), F.date_format("time", "HHmm"), F.lit(" "), second, F.lit(" "), F.lit("30"), F.lit(" "), F.format_string("%5.2f", (F.col("row_idx") % 60).cast("double")), F.lit(" "),
-        F.lit("110"), F.lit(" "), F.format_string("%5.2f", (F.col("row_idx") % 60).cast("double")), F.lit(" "), F.format_string("%6.2f", (F.col("row_idx") % 100).cast("double")), F.lit("  "), F.format_string("%5.2f", (F.col("row_idx") % 50) / 10.0),
-    )
-    path = rendered(cat.select(F.col("row_idx").alias("n"), line.alias("value")), "cards.txt")
-    first = cat.agg(F.min("row_idx").alias("lo")).first().lo
-    got = readers.cards(cat.sparkSession, path)
-    return got.select((F.col("row_idx") + first).alias("row_idx"), "year", "month", "day", "hour", "minute", "second", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "depth", F.round("magnitude", 1).alias("magnitude"))
+    """Every event as a card of each layout; the magnitude of old cards is the preferred one of four."""
+    out = None
+    for layout in LAYOUTS:
+        path = rendered(cat.select(F.col("row_idx").alias("n"), F.expr(_card(layout)).alias("value")), "cards.txt")
+        got = readers.cards(cat.sparkSession, path, layout).withColumn("layout", F.lit(layout))
+        out = got if out is None else out.union(got)
+    keys = [*[F.col(c) for c in ("layout", "year", "month", "day", "hour", "minute", "second")], *[F.round(c, 6).alias(c) for c in ("latitude", "longitude")], "depth", F.round("magnitude", 2).alias("magnitude")]
+    return out.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT count(*) AS read, count(*) FILTER (m >= 2 AND NOT q AND y BETWEEN 1900 AND 1950) AS accepted, count(*) FILTER (m >= 2 AND NOT q AND y NOT BETWEEN 1900 AND 1950) AS outside_years, count(*) FILTER (m < 2) AS below_magnitude, count(*) FILTER (m >= 2 AND q) AS blasts
+    FROM (SELECT ({TENTHS}) / 10e0 AS m, row_idx % 11 = 0 OR row_idx % 13 = 0 AS q, 1900 + year(make_timestamp(timeMs * 1000)) % 100 AS y FROM cat)""")
+def import_card_rejects(cat):
+    path = rendered(cat.select(F.col("row_idx").alias("n"), F.expr(_card("hypoinverse")).alias("value")), "cards.txt")
+    return readers.admitted(readers.cards(cat.sparkSession, path, "hypoinverse"), 2.0, 1900, 1950, "remark")[1]
 
 
 @query("SELECT row_idx FROM cat WHERE timeMs BETWEEN (SELECT max(timeMs) FROM cat) - 10 * 86400000 AND (SELECT max(timeMs) FROM cat)")

@@ -47,14 +47,18 @@ def get_json(url: str, attempts: int = 3, wait: float = 0.6) -> dict:
 
 
 def features(fetch, start: datetime, end: datetime, full: int = FULL_PAGE):
-    """(feature, issue) of an interval; a full page or a refusal halves it down to one day, then it is truncated."""
+    """(feature, issue) of an interval; a full page or a refusal halves it down to one day, then it is truncated.
+
+    An interval that can't be read is told as failed; the others go on.
+    """
     try:
         page = fetch(start, end)
         found = page.get("features", [])
         refused = False
-    except urllib.error.HTTPError as e:
-        if e.code != 400:
-            raise
+    except urllib.error.URLError as e:
+        if getattr(e, "code", None) != 400:
+            yield None, "failed"
+            return
         found, refused = [], True
     if (refused or len(found) >= full) and end - start > timedelta(hours=24):
         mid = start + (end - start) / 2

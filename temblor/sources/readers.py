@@ -1,7 +1,7 @@
 """Readers of catalogue files; each gives text columns and a row number, ready for mapping.
 
-``row_idx`` follows the order of lines in a file (file, then position); it is unique
-and increasing, not gapless.
+A path may be a folder of files of one kind, each with its own header.  ``row_idx``
+ascends with the lines of a file and is unique over all files, not gapless.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ import statistics
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from temblor.sources import json_documents
+
 FORMATS = {"quakeml": (".qml", ".quakeml", ".xml"), "delimited": (".csv", ".txt", ".tsv", ".tab"), "excel": (".xlsx",), "json": (".json", ".geojson"), "dat": (".dat",)}
 COMMENT = r"^\s*(#|//|%)"
 
@@ -25,8 +27,9 @@ def format_of(path: str) -> str | None:
     return next((name for name, ends in FORMATS.items() if low.endswith(ends)), None)
 
 
-def read(spark: SparkSession, path: str, **options) -> DataFrame:
-    kind = format_of(path)
+def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
+    """Rows of a file or folder; ``kind`` is one of FORMATS, by default what the path ends in."""
+    kind = kind or format_of(path)
     if kind is None:
         raise ValueError(f"no reader for {path}")
     return {"quakeml": quakeml, "delimited": delimited, "excel": excel, "json": json, "dat": dat}[kind](spark, path, **options)
@@ -66,7 +69,7 @@ def _split(lines: DataFrame, delimiter: str | None) -> DataFrame:
         seen[n] = seen.get(n, 0) + 1
         unique.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
     schema = ", ".join(f"`{n.replace('`', '')}` string" for n in unique)
-    rows = lines.filter(F.col("row_idx") != head[0].row_idx)
+    rows = lines.filter(F.col("value") != schema_line)  # the header of every file
     options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     return rows.select("row_idx", F.from_csv("value", schema, options).alias("c")).select("row_idx", "c.*")
 
@@ -87,28 +90,31 @@ def dat(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFra
 
 
 def preview(spark: SparkSession, path: str, rows: int = 10) -> dict:
-    """Header, first rows, number of data rows and of comment lines."""
+    """Header, first rows (of the first file by name), number of data rows and of comment lines."""
     table = read(spark, path)
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
     comments = spark.read.text(path).filter(F.col("value").rlike(COMMENT)).count() if format_of(path) in ("delimited", "dat") else 0
-    return {"headers": [c for c in table.columns if c != "row_idx"], "rows": [r.asDict() for r in table.orderBy("row_idx").limit(rows).collect()], "total": table.count(), "skipped_comments": comments}
+    return {"headers": [c for c in table.columns if c != "row_idx"], "rows": [r.asDict() for r in read(spark, first, **({"kind": format_of(path)})).orderBy("row_idx").limit(rows).collect()], "total": table.count(), "skipped_comments": comments}
 
 
 def json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, a GeoJSON FeatureCollection, or an object with an array in it; values as text."""
-    table = spark.read.option("multiLine", "true").json(path)
+    """An array of objects, a GeoJSON FeatureCollection, or an object whose first array has objects; values as text.
+
+    A document of any size is shared by tasks (see :mod:`temblor.sources.json_documents`).
+    """
+    values, features = json_documents.objects(spark, path)
+    table = json_documents.as_lines(values)
     kinds = {f.name: f.dataType.simpleString() for f in table.schema}
-    if "features" in kinds and "geometry" in kinds["features"]:
-        f = table.select(F.posexplode("features").alias("row_idx", "f"))
-        at = F.col("f.geometry.coordinates")
-        own = [c for c in f.select("f.properties.*").columns if c not in ("longitude", "latitude", "depth")]
-        has_depth = "depth" in f.select("f.properties.*").columns
-        depth = F.coalesce(F.get(at, F.lit(2)).cast("string"), F.col("f.properties.depth").cast("string")) if has_depth else F.get(at, F.lit(2)).cast("string")
-        return f.select(F.col("row_idx").cast("bigint").alias("row_idx"), F.get(at, F.lit(0)).cast("string").alias("longitude"), F.get(at, F.lit(1)).cast("string").alias("latitude"), depth.alias("depth"), *[F.col(f"f.properties.`{c}`").cast("string").alias(c) for c in own])
-    arrays = [n for n, k in kinds.items() if k.startswith("array<struct")]
-    if arrays and len(kinds) <= 5 and "latitude" not in kinds:
-        table = table.select(F.explode(arrays[0]).alias("o")).select("o.*")
-    text = lambda c, k: (F.to_json(c) if k.startswith(("struct", "array", "map")) else F.col(f"`{c}`").cast("string")).alias(c)
-    return table.withColumn("row_idx", F.monotonically_increasing_id()).select("row_idx", *[text(f.name, f.dataType.simpleString()) for f in table.schema])
+    if not kinds:
+        raise ValueError("no objects in an array")
+    text = lambda c, k: (F.to_json(F.col(c)) if k.startswith(("struct", "array", "map")) else F.col(c).cast("string"))
+    table = table.withColumn("row_idx", F.monotonically_increasing_id())
+    if not (features and kinds.get("properties", "").startswith("struct")):
+        return table.select("row_idx", *[text(f"`{n}`", k).alias(n) for n, k in kinds.items()])
+    own = {f.name: f.dataType.simpleString() for f in table.schema["properties"].dataType if f.name not in ("longitude", "latitude")}
+    at = F.when(F.col("geometry.type") == "Point", F.col("geometry.coordinates")) if kinds.get("geometry", "").startswith("struct") else F.lit(None).cast("array<double>")
+    place = [F.coalesce(F.get(at, F.lit(i)).cast("string"), *([F.col(f"properties.{n}").cast("string")] if n in table.select("properties.*").columns else [])).alias(n) for i, n in enumerate(("longitude", "latitude", "depth"))]
+    return table.select("row_idx", *place, *[text(f"properties.`{n}`", k).alias(n) for n, k in own.items() if n != "depth"])
 
 
 def _xlsx_rows(content: bytes) -> list[list[str | None]]:
@@ -140,18 +146,25 @@ def _xlsx_rows(content: bytes) -> list[list[str | None]]:
 def excel(spark: SparkSession, path: str) -> DataFrame:
     """First sheet of each workbook; the first workbook's header names the columns.  One task reads one workbook."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    head = _xlsx_rows(files.orderBy("path").limit(1).collect()[0].content)  # one workbook, for its header
-    names = [(n or f"column_{i + 1}").strip() for i, n in enumerate(head[0])]
+
+    def header(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            yield pd.DataFrame([[p, [(n or f"column_{i + 1}").strip() for i, n in enumerate(_xlsx_rows(c)[0])]] for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=["path", "names"])
+
+    first = files.agg(F.min("path").alias("path"))
+    names = files.join(first, "path").mapInPandas(header, "path string, names array<string>").first().names
 
     def work(frames):
         import pandas as pd
 
         for pdf in frames:
             for content in pdf["content"]:
-                rows = [(r + [None] * len(names))[: len(names)] for r in _xlsx_rows(content)[1:]]
-                yield pd.DataFrame([[i, *map(lambda v: None if v is None else str(v), r)] for i, r in enumerate(rows)], columns=["row_idx", *names])
+                yield pd.DataFrame([[None if v is None else str(v) for v in (r + [None] * len(names))[: len(names)]] for r in _xlsx_rows(content)[1:]], columns=names)
 
-    return files.mapInPandas(work, "row_idx bigint, " + ", ".join(f"`{n}` string" for n in names))
+    rows = files.mapInPandas(work, ", ".join(f"`{n}` string" for n in names)).withColumn("row_idx", F.monotonically_increasing_id())
+    return rows.select("row_idx", *[f"`{n}`" for n in names])
 
 
 #: A quantity has its number in a ``value`` element, or bare between its own tags.
@@ -189,31 +202,70 @@ def quakeml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-#: Fixed values: (start, length) of fields in two legacy card formats, positions from 1; coordinates are degrees and minutes.
+# Fields of four card formats as (first column from 1, width, decimals implied where no point is written).
 CARDS = {
-    "hypo71": {"date": (1, 6), "time": (8, 4), "second": (13, 5), "lat_deg": (19, 2), "lat_min": (22, 5), "lon_deg": (28, 3), "lon_min": (32, 5), "depth": (38, 6), "magnitude": (46, 5)},
-    "hypoinverse2000": {"date": (1, 8), "time": (9, 4), "second": (13, 4), "lat_deg": (17, 2), "lat_min": (20, 4), "lon_deg": (24, 3), "lon_min": (28, 4), "depth": (32, 5), "magnitude": (37, 3)},
-}
-
-
-def cards(spark: SparkSession, path: str, layout: str | dict = "hypo71", west_positive: bool = True) -> DataFrame:
-    """Fixed-width location cards as numbers: year, month, day, hour, minute, second, latitude, longitude, depth, magnitude.
-
-    In the 2000 layout seconds, minutes, depth and magnitude are whole hundredths.
+    "hypoinverse": {
+        "year": (1, 2, 0), "month": (3, 2, 0), "day": (5, 2, 0), "hour": (7, 2, 0), "minute": (9, 2, 0), "second": (11, 4, 2),
+        "lat_deg": (15, 2, 0), "lat_sign": (17, 1), "lat_min": (18, 4, 2), "lon_deg": (22, 3, 0), "lon_sign": (25, 1), "lon_min": (26, 4, 2), "depth": (30, 5, 2),
+        "amplitude_magnitude": (35, 2, 1), "duration_magnitude": (68, 2, 1), "remark": (77, 2), "horizontal_error": (81, 4, 2), "vertical_error": (85, 4, 2),
+        "code1": (115, 1), "magnitude1": (116, 3, 2), "code2": (122, 1), "magnitude2": (123, 3, 2),
+    },
+    "hypoinverse2000": {
+        "century": (1, 2, 0), "year": (3, 2, 0), "month": (5, 2, 0), "day": (7, 2, 0), "hour": (9, 2, 0), "minute": (11, 2, 0), "second": (13, 4, 2),
+        "lat_deg": (17, 2, 0), "lat_sign": (19, 1), "lat_min": (20, 4, 2), "lon_deg": (24, 3, 0), "lon_sign": (27, 1), "lon_min": (28, 4, 2), "depth": (32, 5, 2),
+        "amplitude_magnitude": (37, 3, 2), "duration_magnitude": (71, 3, 2), "remark": (81, 2), "horizontal_error": (86, 4, 2), "vertical_error": (90, 4, 2),
+        "code1": (123, 1), "magnitude1": (124, 3, 2), "code2": (130, 1), "magnitude2": (131, 3, 2), "magnitude": (148, 3, 2),
+    },
+    "hypo71": {
+        "year": (1, 2, 0), "month": (3, 2, 0), "day": (5, 2, 0), "hour": (8, 2, 0), "minute": (10, 2, 0), "second": (13, 5, 2),
+        "lat_deg": (18, 3, 0), "lat_sign": (21, 1), "lat_min": (22, 5, 2), "lon_deg": (28, 3, 0), "lon_sign": (31, 1), "lon_min": (32, 5, 2), "depth": (39, 5, 2),
+        "magnitude": (47, 4, 2), "horizontal_error": (69, 4, 1), "vertical_error": (74, 4, 1), "quality": (79, 1),
+    },
+    "hypo71_2000": {
+        "century": (1, 2, 0), "year": (3, 2, 0), "month": (5, 2, 0), "day": (7, 2, 0), "hour": (10, 2, 0), "minute": (12, 2, 0), "second": (15, 5, 2),
+        "lat_deg": (20, 3, 0), "lat_sign": (23, 1), "lat_min": (24, 5, 2), "lon_deg": (29, 4, 0), "lon_sign": (33, 1), "lon_min": (34, 5, 2), "depth": (39, 7, 2),
+        "magnitude": (48, 5, 2), "horizontal_error": (70, 5, 1), "vertical_error": (75, 5, 1), "quality": (81, 1),
+    },
+}
+# Codes of the magnitudes that a card may carry besides its own two, and the order in which the first positive one is taken.
+CODED = {"B": "regional", "L": "local"}
+PREFERENCE = ("regional", "duration", "amplitude", "local")
+
+
+def _card_number(field: tuple[int, int, int]) -> Column:
+    """Number in a field: blanks count nothing, an empty field is 0, decimals are implied where no point is written."""
+    first, width, decimals = field
+    text = F.regexp_replace(F.substring("value", first, width), " ", "")
+    number = text.try_cast("double")
+    return F.when(text == "", 0.0).when(text.contains("."), number).otherwise(number / 10.0**decimals)
+
+
+def cards(spark: SparkSession, path: str, layout: str | dict = "hypo71", preference: tuple[str, ...] = PREFERENCE) -> DataFrame:
+    """Fixed-width location cards as numbers: time parts, latitude, longitude, depth, magnitude, errors, remark, quality.
+
+    Latitudes are north unless marked S, longitudes west unless marked E, as the formats
+    have it; years are of the 20th century where a card has none.  A layout without a
+    magnitude of its own takes the first positive one of ``preference``, 0 if there is
+    none.  Cards that hold no number where one belongs keep nulls.
     """
     spec = CARDS[layout] if isinstance(layout, str) else layout
-    scale = 100.0 if layout == "hypoinverse2000" else 1.0
-    part = {k: F.substring("value", a, n) for k, (a, n) in spec.items()}
-    num = lambda k: F.regexp_replace(part[k], " ", "").try_cast("double")
-    date = F.trim(part["date"])
-    y = F.when(F.length(date) >= 8, F.substring(date, 1, 4).try_cast("int")).otherwise(1900 + F.substring(date, 1, 2).try_cast("int"))
-    md = F.when(F.length(date) >= 8, F.substring(date, 5, 4)).otherwise(F.substring(date, 3, 4))
-    clock = F.lpad(F.trim(part["time"]), 4, "0")
-    lon = num("lon_deg") + num("lon_min") / scale / 60
-    return _lines(spark, path).select(
-        "row_idx", y.alias("year"), F.substring(md, 1, 2).try_cast("int").alias("month"), F.substring(md, 3, 2).try_cast("int").alias("day"), F.substring(clock, 1, 2).try_cast("int").alias("hour"), F.substring(clock, 3, 2).try_cast("int").alias("minute"), (num("second") / scale).alias("second"),
-        (num("lat_deg") + num("lat_min") / scale / 60).alias("latitude"), (-lon if west_positive else lon).alias("longitude"), (num("depth") / scale).alias("depth"), (num("magnitude") / scale).alias("magnitude"),
+    num = lambda k: _card_number(spec[k]) if k in spec else F.lit(0.0)
+    text = lambda k: F.trim(F.substring("value", *spec[k][:2])) if k in spec else F.lit("")
+    degrees = lambda k: num(f"{k}_deg") + num(f"{k}_min") / 60
+    century = num("century") if "century" in spec else F.lit(19.0)
+    if "magnitude" in spec:
+        magnitude = num("magnitude")
+    else:
+        coded = lambda kind: F.greatest(*[F.when(F.upper(text(f"code{i}")).isin([c for c, of in CODED.items() if of == kind]), num(f"magnitude{i}")).otherwise(0.0) for i in (1, 2)])
+        of = {"regional": coded("regional"), "local": coded("local"), "duration": num("duration_magnitude"), "amplitude": num("amplitude_magnitude")}
+        magnitude = F.coalesce(*[F.when(of[p] > 0, of[p]) for p in preference], F.lit(0.0))
+    whole = [F.col(c).cast("int").alias(c) for c in ("year", "month", "day", "hour", "minute")]
+    out = _lines(spark, path).select(
+        "row_idx", (century * 100 + num("year")).alias("year"), *[num(c).alias(c) for c in ("month", "day", "hour", "minute", "second")],
+        F.when(F.upper(text("lat_sign")) == "S", -degrees("lat")).otherwise(degrees("lat")).alias("latitude"), F.when(F.upper(text("lon_sign")) == "E", degrees("lon")).otherwise(-degrees("lon")).alias("longitude"),
+        num("depth").alias("depth"), magnitude.alias("magnitude"), num("horizontal_error").alias("horizontal_error"), num("vertical_error").alias("vertical_error"), text("remark").alias("remark"), text("quality").alias("quality"),
     )
+    return out.select("row_idx", *whole, *out.columns[6:])
 
 
 def free_format(spark: SparkSession, path: str) -> DataFrame:
@@ -224,9 +276,12 @@ def free_format(spark: SparkSession, path: str) -> DataFrame:
 
 
 def admitted(cards_: DataFrame, min_magnitude: float, first_year: int, last_year: int, remark: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass the magnitude, year and quarry-blast tests, and one row of reject counts."""
-    small = ~(F.col("magnitude") >= min_magnitude)
-    out = ~F.col("year").between(first_year, last_year)
-    blast = F.lower(F.col(remark)) == "q" if remark else F.lit(False)
-    counts = cards_.agg(F.count_if(small).alias("below_magnitude"), F.count_if(out).alias("outside_years"), F.count_if(blast).alias("blasts"))
-    return cards_.filter(~small & ~out & ~F.coalesce(blast, F.lit(False))), counts
+    """Rows that pass the tests of magnitude, quarry mark (a q in the remark) and year, and one row of reject counts.
+
+    A row is counted at the first test that it fails.
+    """
+    small = F.coalesce(F.col("magnitude") < min_magnitude, F.lit(True))
+    blast = F.coalesce(F.lower(F.col(remark)).contains("q"), F.lit(False)) if remark else F.lit(False)
+    out = F.coalesce(~F.col("year").between(first_year, last_year), F.lit(True))
+    counts = cards_.agg(F.count("*").alias("read"), F.count_if(~small & ~blast & ~out).alias("accepted"), F.count_if(~small & ~blast & out).alias("outside_years"), F.count_if(small).alias("below_magnitude"), F.count_if(~small & blast).alias("blasts"))
+    return cards_.filter(~small & ~blast & ~out), counts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,28 @@ def _time(df: DataFrame) -> Column:
     return F.date_format(F.timestamp_millis("timeMs"), "dd/MM/yyyy HH:mm:ss")
 
 
+def write_lines(lines: DataFrame, path: str, before: list[str] = (), after: list[str] = (), between: str = "") -> None:
+    """Write the text lines (``value``) as a folder of files, each between other lines.
+
+    ``between`` ends every line but a file's last.  A task writes the lines it has, in
+    the order it has them; a task without lines writes nothing.
+    """
+
+    def file(batches):
+        held = None
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            if not values:
+                continue
+            lines = list(before) if held is None else [held + between]
+            held = values.pop()
+            yield pa.RecordBatch.from_pydict({"value": lines + [v + between for v in values]}, schema=pa.schema([("value", pa.string())]))
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"value": [held, *after]}, schema=pa.schema([("value", pa.string())]))
+
+    lines.select("value").mapInArrow(file, "value string").write.mode("overwrite").text(path)
+
+
 def csv_lines(cat: DataFrame) -> DataFrame:
     """One text line an event; the locality is quoted, its own quotes are not escaped."""
     mmi = F.col("mmi").cast("string") if "mmi" in cat.columns else F.lit(None).cast("string")
@@ -20,8 +43,8 @@ def csv_lines(cat: DataFrame) -> DataFrame:
 
 
 def write_csv(cat: DataFrame, path: str) -> None:
-    head = cat.sparkSession.createDataFrame([(HEADER,)], "value string")
-    head.unionByName(csv_lines(cat)).write.mode("overwrite").text(path)
+    """CSV files, each with the header."""
+    write_lines(csv_lines(cat), path, [HEADER])
 
 
 def write_json(cat: DataFrame, path: str) -> None:
@@ -54,14 +77,13 @@ def write_bundle(cat: DataFrame, path: str) -> None:
     metadata(cat).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def analysis_lines(labelled: DataFrame, settings: dict[str, str]) -> DataFrame:
-    """Comment lines of settings, a header, and one escaped CSV line an event with its cluster."""
+def write_analysis(labelled: DataFrame, path: str, settings: dict[str, str]) -> None:
+    """Escaped CSV lines of events with their clusters; each file has comment lines of settings and a header."""
     cols = ["eventID", "timeMs", "latitude", "longitude", "depth", "magnitude", "locality", "cluster_id", "cluster_label", "cluster_size"]
     have = [c for c in cols if c in labelled.columns]
     cell = lambda c: F.when(F.col(c).cast("string").rlike('[",\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    head = [f"# {k}: {v}" for k, v in settings.items()] + [",".join(have)]
-    top = labelled.sparkSession.createDataFrame([(h,) for h in head], "value string")
-    return top.unionByName(labelled.select(F.concat_ws(",", *[cell(c) for c in have]).alias("value")))
+    lines = labelled.select(F.concat_ws(",", *[cell(c) for c in have]).alias("value"))
+    write_lines(lines, path, [*[f"# {k}: {v}" for k, v in settings.items()], ",".join(have)])
 
 
 def analysis_json(labelled: DataFrame, summary: DataFrame, settings: dict[str, str]) -> DataFrame:

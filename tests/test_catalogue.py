@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from temblor.functions import geo, scalar
-from temblor.operators import aftershock_fits, aftershocks, clusters, declustering, density, filters, frequency, hierarchy, incremental, links, sampling, sequences, statistics, validation
+from temblor.operators import aftershock_fits, aftershocks, clusters, components, declustering, density, filters, frequency, incremental, links, neighbours, sampling, sequences, statistics, validation
 from temblor.sources import feed, readers, sinks
 from tests import naive
 from tests.fixtures import DAY, T0, frame, sequence_catalogue, three_nests, two_epochs
@@ -267,12 +267,15 @@ def test_feed_pages():
 def test_exports_and_store(spark, tmp_path):
     cat = spark.createDataFrame(sequence_catalogue(1, 20))
     sinks.write_bundle(cat, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out/csv")).count() == 21
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out/csv")).collect()]
+    assert sum(x != sinks.HEADER for x in lines) == 20 and sinks.HEADER in lines
+    assert readers.read(spark, str(tmp_path / "out/csv"), "delimited").count() == 20
     assert "-10.0" in spark.read.text(str(tmp_path / "out/geojson")).first().value
     sinks.store(cat, str(tmp_path / "store"), 3.0)
     assert sinks.stored(spark, str(tmp_path / "store"), 3.0).count() == 20
     labelled = clusters.with_sizes(cat.withColumn("cluster_id", (F.col("row_idx") % 3 - 1).cast("int")))
-    assert sinks.analysis_lines(labelled, {"algorithm": "x"}).count() == 22
+    sinks.write_analysis(labelled, str(tmp_path / "analysis.csv"), {"algorithm": "x"})
+    assert readers.read(spark, str(tmp_path / "analysis.csv")).count() == 20
     assert sinks.analysis_json(labelled, clusters.result_summary(labelled), {"a": "b"}).count() == 21
     assert clusters.declustered_catalogue(cat, labelled.select("row_idx", "cluster_id")).count() > 0
 
@@ -335,3 +338,86 @@ def test_time_bounds_reach_another_column(spark):
     rule = filters.CatalogueFilter(start=low, end=high, whole_end_day=False)
     kept = {r.row_idx for r in filters.apply(cat, rule).collect()}
     assert kept and kept == {r.row_idx for r in filters.apply(cat, rule, "time").collect()}
+
+
+@pytest.mark.parametrize("local", [0, 5, 300_000])
+def test_components_and_roots_in_rounds_or_in_one_task(spark, local):
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 90, (70, 2))] + [(i, i + 1) for i in range(200, 260)]
+    top = {}
+
+    def find(i):
+        while top.setdefault(i, i) != i:
+            i = top[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    got = {x.node: x.component for x in components.connected(spark.createDataFrame(edges, "a bigint, b bigint"), local=local).collect()}
+    assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)} | {i: c for i, c in got.items() if i not in top}
+    links = [(i, i // 2) for i in range(2, 120)] + [(500, 400)]
+    roots = {x.node: x.root for x in components.forest_roots(spark.createDataFrame(links, "child bigint, parent bigint"), local=local).collect()}
+    assert roots == {**{i: 1 for i in range(1, 120)}, 400: 400, 500: 400}
+
+
+def test_full_cells_are_cut_and_lose_no_pair(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    n = 160
+    points = np.concatenate([r.uniform(0, 0.9, (n // 2, 2)), r.uniform(-6, 6, (n // 2, 2))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "row_idx bigint, x_km double, y_km double")
+    d = np.hypot(*(points[:, None] - points[None]).transpose(2, 0, 1))
+    want = {(i, j) for i in range(n) for j in range(n) if i != j and d[i, j] <= 1.0}
+    cut = neighbours.shared_cells
+    monkeypatch.setattr(neighbours, "shared_cells", lambda *a: cut(*a, most=7))
+    got = [(x.a, x.b) for x in neighbours.planar_pairs(df, 1.0).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_gaps_of_groups_across_ranges(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, int(t), None if k == 3 else f"g{k}") for i, (t, k) in enumerate(zip(r.integers(0, 500, 200), r.integers(0, 4, 200), strict=True))]
+    df = spark.createDataFrame(rows, "row_idx bigint, timeMs bigint, grp string").repartition(3)
+    for by in (None, ["grp"]):
+        want, last = {}, {}
+        for i, t, k in sorted(rows, key=lambda x: (x[1], x[0])):
+            k = k if by else 0
+            want[i] = t - last[k] if k in last else None
+            last[k] = t
+        assert {x.row_idx: x.gap_ms for x in statistics.ordered_gaps(df, by).collect()} == want
+
+
+def test_cards_of_all_layouts(spark, tmp_path):
+    lines = {
+        "hypoinverse": "89101800041530" + "37S 220" + "122E 330" + " 123435" + " " * 31 + "0  37" + " " * 6 + "q",
+        "hypo71": "891018 0004 15.30 37S 2.20 122E 3.30  12.34   3.50" + " " * 18 + " 1.2  3.4 A",
+    }
+    for layout, line in lines.items():
+        path = str(tmp_path / f"{layout}.txt")
+        spark.createDataFrame([(line,), ("not a card",)], "value string").coalesce(1).write.text(path)
+        got, bad = readers.cards(spark, path, layout).orderBy("row_idx").collect()
+        assert (got.year, got.month, got.day, got.hour, got.minute, got.second) == (1989, 10, 18, 0, 4, 15.3)
+        assert got.latitude == pytest.approx(-(37 + 2.2 / 60)) and got.longitude == pytest.approx(122 + 3.3 / 60)
+        assert (got.depth, got.magnitude) == (12.34, 3.5)
+        assert bad.year is None
+    kept, counts = readers.admitted(readers.cards(spark, str(tmp_path / "hypo71.txt"), "hypo71"), 3.0, 1980, 1990, "remark")
+    assert kept.count() == 1 and counts.first().below_magnitude == 1
+
+
+def test_values_keep_their_own_kind(spark):
+    rows = spark.createDataFrame([("12",), (" -1.5e2 ",), ("0x1F",), ("abc",), ("",), ("1d",), ("Infinity",), (None,)], "note string")
+    got = [r.t for r in validation.per_value(rows, ["note"]).selectExpr("schema_of_variant(note) as t").collect()]
+    assert got == ["DOUBLE", "DOUBLE", "DOUBLE", "STRING", "STRING", "STRING", "DOUBLE", None]
+
+
+def test_ellipsoid_distance(spark):
+    def direct(a, b, c, d):
+        x, y = (1.570796 - math.atan(0.993231 * math.tan(v * 1.745329e-02)) for v in (a, c))
+        angle = math.acos(math.sin(x) * math.sin(y) * math.cos((d - b) * 1.745329e-02) + math.cos(x) * math.cos(y))
+        return angle * 6371.227 * (1 + 3.37853e-3 * (1 / 3 - math.cos(1.570796 - (a + c) * 1.745329e-02 / 2) ** 2))
+
+    r = np.random.default_rng(4)
+    rows = [tuple(map(float, x)) for x in np.column_stack([r.uniform(-80, 80, 50), r.uniform(-180, 180, 50), r.uniform(-80, 80, 50), r.uniform(-180, 180, 50)])]
+    got = spark.createDataFrame(rows, "a double, b double, c double, d double").select(geo.ellipsoid_km(*map(F.col, "abcd")).alias("km")).collect()
+    assert [x.km for x in got] == pytest.approx([direct(*x) for x in rows], abs=1e-6)
+    assert spark.range(1).select(geo.ellipsoid_km(F.lit(1.0), F.lit(2.0), F.lit(1.0), F.lit(2.0)).alias("km")).first().km == 0
