@@ -222,7 +222,8 @@ def merges(tree: DataFrame, local_edges: int = 100_000) -> DataFrame:
         held = own.groupBy("component").agg(F.sum(F.lit(1) if sizes is None else F.coalesce("size", F.lit(1))).alias("size"))
         renamed = written(comp.join(top, "component").join(held, "component").select("node", "merged", "size"), "renamed")
         more = renamed.select(F.col("merged").alias("node"), "size").distinct()
-        sizes = written(more if sizes is None else sizes.union(more), "sizes")
+        # A component without an edge in the upper half of its range comes again, by the same name, when the lower half is cut.
+        sizes = written(more if sizes is None else sizes.union(more).distinct(), "sizes")
         heavy = split.filter("rank > mid")
         for side in "uv":
             heavy = heavy.join(renamed.select(F.col("node").alias(side), F.col("merged").alias(f"{side}2")), side, "left").withColumn(side, F.coalesce(f"{side}2", side)).drop(f"{side}2")

@@ -82,3 +82,11 @@ def test_reachability_order_cut_gives_density_clusters(spark, local_edges):
         both = got.merge(cores, on="row_idx")
         first = both.groupby("cluster_id").row_idx.min()
         assert (both.first_row == both.cluster_id.map(first)).all()
+
+
+def test_merges_in_many_ranges_equal_those_of_one(spark):
+    r = np.random.default_rng(1)
+    tree = spark.createDataFrame([(float(r.random()), int(r.integers(0, i)), i) for i in range(1, 200)], "w double, a bigint, b bigint")
+    want = sorted(tuple(x) for x in spanning.merges(tree, 1000).collect())
+    assert len(want) == 199 and max(x[4] + x[5] for x in want) == 200
+    assert sorted(tuple(x) for x in spanning.merges(tree, 12).collect()) == want
