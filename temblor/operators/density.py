@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,10 +39,79 @@ def labels_from_pairs(rows: DataFrame, pairs: DataFrame, min_samples: int) -> Da
     return rows.select("row_idx").join(found, "row_idx", "left").select("row_idx", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
+def labels_by_cells(rows: DataFrame, points: DataFrame, cell: list[str], reach: list[int], extent: list[str], near: Callable[[str, str], Column], min_samples: int) -> DataFrame:
+    """What :func:`labels_from_pairs` gives, without the pairs of dense places.
+
+    ``points`` have row_idx, integer ``cell`` columns, and whatever ``near`` compares
+    under a prefix for each side; ``extent`` names the coordinate of each cell column.
+    Rows of one cell must be near each other, and rows that are near at most ``reach``
+    cells apart.  So a cell of ``min_samples`` rows holds cores only; fewer rows look at
+    the cells around, which meets each row a bounded number of times.  Clusters join
+    cells: two cells first by their rows at the facing sides, and only cells that are
+    apart after that are compared row by row.
+    """
+    around = [o for o in itertools.product(*[range(-r, r + 1) for r in reach]) if any(o)]
+    steps = lambda some: F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in some])).alias("o")
+    moved = [(F.col(c) + F.col(f"o.o{i}")).alias(c) for i, c in enumerate(cell)]
+    values = [c for c in points.columns if c not in cell]
+    side = lambda p: [F.col(c).alias(f"{p}{c}") for c in values]
+
+    held = points.groupBy(*cell).agg(F.count("*").alias("held"))
+    points = written(points.join(held.hint("merge"), cell), "points")
+    few = points.filter(F.col("held") < min_samples)
+    look = lambda some: some.select(*cell, *side("a"), "held", steps(around)).select(*moved, *[f"a{c}" for c in values], "held")
+    met = points.select(*cell, *side("b")).join(look(few).hint("merge"), cell).filter(near("a", "b"))
+    beyond = met.groupBy(F.col("arow_idx").alias("row_idx")).agg(F.count("*").alias("n"))
+    counted = few.join(beyond, "row_idx", "left").withColumn("core", F.col("held") + F.coalesce("n", F.lit(0)) >= min_samples).select(*cell, *values, "held", "core")
+    counted = written(counted, "counted")
+    cores = points.filter(F.col("held") >= min_samples).select(*cell, *values).union(counted.filter("core").select(*cell, *values))
+
+    ends = [f(F.struct(*values), F.col(e)).alias(f"{n}{i}") for i, e in enumerate(extent) for n, f in (("lo", F.min_by), ("hi", F.max_by))]
+    heads = written(cores.groupBy(*cell).agg(F.min("row_idx").alias("head"), *ends), "heads")
+    facing = [c for i in range(len(cell)) for c in (f"lo{i}", f"hi{i}")]
+    half = [o for o in around if o > tuple(0 for _ in cell)]
+    one = heads.select(*cell, F.col("head").alias("a"), *[F.col(c).alias(f"a{c}") for c in facing], steps(half)).select(*moved, "o", "a", *[f"a{c}" for c in facing])
+    two = heads.select(*cell, F.col("head").alias("b"), *[F.col(c).alias(f"b{c}") for c in facing])
+    links = one.join(two.hint("merge"), cell)
+    touching = F.lit(False)
+    for i in range(len(cell)):
+        far = lambda p, ends, i=i: F.when(F.col(f"o.o{i}") > 0, F.col(f"{p}{ends[0]}{i}")).otherwise(F.col(f"{p}{ends[1]}{i}"))
+        links = links.withColumn(f"p{i}", far("a", ("hi", "lo"))).withColumn(f"q{i}", far("b", ("lo", "hi")))
+        touching = touching | ((F.col(f"o.o{i}") != 0) & near(f"p{i}.", f"q{i}."))
+    links = written(links.select("a", "b", F.coalesce(touching, F.lit(False)).alias("sure")), "links")
+    sure = links.filter("sure").select("a", "b")
+    comp = written(connected(sure), "components")
+    open_ = links.filter("not sure")
+    for k in "ab":
+        open_ = open_.join(comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
+    open_ = written(open_.filter("ca <> cb").select("a", "b"), "open")
+    named = cores.join(heads.select(*cell, "head").hint("merge"), cell).select("head", *values)
+    found = open_.join(named.select(F.col("head").alias("a"), *side("a")), "a").join(named.select(F.col("head").alias("b"), *side("b")), "b").filter(near("a", "b")).select("a", "b").distinct()
+    comp = connected(sure.union(found))
+
+    heads = heads.join(comp.withColumnRenamed("node", "head"), "head", "left").select(*cell, F.coalesce("component", "head").alias("component"))
+    first = numbered(heads.select("component").distinct(), [F.col("component")], "cluster_id")
+    heads = written(heads.join(first, "component").select(*cell, F.col("cluster_id").cast("int").alias("cluster_id")), "named")
+    owned = cores.join(heads.hint("merge"), cell)
+    rest = counted.filter("not core")
+    border = owned.select(*cell, "cluster_id", *side("b")).join(look(rest).hint("merge"), cell).filter(near("a", "b")).groupBy(F.col("arow_idx").alias("row_idx")).agg(F.min("cluster_id").alias("cluster_id"))
+    beside = rest.join(heads, cell).groupBy("row_idx").agg(F.min("cluster_id").alias("cluster_id"))
+    border = border.union(beside).groupBy("row_idx").agg(F.min("cluster_id").alias("cluster_id"))
+    found = owned.select("row_idx", "cluster_id", F.lit(True).alias("core")).union(border.select("row_idx", "cluster_id", F.lit(False)))
+    return rows.select("row_idx").join(found, "row_idx", "left").select("row_idx", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("core", F.lit(False)).alias("core"))
+
+
 def dbscan(cat: DataFrame, eps_km: float = 25, min_samples: int = 5) -> DataFrame:
     """Planar density clusters; null positions are noise."""
-    points = geo.projected(cat.filter("latitude is not null and longitude is not null")).select("row_idx", "x_km", "y_km")
-    return labels_from_pairs(cat, planar_pairs(points, eps_km), min_samples)
+    points = geo.projected(cat.filter("latitude is not null and longitude is not null")).filter("abs(x_km) < double('infinity') and abs(y_km) < double('infinity')")
+    size = eps_km / math.sqrt(2) * (1 - 1e-9)  # of cells whose diagonal is within eps
+    points = points.select("row_idx", "x_km", "y_km", *[F.floor(F.col(c) / size).cast("bigint").alias(n) for n, c in (("cx", "x_km"), ("cy", "y_km"))])
+
+    def near(a: str, b: str) -> Column:
+        dx, dy = (F.col(f"{a}{c}") - F.col(f"{b}{c}") for c in ("x_km", "y_km"))
+        return F.sqrt(dx * dx + dy * dy) <= eps_km
+
+    return labels_by_cells(cat, points, ["cx", "cy"], [2, 2], ["x_km", "y_km"], near, min_samples)
 
 
 def st_dbscan(cat: DataFrame, eps_km: float = 25, eps_days: float = 14, min_samples: int = 5, projected_box: bool = True) -> DataFrame:
@@ -48,14 +121,25 @@ def st_dbscan(cat: DataFrame, eps_km: float = 25, eps_days: float = 14, min_samp
     from the mean latitude excludes a few pairs.
     """
     window = int(eps_days * DAY_MS)
-    mains = cat.withColumn("radius_km", F.lit(float(eps_km))).withColumn("before_ms", F.lit(window)).withColumn("after_ms", F.lit(window))
-    pairs = window_pairs(mains, cat).select(F.col("main").alias("a"), F.col("dep").alias("b"))
-    if projected_box:
-        xy = geo.projected(cat).select("row_idx", "x_km", "y_km")
-        one, two = (xy.select(F.col("row_idx").alias(k), F.col("x_km").alias(f"x{k}"), F.col("y_km").alias(f"y{k}")) for k in "ab")
-        near = (F.abs(F.col("xa") - F.col("xb")) <= 1.15 * eps_km) & (F.abs(F.col("ya") - F.col("yb")) <= 1.15 * eps_km)
-        pairs = pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
-    return labels_from_pairs(cat, pairs, min_samples)
+    if not projected_box or window <= 0:
+        mains = cat.withColumn("radius_km", F.lit(float(eps_km))).withColumn("before_ms", F.lit(window)).withColumn("after_ms", F.lit(window))
+        pairs = window_pairs(mains, cat).select(F.col("main").alias("a"), F.col("dep").alias("b"))
+        return labels_from_pairs(cat, pairs, min_samples)
+    points = geo.projected(cat).filter("timeMs is not null and abs(x_km) < double('infinity') and abs(y_km) < double('infinity')")
+    cos = points.agg(F.max(F.cos(F.radians("latitude"))).alias("most"), F.cos(F.radians(F.avg("latitude"))).alias("mean")).first()
+    # How much longer than its planar length a short way can be, anywhere in the catalogue.
+    longest = max(1.0057, (cos.most or 1.0) / max(cos.mean or 1.0, 1e-3)) * (1 + (eps_km / geo.EARTH_KM) ** 2)
+    size = eps_km / math.sqrt(2) / longest * (1 - 1e-9)
+    space = [F.floor(F.col(c) / size).cast("bigint").alias(n) for n, c in (("cx", "x_km"), ("cy", "y_km"))]
+    points = points.select("row_idx", "latitude", "longitude", "x_km", "y_km", "timeMs", *space, F.floor(F.col("timeMs") / window).cast("bigint").alias("ct"))
+
+    def near(a: str, b: str) -> Column:
+        off = lambda c: F.abs(F.col(f"{a}{c}") - F.col(f"{b}{c}"))
+        apart = geo.haversine_km(f"{a}latitude", f"{a}longitude", f"{b}latitude", f"{b}longitude")
+        return (off("timeMs") <= window) & (off("x_km") <= 1.15 * eps_km) & (off("y_km") <= 1.15 * eps_km) & (apart <= eps_km)
+
+    wide = math.ceil(1.15 * eps_km / size)
+    return labels_by_cells(cat, points, ["cx", "cy", "ct"], [wide, wide, 1], ["x_km", "y_km", "timeMs"], near, min_samples)
 
 
 def optics_core_distances(cat: DataFrame, eps_km: float = 25, min_samples: int = 5) -> DataFrame:

@@ -421,3 +421,29 @@ def test_ellipsoid_distance(spark):
     got = spark.createDataFrame(rows, "a double, b double, c double, d double").select(geo.ellipsoid_km(*map(F.col, "abcd")).alias("km")).collect()
     assert [x.km for x in got] == pytest.approx([direct(*x) for x in rows], abs=1e-6)
     assert spark.range(1).select(geo.ellipsoid_km(F.lit(1.0), F.lit(2.0), F.lit(1.0), F.lit(2.0)).alias("km")).first().km == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_density_clusters_without_pairs_of_dense_places(spark, monkeypatch, seed):
+    """Dense nests, thin places and a ladder of rows exactly eps apart, with no table of pairs."""
+    r = np.random.default_rng(seed)
+    monkeypatch.setattr(density, "labels_from_pairs", None)
+    lat = np.concatenate([-41 + r.normal(0, 0.004, 60), -41.1 + r.normal(0, 0.1, 160), -40.5 + np.arange(8) * 0.045])
+    lon = np.concatenate([174 + r.normal(0, 0.004, 60), 174.1 + r.normal(0, 0.15, 160), np.full(8, 173.0)])
+    pdf = frame(lat, lon, T0 + r.integers(0, 40, 228) * DAY, np.full(228, 3.0))
+    cat = spark.createDataFrame(pdf)
+    lat0, lon0 = pdf.latitude.mean(), pdf.longitude.mean()
+    x, y = (lon - lon0) * 111.32 * math.cos(math.radians(lat0)), (lat - lat0) * 110.57
+    for eps, least in ((5.0, 5), (3.0, 3)):
+        planar = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) <= eps
+        timed = (np.abs(pdf.timeMs.to_numpy()[:, None] - pdf.timeMs.to_numpy()) <= 7 * DAY) & (np.abs(x[:, None] - x) <= 1.15 * eps) & (np.abs(y[:, None] - y) <= 1.15 * eps)
+        timed &= np.array([geo.haversine_arrays(a, b, lat, lon) for a, b in zip(lat, lon, strict=True)]) <= eps
+        for near, found in ((planar, density.dbscan(cat, eps, least)), (timed, density.st_dbscan(cat, eps, 7.0, least))):
+            core = near.sum(1) >= least
+            top = np.arange(228)
+            for _ in range(228):
+                top = np.where(core, np.where(near & core, top, 999).min(1), 999)
+            number = {c: i for i, c in enumerate(sorted(set(top[core])))}
+            want = [number[top[i]] if core[i] else min((number[top[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(228)]
+            got = found.toPandas().sort_values("row_idx")
+            assert list(got.cluster_id) == want and list(got.core) == list(core) and core.any()
