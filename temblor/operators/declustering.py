@@ -118,16 +118,35 @@ def gardner_knopoff_mainshocks(cat: DataFrame) -> DataFrame:
     return cat.join(labels.filter("is_main and not dependent").select("row_idx"), "row_idx", "left_semi")
 
 
-def _suppressed(cat: DataFrame, days: float, inclusive: bool) -> DataFrame:
-    """row_idx of events after a strictly larger one, within a time and five rupture lengths of it."""
-    rows = cat.select("row_idx", "latitude", "longitude", "timeMs", "magnitude")
+def _suppressed(cat: DataFrame, days: float, inclusive: bool, first: int = 2000, growth: int = 8) -> DataFrame:
+    """row_idx of events after a strictly larger one, within a time and five rupture lengths of it.
+
+    Goes down the magnitudes in batches of mains that grow by ``growth``; what a batch
+    suppresses is looked for no more, so the many small mains meet the few events left.
+    """
+    rows = written(cat.select("row_idx", "latitude", "longitude", "timeMs", "magnitude"), "rows")
     mains = rows.withColumn("radius_km", 5 * geo.rupture_length_km(F.col("magnitude"))).withColumn("before_ms", F.lit(0)).withColumn("after_ms", F.lit(days * DAY_MS))
-    pairs = window_pairs(mains, rows).filter(F.col("m_magnitude") > F.col("d_magnitude"))
-    if inclusive:
-        pairs = pairs.filter((F.col("dt_ms") > 0) | ((F.col("dt_ms") == 0) & (F.col("main") < F.col("dep"))))
-    else:
-        pairs = pairs.filter((F.col("dt_ms") > 0) & (F.col("dt_ms") < days * DAY_MS))
-    return pairs.select(F.col("dep").alias("row_idx")).distinct()
+    n = rows.filter("magnitude is not null").count()
+    sizes = [first * growth**i for i in range(40) if first * growth**i < n]
+    edges = rows.agg(F.percentile_approx("magnitude", F.array(*[F.lit(1 - x / n) for x in sizes]), F.lit(100_000))).first()[0] if sizes else []
+    waiting, above, found, total = rows, None, None, rows.count()
+    for least in [*sorted(set(edges), reverse=True), None]:
+        batch = mains if above is None else mains.filter(F.col("magnitude") < above)
+        batch = batch if least is None else batch.filter(F.col("magnitude") >= least)
+        left = waiting.count()
+        pairs = window_pairs(batch, waiting, few_events=left * 4 < total).filter(F.col("m_magnitude") > F.col("d_magnitude"))
+        if inclusive:
+            pairs = pairs.filter((F.col("dt_ms") > 0) | ((F.col("dt_ms") == 0) & (F.col("main") < F.col("dep"))))
+        else:
+            pairs = pairs.filter((F.col("dt_ms") > 0) & (F.col("dt_ms") < days * DAY_MS))
+        hit = written(pairs.select(F.col("dep").alias("row_idx")).distinct(), "suppressed")
+        found = hit if found is None else found.union(hit)
+        if least is None:
+            return found
+        rest = written(waiting.filter(F.col("magnitude") < least).join(hit, "row_idx", "left_anti"), "waiting")
+        if waiting is not rows:
+            discard(waiting)
+        waiting, above = rest, least
 
 
 def srl_mainshocks(cat: DataFrame, exclusion_days: float = HARDEBECK_DAYS, window_days: float = 10, rupture_multiple: float = 3) -> DataFrame:
@@ -152,7 +171,8 @@ def hardebeck(cat: DataFrame, min_magnitude: float = 5, window_days: float = 10,
     max(10 km, multiple of its rupture length).  A mainshock alone is a cluster of one.
     """
     rows = cat.select("row_idx", "latitude", "longitude", "timeMs", "magnitude")
-    valid = written(rows.filter(F.col("magnitude") >= min_magnitude).join(_suppressed(cat, exclusion_days, False), "row_idx", "left_anti"), "valid")
+    large = rows.filter(F.col("magnitude") >= min_magnitude)  # only these can suppress one another
+    valid = written(large.join(_suppressed(large, exclusion_days, False), "row_idx", "left_anti"), "valid")
     mains = valid.withColumn("radius_km", F.greatest(F.lit(10.0), rupture_multiple * geo.rupture_length_km(F.col("magnitude")))).withColumn("before_ms", F.lit(0)).withColumn("after_ms", F.lit(window_days * DAY_MS))
     pairs = window_pairs(mains, rows).filter("dt_ms > 0").withColumn("m_rank", priority("m_", False)).withColumn("d_rank", priority("d_", False))
     pairs = written(pairs.select("main", "dep", "m_rank", "d_rank"), "windows")

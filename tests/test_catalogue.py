@@ -447,3 +447,14 @@ def test_density_clusters_without_pairs_of_dense_places(spark, monkeypatch, seed
             want = [number[top[i]] if core[i] else min((number[top[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(228)]
             got = found.toPandas().sort_values("row_idx")
             assert list(got.cluster_id) == want and list(got.core) == list(core) and core.any()
+
+
+def test_suppression_in_batches_and_pairs_from_either_side(spark):
+    pdf = sequence_catalogue(11, 90)
+    cat = spark.createDataFrame(pdf)
+    mains = cat.withColumn("radius_km", 5 * geo.rupture_length_km(F.col("magnitude"))).withColumn("before_ms", F.lit(0)).withColumn("after_ms", F.lit(20 * DAY))
+    pairs = [{(x.main, x.dep) for x in neighbours.window_pairs(mains, cat, few_events=few).collect()} for few in (False, True)]
+    assert pairs[0] == pairs[1] and pairs[0]
+    ev = {r.row_idx: r for r in pdf.itertuples()}
+    want = {j for i, j in pairs[0] if ev[i].magnitude > ev[j].magnitude and (ev[i].timeMs < ev[j].timeMs or (ev[i].timeMs == ev[j].timeMs and i < j))}
+    assert {x.row_idx for x in declustering._suppressed(cat, 20, True, first=5, growth=3).collect()} == want
