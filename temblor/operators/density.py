@@ -8,10 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from temblor.functions import geo
 from temblor.functions.scalar import DAY_MS
+from temblor.operators import spanning
 from temblor.operators.components import connected, numbered
 from temblor.operators.neighbours import planar_pairs, window_pairs
 from temblor.scratch import written
@@ -147,11 +147,13 @@ def optics_core_distances(cat: DataFrame, eps_km: float = 25, min_samples: int =
 
     Clusters at any smaller radius are :func:`dbscan` at that radius.
     """
-    points = geo.projected(cat.filter("latitude is not null and longitude is not null")).select("row_idx", "x_km", "y_km")
-    one, two = (points.select(F.col("row_idx").alias(k), F.col("x_km").alias(f"x{k}"), F.col("y_km").alias(f"y{k}")) for k in "ab")
-    far = planar_pairs(points, eps_km).join(one, "a").join(two, "b").select("a", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("d"))
-    nth = far.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d"))).filter(F.col("n") == min_samples - 1).select(F.col("a").alias("row_idx"), F.col("d").alias("core_km"))
-    return cat.select("row_idx").join(nth, "row_idx", "left")
+    nodes = written(spanning.places(cat, True), "places")
+    rows = nodes.agg(F.sum("n").alias("n")).first().n or 0
+    if min_samples < 2 or rows < min_samples:
+        return cat.select("row_idx", F.lit(None).cast("double").alias("core_km"))
+    core = spanning.core_distances(nodes, min_samples - 1, True).filter(F.col("core") <= eps_km)
+    core = core.join(nodes.select("node", "latitude", "longitude").hint("merge"), "node").select("latitude", "longitude", F.col("core").alias("core_km"))
+    return cat.select("row_idx", "latitude", "longitude").join(core.hint("merge"), ["latitude", "longitude"], "left").select("row_idx", "core_km")
 
 
 def optics(cat: DataFrame, eps_km: float = 25, min_samples: int = 5) -> DataFrame:

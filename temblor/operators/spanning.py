@@ -63,8 +63,8 @@ def core_distances(nodes: DataFrame, k: int, planar: bool = False) -> DataFrame:
     """
     nested = nodes.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(TOP)))).select("node", "n", "lv", *_cell("lv"))
     full = nested.groupBy("lv", "cx", "cy", "cz").agg(F.sum("n").alias("held")).filter(F.col("held") > k)
-    level = nested.join(full, ["lv", "cx", "cy", "cz"]).groupBy("node").agg(F.min("lv").alias("lv"))
-    asked = written(nodes.join(level, "node").withColumn("reach", F.lit(3.0**0.5 * (1 + SLACK)) * F.pow(F.lit(2.0), F.col("lv")) / PER_KM).withColumn("lv", F.col("lv") + 1), "asked")
+    level = nested.join(full.hint("merge"), ["lv", "cx", "cy", "cz"]).groupBy("node").agg(F.min("lv").alias("lv"))
+    asked = written(nodes.join(level.hint("merge"), "node").withColumn("reach", F.lit(3.0**0.5 * (1 + SLACK)) * F.pow(F.lit(2.0), F.col("lv")) / PER_KM).withColumn("lv", F.col("lv") + 1), "asked")
     used = [r.lv for r in asked.select("lv").distinct().collect()]  # at most 27 levels
     if not used:
         return nodes.select("node", F.lit(None).cast("double").alias("core"))
@@ -76,7 +76,7 @@ def core_distances(nodes: DataFrame, k: int, planar: bool = False) -> DataFrame:
     left = left.filter(gap[0] ** 2 + gap[1] ** 2 + gap[2] ** 2 <= F.col("reach") ** 2).drop("cx", "cy", "cz", "o")
     right = nodes.withColumn("lv", F.explode(F.array(*[F.lit(x) for x in used]))).select("lv", *[c.alias(f"d{n}") for c, n in zip(_cell("lv"), "xyz", strict=True)], *_side(nodes, "b", ["node", "n", "latitude", "longitude", "x", "y", "z"]))
     chord = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2
-    near = left.join(right, ["lv", "dx", "dy", "dz"]).filter(chord <= F.col("reach") ** 2).select("anode", "bnode", "bn", F.when(F.col("anode") == F.col("bnode"), F.lit(0.0)).otherwise(_apart(planar)).alias("d"))
+    near = left.join(right.hint("merge"), ["lv", "dx", "dy", "dz"]).filter(chord <= F.col("reach") ** 2).select("anode", "bnode", "bn", F.when(F.col("anode") == F.col("bnode"), F.lit(0.0)).otherwise(_apart(planar)).alias("d"))
     upto = F.sum("bn").over(Window.partitionBy("anode").orderBy("d", "bnode").rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("upto", upto).filter(F.col("upto") > k).groupBy(F.col("anode").alias("node")).agg(F.min("d").alias("core"))
 

@@ -458,3 +458,13 @@ def test_suppression_in_batches_and_pairs_from_either_side(spark):
     ev = {r.row_idx: r for r in pdf.itertuples()}
     want = {j for i, j in pairs[0] if ev[i].magnitude > ev[j].magnitude and (ev[i].timeMs < ev[j].timeMs or (ev[i].timeMs == ev[j].timeMs and i < j))}
     assert {x.row_idx for x in declustering._suppressed(cat, 20, True, first=5, growth=3).collect()} == want
+
+
+def test_core_distances_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(density, "planar_pairs", None)
+    pdf = three_nests()
+    lat0, lon0 = pdf.latitude.mean(), pdf.longitude.mean()
+    x, y = ((pdf.longitude - lon0) * 111.32 * math.cos(math.radians(lat0))).to_numpy(), ((pdf.latitude - lat0) * 110.57).to_numpy()
+    want = np.sort(np.hypot(x[:, None] - x, y[:, None] - y), axis=1)[:, 4]
+    got = density.optics_core_distances(spark.createDataFrame(pdf), 6.0, 5).toPandas().sort_values("row_idx").core_km.to_numpy()
+    assert got == pytest.approx(np.where(want <= 6, want, np.nan), abs=1e-9, nan_ok=True) and np.isnan(got).any()
