@@ -2,107 +2,185 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from temblor.functions import geo
 from temblor.functions.scalar import DAY_MS
-from temblor.operators.components import forest_roots, numbered
-from temblor.scratch import written
+from temblor.operators.components import forest_roots, numbered, ranked
+from temblor.operators.neighbours import shared_cells
+from temblor.scratch import discard, written
 
 R_FLOOR = 0.001
 
 
-COLUMNS = ["row_idx", "timeMs", "x_km", "y_km", "magnitude", "nth"]
-FOUND = "row_idx bigint, parent bigint, parent_nth bigint, eta double"
-AXES = ("timeMs", "x_km", "y_km")
-
-
-def _curve(rows: DataFrame, bits: int = 16) -> Column:
-    """Place of a row on a curve through time and space that keeps near rows together (interleaved bits)."""
-    ends = rows.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    out = F.lit(0).cast("bigint")
-    for axis, c in enumerate(AXES):
-        low, width = ends[f"lo_{c}"] or 0.0, (ends[f"hi_{c}"] or 0.0) - (ends[f"lo_{c}"] or 0.0)
-        step = F.floor((F.col(c) - F.lit(low)) / F.lit(width or 1.0) * (2**bits - 1)).cast("bigint")
-        for i in range(bits):
-            out = out + F.shiftleft(F.shiftright(step, i).bitwiseAND(F.lit(1).cast("bigint")), 3 * i + axis)
-    return out
-
-
-def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows: int = 1000, leaf: int = 64, fan: int = 16) -> DataFrame:
+CLASSES, CLASS_WIDTH = 16, 0.5  # of magnitudes, down from the largest; the last one holds the rest
+KID = "row_idx long, nth long, timeMs long, x_km double, y_km double, magnitude double, parent long, parent_nth long, eta double, since long"
+CELLED = KID + ", bx long, by long, full boolean, margin double"
+
+
+def _eta(days: np.ndarray, km: np.ndarray, gain: np.ndarray, d: float) -> np.ndarray:
+    return np.where(days > 0, days * np.maximum(km, R_FLOOR) ** d * gain, np.inf)
+
+
+def _improved(kids: dict, olds: dict, d: float, b: float) -> dict:
+    """The kids with better parents, if there are some among the old rows; of equal ones the earliest."""
+    known = np.isfinite(olds["magnitude"])
+    order = np.flatnonzero(known)[np.argsort(olds["nth"][known], kind="stable")]
+    olds = {c: v[order] for c, v in olds.items()}
+    gain = 10.0 ** (-b * olds["magnitude"])
+    lost = (-b * math.log(10.0) * olds["magnitude"]).astype(np.float32)
+    eta, parent, nth = (kids[c].copy() for c in ("eta", "parent", "parent_nth"))
+    kt, ot, (kx, ky), (ox, oy) = kids["timeMs"].astype(float), olds["timeMs"].astype(float), *((t["x_km"], t["y_km"]) for t in (kids, olds))
+    step = max(1, 16_384 // max(1, len(order)))
+    for a in range(0, len(eta) if len(order) else 0, step):
+        s = slice(a, a + step)
+        days, east, north = kt[s, None] - ot, kx[s, None] - ox, ky[s, None] - oy
+        # Logarithms in single precision pick the pairs that can be the least; those are computed in full.
+        rough = np.log(np.maximum(days, 0.5).astype(np.float32)) + np.float32(d / 2) * np.log(np.maximum(east * east + north * north, R_FLOOR * R_FLOOR).astype(np.float32)) + lost
+        rough[days <= 0] = np.inf
+        least = rough.min(axis=1, keepdims=True)
+        i, j = np.nonzero((rough <= least + np.float32(0.01)) & (rough < np.inf))
+        exact = _eta(days[i, j] / DAY_MS, np.hypot(east[i, j], north[i, j]), gain[j], d)
+        first = np.lexsort((olds["nth"][j], exact, i))
+        i, j, exact = i[first], j[first], exact[first]
+        head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
+        i, j, exact = i[head] + a, j[head], exact[head]
+        better = (exact < eta[i]) | ((exact == eta[i]) & (olds["nth"][j] < nth[i]))
+        i, j = i[better], j[better]
+        eta[i], parent[i], nth[i] = exact[better], olds["row_idx"][j], olds["nth"][j]
+    return kids | {"eta": eta, "parent": parent, "parent_nth": nth}
+
+
+def _columns(table: pa.Table) -> dict:
+    floats = ("x_km", "y_km", "magnitude", "eta", "margin")
+    return {c: (table[c].cast(pa.float64()).fill_null(np.nan) if c in floats else table[c]).to_numpy() for c in table.column_names}
+
+
+def _cut(rows: DataFrame, extent: float, most: int) -> tuple[DataFrame, float]:
+    """The rows with square cells (bx, by) and ``part``, and the cells' width.
+
+    Cells are as wide as leaves nine in ten rows in cells of at most ``most``; the rows of
+    fuller ones are cut in time order into parts of so many.  ``full`` tells of those.
+    """
+    total = rows.count()
+    width = max(extent * math.sqrt(most / max(total, 1)) / 2, R_FLOOR)
+    while True:
+        celled = rows.withColumn("bx", F.floor(F.col("x_km") / width)).withColumn("by", F.floor(F.col("y_km") / width))
+        counts = celled.groupBy("bx", "by").agg(F.count("*").alias("n"))
+        fit = counts.agg(F.sum(F.when(F.col("n") <= most, F.col("n"))).alias("s")).first().s or 0
+        if fit >= 0.9 * total or width <= R_FLOOR:
+            break
+        width /= 2
+    marked = celled.join(counts.select("bx", "by", (F.col("n") > most).alias("full")), ["bx", "by"])
+    if fit == total:
+        return marked.withColumn("part", F.lit(0).cast("bigint")), width
+    marked = written(marked, "celled")
+    thick = ranked(marked.filter("full"), ["bx", "by"], [F.col("nth")], "place").withColumn("part", F.floor((F.col("place") - 1) / most)).drop("place")
+    return marked.filter("not full").withColumn("part", F.lit(0).cast("bigint")).unionByName(thick), width
+
+
+def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows: int = 600, most: int = 1500, largest: int = 600) -> DataFrame:
     """(row_idx, parent, log10_eta): the strictly earlier event of least days * km**d * 10**(-b m).
 
     Ties go to the earliest parent.  Rows first search their own and the last block in
-    time, and their block on a curve through time and space; this bounds how good a
-    parent must be.  Rows of the curve form a tree of boxes, ``leaf`` rows in the lowest
-    and ``fan`` boxes in each above.  Pairs of boxes are opened from the top by joins on
-    the box above, and only those go on whose least possible value beats the worst bound
-    in the box, so pairs grow about as the rows do.
+    time, the ``largest`` events, and their cell of the plane; this bounds how good a
+    parent must be.  Any other one is earlier than the last block, so a class of
+    magnitudes can have a better one only within a distance.  Where that reaches out of
+    the cell, the class is joined on cells as wide as the distance asks for.  No row is
+    copied more often than by the classes and the four cells that such a circle can meet.
     """
-    points = geo.projected(cat.filter("latitude is not null and longitude is not null and timeMs is not null")).select("row_idx", "timeMs", "x_km", "y_km", "magnitude")
+    points = geo.projected(cat.filter("latitude is not null and longitude is not null and timeMs is not null")).select("row_idx", "timeMs", "x_km", "y_km", F.col("magnitude").cast("double").alias("magnitude"))
     timed = written(numbered(points, [F.col("timeMs"), F.col("row_idx")], "nth"), "timed")
-    rows = written(numbered(timed.withColumn("code", _curve(timed)), [F.col("code"), F.col("nth")], "at"), "curve")
-
-    def search(kids: pd.DataFrame, olds: pd.DataFrame) -> pd.DataFrame:
-        best = np.full(len(kids), np.inf)
-        who = np.full(len(kids), -1)
-        olds = olds.sort_values("nth")
-        t, x, y = (olds[c].to_numpy(float) for c in AXES)
-        gain = 10.0 ** (-b * olds["magnitude"].to_numpy(float))
-        kt, kx, ky = (kids[c].to_numpy(float) for c in AXES)
-        for a in range(0, len(kids), 256):
-            s = slice(a, a + 256)
-            days = (kt[s, None] - t[None, :]) / DAY_MS
-            r = np.maximum(np.hypot(kx[s, None] - x, ky[s, None] - y), R_FLOOR)
-            eta = np.where(days > 0, days * r**d * gain, np.inf)
-            if eta.shape[1]:
-                at = eta.argmin(axis=1)
-                best[s], who[s] = eta[np.arange(len(at)), at], at
-        ok = np.isfinite(best)
-        ids, nth = olds["row_idx"].to_numpy(), olds["nth"].to_numpy()
-        return pd.DataFrame({"row_idx": kids["row_idx"].to_numpy()[ok], "parent": ids[who[ok]], "parent_nth": nth[who[ok]], "eta": best[ok]})
-
-    def searched(kids: DataFrame, olds: DataFrame, key: str) -> DataFrame:
-        """Best parents among the old rows of the same key."""
-        olds = olds.select(F.col(key).alias("old_key"), *[F.col(c).alias(f"old_{c}") for c in COLUMNS])
-        renamed = lambda _, a, c: search(a, c.rename(columns={f"old_{n}": n for n in COLUMNS}))
-        return kids.select(key, *COLUMNS).groupBy(key).cogroup(olds.groupBy("old_key")).applyInPandas(renamed, FOUND)
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.groupBy("row_idx").agg(F.min(F.struct("eta", "parent_nth", "parent")).alias("m")).select("row_idx", "m.*")
+    held = timed.filter("magnitude is not null and not isnan(magnitude)")
+    top = held.orderBy(F.desc("magnitude"), "nth").limit(largest).collect()  # so many rows at most
+    tops = {c: np.array([r[c] for r in top], np.float64 if c in ("x_km", "y_km", "magnitude") else np.int64) for c in timed.columns}
+
+    def in_time(table: pa.Table) -> pa.Table:
+        rows = _columns(table)
+        own = rows.pop("own").astype(bool)
+        kids = {c: v[own] for c, v in rows.items() if c != "block"}
+        none = np.full(own.sum(), -1, np.int64)
+        kids |= {"parent": none, "parent_nth": none, "eta": np.full(len(none), np.inf), "since": np.full(len(none), rows["timeMs"].min())}
+        kids = _improved(kids, {c: np.concatenate([rows[c], tops[c]]) for c in tops}, d, b)
+        return pa.table({c: kids[c] for c in [f.split()[0] for f in KID.split(", ")]})
 
     blocks = timed.withColumn("block", F.floor(F.col("nth") / block_rows))
-    here = rows.withColumn("block", F.floor(F.col("at") / block_rows))
-    bound = written(best(searched(blocks, blocks.union(blocks.withColumn("block", F.col("block") + 1)), "block").union(searched(here, here, "block"))), "bound")
-
-    leaves = written(rows.withColumn("node", F.floor(F.col("at") / leaf)), "leaves")
-    spans = [f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]
-    held = leaves.join(bound.select("row_idx", "eta"), "row_idx", "left")
-    boxes = [written(held.groupBy("node").agg(*spans, F.max("magnitude").alias("top"), F.max(F.coalesce("eta", F.lit(float("inf")))).alias("worst")), "boxes")]
-    above = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]
-    while boxes[-1].count() > fan:
-        boxes.append(written(boxes[-1].groupBy(F.floor(F.col("node") / fan).alias("node")).agg(*above, F.max("top").alias("top"), F.max("worst").alias("worst")), "boxes"))
-
-    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(f"o_hi_{c}"), F.col(f"o_lo_{c}") - F.col(f"hi_{c}"))
-    least = F.greatest(F.lit(0), F.col("lo_timeMs") - F.col("o_hi_timeMs")) / DAY_MS * F.pow(F.greatest(F.lit(R_FLOOR), F.hypot(gap("x_km"), gap("y_km"))), F.lit(d)) * F.pow(F.lit(10.0), -b * F.col("o_top"))
-    live = (F.col("o_lo_timeMs") < F.col("hi_timeMs")) & (least * (1 - 1e-9) <= F.col("worst"))
-    pairs = None
-    for level in reversed(boxes):
-        kid, old = level, level.select(*[F.col(c).alias(f"o_{c}") for c in level.columns])
-        if pairs is None:
-            met = kid.crossJoin(F.broadcast(old))  # at most fan boxes on either side
-        else:
-            kid, old = kid.withColumn("up", F.floor(F.col("node") / fan)), old.withColumn("o_up", F.floor(F.col("o_node") / fan))
-            met = pairs.join(kid, F.col("k") == F.col("up")).join(old, F.col("o") == F.col("o_up"))
-        pairs = written(met.filter(live).select(F.col("node").alias("k"), F.col("o_node").alias("o")), "pairs")
-    olds = pairs.join(leaves.withColumnRenamed("node", "o"), "o").select(F.col("k").alias("node"), *COLUMNS)
-    found = best(bound.select("row_idx", "parent", "parent_nth", "eta").union(searched(leaves, olds, "node")))
-    found = found.select("row_idx", "parent", F.when(F.col("eta") > 0, F.log10("eta")).alias("log10_eta"))
-    return cat.select("row_idx").join(found, "row_idx", "left")
+    both = blocks.withColumn("own", F.lit(True)).union(blocks.withColumn("block", F.col("block") + 1).withColumn("own", F.lit(False)))
+    bound = written(both.groupBy("block").applyInArrow(in_time, KID), "bound")
+
+    ends = bound.agg(*[f(c).alias(f"{n}_{c}") for c in ("x_km", "y_km") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    extent = max([(ends[f"hi_{c}"] or 0.0) - (ends[f"lo_{c}"] or 0.0) for c in ("x_km", "y_km")] + [R_FLOOR])
+    celled, width = _cut(bound, extent, most)
+
+    def in_cell(table: pa.Table) -> pa.Table:
+        rows = _columns(table)
+        own = rows.pop("own").astype(bool)
+        kids = _improved({c: v[own] for c, v in rows.items()}, {c: rows[c] for c in tops}, d, b)
+        edge = np.minimum.reduce([kids[c] - kids[n] * width for c, n in (("x_km", "bx"), ("y_km", "by"))] + [(kids[n] + 1) * width - kids[c] for c, n in (("x_km", "bx"), ("y_km", "by"))])
+        kids["margin"] = np.where(kids["full"].astype(bool), 0.0, np.maximum(0.0, edge))
+        return pa.table({c: kids[c] for c in [f.split()[0] for f in CELLED.split(", ")]})
+
+    both = celled.withColumn("own", F.lit(True)).unionByName(celled.filter("full").withColumn("part", F.col("part") + 1).withColumn("own", F.lit(False)))
+    found = written(both.groupBy("bx", "by", "part").applyInArrow(in_cell, CELLED), "found")
+    discard(bound)
+    best = found.select("row_idx", "parent", "parent_nth", "eta")
+    if len(top) == largest:
+        best = best.union(_elsewhere(found, tops["magnitude"].min(), extent, width / 32, block_rows, d, b))
+        best = best.groupBy("row_idx").agg(F.min(F.struct("eta", "parent_nth", "parent")).alias("m")).select("row_idx", "m.*")
+    best = best.filter("parent >= 0").select("row_idx", "parent", F.when(F.col("eta") > 0, F.log10("eta")).alias("log10_eta"))
+    return cat.select("row_idx").join(best, "row_idx", "left")
+
+
+def _elsewhere(found: DataFrame, top: float, extent: float, finest: float, block_rows: int, d: float, b: float) -> DataFrame:
+    """Parents as good as or better than those found, from before the blocks in time and outside the own cell.
+
+    Parents have at most the magnitude ``top``.  The longer before a row, the nearer they
+    must be, so those of three spans of time are looked for in cells of their own.
+    """
+    coarsest = max(1, math.ceil(math.log2(4 * extent / finest)))
+    size = F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))
+    span = found.agg(F.count("*").alias("n"), (F.max("timeMs") - F.min("timeMs")).alias("ms")).first()
+    near = max(1, int(16 * span.ms * block_rows / span.n))
+    upto = F.element_at(F.array(*[F.lit(e).cast("bigint") for e in (near, 16 * near, span.ms + 1)]), F.col("bin") + 1)
+    over = F.element_at(F.array(*[F.lit(e).cast("bigint") for e in (1, near, 16 * near)]), F.col("bin") + 1)
+    days = F.greatest(over, F.col("timeMs") - F.col("since")) / DAY_MS
+    reach = F.pow(F.col("eta") * F.pow(F.lit(10.0), b * (top - CLASS_WIDTH * F.col("class"))) / days, F.lit(1 / d)) * (1 + 1e-6)
+    kids = found.filter(F.col("nth") >= 2 * block_rows).withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1)))).withColumn("bin", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter(F.col("timeMs") - F.col("since") <= upto).withColumn("reach", reach)
+    kids = kids.filter((F.col("reach") >= R_FLOOR) & (F.col("reach") >= F.col("margin"))).withColumn("reach", F.least("reach", F.lit(2 * extent)))
+    kids = kids.withColumn("level", F.least(F.lit(coarsest), F.greatest(F.lit(0), F.ceil(F.log2(2 * F.col("reach") / finest)))).cast("int"))
+    used = kids.select("class", "bin", "level").distinct().collect()  # some ten levels of each class and bin
+    if not used:
+        return found.limit(0).select("row_idx", "parent", "parent_nth", "eta")
+    for c, axis in (("cx", "x_km"), ("cy", "y_km")):
+        kids = kids.withColumn(c, F.explode(F.sequence(F.floor((F.col(axis) - F.col("reach")) / size), F.floor((F.col(axis) + F.col("reach")) / size))))
+    kids = kids.withColumn("ct", F.explode(F.sequence(F.floor((F.col("timeMs") - upto) / upto), F.floor((F.col("timeMs") - F.greatest(over, F.col("timeMs") - F.col("since"))) / upto))))
+    own = [F.when(~F.col("full"), F.col(c)).alias(c) for c in ("bx", "by")]
+    kids = kids.select("class", "bin", "level", "cx", "cy", "ct", "row_idx", "timeMs", "x_km", "y_km", "eta", "since", *own)
+    levels = F.array(*[F.array(*[F.struct(F.lit(r.bin).alias("bin"), F.lit(r.level).alias("level")) for r in used if r["class"] == k]).cast("array<struct<bin:int,level:int>>") for k in range(CLASSES)])
+    olds = found.filter("magnitude is not null and not isnan(magnitude)").withColumn("class", F.least(F.lit(CLASSES - 1), F.greatest(F.lit(0), F.floor((top - F.col("magnitude")) / CLASS_WIDTH))).cast("int"))
+    olds = olds.withColumn("l", F.explode(F.element_at(levels, F.col("class") + 1))).withColumn("bin", F.col("l.bin")).withColumn("level", F.col("l.level"))
+    olds = olds.select("class", "bin", "level", F.floor(F.col("timeMs") / upto).alias("ct"), F.floor(F.col("x_km") / size).alias("cx"), F.floor(F.col("y_km") / size).alias("cy"), *[F.col(c).alias(f"o_{c}") for c in ("row_idx", "nth", "timeMs", "x_km", "y_km", "magnitude", "bx", "by")])
+    kids, olds, cell = shared_cells(kids, olds, ["class", "bin", "level", "cx", "cy", "ct"], "row_idx", "o_row_idx")
+    km = F.hypot(F.col("x_km") - F.col("o_x_km"), F.col("y_km") - F.col("o_y_km"))
+    least = (F.col("timeMs") - F.col("o_timeMs")) / DAY_MS * F.pow(F.greatest(km, F.lit(R_FLOOR)), F.lit(d)) * F.pow(F.lit(10.0), -b * F.col("o_magnitude"))
+    met = kids.join(olds, cell).filter((F.col("o_timeMs") < F.col("timeMs")) & (F.col("o_timeMs") <= F.col("since")))
+    met = met.filter(~(F.col("bx").eqNullSafe(F.col("o_bx")) & F.col("by").eqNullSafe(F.col("o_by")))).filter(least <= F.col("eta") * (1 + 1e-9))
+
+    def exactly(batches):
+        """As the other searches compute it, so that ties are ties."""
+        for batch in batches:
+            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            eta = _eta((c["timeMs"] - c["o_timeMs"]) / DAY_MS, np.hypot(c["x_km"] - c["o_x_km"], c["y_km"] - c["o_y_km"]), 10.0 ** (-b * c["o_magnitude"]), d)
+            yield pa.RecordBatch.from_arrays([batch.column("row_idx"), batch.column("o_row_idx"), batch.column("o_nth"), pa.array(eta)], names=["row_idx", "parent", "parent_nth", "eta"])
+
+    met = met.select("row_idx", "timeMs", "x_km", "y_km", *[f"o_{c}" for c in ("row_idx", "nth", "timeMs", "x_km", "y_km", "magnitude")])
+    return met.mapInArrow(exactly, "row_idx long, parent long, parent_nth long, eta double")
 
 
 def otsu_threshold(links: DataFrame, value: str = "log10_eta", fallback: float = 0.15) -> DataFrame:
