@@ -92,8 +92,7 @@ def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows:
     time, the ``largest`` events, and their cell of the plane; this bounds how good a
     parent must be.  Any other one is earlier than the last block, so a class of
     magnitudes can have a better one only within a distance.  Where that reaches out of
-    the cell, the class is joined on cells as wide as the distance asks for.  No row is
-    copied more often than by the classes and the four cells that such a circle can meet.
+    the cell, the class is joined on cells as wide as the distance asks for.
     """
     points = geo.projected(cat.filter("latitude is not null and longitude is not null and timeMs is not null")).select("row_idx", "timeMs", "x_km", "y_km", F.col("magnitude").cast("double").alias("magnitude"))
     timed = written(numbered(points, [F.col("timeMs"), F.col("row_idx")], "nth"), "timed")
