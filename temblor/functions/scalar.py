@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,6 +116,11 @@ def iso_date(display: Column) -> Column:
     return F.date_format(F.try_to_timestamp(display, F.lit("dd/MM/yyyy")), "yyyy-MM-dd")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with the value worked out once however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_missing(text: Column) -> Column:
     """Null, blank, nan, null or undefined."""
     t = F.trim(text.cast("string"))
@@ -137,7 +144,10 @@ def first_positive(*columns: Column) -> Column:
 
 def dms_degrees(text: Column) -> Column:
     """Degrees of a sexagesimal, decimal-minute or plain coordinate; S and W are negative."""
-    t = F.upper(F.trim(text))
+    return once(F.upper(F.trim(text)), _degrees)
+
+
+def _degrees(t: Column) -> Column:
     dms = r"(-?)(\d+)[°:\s]+(\d+)[':\s]+(\d+\.?\d*)[\":\s]*([NSEW])?"
     dm = r"(-?)(\d+)[°:\s]+(\d+\.?\d*)[':\s]*([NSEW])?"
     part = lambda p, n: F.regexp_extract(t, p, n)
@@ -161,20 +171,33 @@ def coordinate(text: Column, style: str = "auto") -> Column:
     return F.coalesce(leading_number(text), dms_degrees(text))
 
 
-def _ordered_date(text: Column, order: str) -> Column:
-    """Timestamp of day, month and year parts in a given order; an overlong day rolls into the next month."""
-    parts = F.split(text, r"[\sT]+")
-    day_parts = F.split(parts[0], r"[-/.]")
+def _ordered_date(parts: Column, day_parts: Column, order: str) -> Column:
+    """Timestamp of day, month and year parts in a given order; an overlong day rolls into the next month.
+
+    ``parts`` are the date and the clock of a text, ``day_parts`` those of the date.
+    """
     whole = lambda c: F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("int")
-    at = {k: whole(F.get(day_parts, F.lit(i))) for i, k in enumerate(order)}
-    year = F.when(at["y"] < 50, at["y"] + 2000).when(at["y"] < 100, at["y"] + 1900).otherwise(at["y"])
     clock = F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("00:00:00")), ":")
-    hour, minute = (F.coalesce(whole(F.get(clock, F.lit(i))), F.lit(0)) for i in (0, 1))
-    second = F.coalesce(leading_number(F.get(clock, F.lit(2))), F.lit(0.0))
-    ok = (F.size(day_parts) >= 3) & at["m"].between(1, 12) & at["d"].between(1, 31) & year.isNotNull()
-    first = F.try_make_timestamp(year, at["m"], F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    millis = F.unix_millis(first) + ((at["d"] - 1) * 86400 + hour * 3600 + minute * 60).cast("bigint") * 1000 + F.floor(second * 1000 + 0.5)
-    return F.when(ok, F.timestamp_millis(millis))
+
+    def at(n: Column) -> Column:
+        year = F.when(n["y"] < 50, n["y"] + 2000).when(n["y"] < 100, n["y"] + 1900).otherwise(n["y"])
+        hour, minute = (F.coalesce(whole(F.get(n["clock"], F.lit(i))), F.lit(0)) for i in (0, 1))
+        second = F.coalesce(leading_number(F.get(n["clock"], F.lit(2))), F.lit(0.0))
+        ok = (F.size(day_parts) >= 3) & n["m"].between(1, 12) & n["d"].between(1, 31) & year.isNotNull()
+        first = F.try_make_timestamp(year, n["m"], F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        millis = F.unix_millis(first) + ((n["d"] - 1) * 86400 + hour * 3600 + minute * 60).cast("bigint") * 1000 + F.floor(second * 1000 + 0.5)
+        return F.when(ok, F.timestamp_millis(millis))
+
+    return once(F.struct(*[whole(F.get(day_parts, F.lit(i))).alias(k) for i, k in enumerate(order)], clock.alias("clock")), at)
+
+
+def _date_parts(t: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of the parts of a text, and of the parts of its date."""
+    return once(F.split(t, r"[\sT]+"), lambda parts: once(F.split(F.get(parts, F.lit(0)), r"[-/.]"), lambda days: f(parts, days)))
+
+
+#: Date patterns in the order they are tried, and what a text of each begins with: only such a text is parsed.
+DATE_PATTERNS = {"dd/MM/yyyy": r"^\d\d/\d\d/", "MM/dd/yyyy": r"^\d\d/\d\d/", "yyyy-MM-dd": r"^[+-]?\d{4,}-\d\d-\d\d( |$)", "dd-MM-yyyy": r"^\d\d-\d\d-", "yyyy/MM/dd": r"^[+-]?\d{4,}/\d\d/"}
 
 
 def parse_time(text: Column, style: str = "auto") -> Column:
@@ -184,7 +207,10 @@ def parse_time(text: Column, style: str = "auto") -> Column:
     and month-first dates, year-first dates and ISO texts, in that order, if the year
     lies in 1700..2100; then the order that the parts' sizes suggest.
     """
-    t = F.trim(text)
+    return once(F.trim(text), lambda t: _parsed(t, style))
+
+
+def _parsed(t: Column, style: str) -> Column:
     whole = F.regexp_extract(t, r"^([+-]?\d+)", 1).try_cast("bigint")
     iso = F.when(t.rlike(r"^\d{4}-\d{2}"), F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(F.concat(t, F.lit("-01")))))
     if style == "unix":
@@ -195,13 +221,15 @@ def parse_time(text: Column, style: str = "auto") -> Column:
         return iso
     order = {"dd/mm/yyyy": "dmy", "mm/dd/yyyy": "mdy", "yyyy-mm-dd": "ymd", "yyyy/mm/dd": "ymd"}.get(style)
     if order:
-        return _ordered_date(t, order)
-    digits = F.when(t.rlike(r"^\d+$"), F.when(whole < 10_000_000_000, F.timestamp_millis(whole * 1000)).otherwise(F.timestamp_millis(whole)))
-    tried = []
-    for pattern in ("dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd"):
-        got = F.try_to_timestamp(t, F.lit(pattern + "[ HH:mm:ss[.SSS]]"))
-        tried.append(F.when(F.year(got).between(1700, 2100), got))
-    parts = F.split(F.get(F.split(t, r"[\sT]+"), F.lit(0)), r"[-/.]")
-    head, second = (F.regexp_extract(F.coalesce(F.get(parts, F.lit(i)), F.lit("")), r"^\s*(\d+)", 1).try_cast("int") for i in (0, 1))
-    guessed = F.when(head > 31, _ordered_date(t, "ymd")).when(head > 12, _ordered_date(t, "dmy")).when(second > 12, _ordered_date(t, "mdy")).otherwise(_ordered_date(t, "dmy"))
-    return F.coalesce(digits, *tried, iso, F.when(F.size(parts) >= 3, guessed))
+        return _date_parts(t, lambda parts, days: _ordered_date(parts, days, order))
+    digits = F.when(t.rlike(r"^\d+$"), once(whole, lambda n: F.when(n < 10_000_000_000, F.timestamp_millis(n * 1000)).otherwise(F.timestamp_millis(n))))
+    recent = lambda got: F.when(F.year(got).between(1700, 2100), got)
+    tried = [F.when(t.rlike(begins), once(F.try_to_timestamp(t, F.lit(pattern + "[ HH:mm:ss[.SSS]]")), recent)) for pattern, begins in DATE_PATTERNS.items()]
+
+    def guessed(parts: Column, days: Column) -> Column:
+        head, second = (F.regexp_extract(F.coalesce(F.get(days, F.lit(i)), F.lit("")), r"^\s*(\d+)", 1).try_cast("int") for i in (0, 1))
+        ordered = lambda order: _ordered_date(parts, days, order)
+        by_size = F.when(head > 31, ordered("ymd")).when(head > 12, ordered("dmy")).when(second > 12, ordered("mdy")).otherwise(ordered("dmy"))
+        return F.when(F.size(days) >= 3, by_size)
+
+    return F.coalesce(digits, *tried, iso, _date_parts(t, guessed))

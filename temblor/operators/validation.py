@@ -74,8 +74,8 @@ def mapped(raw: DataFrame, mapping: dict[str, str] | None = None, date_style: st
     else:
         time = scalar.parse_time(text("time"), date_style) if "time" in source else F.lit(None).cast("timestamp")
     value = lambda f, how: how(text(f)) if f in source else F.lit(None).cast("double")
-    out = raw.select(
-        F.col(row),
+    kept = [c for c in raw.columns if c != row and mapping.get(c) not in {*REQUIRED_FIELDS, "locality", "mmi"} and c not in parts.values()]
+    parsed = F.struct(
         F.coalesce(text("eventID") if "eventID" in source else F.lit(None).cast("string"), F.concat(F.lit("csv_"), F.col(row).cast("string"))).alias("eventID"),
         time.alias("time"),
         value("latitude", lambda t: scalar.coordinate(t, coordinate_style)).alias("latitude"),
@@ -84,8 +84,10 @@ def mapped(raw: DataFrame, mapping: dict[str, str] | None = None, date_style: st
         value("magnitude", scalar.leading_number).alias("magnitude"),
         F.coalesce(text("locality") if "locality" in source else F.lit(None).cast("string"), F.lit("Unknown Location")).alias("locality"),
         F.nullif(value("mmi", scalar.leading_number), F.lit(0.0)).alias("mmi"),
-        *[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in raw.columns if c != row and mapping.get(c) not in {*REQUIRED_FIELDS, "locality", "mmi"} and c not in parts.values()],
-    ).withColumn("timeMs", F.unix_millis("time"))
+        *[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in kept],
+    )
+    # A row of a generator: a filter by ``error`` is not pushed below it, so nothing is parsed for the filter again.
+    out = raw.select(F.col(row), F.inline(F.array(parsed))).withColumn("timeMs", F.unix_millis("time"))
     now = F.lit(now_ms) if now_ms is not None else F.unix_millis(F.current_timestamp())
     r, day = rules, 86_400_000
     checks = [
