@@ -91,8 +91,9 @@ def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows:
     Ties go to the earliest parent.  Rows first search their own and the last block in
     time, the ``largest`` events, and their cell of the plane; this bounds how good a
     parent must be.  Any other one is earlier than the last block, so a class of
-    magnitudes can have a better one only within a distance.  Where that reaches out of
-    the cell, the class is joined on cells as wide as the distance asks for.
+    magnitudes can have a better one only within a distance.  Rows whose distance reaches
+    out of the cell are searched for in the cells around it, which most do not reach out
+    of; where it does, the class is joined on cells as wide as the distance asks for.
     """
     points = geo.projected(cat.filter("latitude is not null and longitude is not null and timeMs is not null")).select("row_idx", "timeMs", "x_km", "y_km", F.col("magnitude").cast("double").alias("magnitude"))
     timed = written(numbered(points, [F.col("timeMs"), F.col("row_idx")], "nth"), "timed")
@@ -130,12 +131,47 @@ def nearest_parents(cat: DataFrame, d: float = 1.6, b: float = 1.0, block_rows:
     discard(bound)
     best = found.select("row_idx", "parent", "parent_nth", "eta")
     if len(top) == largest:
-        best = best.union(_elsewhere(found, tops["magnitude"].min(), extent, width / 32, block_rows, d, b))
+        around, found = _around(found, tops["magnitude"].min(), width, block_rows, d, b)
+        best = best.union(around).union(_elsewhere(found, tops["magnitude"].min(), extent, width / 32, block_rows, d, b))
         best = best.groupBy("row_idx").agg(F.min(F.struct("eta", "parent_nth", "parent")).alias("m")).select("row_idx", "m.*")
     best = best.filter("parent >= 0").select("row_idx", "parent", F.when(F.col("eta") > 0, F.log10("eta")).alias("log10_eta"))
     return cat.select("row_idx").join(best, "row_idx", "left")
 
 
+def _around(found: DataFrame, top: float, width: float, block_rows: int, d: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """Better parents from the eight cells around, and the rows with margins that reach over these cells.
+
+    Every row is sent to its own cell, and to the few around it that it can reach.  Full
+    cells and those next to one keep their margins.
+    """
+    full = found.filter("full").select("bx", "by").distinct()
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    if full.isEmpty():
+        found = found.withColumn("clear", F.lit(True))
+    else:
+        next_to = full.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+        next_to = next_to.select((F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"), F.lit(False).alias("clear")).distinct()
+        found = written(found.join(next_to, ["bx", "by"], "left").withColumn("clear", F.coalesce("clear", F.lit(True))), "found")
+    reach = F.pow(F.col("eta") * 10.0 ** (b * top) / (F.greatest(F.lit(1), F.col("timeMs") - F.col("since")) / DAY_MS), F.lit(1 / d)) * (1 + 1e-6)
+    to = lambda step, v, n: {0: F.lit(0.0), -1: F.col(v) - F.col(n) * width, 1: (F.col(n) + 1) * width - F.col(v)}[step]
+    kids = found.filter(F.col("clear") & (F.col("nth") >= 2 * block_rows)).withColumn("reach", reach).filter((F.col("reach") >= R_FLOOR) & (F.col("reach") >= F.col("margin")))
+    kids = kids.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.hypot(to(i, "x_km", "bx"), to(j, "y_km", "by")).alias("km")) for i, j in steps if i or j]))).filter(F.col("o.km") <= F.col("reach"))
+    columns = [f.split()[0] for f in KID.split(", ")]
+    kids = kids.select((F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"), F.lit(True).alias("own"), *columns)
+    olds = found.filter("not full").select("bx", "by", F.lit(False).alias("own"), *columns)
+
+    def near(table: pa.Table) -> pa.Table:
+        rows = _columns(table)
+        own = rows.pop("own").astype(bool)
+        kids = {c: v[own] for c, v in rows.items()}
+        better = _improved(kids, {c: rows[c][~own] for c in columns[:6]}, d, b)
+        changed = better["parent_nth"] != kids["parent_nth"]
+        return pa.table({c: better[c][changed] for c in ("row_idx", "parent", "parent_nth", "eta")})
+
+    around = kids.union(olds).groupBy("bx", "by").applyInArrow(near, "row_idx long, parent long, parent_nth long, eta double")
+    return written(around, "around"), found.withColumn("margin", F.when(F.col("clear"), F.col("margin") + width).otherwise(F.col("margin"))).drop("clear")
+
+
 def _elsewhere(found: DataFrame, top: float, extent: float, finest: float, block_rows: int, d: float, b: float) -> DataFrame:
     """Parents as good as or better than those found, from before the blocks in time and outside the own cell.
 
